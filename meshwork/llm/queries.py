@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
+from .packing import pack
 from .permutation_index import permutation_search
 from .token_counts import count_tokens
 
@@ -21,8 +22,13 @@ def op7_permutation_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 QUERIES = {
     "op2_token_counts": op2_token_counts,
     "op7_permutation_search": op7_permutation_search,
+    "op10_packing": op10_packing,
 }
 ORACLE_SQL: dict[str, str] = {}

@@ -23,7 +23,7 @@ CACHE_SCHEMA = "content string, tokenizer string, n_tokens long"
 REMEMBERED = 400_000
 #: Longer chunks are not remembered.
 LONGEST = 64
-APART = re.compile("(?<! ) (?! )")
+APART = re.compile("(?<=[^ ]) (?=[^ ])")
 
 
 def tokenizer_digest(path: str) -> str:

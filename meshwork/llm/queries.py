@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
+from .license_scan import scan_licenses
 from .packing import pack
 from .permutation_index import permutation_search
 from .token_counts import count_tokens
@@ -22,6 +23,10 @@ def op7_permutation_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(table(spark, sf_dir, "documents"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -29,6 +34,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_token_counts": op2_token_counts,
     "op7_permutation_search": op7_permutation_search,
+    "op9_license_scan": op9_license_scan,
     "op10_packing": op10_packing,
 }
 ORACLE_SQL: dict[str, str] = {}

@@ -10,6 +10,7 @@ from .common import table
 from .license_scan import scan_licenses
 from .packing import pack
 from .permutation_index import permutation_search
+from .pii import BASE, find_pii, rendered
 from .token_counts import count_tokens
 
 
@@ -17,6 +18,13 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_pii(table(spark, sf_dir, "documents"))
+    of_kind = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long")
+    counts = [of_kind(k).alias(f"n_{x}") for k, x in enumerate(BASE)]
+    return found.select("doc_id", *counts, F.sha2(rendered("base"), 256).alias("base_sha256"), rendered("spans").alias("spans"))
+
+
 def op7_permutation_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     found = permutation_search(vectors.where(F.col("vec_id") % 20 == 0), vectors, k=20)
@@ -33,6 +41,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_token_counts": op2_token_counts,
+    "op4_pii": op4_pii,
     "op7_permutation_search": op7_permutation_search,
     "op9_license_scan": op9_license_scan,
     "op10_packing": op10_packing,

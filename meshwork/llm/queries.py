@@ -12,6 +12,7 @@ from .packing import pack
 from .permutation_index import permutation_search
 from .pii import BASE, find_pii, rendered
 from .token_counts import count_tokens
+from .toxicity import score_toxicity
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,6 +26,10 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(rendered("base"), 256).alias("base_sha256"), rendered("spans").alias("spans"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_permutation_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     found = permutation_search(vectors.where(F.col("vec_id") % 20 == 0), vectors, k=20)
@@ -42,6 +47,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_token_counts": op2_token_counts,
     "op4_pii": op4_pii,
+    "op5_toxicity": op5_toxicity,
     "op7_permutation_search": op7_permutation_search,
     "op9_license_scan": op9_license_scan,
     "op10_packing": op10_packing,

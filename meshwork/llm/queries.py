@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from .common import table
 from .license_scan import scan_licenses
+from .line_dedup import line_components
 from .packing import pack
 from .permutation_index import permutation_search
 from .pii import BASE, find_pii, rendered
@@ -36,6 +37,10 @@ def op7_permutation_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_components(table(spark, sf_dir, "documents"))
+
+
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(table(spark, sf_dir, "documents"))
 
@@ -49,6 +54,7 @@ QUERIES = {
     "op4_pii": op4_pii,
     "op5_toxicity": op5_toxicity,
     "op7_permutation_search": op7_permutation_search,
+    "op8_line_dedup": op8_line_dedup,
     "op9_license_scan": op9_license_scan,
     "op10_packing": op10_packing,
 }

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
+from .fixity import audit, damaged
 from .license_scan import scan_licenses
 from .line_dedup import line_components
 from .packing import pack
@@ -20,6 +21,12 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op3_merkle_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages against a replica with planted faults."""
+    pages = table(spark, sf_dir, "pages")
+    return audit(pages, damaged(pages)).select(F.col("id").alias("page_id"), "status", "file_no", "lo", "hi")
+
+
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_pii(table(spark, sf_dir, "documents"))
     of_kind = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long")
@@ -51,6 +58,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_token_counts": op2_token_counts,
+    "op3_merkle_audit": op3_merkle_audit,
     "op4_pii": op4_pii,
     "op5_toxicity": op5_toxicity,
     "op7_permutation_search": op7_permutation_search,
@@ -58,4 +66,18 @@ QUERIES = {
     "op9_license_scan": op9_license_scan,
     "op10_packing": op10_packing,
 }
-ORACLE_SQL: dict[str, str] = {}
+#: The records that differ, straight from their bytes, and the offset ranges by window sums.
+AUDIT_SQL = """
+WITH kept AS (SELECT page_id, url, CASE WHEN page_id % 97 = 5 THEN html || chr(0) WHEN page_id % 389 = 7 THEN '' ELSE html END AS html
+  FROM pages WHERE page_id % 211 <> 13
+  UNION ALL SELECT page_id + 1000000007, url, html FROM pages WHERE page_id % 503 = 11),
+a AS (SELECT page_id, url, html, page_id // 1024 AS file_no, strlen(url) + strlen(html) + strlen(strlen(html)::VARCHAR) AS n FROM pages),
+b AS (SELECT page_id, url, html, page_id // 1024 AS file_no, strlen(url) + strlen(html) + strlen(strlen(html)::VARCHAR) AS n FROM kept),
+x AS (SELECT *, sum(n + 99) OVER (PARTITION BY file_no ORDER BY page_id) AS hi FROM a),
+y AS (SELECT *, sum(n + 99) OVER (PARTITION BY file_no ORDER BY page_id) AS hi FROM b)
+SELECT coalesce(x.page_id, y.page_id) AS page_id, CASE WHEN y.page_id IS NULL THEN 'missing' WHEN x.page_id IS NULL THEN 'extra' ELSE 'altered' END AS status,
+  coalesce(x.file_no, y.file_no)::BIGINT AS file_no, coalesce(x.hi - x.n - 99, y.hi - y.n - 99)::BIGINT AS lo, coalesce(x.hi, y.hi)::BIGINT AS hi
+FROM x FULL JOIN y ON x.page_id = y.page_id
+WHERE x.page_id IS NULL OR y.page_id IS NULL OR x.html <> y.html OR x.url <> y.url
+"""
+ORACLE_SQL: dict[str, str] = {"op3_merkle_audit": AUDIT_SQL}

@@ -11,6 +11,7 @@ padding.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -22,17 +23,29 @@ from pyspark.sql import functions as F
 
 from .common import task_count, text_of, written
 
-#: Distinct chunks a worker remembers before it starts anew, and the longest it remembers.
-REMEMBERED, LONGEST = 400_000, 64
+#: Chunks, and words without punctuation, that a worker remembers before it starts anew, and the longest of them.
+REMEMBERED, LONGEST = 500_000, 48
+#: Punctuation that may stand around a word.
+MARKS = ".,;:!?|*$%&#()[]\"/"
+NOT_LATIN = re.compile("[^\0-\u024f]")
 IDS_SCHEMA = "uid long, doc_id long, n long, ids binary"
 PIECES_SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
+def byte_letters() -> list[str]:
+    """How byte-level tokenizers write bytes: printable Latin ones as themselves, the others from U+0100 on, in order."""
+    plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+    moved = {b: chr(256 + i) for i, b in enumerate(x for x in range(256) if x not in set(plain))}
+    return [moved.get(b, chr(b)) for b in range(256)]
+
+
 class WordEncoder(dict):
     """Ids by a tokenizers file as little-endian bytes.
 
     A tokenizer that drops white space encodes what stands between blanks on its own, so such chunks are encoded once
-    and remembered; a tokenizer for which a probe shows otherwise gets whole texts.
+    and remembered. Where it also parts letters from punctuation and lowers case, a chunk is its word and the marks
+    around it, and words are remembered apart from chunks; a word of letters goes straight to the model. Probes of the
+    library decide which of this holds for the file; without it whole texts are encoded.
     """
 
     def __init__(self, path: str):
@@ -44,20 +57,43 @@ class WordEncoder(dict):
         self.model.no_truncation()
         self.model.no_padding()
         self.kind = "<u2" if self.model.get_vocab_size() <= 0x10000 else "<u4"
+        self.words: dict[str, bytes] = {}
+        self.letters = byte_letters()
         probe = "The  quick\nbrown fox's 12 dogs.\n\n(Été) "
         self.apart = self.whole(probe) == b"".join(self.whole(x) for x in probe.replace("\n", " ").split(" "))
+        whole = [self.whole(m + w + e) == self.whole(m) + self.whole(w) + self.whole(e) for w in ("Word", "çéñß", "12") for m in ("", *MARKS) for e in ("", *MARKS, ".)")]
+        cased = [self.whole(w) == self.whole(w.lower()) == self.word(w.lower()) for w in ("Word", "THE", "ÉTÉ", "Straße", "ñandú", "unforeseeably")]
+        self.parted = self.apart and all(whole) and all(cased)
 
     def whole(self, text: str) -> bytes:
         return np.array(self.model.encode(text, add_special_tokens=False).ids, dtype=self.kind).tobytes()
 
+    def word(self, letters: str) -> bytes:
+        """The ids of a word of lower-case letters in composed form."""
+        own = letters if letters.isascii() else "".join([self.letters[b] for b in letters.encode()])
+        return np.array([x.id for x in self.model.model.tokenize(own)], dtype=self.kind).tobytes()
+
     def __missing__(self, chunk: str) -> bytes:
-        ids = self.whole(chunk)
+        ids = self.chunk(chunk)
         if len(chunk) <= LONGEST:
             if len(self) >= REMEMBERED:
                 self.clear()
             self[chunk] = ids
         return ids
 
+    def chunk(self, chunk: str) -> bytes:
+        left = chunk.lstrip(MARKS)
+        core = left.rstrip(MARKS)
+        if not self.parted or not core.isalpha() or len(core) > LONGEST or NOT_LATIN.search(core):
+            return self.whole(chunk)
+        core, before, after = core.lower(), chunk[: len(chunk) - len(left)], left[len(core) :]
+        ids = self.words.get(core)
+        if ids is None:
+            if len(self.words) >= REMEMBERED:
+                self.words.clear()
+            ids = self.words[core] = self.word(core) if core.isalpha() else self.whole(core)
+        return (self[before] if before else b"") + ids + (self[after] if after else b"")
+
     def encode(self, text: str) -> bytes:
         return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" "))) if self.apart else self.whole(text)
 

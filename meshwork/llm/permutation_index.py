@@ -9,11 +9,9 @@ over all blocks like any other, and no task holds more than one block of vectors
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import task_count
@@ -51,22 +49,29 @@ def nearest_pivots(v: np.ndarray, pivots: np.ndarray, length: int) -> np.ndarray
 
 
 class PivotFiles:
-    """The inverted files of one block: for each pivot the rows that hold it and their ranks."""
+    """The inverted files of one block, a file per pivot.
+
+    A third or more of the block's rows hold a pivot, so a file is kept dense: each row's rank of the pivot, or `length`.
+    """
 
     def __init__(self, v: np.ndarray, pivots: np.ndarray, length: int):
-        self.rows, self.length = len(v), min(length, len(pivots))
-        flat = nearest_pivots(v, pivots, length).ravel()
-        order = np.argsort(flat, kind="stable")
-        self.starts = np.searchsorted(flat[order], np.arange(len(pivots) + 1))
-        self.row, self.rank = order // self.length, order % self.length
+        self.length = min(length, len(pivots))
+        kind = np.uint8 if self.length < 256 else np.uint16
+        self.files = np.full((len(pivots), len(v)), self.length, dtype=kind)
+        permutations = nearest_pivots(v, pivots, length)
+        for rank in range(self.length):
+            self.files[permutations[:, rank], np.arange(len(v))] = rank
 
     def footrule(self, permutation: np.ndarray) -> np.ndarray:
-        """Each row's footrule distance to a query's permutation, pivots missing on a side counting as rank `length`."""
-        spans = [slice(self.starts[p], self.starts[p + 1]) for p in permutation]
-        rows = np.concatenate([self.row[s] for s in spans])
-        # both sides hold the pivot: |r - q| replaces the two absences (length - r) + (length - q)
-        saved = np.concatenate([2 * self.length - self.rank[s] - q - np.abs(self.rank[s] - q) for q, s in enumerate(spans)])
-        return self.length * (self.length + 1) - np.bincount(rows, saved, self.rows)
+        """Each row's footrule distance to a query's permutation, pivots missing on a side counting as rank `length`.
+
+        Without any pivot in common it is length * (length + 1); a shared one at ranks r and q saves 2 * (length - max(r, q)),
+        since |r - q| replaces (length - r) + (length - q).
+        """
+        far = np.zeros(self.files.shape[1], dtype=np.int32)
+        for q, pivot in enumerate(permutation):
+            far += np.maximum(self.files[pivot], self.files.dtype.type(q))
+        return self.length * (self.length + 1) - 2 * (self.length * len(permutation) - far)
 
 
 def search_block(
@@ -77,8 +82,8 @@ def search_block(
     files, out = PivotFiles(v, pivots, length), []
     keep = max(least, int(np.ceil(share * len(ids))))
     for i, x, permutation in zip(q_ids, q, nearest_pivots(q, pivots, length), strict=True):
-        distance = files.footrule(permutation) * len(ids) + np.arange(len(ids))  # ties to the smaller id
-        distance[ids == i] = np.inf
+        distance = files.footrule(permutation).astype(np.int64) * len(ids) + np.arange(len(ids))  # ties to the smaller id
+        distance[ids == i] = np.iinfo(np.int64).max
         near = np.argpartition(distance, keep)[:keep] if keep < len(ids) else np.arange(len(ids))
         near = near[ids[near] != i]
         score = np.einsum("ij,j->i", v[near], x)
@@ -137,8 +142,6 @@ def permutation_search(
         .cogroup(held.repartition(n_tasks, "block", "asked_block").groupBy("block", "asked_block"))
         .applyInPandas(pair, NEIGHBOURS)
     )
-    from pyspark.sql import Window
-
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")).alias("rank")
     return found.select("query_id", rank, "vec_id", "score").where(F.col("rank") <= k)
 

@@ -10,6 +10,7 @@ from .common import table
 from .fixity import audit, damaged
 from .license_scan import scan_licenses
 from .line_dedup import line_components
+from .ngram_join import jaccard_components
 from .packing import pack
 from .permutation_index import permutation_search
 from .pii import BASE, find_pii, rendered
@@ -38,6 +39,10 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op7_permutation_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     found = permutation_search(vectors.where(F.col("vec_id") % 20 == 0), vectors, k=20)
@@ -61,6 +66,7 @@ QUERIES = {
     "op3_merkle_audit": op3_merkle_audit,
     "op4_pii": op4_pii,
     "op5_toxicity": op5_toxicity,
+    "op6_ngram_join": op6_ngram_join,
     "op7_permutation_search": op7_permutation_search,
     "op8_line_dedup": op8_line_dedup,
     "op9_license_scan": op9_license_scan,

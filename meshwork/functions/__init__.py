@@ -1 +1 @@
-"""Placeholder docstring, filled with the modules of this folder."""
+"""Column functions: fingerprints and the algebra of binary vectors, dense-vector measures."""

@@ -1 +1 @@
-"""Placeholder docstring, filled with the modules of this folder."""
+"""Operators over DataFrames: graph patterns and paths, causal analysis, similarity search, columns, text, relations."""

@@ -1 +1 @@
-"""Placeholder docstring, filled with the modules of this folder."""
+"""The registered queries over the shared tables and their SQL."""

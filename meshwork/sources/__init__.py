@@ -1 +1 @@
-"""Placeholder docstring, filled with the modules of this folder."""
+"""Sources and sinks: the graph store, file formats, scratch tables."""

@@ -1 +1 @@
-"""Placeholder docstring, filled with the modules of this folder."""
+"""Structured Streaming over the events table: windowed counts, sessions, running correlations."""

@@ -13,6 +13,7 @@ collisions), without ever pairing off the members of a group:
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from functools import reduce
 
@@ -22,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of, written
+from .common import task_count, text_of, written
 from .components import connected_components
 
 #: Words a worker remembers before it starts anew.
@@ -66,7 +67,7 @@ def may_differ(n: int, percent: int) -> int:
 
 
 def slack(n: int) -> int:
-    return n // 20
+    return n // 10
 
 
 def step_prefix(s: np.ndarray, percent: int) -> np.ndarray:
@@ -98,7 +99,7 @@ class Bitmap:
 
     def __init__(self, tokens: DataFrame, most_bits: int):
         n = tokens.count()
-        self.log = max(12, min(most_bits.bit_length() - 1, (16 * n).bit_length()))
+        self.log = max(12, min(most_bits.bit_length() - 1, (64 * n).bit_length()))
         place = F.shiftrightunsigned("token", 64 - self.log)
         bits = tokens.select(F.shiftright(place, 6).alias("w"), F.expr(f"shiftleft(1L, cast(shiftrightunsigned(token, {64 - self.log}) & 63 as int))").alias("bit"))
         rows = bits.groupBy("w").agg(F.bit_or("bit").alias("bits")).toPandas()
@@ -205,27 +206,65 @@ def signature_rows(sets: DataFrame, frequent: list[DataFrame], percent: int) ->
     return marked.select("class", "n", "tokens", "frequent").mapInArrow(run, "signature long, class long, n long")
 
 
-def compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """(a, b, common, total): sizes of the intersection and the union of the pairs' token sets."""
-    side = lambda x: sets.select(F.col("class").alias(x), F.col("tokens").alias(f"tokens_{x}"))
+def bucketed(sets: DataFrame) -> DataFrame:
+    """sets, with a head of the least tokens, as a table bucketed by class: joins by class then move pairs, not sets."""
+    name = f"meshwork_sets_{uuid.uuid4().hex}"
+    head = F.substring("tokens", 1, (8 * F.ceil(0.3 * F.col("n"))).cast("int"))
+    sets.withColumn("head", head).write.bucketBy(task_count(sets.sparkSession), "class").sortBy("class").saveAsTable(name)
+    return sets.sparkSession.table(name)
+
+
+def common_tokens(x: np.ndarray, y: np.ndarray) -> int:
+    return int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum()) if len(y) else 0
+
+
+def with_sides(pairs: DataFrame, sets: DataFrame, column: str) -> DataFrame:
+    side = lambda x: sets.select(F.col("class").alias(x), F.col("n").alias(f"n_{x}"), F.col(column).alias(f"{column}_{x}"))
+    return pairs.join(side("b"), "b").join(side("a"), "a")
+
+
+def possible(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b) of the pairs whose heads leave it open that they are not far apart.
+
+    Below the lesser of the heads' last tokens both sets are known; above it at most the smaller rest is common.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keep = []
+            for x, y, n, m in zip(b.column("head_a"), b.column("head_b"), b.column("n_a").to_pylist(), b.column("n_b").to_pylist(), strict=True):
+                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                last = min(x[-1], y[-1])
+                x, y = x[: np.searchsorted(x, last, "right")], y[: np.searchsorted(y, last, "right")]
+                most = common_tokens(x, y) + min(n - len(x), m - len(y))
+                keep.append(100 * most >= percent * (n + m - most))
+            yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    both = with_sides(pairs.select("a", "b").distinct(), sets, "head").select("a", "b", "head_a", "head_b", "n_a", "n_b")
+    return both.mapInArrow(run, "a long, b long")
+
+
+def compared(pairs: DataFrame, sets: DataFrame, least: int) -> DataFrame:
+    """(a, b, common, total): sizes of the intersection and the union of the pairs' token sets; pairs whose heads show that
+    their similarity is below least percent have no row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             common, total = [], []
             for x, y in zip(b.column("tokens_a"), b.column("tokens_b"), strict=True):
                 x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                place = np.minimum(np.searchsorted(y, x), len(y) - 1)
-                common.append(int((y[place] == x).sum()))
+                common.append(common_tokens(x, y))
                 total.append(len(x) + len(y) - common[-1])
             yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array(common, pa.int64()), pa.array(total, pa.int64())], ["a", "b", "common", "total"])
 
-    both = pairs.select("a", "b").distinct().join(side("b"), "b").join(side("a"), "a")
-    return both.select("a", "b", "tokens_a", "tokens_b").mapInArrow(run, "a long, b long, common long, total long")
+    open_pairs = written(possible(pairs, sets, least), "possible")
+    return with_sides(open_pairs, sets, "tokens").select("a", "b", "tokens_a", "tokens_b").mapInArrow(run, "a long, b long, common long, total long")
 
 
 def find_links(rows: DataFrame, sets: DataFrame, percent: int, rounds: int) -> DataFrame | None:
     """(a, b) links whose components are those of all links among members of a signature; None if there are none."""
-    ratio = lambda a, b: 100 * F.least(a, b) >= (2 * percent - 100) * F.greatest(a, b)  # noqa: E731  beyond: far by size
+    reach = 2 * percent - 100  # below this similarity a set is far: more than twice the distance of a link
+    ratio = lambda a, b, p=reach: 100 * F.least(a, b) >= p * F.greatest(a, b)
     links: list[DataFrame] = []
     label: DataFrame | None = None
     for n_round in range(rounds + 1):
@@ -238,8 +277,8 @@ def find_links(rows: DataFrame, sets: DataFrame, percent: int, rounds: int) -> D
         if n_round == rounds:  # what is left is compared in full
             left = named.join(open_ends.select("signature"), "signature", "left_semi")
             other = left.select("signature", F.col("class").alias("a"), F.col("of").alias("of_a"), F.col("n").alias("n_a"))
-            pairs = left.join(other, "signature").where((F.col("a") < F.col("class")) & (F.col("of") != F.col("of_a")) & ratio(F.col("n"), F.col("n_a")))
-            found = written(compared(pairs.select("a", F.col("class").alias("b")), sets), "compared")
+            pairs = left.join(other, "signature").where((F.col("a") < F.col("class")) & (F.col("of") != F.col("of_a")) & ratio(F.col("n"), F.col("n_a"), percent))
+            found = written(compared(pairs.select("a", F.col("class").alias("b")), sets, percent), "compared")
             links.append(found.where(100 * F.col("common") >= percent * F.col("total")).select("a", "b"))
             break
         led = written(named.join(open_ends.select("signature", "lead"), "signature").where(F.col("class") != F.col("lead.class")), "led")
@@ -247,7 +286,7 @@ def find_links(rows: DataFrame, sets: DataFrame, percent: int, rounds: int) -> D
             break
         a, n_a = F.col("lead.class"), F.col("lead.n")
         pairs = led.where(ratio(F.col("n"), n_a)).select(a.alias("a"), F.col("class").alias("b"))
-        found = written(compared(pairs, sets), "compared")
+        found = written(compared(pairs, sets, reach), "compared")
         links.append(found.where(100 * F.col("common") >= percent * F.col("total")).select("a", "b"))
         label = connected_components(reduce(DataFrame.unionByName, links), "a", "b")
         # near: linked; far: more than twice the distance of a link; the others may be linked with both kinds
@@ -269,7 +308,7 @@ def jaccard_components(
     k: int = 5,
     percent: int = 80,
     frequent_from: int = 64,
-    rounds: int = 4,
+    rounds: int = 2,
     most_bits: int = 1 << 26,
     block: int = 500_000,
     id_col: str = "doc_id",
@@ -288,7 +327,7 @@ def jaccard_components(
     ends = prefix_tokens(read, k, percent).groupBy("token").agg(F.min("class").alias("lo"), F.max("class").alias("hi"))
     shared = written(ends.where(F.col("lo") != F.col("hi")).select("token"), "shared")
     held = written(classed(read, Bitmap(shared, most_bits), k, percent), "classes")
-    sets = written(held.where(F.col("tokens").isNotNull()).groupBy("class").agg(F.first("n").alias("n"), F.first("tokens").alias("tokens")), "sets")
+    sets = bucketed(held.where(F.col("tokens").isNotNull()).groupBy("class").agg(F.first("n").alias("n"), F.first("tokens").alias("tokens")))
 
     def tokens_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -67,11 +67,12 @@ class Repetition:
     @classmethod
     def drawn(cls, size: int, stride: int, number: int, n_samples: int) -> Repetition:
         rng = np.random.default_rng([size, number, 7])
-        length = max(n_samples, int(1.6 * size))
-        early = int(rng.integers(0, min(3, length - n_samples + 1)))
-        rest = early + 1 + np.sort(rng.choice(length - early - 1, n_samples - 1, replace=False))
+        length = max(2 * n_samples, int(1.6 * size))
+        # two samples lie early in the walk, so that most windows stop there; the others anywhere after
+        early = np.sort(rng.choice(min(8, length // 2), min(2, n_samples), replace=False))
+        late = np.sort(rng.choice(np.arange(early[-1] + 1, length), n_samples - len(early), replace=False))
         steps = rng.integers(0, 1 << 63, length, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-        return cls(size, stride, steps, [early, *map(int, rest)])
+        return cls(size, stride, steps, [*map(int, early), *map(int, late)])
 
     def walk(self, words: np.ndarray, starts: np.ndarray, gated: bool) -> tuple[list[np.ndarray], np.ndarray]:
         """The keys after each sample, and which of starts came through all gates; words end in more padding than a walk is long."""
@@ -172,8 +173,8 @@ def contaminated(
     docs: DataFrame,
     benchmark: DataFrame,
     most_edits: float = 0.25,
-    n_repetitions: int = 16,
-    n_samples: int = 4,
+    n_repetitions: int = 20,
+    n_samples: int = 5,
     block: int = 10_000,
     id_col: str = "doc_id",
     text_col: str = "text",
@@ -197,8 +198,8 @@ def contaminated(
         texts = spark.createDataFrame([(i, " ".join(w)) for i, w in own], "item_id long, item string")
         each = candidates(read, own, n_repetitions, n_samples).distinct().join(F.broadcast(texts), "item_id")
         bound = F.floor(F.length("item") * most_edits).cast("int")
-        near = each.withColumn("bound", bound).withColumn("edits", F.expr("levenshtein(found, item)"))
-        return near.where(F.col("edits") <= F.col("bound")).withColumn("similarity", 1 - F.col("edits") / F.length("item"))
+        near = each.withColumn("bound", bound).withColumn("edits", F.expr("levenshtein(found, item, bound)"))  # -1 beyond the bound
+        return near.where(F.col("edits") >= 0).withColumn("similarity", 1 - F.col("edits") / F.length("item"))
 
     every = reduce(DataFrame.unionByName, map(searched, blocks))
     best = every.groupBy("doc_id", "item_id").agg(F.min(F.struct("edits", "start_word", "similarity")).alias("b"))

@@ -259,11 +259,11 @@ def cosine_by_label(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # columns
 
-_COLUMN = "SELECT floor((row_number() OVER (ORDER BY l_orderkey, l_linenumber) - 1) / 10000)::BIGINT AS chunk, row_number() OVER (ORDER BY l_orderkey, l_linenumber) - 1 AS pos, {value} AS value FROM lineitem"
+_COLUMN = "SELECT floor((row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity) - 1) / 10000)::BIGINT AS chunk, row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity) - 1 AS pos, {value} AS value FROM lineitem"
 
 
 def _column(spark: SparkSession, sf_dir: str, value: str) -> DataFrame:
-    return columns.as_column(of(spark, sf_dir, "lineitem"), ["l_orderkey", "l_linenumber"], value)
+    return columns.as_column(of(spark, sf_dir, "lineitem"), ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity"], value)
 
 
 @query(f"""WITH c AS ({_COLUMN.format(value='l_quantity')}) SELECT chunk, count(*)::BIGINT AS n_values, min(value) AS min_value, max(value) AS max_value,
@@ -311,14 +311,14 @@ def encoding_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(r"""WITH t AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '') AS w FROM documents),
-s AS (SELECT doc_id, w, unnest(range(0, (greatest(0, ceil((len(w) - 256) / 224.0)) * 224 + 1)::BIGINT, 224)) AS at FROM t WHERE len(w) > 0)
-SELECT doc_id, (at // 224)::INT AS chunk_no, len(w[at + 1:at + 256])::INT AS n_tokens, md5(array_to_string(w[at + 1:at + 256], ' ')) AS chunk FROM s""")
+s AS (SELECT doc_id, w, unnest(range(0, (greatest(0, ceil((len(w) - 256) / 224.0)) * 224 + 1)::BIGINT, 224)) AS b FROM t WHERE len(w) > 0)
+SELECT doc_id, (b // 224)::INT AS chunk_no, len(w[b + 1:b + 256])::INT AS n_tokens, md5(array_to_string(w[b + 1:b + 256], ' ')) AS chunk FROM s""")
 def chunk_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text.chunk_tokens(of(spark, sf_dir, "documents"), "doc_id", "text").withColumn("chunk", F.md5("chunk"))
 
 
-@query("""WITH s AS (SELECT doc_id, text, unnest(range(0, (greatest(0, ceil((length(text) - 512) / 448.0)) * 448 + 1)::BIGINT, 448)) AS at FROM documents WHERE length(text) > 0)
-SELECT doc_id, (at // 448)::INT AS chunk_no, md5(substr(text, at + 1, 512)) AS chunk FROM s""")
+@query("""WITH s AS (SELECT doc_id, text, unnest(range(0, (greatest(0, ceil((length(text) - 512) / 448.0)) * 448 + 1)::BIGINT, 448)) AS b FROM documents WHERE length(text) > 0)
+SELECT doc_id, (b // 448)::INT AS chunk_no, md5(substr(text, b + 1, 512)) AS chunk FROM s""")
 def chunk_fixed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text.fixed_windows(of(spark, sf_dir, "documents"), "doc_id", "text").withColumn("chunk", F.md5("chunk"))
 

@@ -111,7 +111,7 @@ def semi_and_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT user_id, count(*) FILTER (event_type = 'click')::BIGINT AS click, count(*) FILTER (event_type = 'purchase')::BIGINT AS purchase, count(*) FILTER (event_type = 'view')::BIGINT AS view
 FROM events GROUP BY user_id""")
 def pivot_types(spark: SparkSession, sf_dir: str) -> DataFrame:
-    wide = of(spark, sf_dir, "events").groupBy("user_id").pivot("event_type", ["click", "purchase", "view"]).agg(F.count("*"))
+    wide = of(spark, sf_dir, "events").groupBy("user_id").pivot("event_type", ["click", "purchase", "view"]).agg(F.count("event_id"))
     return wide.fillna(0)
 
 

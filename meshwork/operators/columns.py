@@ -96,8 +96,8 @@ def dictionary(column: DataFrame) -> DataFrame:
 
 
 def dictionary_codes(column: DataFrame) -> DataFrame:
-    own = dictionary(column).withColumnRenamed("value", "v")
-    return column.join(own, (column["chunk"] == own["chunk"]) & column["value"].eqNullSafe(own["v"])).select(column["chunk"], "pos", "code")
+    own = dictionary(column).select(F.col("chunk").alias("c"), F.col("value").alias("v"), "code")
+    return column.join(own, (F.col("chunk") == F.col("c")) & F.col("value").eqNullSafe(F.col("v"))).select("chunk", "pos", "code")
 
 
 def from_dictionary(codes: DataFrame, table: DataFrame) -> DataFrame:

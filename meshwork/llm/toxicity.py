@@ -243,7 +243,7 @@ def score_toxicity(
     for own, y, n in taught:
         known[y, own] += n
     if not sum(n_known):
-        known[1, : len(LEXICON)], n_known = 4, (0, 20)
+        known[1, : len(LEXICON)], n_known = 1, (2000, 20)  # as if 2,000 clean rows without any word of the lexicon were known
     model = fit_label_model(patterns, known, n_known, prior, rounds)
 
     # the linear classifier: presence of each voter against the posterior, classes weighed back to the prior

@@ -3,15 +3,17 @@
 A line's character shingles are the stretches of `chars` characters that begin at its words (at every character of
 scripts without such words). Equal lines share a key; the signature of a key is the least of its shingles' hashes under each
 of several xors, gathered by one aggregation. Keys that agree in a band of the signature are candidates, each with the
-least and the greatest key of the band rather than with one another; those that match neither form the next round's
-bands. Candidates are verified by the exact Jaccard similarity of their shingle sets, and union-find joins what is left.
+least key of the band rather than with one another. Jaccard distance is a metric, so what is near that leader and what is
+far from it need not be compared; what remains forms the next round's bands. After `rounds` of them the bands that are open
+yet are split by their members' rarest shingles, as every link shares one, and compared until no pair is open. Candidates
+are verified by the exact Jaccard similarity of their shingle sets, and union-find joins them.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import text_of, written
@@ -42,26 +44,124 @@ def signatures(lines: DataFrame, chars: int, n_hashes: int) -> DataFrame:
 
 
 def band_rows(signed: DataFrame, bands: int, rows: int) -> DataFrame:
+    """(key, sketch, band); the sketch has the last bit of each hash of the signature, 64 at most."""
     each = [F.xxhash64(F.lit(b), *[F.col(f"s{b * rows + r}") for r in range(rows)]) for b in range(bands)]
-    return signed.select("key", F.explode(F.array(*each)).alias("band"))
+    bits = reduce(Column.bitwiseOR, [F.shiftleft(F.col(f"s{i}").bitwiseAND(F.lit(1)), i) for i in range(min(64, bands * rows))])
+    return signed.select("key", bits.alias("sketch"), F.explode(F.array(*each)).alias("band"))
 
 
-def band_pairs(banded: DataFrame) -> DataFrame:
-    """(band, key, other): every key with the least and the greatest of its band; bands of one key have no rows."""
-    ends = banded.groupBy("band").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).where(F.col("lo") != F.col("hi"))
-    return banded.join(ends, "band").select("band", "key", F.explode(F.array("lo", "hi")).alias("other")).where(F.col("key") != F.col("other"))
-
-
-def verified(pairs: DataFrame, texts: DataFrame, chars: int, similarity: float) -> DataFrame:
-    """(a, b) of the pairs whose shingle sets have at least this Jaccard similarity."""
+def compared(pairs: DataFrame, texts: DataFrame, chars: int, least: float) -> DataFrame:
+    """(a, b, common, total): sizes of the intersection and the union of the pairs' shingle sets, where at least this similar."""
     own = pairs.select(F.least("key", "other").alias("a"), F.greatest("key", "other").alias("b")).distinct()
     side = lambda k: texts.select(F.col("key").alias(k), F.col("line").alias(f"line_{k}"))
     both = own.join(side("a"), "a").join(side("b"), "b")
     # a generator over one array keeps the optimizer from computing a set anew at each use
     one = lambda k: F.explode(F.array(F.array_distinct(line_shingles(F.col(f"line_{k}"), chars)))).alias(f"set_{k}")
     sets = both.select("a", "b", "line_b", one("a")).select("a", "b", "set_a", one("b"))
-    common = F.size(F.array_intersect("set_a", "set_b"))
-    return sets.where(common >= similarity * (F.size("set_a") + F.size("set_b") - common)).select("a", "b")
+    met = sets.select("a", "b", F.size("set_a").alias("n_a"), F.size("set_b").alias("n_b"), F.explode(F.array(F.size(F.array_intersect("set_a", "set_b")))).alias("common"))
+    return met.select("a", "b", "common", (F.col("n_a") + F.col("n_b") - F.col("common")).alias("total")).where(F.col("common") >= least * F.col("total"))
+
+
+class Links:
+    """The links found so far and the components they make."""
+
+    def __init__(self, texts: DataFrame, chars: int, similarity: float, n_bits: int):
+        self.texts, self.chars, self.similarity = texts, chars, similarity
+        #: below this similarity a line is far: more than twice the distance of a link
+        self.reach = max(0.0, 2 * similarity - 1)
+        # sketches agree in (1 + similarity) / 2 of their bits; four deviations below that hardly a pair in reach is lost
+        p = (1 + self.reach) / 2
+        self.most_bits = int(n_bits * (1 - p) + 4 * (n_bits * p * (1 - p)) ** 0.5)
+        self.found: list[DataFrame] = []
+        self.label: DataFrame | None = None
+
+    def near(self) -> Column:
+        return F.coalesce(F.col("common") >= self.similarity * F.col("total"), F.lit(False))
+
+    def named(self, rows: DataFrame) -> DataFrame:
+        """rows with `of`, the component of their key."""
+        if self.label is None:
+            return rows.withColumn("of", F.col("key"))
+        return rows.join(self.label, "key", "left").withColumn("of", F.coalesce("component", "key")).drop("component")
+
+    def still_open(self, rows: DataFrame) -> DataFrame:
+        """The rows, with `of`, of bands that hold more than one component."""
+        named = self.named(rows)
+        ends = named.groupBy("band").agg(F.min("of").alias("lo"), F.max("of").alias("hi")).where(F.col("lo") != F.col("hi"))
+        return named.join(ends.select("band"), "band", "left_semi")
+
+    def compare(self, pairs: DataFrame, least: float) -> DataFrame:
+        """As compared(), for (key, sketch, other, other_sketch) rows; the links among them are kept."""
+        able = pairs.where(F.bit_count(F.col("sketch").bitwiseXOR(F.col("other_sketch"))) <= self.most_bits)
+        seen = written(compared(able, self.texts, self.chars, least), "compared")
+        new = seen.where(self.near()).select("a", "b")
+        if not new.isEmpty():
+            self.found.append(new)
+            label = connected_components(reduce(DataFrame.unionByName, self.found), "a", "b")
+            self.label = label.withColumnRenamed("node", "key")
+        return seen
+
+    def led(self, rows: DataFrame) -> DataFrame | None:
+        """Compares the members of each band with its least one and gives the rows of what is open yet, None if nothing is.
+
+        What is near the leader is linked with it, what is far from it can't be linked with that: only far ones among
+        each other, and the ones between with both, are left.
+        """
+        named = self.named(rows)
+        ends = named.groupBy("band").agg(F.min(F.struct("key", "sketch")).alias("lead"), F.min("of").alias("lo"), F.max("of").alias("hi"))
+        ends = ends.where(F.col("lo") != F.col("hi")).select("band", F.col("lead.key").alias("other"), F.col("lead.sketch").alias("other_sketch"))
+        led = written(named.join(ends, "band").where(F.col("key") != F.col("other")), "led")
+        if led.isEmpty():
+            return None
+        seen = self.compare(led, self.reach).withColumn("near", self.near())
+        told = led.withColumn("a", F.least("key", "other")).withColumn("b", F.greatest("key", "other")).join(seen, ["a", "b"], "left")
+        told = written(told.select("band", "key", "sketch", "other", F.col("near").isNotNull().alias("mid"), F.coalesce("near", F.lit(False)).alias("near")), "told")
+        apart = told.where(~F.col("near")).select("band", "key", "sketch")
+        mixed = told.groupBy("band").agg(F.max(F.col("mid") & ~F.col("near")).alias("m"), F.max("near").alias("n")).where("m and n").select("band")
+        around = told.where("mid").join(mixed, "band", "left_semi").select(F.xxhash64("band", "other").alias("band"), "key", "sketch")
+        return written(self.still_open(apart.unionByName(around).distinct()).drop("of"), "open")
+
+    def prefixes(self, rows: DataFrame) -> DataFrame:
+        """(band, key, sketch, n, indexed): a band for each of the shingles that are the rarest in the bands of rows.
+
+        Of n shingles a line shares one among the n - similarity * n + 1 rarest with every larger linked one, which has it
+        among its own so many; those marked as indexed suffice for the smaller line of a pair.
+        """
+        lines = rows.select("key").distinct().join(self.texts, "key")
+        sets = lines.select("key", F.explode(F.array(F.array_distinct(line_shingles(F.col("line"), self.chars)))).alias("set"))
+        each = rows.join(sets, "key").select("band", "key", "sketch", F.size("set").alias("n"), F.explode("set").alias("shingle"))
+        each = written(each.withColumn("shingle", F.xxhash64("shingle")), "shingles")
+        often = each.groupBy("band", "shingle").agg(F.count("*").alias("often"))
+        ranked = each.join(often, ["band", "shingle"]).withColumn("rank", F.row_number().over(Window.partitionBy("band", "key").orderBy("often", "shingle")))
+        needed = lambda part: F.col("n") - F.ceil(F.col("n") * part - 1e-9) + 1
+        kept = ranked.where(F.col("rank") <= needed(self.similarity))
+        indexed = F.col("rank") <= needed(2 * self.similarity / (1 + self.similarity))
+        return kept.select(F.xxhash64("band", "shingle").alias("band"), "key", "sketch", "n", indexed.alias("indexed"))
+
+    def finish(self, rows: DataFrame) -> None:
+        """Compares what is open in full: (band, key, sketch, n, indexed) rows of prefixes()."""
+        left = self.still_open(rows)
+        other = left.where("indexed").select("band", F.col("key").alias("other"), F.col("sketch").alias("other_sketch"), F.col("n").alias("n_other"), F.col("of").alias("of_other"))
+        order = (F.col("n") > F.col("n_other")) | ((F.col("n") == F.col("n_other")) & (F.col("key") > F.col("other")))
+        pairs = left.join(other, "band").where(order & (F.col("of") != F.col("of_other")) & (F.col("n_other") >= self.similarity * F.col("n")))
+        self.compare(pairs, self.similarity)
+
+
+def find_links(rows: DataFrame, links: Links, rounds: int) -> DataFrame | None:
+    """(key, component) of all links among the members of a band, None if there are none.
+
+    Some rounds of leaders, first in the bands, then in those of rare shingles into which the bands that are open yet are
+    split, join the copies of one line; what differs after that is compared in full where it shares a rare shingle.
+    """
+    for _ in range(rounds):
+        rows = links.led(rows)
+        if rows is None:
+            return links.label
+    if not rows.isEmpty():
+        split = written(links.prefixes(rows), "prefixes")
+        links.led(split.select("band", "key", "sketch"))
+        links.finish(split)
+    return links.label
 
 
 def line_components(
@@ -80,29 +180,21 @@ def line_components(
     A component's kept line is its first by doc_id and line number. Lines shorter than min_chars in normal form (lower
     case, trimmed) take no part, nor do null and empty texts; lines of any length are compared whole. Rows of one
     doc_id are one document: repeated rows keep the same lines. Extra columns are ignored, an empty table gives no rows.
-    Lines of similarity s share a band with probability 1 - (1 - s**rows)**bands, 0.998 at 0.8; keys have 64 bits.
+    Lines of similarity s share a band with probability 1 - (1 - s**rows)**bands, 0.998 at 0.8, and are then
+    compared however many lines share it; rounds changes the work, never the result. Keys have 64 bits.
     """
     lines = lines_of(docs, min_chars, id_col, text_col)
     signed = signatures(lines, chars, bands * rows)
-    pairs = written(band_pairs(band_rows(signed, bands, rows)), "pairs")
-    wanted = pairs.select("key").unionByName(pairs.select(F.col("other").alias("key"))).distinct()
+    banded = band_rows(signed, bands, rows)
+    wanted = banded.groupBy("band").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).where(F.col("lo") != F.col("hi")).select("band")
+    banded = written(banded.join(wanted, "band", "left_semi"), "banded")
     held = lines.select(F.xxhash64("line").alias("key"), "line").groupBy("key").agg(F.first("line").alias("line"))
-    texts = written(held.join(wanted, "key", "left_semi"), "texts")
-    found = [written(verified(pairs, texts, chars, similarity), "links")]
-    for _ in range(rounds - 1):
-        linked = connected_components(reduce(DataFrame.unionByName, found), "a", "b")
-        label = lambda c: linked.select(F.col("node").alias(c), F.col("component").alias(f"of_{c}"))  # noqa: E731,B023
-        apart = pairs.join(label("key"), "key", "left").join(label("other"), "other", "left")
-        same = F.coalesce("of_key", "key") == F.coalesce("of_other", "other")
-        left = apart.groupBy("band", "key").agg(F.max(same).alias("same")).where(~F.col("same")).select("band", "key")
-        pairs = written(band_pairs(left), "pairs")
-        if pairs.isEmpty():
-            break
-        found.append(written(verified(pairs, texts, chars, similarity), "links"))
-    linked = connected_components(reduce(DataFrame.unionByName, found), "a", "b")
+    texts = written(held.join(banded.select("key").distinct(), "key", "left_semi"), "texts")
+    label = find_links(banded, Links(texts, chars, similarity, min(64, bands * rows)), rounds)
+    linked = label if label is not None else lines.sparkSession.createDataFrame([], "key long, component long")
 
     places = lines.select("doc_id", "line_no", F.xxhash64("line").alias("key"))
-    labelled = places.join(linked, places["key"] == linked["node"], "left").select("doc_id", "line_no", F.coalesce("component", "key").alias("component"))
+    labelled = places.join(linked, "key", "left").select("doc_id", "line_no", F.coalesce("component", "key").alias("component"))
     labelled = written(labelled.distinct(), "labelled")
     first = labelled.groupBy("component").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count("*").alias("n")).where("n > 1")
     return labelled.join(first, "component").select(

@@ -164,6 +164,16 @@ def test_line_dedup_recall_against_brute_force(spark):
         assert r.doc_id % 30 // 1 == r.doc_id % 30 and (r.doc_id - 30) // 3 == (r.kept_doc_id - 30) // 3 or r.doc_id < 30 or r.kept_doc_id < 30
 
 
+def test_line_dedup_links_near_pairs_that_share_boilerplate(spark):
+    rng, shared, lines = random.Random(12), prose(40, 50).split(), []
+    for i in range(300):
+        own = [f"x{i}y{j}z" for j in range(10)]
+        first = shared + own
+        lines += [" ".join(first), " ".join(shared + own[:-1] + [f"q{i}{rng.randrange(100)}"])]
+    place = {r.doc_id: r.kept_doc_id for r in line_components(docs_of(spark, lines)).collect()}
+    assert sum(place.get(2 * i, -1) == place.get(2 * i + 1, -2) == 2 * i for i in range(300)) >= 297
+
+
 def brute_pii(text):
     patterns = {
         "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",

@@ -1,8 +1,7 @@
 """Fuzzy line deduplication by MinHash, in DataFrame functions only.
 
-A line's character shingles are the stretches of `chars` characters that begin at its words (at every character of
-scripts without such words). Equal lines share a key; the signature of a key is the least of its shingles' hashes under each
-of several xors, gathered by one aggregation. Keys that agree in a band of the signature are candidates, each with the
+A line's shingles are all its stretches of `chars` characters, one at every character. Equal lines share a key; the
+signature of a key is the least of its shingles' hashes under each of several xors, gathered by one aggregation. Keys that agree in a band of the signature are candidates, each with the
 least key of the band rather than with one another. Jaccard distance is a metric, so what is near that leader and what is
 far from it need not be compared; what remains forms the next round's bands. After `rounds` of them the bands that are open
 yet are split by their members' rarest shingles, as every link shares one, and compared until no pair is open. Candidates
@@ -11,12 +10,13 @@ are verified by the exact Jaccard similarity of their shingle sets, and union-fi
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import text_of, written
+from .common import task_count, text_of, written
 from .components import connected_components
 
 
@@ -24,9 +24,23 @@ def normal_line(line: Column) -> Column:
     return F.lower(F.trim(line))
 
 
-def line_shingles(line: Column, chars: int) -> Column:
-    """All stretches of `chars` characters, or fewer at the line's end, that begin where no Latin letter or digit stands before."""
-    return F.regexp_extract_all(line, F.lit(rf"(?<![0-9a-zß-ɏ])(?=([^ ].{{0,{chars - 1}}}))"), 1)
+def wide(line: Column) -> Column:
+    """A line in four bytes for each character, so that a stretch of it is found without a walk through the line."""
+    return F.encode(line, "UTF-32")
+
+
+def starts(of: Column, chars: int) -> Column:
+    """The positions, from 1, at which the shingles of a wide line begin; a shorter line is one shingle."""
+    return F.sequence(F.lit(1), F.greatest(F.lit(1), F.shiftright(F.octet_length(of), 2) - (chars - 1)))
+
+
+def shingle_at(of: Column, start: Column, chars: int) -> Column:
+    return F.xxhash64(F.substring(of, 4 * start - 3, F.lit(4 * chars)))
+
+
+def shingle_set(of: Column, chars: int) -> Column:
+    """The distinct hashes of the shingles of a wide line."""
+    return F.array_distinct(F.transform(starts(of, chars), lambda i: shingle_at(of, i, chars)))
 
 
 def lines_of(docs: DataFrame, min_chars: int, id_col: str, text_col: str) -> DataFrame:
@@ -35,10 +49,20 @@ def lines_of(docs: DataFrame, min_chars: int, id_col: str, text_col: str) -> Dat
     return each.select("doc_id", "line_no", F.explode(F.array(normal_line(F.col("raw")))).alias("line")).where(F.length("line") >= min_chars)
 
 
-def signatures(lines: DataFrame, chars: int, n_hashes: int) -> DataFrame:
-    """(key, s0, s1, ...): lines that are equal have one row, however many there are, before anything is shuffled."""
-    each = lines.select(F.xxhash64("line").alias("key"), F.explode(line_shingles(F.col("line"), chars)).alias("shingle"))
-    hashed = each.select("key", F.xxhash64("shingle").alias("h"))
+def held_lines(lines: DataFrame) -> DataFrame:
+    """(key, line) once for each line, as a table bucketed by key: signatures and joins by key then move no texts."""
+    name, n = f"meshwork_lines_{uuid.uuid4().hex}", task_count(lines.sparkSession)
+    once = lines.select(F.xxhash64("line").alias("key"), "line").groupBy("key").agg(F.first("line").alias("line"))
+    once.write.bucketBy(n, "key").sortBy("key").saveAsTable(name)
+    return lines.sparkSession.table(name)
+
+
+def signatures(texts: DataFrame, chars: int, n_hashes: int) -> DataFrame:
+    """(key, s0, s1, ...) of (key, line) rows."""
+    # a generator over one array keeps the optimizer from widening a line anew for each shingle
+    own = texts.select("key", F.explode(F.array(wide(F.col("line")))).alias("wide"))
+    each = own.select("key", "wide", F.explode(starts(F.col("wide"), chars)).alias("start"))
+    hashed = each.select("key", shingle_at(F.col("wide"), F.col("start"), chars).alias("h"))
     mask = lambda i: (0x9E3779B97F4A7C15 * (i + 1) * (2 * i + 3)) % (1 << 64) - (1 << 63)
     return hashed.groupBy("key").agg(*[F.min(F.col("h").bitwiseXOR(F.lit(mask(i)))).alias(f"s{i}") for i in range(n_hashes)])
 
@@ -56,8 +80,10 @@ def compared(pairs: DataFrame, texts: DataFrame, chars: int, least: float) -> Da
     side = lambda k: texts.select(F.col("key").alias(k), F.col("line").alias(f"line_{k}"))
     both = own.join(side("a"), "a").join(side("b"), "b")
     # a generator over one array keeps the optimizer from computing a set anew at each use
-    one = lambda k: F.explode(F.array(F.array_distinct(line_shingles(F.col(f"line_{k}"), chars)))).alias(f"set_{k}")
-    sets = both.select("a", "b", "line_b", one("a")).select("a", "b", "set_a", one("b"))
+    once = lambda c, name: F.explode(F.array(c)).alias(name)
+    own_set = lambda k: once(shingle_set(F.col(f"wide_{k}"), chars), f"set_{k}")
+    both = both.select("a", "b", "line_b", once(wide(F.col("line_a")), "wide_a")).select("a", "b", "wide_a", once(wide(F.col("line_b")), "wide_b"))
+    sets = both.select("a", "b", "wide_b", own_set("a")).select("a", "b", "set_a", own_set("b"))
     met = sets.select("a", "b", F.size("set_a").alias("n_a"), F.size("set_b").alias("n_b"), F.explode(F.array(F.size(F.array_intersect("set_a", "set_b")))).alias("common"))
     return met.select("a", "b", "common", (F.col("n_a") + F.col("n_b") - F.col("common")).alias("total")).where(F.col("common") >= least * F.col("total"))
 
@@ -128,9 +154,10 @@ class Links:
         among its own so many; those marked as indexed suffice for the smaller line of a pair.
         """
         lines = rows.select("key").distinct().join(self.texts, "key")
-        sets = lines.select("key", F.explode(F.array(F.array_distinct(line_shingles(F.col("line"), self.chars)))).alias("set"))
+        wides = lines.select("key", F.explode(F.array(wide(F.col("line")))).alias("wide"))
+        sets = wides.select("key", F.explode(F.array(shingle_set(F.col("wide"), self.chars))).alias("set"))
         each = rows.join(sets, "key").select("band", "key", "sketch", F.size("set").alias("n"), F.explode("set").alias("shingle"))
-        each = written(each.withColumn("shingle", F.xxhash64("shingle")), "shingles")
+        each = written(each, "shingles")
         often = each.groupBy("band", "shingle").agg(F.count("*").alias("often"))
         ranked = each.join(often, ["band", "shingle"]).withColumn("rank", F.row_number().over(Window.partitionBy("band", "key").orderBy("often", "shingle")))
         needed = lambda part: F.col("n") - F.ceil(F.col("n") * part - 1e-9) + 1
@@ -166,10 +193,10 @@ def find_links(rows: DataFrame, links: Links, rounds: int) -> DataFrame | None:
 
 def line_components(
     docs: DataFrame,
-    chars: int = 16,
+    chars: int = 5,
     similarity: float = 0.8,
-    bands: int = 6,
-    rows: int = 2,
+    bands: int = 12,
+    rows: int = 4,
     min_chars: int = 16,
     rounds: int = 2,
     id_col: str = "doc_id",
@@ -184,12 +211,10 @@ def line_components(
     compared however many lines share it; rounds changes the work, never the result. Keys have 64 bits.
     """
     lines = lines_of(docs, min_chars, id_col, text_col)
-    signed = signatures(lines, chars, bands * rows)
-    banded = band_rows(signed, bands, rows)
+    texts = held_lines(lines)
+    banded = written(band_rows(signatures(texts, chars, bands * rows), bands, rows), "all_bands")
     wanted = banded.groupBy("band").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).where(F.col("lo") != F.col("hi")).select("band")
     banded = written(banded.join(wanted, "band", "left_semi"), "banded")
-    held = lines.select(F.xxhash64("line").alias("key"), "line").groupBy("key").agg(F.first("line").alias("line"))
-    texts = written(held.join(banded.select("key").distinct(), "key", "left_semi"), "texts")
     label = find_links(banded, Links(texts, chars, similarity, min(64, bands * rows)), rounds)
     linked = label if label is not None else lines.sparkSession.createDataFrame([], "key long, component long")
 

@@ -164,12 +164,25 @@ def test_line_dedup_recall_against_brute_force(spark):
         assert r.doc_id % 30 // 1 == r.doc_id % 30 and (r.doc_id - 30) // 3 == (r.kept_doc_id - 30) // 3 or r.doc_id < 30 or r.kept_doc_id < 30
 
 
+def test_line_dedup_finds_edited_lines_of_ordinary_length(spark):
+    rng = random.Random(13)
+    base = [prose(1300 + i, 10 + i % 21) for i in range(200)]
+    lines = [*base, *(edited(b, rng, 1) for b in base)]
+    cut = lambda s: {s[i : i + 5] for i in range(len(s) - 4)}
+    want = [i for i, b in enumerate(base) if len((a := cut(b)) & (c := cut(lines[200 + i]))) >= 0.8 * len(a | c)]
+    place = {r.doc_id: r.kept_doc_id for r in line_components(docs_of(spark, lines)).collect()}
+    assert len(want) >= 100 and sum(place.get(i, -1) == place.get(200 + i, -2) for i in want) >= 0.97 * len(want)
+    assert all(place[i] % 200 == i % 200 for i in place)
+    # every character counts as one, whatever the script
+    cjk = "".join(chr(0x4E00 + rng.randrange(5000)) for _ in range(80))
+    assert line_components(docs_of(spark, [cjk, cjk[:79] + "x", cjk[::-1]])).where("doc_id < 2 and kept_doc_id = 0").count() == 2
+
+
 def test_line_dedup_links_near_pairs_that_share_boilerplate(spark):
     rng, shared, lines = random.Random(12), prose(40, 50).split(), []
     for i in range(300):
-        own = [f"x{i}y{j}z" for j in range(10)]
-        first = shared + own
-        lines += [" ".join(first), " ".join(shared + own[:-1] + [f"q{i}{rng.randrange(100)}"])]
+        own = ["".join(rng.choices("abcdefghijklmnopqrstuv", k=7)) for _ in range(11)]
+        lines += [" ".join(shared + own[:10]), " ".join(shared + own[:9] + own[10:])]
     place = {r.doc_id: r.kept_doc_id for r in line_components(docs_of(spark, lines)).collect()}
     assert sum(place.get(2 * i, -1) == place.get(2 * i + 1, -2) == 2 * i for i in range(300)) >= 297
 

@@ -20,8 +20,14 @@ from .common import task_count, text_of, written
 from .components import connected_components
 
 
+#: White space besides the blank, as in a pattern's class.
+WHITE = r"\t\n\x0b\f\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
 def normal_line(line: Column) -> Column:
-    return F.lower(F.trim(line))
+    """Lower case, each run of white space one blank, none at either end; only lines with other runs are rewritten."""
+    runs = F.regexp_replace(line, rf"[ {WHITE}]+", " ")
+    return F.lower(F.trim(F.when(line.rlike(rf"[{WHITE}]|  "), runs).otherwise(line)))
 
 
 def wide(line: Column) -> Column:
@@ -205,7 +211,7 @@ def line_components(
     """(doc_id, line_no, kept_doc_id, kept_line_no, kept) of every line that has an equal or similar one.
 
     A component's kept line is its first by doc_id and line number. Lines shorter than min_chars in normal form (lower
-    case, trimmed) take no part, nor do null and empty texts; lines of any length are compared whole. Rows of one
+    case, single blanks) take no part, nor do null and empty texts; lines of any length are compared whole. Rows of one
     doc_id are one document: repeated rows keep the same lines. Extra columns are ignored, an empty table gives no rows.
     Lines of similarity s share a band with probability 1 - (1 - s**rows)**bands, 0.998 at 0.8, and are then
     compared however many lines share it; rounds changes the work, never the result. Keys have 64 bits.

@@ -178,6 +178,12 @@ def test_line_dedup_finds_edited_lines_of_ordinary_length(spark):
     assert line_components(docs_of(spark, [cjk, cjk[:79] + "x", cjk[::-1]])).where("doc_id < 2 and kept_doc_id = 0").count() == 2
 
 
+def test_line_dedup_reads_all_white_space_as_one_blank(spark):
+    line = "six words of one short line"
+    texts = [line, f"{line}\r", f"\t{line}", line.replace(" ", "  "), line.replace(" ", "\u00a0"), line.replace(" ", "\t \u3000"), "quite another line than that"]
+    assert {(r.doc_id, r.kept_doc_id) for r in line_components(docs_of(spark, texts)).collect()} == {(i, 0) for i in range(6)}
+
+
 def test_line_dedup_links_near_pairs_that_share_boilerplate(spark):
     rng, shared, lines = random.Random(12), prose(40, 50).split(), []
     for i in range(300):

@@ -49,10 +49,10 @@ def shingle_set(of: Column, chars: int) -> Column:
     return F.array_distinct(F.transform(starts(of, chars), lambda i: shingle_at(of, i, chars)))
 
 
-def lines_of(docs: DataFrame, min_chars: int, id_col: str, text_col: str) -> DataFrame:
+def lines_of(docs: DataFrame, least: int, id_col: str, text_col: str) -> DataFrame:
     """(doc_id, line_no from 0, line in normal form) of the lines that take part."""
     each = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.posexplode(F.split(text_of(text_col), "\n", -1)).alias("line_no", "raw"))
-    return each.select("doc_id", "line_no", F.explode(F.array(normal_line(F.col("raw")))).alias("line")).where(F.length("line") >= min_chars)
+    return each.select("doc_id", "line_no", F.explode(F.array(normal_line(F.col("raw")))).alias("line")).where(F.length("line") >= least)
 
 
 def held_lines(lines: DataFrame) -> DataFrame:
@@ -204,6 +204,7 @@ def line_components(
     bands: int = 12,
     rows: int = 4,
     min_chars: int = 16,
+    exact_from: int = 1,
     rounds: int = 2,
     id_col: str = "doc_id",
     text_col: str = "text",
@@ -211,13 +212,14 @@ def line_components(
     """(doc_id, line_no, kept_doc_id, kept_line_no, kept) of every line that has an equal or similar one.
 
     A component's kept line is its first by doc_id and line number. Lines shorter than min_chars in normal form (lower
-    case, single blanks) take no part, nor do null and empty texts; lines of any length are compared whole. Rows of one
+    case, single blanks) have equal ones only, those shorter than exact_from none, nor have blank lines, null and empty
+    texts; lines of any length are compared whole. Rows of one
     doc_id are one document: repeated rows keep the same lines. Extra columns are ignored, an empty table gives no rows.
     Lines of similarity s share a band with probability 1 - (1 - s**rows)**bands, 0.998 at 0.8, and are then
     compared however many lines share it; rounds changes the work, never the result. Keys have 64 bits.
     """
-    lines = lines_of(docs, min_chars, id_col, text_col)
-    texts = held_lines(lines)
+    lines = lines_of(docs, max(1, exact_from), id_col, text_col)
+    texts = held_lines(lines.where(F.length("line") >= min_chars))
     banded = written(band_rows(signatures(texts, chars, bands * rows), bands, rows), "all_bands")
     wanted = banded.groupBy("band").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).where(F.col("lo") != F.col("hi")).select("band")
     banded = written(banded.join(wanted, "band", "left_semi"), "banded")
@@ -234,12 +236,13 @@ def line_components(
     )
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how: object) -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", exact_from: int = 16, **how: object) -> DataFrame:
     """docs with every line gone that isn't the kept one of its component; rows that lose all their lines go as well.
 
+    Equal lines of fewer than exact_from characters all stay: such short ones repeat in any text.
     Rows without any line to lose are as they were, null and empty texts included.
     """
-    gone = line_components(docs, id_col=id_col, text_col=text_col, **how).where(~F.col("kept"))
+    gone = line_components(docs, id_col=id_col, text_col=text_col, exact_from=exact_from, **how).where(~F.col("kept"))
     by_doc = gone.groupBy(F.col("doc_id").alias("_gone_id")).agg(F.collect_set("line_no").alias("_gone"))
     joined = docs.join(by_doc, docs[id_col].cast("long") == F.col("_gone_id"), "left")
     split = joined.select("*", F.explode(F.array(F.split(F.when(F.col("_gone").isNotNull(), F.col(text_col)), "\n", -1))).alias("_lines"))

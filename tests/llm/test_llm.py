@@ -184,6 +184,13 @@ def test_line_dedup_reads_all_white_space_as_one_blank(spark):
     assert {(r.doc_id, r.kept_doc_id) for r in line_components(docs_of(spark, texts)).collect()} == {(i, 0) for i in range(6)}
 
 
+def test_line_dedup_groups_equal_short_lines(spark):
+    docs = docs_of(spark, ["short\n\nshorts", "Short ", "\n", "我们今天去北京看朋友", "x\n我们今天去北京看朋友"])
+    places = {(r.doc_id, r.line_no, r.kept_doc_id, r.kept_line_no) for r in line_components(docs).collect()}
+    assert places == {(0, 0, 0, 0), (1, 0, 0, 0), (3, 0, 3, 0), (4, 1, 3, 0)}
+    assert dedup_lines(docs).count() == 5 and dedup_lines(docs, exact_from=1).count() == 4
+
+
 def test_line_dedup_links_near_pairs_that_share_boilerplate(spark):
     rng, shared, lines = random.Random(12), prose(40, 50).split(), []
     for i in range(300):

@@ -19,6 +19,9 @@ from pyspark.sql import functions as F
 from .common import task_count, text_of, written
 from .components import connected_components
 
+#: Bands of so many members at most are compared pair by pair, which makes half as many pairs of each member.
+FEW_MEMBERS = 32
+
 
 #: White space besides the blank, as in a pattern's class.
 WHITE = r"\t\n\x0b\f\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -101,12 +104,15 @@ class Links:
         self.texts, self.chars, self.similarity = texts, chars, similarity
         #: below this similarity a line is far: more than twice the distance of a link
         self.reach = max(0.0, 2 * similarity - 1)
-        # sketches agree in (1 + similarity) / 2 of their bits; four deviations below that hardly a pair in reach is lost
-        p = (1 + self.reach) / 2
-        self.most_bits = int(n_bits * (1 - p) + 4 * (n_bits * p * (1 - p)) ** 0.5)
+        self.n_bits = n_bits
         self.found: list[DataFrame] = []
         self.label: DataFrame | None = None
 
+    def most_bits(self, least: float) -> int:
+        """How many bits sketches may differ in: they agree in (1 + similarity) / 2 of them, and four deviations below that hardly a pair is lost."""
+        p = (1 + least) / 2
+        return int(self.n_bits * (1 - p) + 4 * (self.n_bits * p * (1 - p)) ** 0.5)
+
     def near(self) -> Column:
         return F.coalesce(F.col("common") >= self.similarity * F.col("total"), F.lit(False))
 
@@ -124,7 +130,7 @@ class Links:
 
     def compare(self, pairs: DataFrame, least: float) -> DataFrame:
         """As compared(), for (key, sketch, other, other_sketch) rows; the links among them are kept."""
-        able = pairs.where(F.bit_count(F.col("sketch").bitwiseXOR(F.col("other_sketch"))) <= self.most_bits)
+        able = pairs.where(F.bit_count(F.col("sketch").bitwiseXOR(F.col("other_sketch"))) <= self.most_bits(least))
         seen = written(compared(able, self.texts, self.chars, least), "compared")
         new = seen.where(self.near()).select("a", "b")
         if not new.isEmpty():
@@ -153,6 +159,17 @@ class Links:
         around = told.where("mid").join(mixed, "band", "left_semi").select(F.xxhash64("band", "other").alias("band"), "key", "sketch")
         return written(self.still_open(apart.unionByName(around).distinct()).drop("of"), "open")
 
+    def star(self, rows: DataFrame) -> None:
+        """Links the members of each band with its least one where they are near."""
+        ends = rows.groupBy("band").agg(F.min(F.struct("key", "sketch")).alias("lead"))
+        ends = ends.select("band", F.col("lead.key").alias("other"), F.col("lead.sketch").alias("other_sketch"))
+        self.compare(rows.join(ends, "band").where(F.col("key") != F.col("other")), self.similarity)
+
+    def pairwise(self, rows: DataFrame) -> None:
+        """Compares all members of bands of bounded size, unless they are linked already: (band, key, sketch, of) rows."""
+        other = rows.select("band", F.col("key").alias("other"), F.col("sketch").alias("other_sketch"), F.col("of").alias("of_other"))
+        self.compare(rows.join(other, "band").where((F.col("key") > F.col("other")) & (F.col("of") != F.col("of_other"))), self.similarity)
+
     def prefixes(self, rows: DataFrame) -> DataFrame:
         """(band, key, sketch, n, indexed): a band for each of the shingles that are the rarest in the bands of rows.
 
@@ -183,9 +200,16 @@ class Links:
 def find_links(rows: DataFrame, links: Links, rounds: int) -> DataFrame | None:
     """(key, component) of all links among the members of a band, None if there are none.
 
-    Some rounds of leaders, first in the bands, then in those of rare shingles into which the bands that are open yet are
-    split, join the copies of one line; what differs after that is compared in full where it shares a rare shingle.
+    Bands of few members are compared pair by pair. In the others some rounds of leaders, first in the bands, then in those
+    of rare shingles into which the bands that are open yet are split, join the copies of one line; what differs after
+    that is compared in full where it shares a rare shingle.
     """
+    links.star(rows)
+    left = links.still_open(rows)
+    sizes = left.groupBy("band").agg(F.count("*").alias("members"))
+    left = written(left.join(sizes, "band"), "left")
+    links.pairwise(left.where(F.col("members") <= FEW_MEMBERS))
+    rows = left.where(F.col("members") > FEW_MEMBERS).select("band", "key", "sketch")
     for _ in range(rounds):
         rows = links.led(rows)
         if rows is None:

@@ -240,7 +240,8 @@ def line_components(
     texts; lines of any length are compared whole. Rows of one
     doc_id are one document: repeated rows keep the same lines. Extra columns are ignored, an empty table gives no rows.
     Lines of similarity s share a band with probability 1 - (1 - s**rows)**bands, 0.998 at 0.8, and are then
-    compared however many lines share it; rounds changes the work, never the result. Keys have 64 bits.
+    compared however many lines share it, but for pairs whose sketches differ by four deviations more than such similar
+    lines' do. rounds is the number of leaders of large bands. Keys have 64 bits.
     """
     lines = lines_of(docs, max(1, exact_from), id_col, text_col)
     texts = held_lines(lines.where(F.length("line") >= min_chars))

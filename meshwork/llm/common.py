@@ -1,38 +1,26 @@
-"""Helpers that the operators of this folder share: inputs, scratch tables, text columns."""
+"""Helpers that the operators of this folder share: inputs, text columns, what workers remember."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from collections.abc import Callable
+from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.scratch import Scratch, shared_dir, written
+
+__all__ = ["Memo", "Scratch", "ascii_lower", "kept", "shared_dir", "table", "task_count", "text_of", "written"]
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: Bytes of memory that a worker's memo may take, and what an entry takes besides its content.
+MEMO_BYTES, ENTRY_BYTES = 24 << 20, 160
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: spark.checkpoint.dir, else a local one (tests only)."""
-    sc = spark.sparkContext
-    found = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = f"file://{tempfile.mkdtemp(prefix='spark-shared-', dir='/tmp')}"
-        sc.setCheckpointDir(found)
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the shared folder: its lineage is cut, and a lost executor costs no recomputation."""
-    path = f"{shared_dir(df.sparkSession)}/meshwork/{uuid.uuid4().hex}/{name}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def task_count(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
@@ -45,3 +33,39 @@ def text_of(column: str = "text") -> Column:
 def ascii_lower(text: Column) -> Column:
     """A-Z in lower case and nothing else changed, so that offsets and other alphabets stay as they are."""
     return F.translate(text, UPPER, LOWER)
+
+
+class Memo(dict):
+    """A memo of bounded memory: values are made by `make` and remembered, and it starts anew when it is full.
+
+    Keys longer than `longest` are made each time: they hardly repeat.
+    """
+
+    def __init__(self, make: Callable[[Any], Any], size: Callable[[Any], int] = len, longest: int = 64, most: int = MEMO_BYTES):
+        super().__init__()
+        self.make, self.size, self.longest, self.most, self.held = make, size, longest, most, 0
+
+    def __missing__(self, key: Any) -> Any:
+        value = self.make(key)
+        if len(key) <= self.longest:
+            self.held += ENTRY_BYTES + len(key) + self.size(value)
+            if self.held > self.most:
+                self.clear()
+                self.held = ENTRY_BYTES
+            self[key] = value
+        return value
+
+
+def nothing(_: Any) -> int:
+    return 0
+
+
+_kept: dict[Any, Any] = {}
+
+
+def kept(key: Any, make: Callable[[], Any]) -> Any:
+    """What a worker keeps from task to task (a tokenizer, a memo): one thing only, the next operator's takes its place."""
+    if key not in _kept:
+        _kept.clear()
+        _kept[key] = make()
+    return _kept[key]

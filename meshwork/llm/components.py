@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import Scratch
 
 
 def star_step(edges: DataFrame, small: bool) -> DataFrame:
@@ -32,15 +32,16 @@ def connected_components(edges: DataFrame, left: str, right: str, most_rounds: i
     longest chain; a graph that hasn't settled after most_rounds is an error, never a partial answer.
     """
     a, b = F.col(left), F.col(right)
-    now = edges.where(a.isNotNull() & b.isNotNull() & (a != b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct()
-    now = written(now, "edges")
     mark = lambda df: tuple(df.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
-    seen = mark(now)
-    for _ in range(most_rounds):
-        now = written(star_step(star_step(now, small=False), small=True), "edges")
-        if (new := mark(now)) == seen:
-            return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
-                now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
-            )
-        seen = new
+    with Scratch(edges.sparkSession) as scratch:
+        now = edges.where(a.isNotNull() & b.isNotNull() & (a != b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct()
+        now = scratch.written(now, "edges")
+        seen = mark(now)
+        for _ in range(most_rounds):
+            now = scratch.written(star_step(star_step(now, small=False), small=True), "edges")
+            if (new := mark(now)) == seen:
+                nodes = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
+                nodes = nodes.unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+                return scratch.written(nodes, "components", keep=True)
+            seen = new
     raise RuntimeError(f"components have not settled after {most_rounds} rounds")

@@ -1,36 +1,51 @@
 """Fuzzy line deduplication by MinHash, in DataFrame functions only.
 
 A line's shingles are all its stretches of `chars` characters, one at every character. Equal lines share a key; the
-signature of a key is the least of its shingles' hashes under each of several xors, gathered by one aggregation. Keys that agree in a band of the signature are candidates, each with the
-least key of the band rather than with one another. Jaccard distance is a metric, so what is near that leader and what is
-far from it need not be compared; what remains forms the next round's bands. After `rounds` of them the bands that are open
-yet are split by their members' rarest shingles, as every link shares one, and compared until no pair is open. Candidates
-are verified by the exact Jaccard similarity of their shingle sets, and union-find joins them.
+signature of a key is the least of its shingles' hashes under each of several xors. Keys that agree in a band of the
+signature are candidates. Within a band they are compared with a leader first, in some rounds with others, which joins
+the copies of one line without comparing them with one another. Bands that hold lines of several components after that are
+compared pair by pair if they are small; the lines of the larger ones are compared wherever they share one of their rarest
+shingles, as all similar lines do. Candidates are verified by the exact Jaccard similarity of their shingle sets, and
+union-find joins them.
 """
 
 from __future__ import annotations
 
-import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import task_count, text_of, written
+from .common import Scratch, task_count, text_of
 from .components import connected_components
 
-#: Bands of so many members at most are compared pair by pair, which makes half as many pairs of each member.
+#: Bands of so many members at most are compared pair by pair.
 FEW_MEMBERS = 32
-
-
+#: Shingles hashed to a row: they are reduced among each other before they are aggregated.
+STRIDE = 16
+#: Hashes of a signature of which the sketch keeps four bits each.
+SKETCHED = 32
+#: Cells in which shingles are counted to put the rare ones first.
+CELLS = 1 << 18
 #: White space besides the blank, as in a pattern's class.
-WHITE = r"\t\n\x0b\f\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+WHITE = r"\t\n\x0b\f\r\x1c-\x1f\x85\xa0  -     　"
+#: What a line with such white space holds: characters, and the two bytes with which those of general punctuation begin.
+SIGNS, SIGN_BYTES = ["  ", *"\t\r\x0b\f\x1c\x1d\x1e\x1f\x85\xa0  　"], b"\xe2\x80"
 
 
 def normal_line(line: Column) -> Column:
-    """Lower case, each run of white space one blank, none at either end; only lines with other runs are rewritten."""
-    runs = F.regexp_replace(line, rf"[ {WHITE}]+", " ")
-    return F.lower(F.trim(F.when(line.rlike(rf"[{WHITE}]|  "), runs).otherwise(line)))
+    """Lower case, each run of white space one blank, none at either end.
+
+    Patterns are slow, so only lines that hold a sign of other white space meet one.
+    """
+    signs = [F.contains(line, F.lit(s)) for s in SIGNS] + [F.contains(line.cast("binary"), F.lit(SIGN_BYTES))]
+    other = reduce(Column.__or__, signs) & line.rlike(rf"[{WHITE}]|  ")
+    return F.lower(F.trim(F.when(other, F.regexp_replace(line, rf"[ {WHITE}]+", " ")).otherwise(line)))
+
+
+def once(value: Column, name: str) -> Column:
+    """A value as a generator's one row: the optimizer doesn't compute it anew at each use."""
+    return F.explode(F.array(value)).alias(name)
 
 
 def wide(line: Column) -> Column:
@@ -38,83 +53,84 @@ def wide(line: Column) -> Column:
     return F.encode(line, "UTF-32")
 
 
-def starts(of: Column, chars: int) -> Column:
-    """The positions, from 1, at which the shingles of a wide line begin; a shorter line is one shingle."""
-    return F.sequence(F.lit(1), F.greatest(F.lit(1), F.shiftright(F.octet_length(of), 2) - (chars - 1)))
+def last_start(of: Column, chars: int) -> Column:
+    """The last position, from 1, at which a shingle of a wide line begins; a shorter line is one shingle."""
+    return F.greatest(F.lit(1), F.shiftright(F.octet_length(of), 2) - (chars - 1))
 
 
 def shingle_at(of: Column, start: Column, chars: int) -> Column:
     return F.xxhash64(F.substring(of, 4 * start - 3, F.lit(4 * chars)))
 
 
-def shingle_set(of: Column, chars: int) -> Column:
-    """The distinct hashes of the shingles of a wide line."""
-    return F.array_distinct(F.transform(starts(of, chars), lambda i: shingle_at(of, i, chars)))
-
-
 def lines_of(docs: DataFrame, least: int, id_col: str, text_col: str) -> DataFrame:
     """(doc_id, line_no from 0, line in normal form) of the lines that take part."""
     each = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.posexplode(F.split(text_of(text_col), "\n", -1)).alias("line_no", "raw"))
-    return each.select("doc_id", "line_no", F.explode(F.array(normal_line(F.col("raw")))).alias("line")).where(F.length("line") >= least)
+    return each.select("doc_id", "line_no", once(normal_line(F.col("raw")), "line")).where(F.length("line") >= least)
 
 
-def held_lines(lines: DataFrame) -> DataFrame:
-    """(key, line) once for each line, as a table bucketed by key: signatures and joins by key then move no texts."""
-    name, n = f"meshwork_lines_{uuid.uuid4().hex}", task_count(lines.sparkSession)
-    once = lines.select(F.xxhash64("line").alias("key"), "line").groupBy("key").agg(F.first("line").alias("line"))
-    once.write.bucketBy(n, "key").sortBy("key").saveAsTable(name)
-    return lines.sparkSession.table(name)
+def mask(i: int) -> int:
+    return (0x9E3779B97F4A7C15 * (i + 1) * (2 * i + 3)) % (1 << 64) - (1 << 63)
 
 
 def signatures(texts: DataFrame, chars: int, n_hashes: int) -> DataFrame:
     """(key, s0, s1, ...) of (key, line) rows."""
-    # a generator over one array keeps the optimizer from widening a line anew for each shingle
-    own = texts.select("key", F.explode(F.array(wide(F.col("line")))).alias("wide"))
-    each = own.select("key", "wide", F.explode(starts(F.col("wide"), chars)).alias("start"))
-    hashed = each.select("key", shingle_at(F.col("wide"), F.col("start"), chars).alias("h"))
-    mask = lambda i: (0x9E3779B97F4A7C15 * (i + 1) * (2 * i + 3)) % (1 << 64) - (1 << 63)
-    return hashed.groupBy("key").agg(*[F.min(F.col("h").bitwiseXOR(F.lit(mask(i)))).alias(f"s{i}") for i in range(n_hashes)])
+    own = texts.select("key", once(wide(F.col("line")), "wide"))
+    own = own.select("key", "wide", once(last_start(F.col("wide"), chars), "last"))
+    each = own.select("key", "wide", "last", F.explode(F.sequence(F.lit(1), F.col("last"), F.lit(STRIDE))).alias("start"))
+    # beyond the end the last shingle is repeated
+    hashed = each.select("key", *[shingle_at(F.col("wide"), F.least(F.col("start") + j, F.col("last")), chars).alias(f"h{j}") for j in range(STRIDE)])
+    least = lambda i: F.least(*[F.col(f"h{j}").bitwiseXOR(F.lit(mask(i))) for j in range(STRIDE)])
+    return hashed.groupBy("key").agg(*[F.min(least(i)).alias(f"s{i}") for i in range(n_hashes)])
+
+
+def sketched(signed: DataFrame, bands: int, rows: int) -> DataFrame:
+    """(key, q0, q1, bands): four bits of each of the first 32 hashes, and the hash of each band."""
+    nibble = lambda i: F.shiftleft(F.col(f"s{i}").bitwiseAND(F.lit(15)), 4 * (i % 16))
+    q = [reduce(Column.bitwiseOR, [nibble(i) for i in range(lo, min(lo + 16, bands * rows))], F.lit(0).cast("long")) for lo in (0, 16)]
+    each = [F.xxhash64(F.lit(b), *[F.col(f"s{b * rows + r}") for r in range(rows)]) for b in range(bands)]
+    return signed.select("key", q[0].alias("q0"), q[1].alias("q1"), F.array(*each).alias("bands"))
 
 
-def band_rows(signed: DataFrame, bands: int, rows: int) -> DataFrame:
-    """(key, sketch, band); the sketch has the last bit of each hash of the signature, 64 at most."""
-    each = [F.xxhash64(F.lit(b), *[F.col(f"s{b * rows + r}") for r in range(rows)]) for b in range(bands)]
-    bits = reduce(Column.bitwiseOR, [F.shiftleft(F.col(f"s{i}").bitwiseAND(F.lit(1)), i) for i in range(min(64, bands * rows))])
-    return signed.select("key", bits.alias("sketch"), F.explode(F.array(*each)).alias("band"))
+def differing(a: Column, b: Column) -> Column:
+    """In how many of its sixteen groups of four bits one long differs from another."""
+    x = a.bitwiseXOR(b)
+    x = x.bitwiseOR(F.shiftrightunsigned(x, 2))
+    x = x.bitwiseOR(F.shiftrightunsigned(x, 1))
+    return F.bit_count(x.bitwiseAND(F.lit(0x1111111111111111)))
 
 
 def compared(pairs: DataFrame, texts: DataFrame, chars: int, least: float) -> DataFrame:
-    """(a, b, common, total): sizes of the intersection and the union of the pairs' shingle sets, where at least this similar."""
-    own = pairs.select(F.least("key", "other").alias("a"), F.greatest("key", "other").alias("b")).distinct()
+    """(a, b) of the pairs whose shingle sets have at least this Jaccard similarity, each pair once.
+
+    The shingles of both sides are rows, grouped where the texts have met: no row moves for it.
+    """
     side = lambda k: texts.select(F.col("key").alias(k), F.col("line").alias(f"line_{k}"))
-    both = own.join(side("a"), "a").join(side("b"), "b")
-    # a generator over one array keeps the optimizer from computing a set anew at each use
-    once = lambda c, name: F.explode(F.array(c)).alias(name)
-    own_set = lambda k: once(shingle_set(F.col(f"wide_{k}"), chars), f"set_{k}")
-    both = both.select("a", "b", "line_b", once(wide(F.col("line_a")), "wide_a")).select("a", "b", "wide_a", once(wide(F.col("line_b")), "wide_b"))
-    sets = both.select("a", "b", "wide_b", own_set("a")).select("a", "b", "set_a", own_set("b"))
-    met = sets.select("a", "b", F.size("set_a").alias("n_a"), F.size("set_b").alias("n_b"), F.explode(F.array(F.size(F.array_intersect("set_a", "set_b")))).alias("common"))
-    return met.select("a", "b", "common", (F.col("n_a") + F.col("n_b") - F.col("common")).alias("total")).where(F.col("common") >= least * F.col("total"))
+    both = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b")
+    n = lambda k: last_start(F.col(f"both.{k}"), chars)
+    both = both.select("a", "b", once(F.struct(wide(F.col("line_a")).alias("a"), wide(F.col("line_b")).alias("b")), "both"))
+    both = both.select("a", "b", F.col("both.a").alias("wide_a"), F.col("both.b").alias("wide_b"), once(n("a"), "n_a"), n("b").alias("n_b"))
+    each = both.select("a", "b", "wide_a", "wide_b", "n_a", F.explode(F.sequence(F.lit(1), F.col("n_a") + F.col("n_b"))).alias("i"))
+    first = F.col("i") <= F.col("n_a")
+    h = F.when(first, shingle_at(F.col("wide_a"), F.col("i"), chars)).otherwise(shingle_at(F.col("wide_b"), F.col("i") - F.col("n_a"), chars))
+    sides = each.select("a", "b", h.alias("h"), F.when(first, 1).otherwise(2).alias("side")).groupBy("b", "a", "h").agg(F.bit_or("side").alias("sides"))
+    met = sides.groupBy("b", "a").agg(F.count_if(F.col("sides") == 3).alias("common"), F.count("*").alias("total"))
+    return met.where(F.col("common") >= least * F.col("total")).select("a", "b")
 
 
 class Links:
     """The links found so far and the components they make."""
 
-    def __init__(self, texts: DataFrame, chars: int, similarity: float, n_bits: int):
-        self.texts, self.chars, self.similarity = texts, chars, similarity
-        #: below this similarity a line is far: more than twice the distance of a link
-        self.reach = max(0.0, 2 * similarity - 1)
-        self.n_bits = n_bits
+    def __init__(self, scratch: Scratch, texts: DataFrame, signed: DataFrame, chars: int, similarity: float, n_hashes: int):
+        self.scratch, self.texts, self.signed, self.chars, self.similarity = scratch, texts, signed.select("key", "q0", "q1"), chars, similarity
+        self.n_sketched = min(SKETCHED, n_hashes)
         self.found: list[DataFrame] = []
         self.label: DataFrame | None = None
 
-    def most_bits(self, least: float) -> int:
-        """How many bits sketches may differ in: they agree in (1 + similarity) / 2 of them, and four deviations below that hardly a pair is lost."""
-        p = (1 + least) / 2
-        return int(self.n_bits * (1 - p) + 4 * (self.n_bits * p * (1 - p)) ** 0.5)
-
-    def near(self) -> Column:
-        return F.coalesce(F.col("common") >= self.similarity * F.col("total"), F.lit(False))
+    def most_different(self) -> int:
+        """Groups of four bits in which sketches may differ: linked lines' agree in similarity + (1 - similarity) / 16 of
+        them, and four deviations below that hardly a pair is lost."""
+        p = self.similarity + (1 - self.similarity) / 16
+        return int(self.n_sketched * (1 - p) + 4 * (self.n_sketched * p * (1 - p)) ** 0.5)
 
     def named(self, rows: DataFrame) -> DataFrame:
         """rows with `of`, the component of their key."""
@@ -122,102 +138,78 @@ class Links:
             return rows.withColumn("of", F.col("key"))
         return rows.join(self.label, "key", "left").withColumn("of", F.coalesce("component", "key")).drop("component")
 
-    def still_open(self, rows: DataFrame) -> DataFrame:
-        """The rows, with `of`, of bands that hold more than one component."""
-        named = self.named(rows)
-        ends = named.groupBy("band").agg(F.min("of").alias("lo"), F.max("of").alias("hi")).where(F.col("lo") != F.col("hi"))
-        return named.join(ends.select("band"), "band", "left_semi")
-
-    def compare(self, pairs: DataFrame, least: float) -> DataFrame:
-        """As compared(), for (key, sketch, other, other_sketch) rows; the links among them are kept."""
-        able = pairs.where(F.bit_count(F.col("sketch").bitwiseXOR(F.col("other_sketch"))) <= self.most_bits(least))
-        seen = written(compared(able, self.texts, self.chars, least), "compared")
-        new = seen.where(self.near()).select("a", "b")
-        if not new.isEmpty():
-            self.found.append(new)
-            label = connected_components(reduce(DataFrame.unionByName, self.found), "a", "b")
-            self.label = label.withColumnRenamed("node", "key")
-        return seen
-
-    def led(self, rows: DataFrame) -> DataFrame | None:
-        """Compares the members of each band with its least one and gives the rows of what is open yet, None if nothing is.
-
-        What is near the leader is linked with it, what is far from it can't be linked with that: only far ones among
-        each other, and the ones between with both, are left.
-        """
-        named = self.named(rows)
-        ends = named.groupBy("band").agg(F.min(F.struct("key", "sketch")).alias("lead"), F.min("of").alias("lo"), F.max("of").alias("hi"))
-        ends = ends.where(F.col("lo") != F.col("hi")).select("band", F.col("lead.key").alias("other"), F.col("lead.sketch").alias("other_sketch"))
-        led = written(named.join(ends, "band").where(F.col("key") != F.col("other")), "led")
-        if led.isEmpty():
-            return None
-        seen = self.compare(led, self.reach).withColumn("near", self.near())
-        told = led.withColumn("a", F.least("key", "other")).withColumn("b", F.greatest("key", "other")).join(seen, ["a", "b"], "left")
-        told = written(told.select("band", "key", "sketch", "other", F.col("near").isNotNull().alias("mid"), F.coalesce("near", F.lit(False)).alias("near")), "told")
-        apart = told.where(~F.col("near")).select("band", "key", "sketch")
-        mixed = told.groupBy("band").agg(F.max(F.col("mid") & ~F.col("near")).alias("m"), F.max("near").alias("n")).where("m and n").select("band")
-        around = told.where("mid").join(mixed, "band", "left_semi").select(F.xxhash64("band", "other").alias("band"), "key", "sketch")
-        return written(self.still_open(apart.unionByName(around).distinct()).drop("of"), "open")
-
-    def star(self, rows: DataFrame) -> None:
-        """Links the members of each band with its least one where they are near."""
-        ends = rows.groupBy("band").agg(F.min(F.struct("key", "sketch")).alias("lead"))
-        ends = ends.select("band", F.col("lead.key").alias("other"), F.col("lead.sketch").alias("other_sketch"))
-        self.compare(rows.join(ends, "band").where(F.col("key") != F.col("other")), self.similarity)
+    def compare(self, pairs: DataFrame) -> bool:
+        """Keeps the links among (key, other) rows, which may repeat; whether there are any."""
+        own = pairs.select(F.least("key", "other").alias("a"), F.greatest("key", "other").alias("b")).distinct()
+        side = lambda k: self.signed.select(F.col("key").alias(k), F.col("q0").alias(f"q0_{k}"), F.col("q1").alias(f"q1_{k}"))
+        both = own.join(side("a"), "a").join(side("b"), "b")
+        able = both.where(differing(F.col("q0_a"), F.col("q0_b")) + differing(F.col("q1_a"), F.col("q1_b")) <= self.most_different())
+        new = self.scratch.written(compared(able, self.texts, self.chars, self.similarity), "links")
+        if new.isEmpty():
+            return False
+        self.found.append(new)
+        label = connected_components(reduce(DataFrame.unionByName, self.found), "a", "b")
+        self.label = label.withColumnRenamed("node", "key")
+        return True
+
+    def open_bands(self, rows: DataFrame, number: int) -> DataFrame:
+        """(band, lead, lead_of, members) of the bands that hold several components; lead is a key of the largest one, another
+        in each round."""
+        parts = self.named(rows).groupBy("band", "of").agg(F.count("*").alias("n"), F.min_by("key", F.xxhash64("key", F.lit(number))).alias("lead"))
+        bands = parts.groupBy("band").agg(
+            F.max_by("lead", "n").alias("lead"), F.max_by("of", "n").alias("lead_of"), F.sum("n").alias("members"), F.count("*").alias("parts")
+        )
+        return bands.where("parts > 1").drop("parts")
+
+    def star(self, rows: DataFrame, number: int) -> bool:
+        """Compares the members of open bands with a leader, unless they are linked already; whether that linked any."""
+        led = self.named(rows).join(self.open_bands(rows, number), "band").where(F.col("of") != F.col("lead_of"))
+        return self.compare(led.select("key", F.col("lead").alias("other")))
 
     def pairwise(self, rows: DataFrame) -> None:
-        """Compares all members of bands of bounded size, unless they are linked already: (band, key, sketch, of) rows."""
-        other = rows.select("band", F.col("key").alias("other"), F.col("sketch").alias("other_sketch"), F.col("of").alias("of_other"))
-        self.compare(rows.join(other, "band").where((F.col("key") > F.col("other")) & (F.col("of") != F.col("of_other"))), self.similarity)
+        """Compares all members of bands of few members, unless they are linked already: (band, key, of) rows."""
+        other = rows.select("band", F.col("key").alias("other"), F.col("of").alias("of_other"))
+        self.compare(rows.join(other, "band").where((F.col("key") > F.col("other")) & (F.col("of") != F.col("of_other"))))
 
-    def prefixes(self, rows: DataFrame) -> DataFrame:
-        """(band, key, sketch, n, indexed): a band for each of the shingles that are the rarest in the bands of rows.
+    def by_rare_shingles(self, keys: DataFrame) -> None:
+        """Compares lines wherever they share a rare shingle, unless they are linked already.
 
-        Of n shingles a line shares one among the n - similarity * n + 1 rarest with every larger linked one, which has it
-        among its own so many; those marked as indexed suffice for the smaller line of a pair.
+        Of n shingles in any order a line shares one among its first n - similarity * n + 1 with every larger linked one,
+        which has it among its own so many; the smaller line of a pair needs still fewer. The order is by the counts of
+        cells that shingles are hashed to, a table of bounded size.
         """
-        lines = rows.select("key").distinct().join(self.texts, "key")
-        wides = lines.select("key", F.explode(F.array(wide(F.col("line")))).alias("wide"))
-        sets = wides.select("key", F.explode(F.array(shingle_set(F.col("wide"), self.chars))).alias("set"))
-        each = rows.join(sets, "key").select("band", "key", "sketch", F.size("set").alias("n"), F.explode("set").alias("shingle"))
-        each = written(each, "shingles")
-        often = each.groupBy("band", "shingle").agg(F.count("*").alias("often"))
-        ranked = each.join(often, ["band", "shingle"]).withColumn("rank", F.row_number().over(Window.partitionBy("band", "key").orderBy("often", "shingle")))
+        own = keys.join(self.texts, "key").select("key", once(wide(F.col("line")), "wide"))
+        own = own.select("key", "wide", F.explode(F.sequence(F.lit(1), last_start(F.col("wide"), self.chars))).alias("start"))
+        each = own.select("key", shingle_at(F.col("wide"), F.col("start"), self.chars).alias("shingle")).distinct()
+        each = each.withColumn("cell", F.col("shingle").bitwiseAND(F.lit(CELLS - 1)))
+        cells = self.scratch.written(each.groupBy("cell").agg(F.count("*").alias("often")), "cells")
+        by_key = Window.partitionBy("key")
+        ranked = each.join(F.broadcast(cells), "cell").select(
+            "key", "shingle", F.row_number().over(by_key.orderBy("often", "shingle")).alias("rank"), F.count("*").over(by_key).alias("n")
+        )
         needed = lambda part: F.col("n") - F.ceil(F.col("n") * part - 1e-9) + 1
-        kept = ranked.where(F.col("rank") <= needed(self.similarity))
         indexed = F.col("rank") <= needed(2 * self.similarity / (1 + self.similarity))
-        return kept.select(F.xxhash64("band", "shingle").alias("band"), "key", "sketch", "n", indexed.alias("indexed"))
-
-    def finish(self, rows: DataFrame) -> None:
-        """Compares what is open in full: (band, key, sketch, n, indexed) rows of prefixes()."""
-        left = self.still_open(rows)
-        other = left.where("indexed").select("band", F.col("key").alias("other"), F.col("sketch").alias("other_sketch"), F.col("n").alias("n_other"), F.col("of").alias("of_other"))
+        rows = ranked.where(F.col("rank") <= needed(self.similarity)).select("shingle", "key", "n", indexed.alias("indexed"))
+        rows = self.scratch.written(rows, "rare")
+        shared = rows.groupBy("shingle").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo <> hi").select("shingle")
+        left = self.named(rows.join(shared, "shingle", "left_semi"))
+        other = left.where("indexed").select("shingle", F.col("key").alias("other"), F.col("n").alias("n_other"), F.col("of").alias("of_other"))
         order = (F.col("n") > F.col("n_other")) | ((F.col("n") == F.col("n_other")) & (F.col("key") > F.col("other")))
-        pairs = left.join(other, "band").where(order & (F.col("of") != F.col("of_other")) & (F.col("n_other") >= self.similarity * F.col("n")))
-        self.compare(pairs, self.similarity)
+        pairs = left.join(other, "shingle").where(order & (F.col("of") != F.col("of_other")) & (F.col("n_other") >= self.similarity * F.col("n")))
+        self.compare(pairs.select("key", "other"))
 
 
 def find_links(rows: DataFrame, links: Links, rounds: int) -> DataFrame | None:
-    """(key, component) of all links among the members of a band, None if there are none.
-
-    Bands of few members are compared pair by pair. In the others some rounds of leaders, first in the bands, then in those
-    of rare shingles into which the bands that are open yet are split, join the copies of one line; what differs after
-    that is compared in full where it shares a rare shingle.
-    """
-    links.star(rows)
-    left = links.still_open(rows)
-    sizes = left.groupBy("band").agg(F.count("*").alias("members"))
-    left = written(left.join(sizes, "band"), "left")
+    """(key, component) of all links among the members of a band, None if there are none: (band, key) rows."""
+    for number in range(rounds):
+        if not links.star(rows, number):
+            break
+    left = links.named(rows).join(links.open_bands(rows, rounds), "band").select("band", "key", "of", "members")
+    left = links.scratch.written(left, "left")
     links.pairwise(left.where(F.col("members") <= FEW_MEMBERS))
-    rows = left.where(F.col("members") > FEW_MEMBERS).select("band", "key", "sketch")
-    for _ in range(rounds):
-        rows = links.led(rows)
-        if rows is None:
-            return links.label
-    if not rows.isEmpty():
-        split = written(links.prefixes(rows), "prefixes")
-        links.led(split.select("band", "key", "sketch"))
-        links.finish(split)
+    large = links.scratch.written(left.where(F.col("members") > FEW_MEMBERS).select("key").distinct(), "large")
+    if not large.isEmpty():
+        links.by_rare_shingles(large)
     return links.label
 
 
@@ -225,7 +217,7 @@ def line_components(
     docs: DataFrame,
     chars: int = 5,
     similarity: float = 0.8,
-    bands: int = 12,
+    bands: int = 9,
     rows: int = 4,
     min_chars: int = 16,
     exact_from: int = 1,
@@ -237,27 +229,35 @@ def line_components(
 
     A component's kept line is its first by doc_id and line number. Lines shorter than min_chars in normal form (lower
     case, single blanks) have equal ones only, those shorter than exact_from none, nor have blank lines, null and empty
-    texts; lines of any length are compared whole. Rows of one
-    doc_id are one document: repeated rows keep the same lines. Extra columns are ignored, an empty table gives no rows.
-    Lines of similarity s share a band with probability 1 - (1 - s**rows)**bands, 0.998 at 0.8, and are then
-    compared however many lines share it, but for pairs whose sketches differ by four deviations more than such similar
-    lines' do. rounds is the number of leaders of large bands. Keys have 64 bits.
+    texts; lines of any length are compared whole. Rows of one doc_id are one document: repeated rows keep the same
+    lines. Extra columns are ignored, an empty table gives no rows. Lines of similarity s share a band with probability
+    1 - (1 - s**rows)**bands, 0.991 at 0.8, and are then compared however many lines share it, but for pairs whose
+    sketches differ by four deviations more than such similar lines' do. rounds is the number of leaders of a band; it
+    changes the work only. Keys have 64 bits.
     """
-    lines = lines_of(docs, max(1, exact_from), id_col, text_col)
-    texts = held_lines(lines.where(F.length("line") >= min_chars))
-    banded = written(band_rows(signatures(texts, chars, bands * rows), bands, rows), "all_bands")
-    wanted = banded.groupBy("band").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).where(F.col("lo") != F.col("hi")).select("band")
-    banded = written(banded.join(wanted, "band", "left_semi"), "banded")
-    label = find_links(banded, Links(texts, chars, similarity, min(64, bands * rows)), rounds)
-    linked = label if label is not None else lines.sparkSession.createDataFrame([], "key long, component long")
-
-    places = lines.select("doc_id", "line_no", F.xxhash64("line").alias("key"))
-    labelled = places.join(linked, "key", "left").select("doc_id", "line_no", F.coalesce("component", "key").alias("component"))
-    labelled = written(labelled.distinct(), "labelled")
-    first = labelled.groupBy("component").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count("*").alias("n")).where("n > 1")
-    return labelled.join(first, "component").select(
-        "doc_id", "line_no", F.col("first.doc_id").alias("kept_doc_id"), F.col("first.line_no").alias("kept_line_no"),
-        ((F.col("doc_id") == F.col("first.doc_id")) & (F.col("line_no") == F.col("first.line_no"))).alias("kept"),
+    spark = docs.sparkSession
+    n_buckets = min(2 * task_count(spark), 20_000)
+    lines = lines_of(docs, max(1, exact_from), id_col, text_col).withColumn("key", F.xxhash64("line"))
+    place = F.struct("doc_id", "line_no")
+    with Scratch(spark) as scratch:
+        held = lines.groupBy("key").agg(F.first("line").alias("line"), F.min(place).alias("first"), F.max(place).alias("last"))
+        held = scratch.bucketed(held, "lines", "key", n_buckets)
+        texts = held.where(F.length("line") >= min_chars).select("key", "line")
+        signed = scratch.written(sketched(signatures(texts, chars, bands * rows), bands, rows), "signed")
+        banded = signed.select("key", F.explode("bands").alias("band"))
+        wanted = banded.groupBy("band").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo <> hi").select("band")
+        banded = scratch.written(banded.join(wanted, "band", "left_semi"), "banded")
+        label = find_links(banded, Links(scratch, texts, signed, chars, similarity, bands * rows), rounds)
+
+        # a component's lines are reckoned from one row for each key, whatever number of lines have it
+        own = held.select("key", "first", "last")
+        own = own.withColumn("component", F.col("key")) if label is None else own.join(label, "key", "left").withColumn("component", F.coalesce("component", "key"))
+        ends = own.groupBy("component").agg(F.min("first").alias("kept_place"), F.max("last").alias("last")).where("kept_place <> last")
+        kept = scratch.written(own.select("key", "component").join(ends, "component").select("key", "kept_place"), "kept", keep=True)
+    found = lines.select("key", "doc_id", "line_no").join(kept, "key").select("doc_id", "line_no", "kept_place").distinct()
+    return found.select(
+        "doc_id", "line_no", F.col("kept_place.doc_id").alias("kept_doc_id"), F.col("kept_place.line_no").alias("kept_line_no"),
+        (F.col("kept_place") == place).alias("kept"),
     )
 
 
@@ -270,7 +270,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     gone = line_components(docs, id_col=id_col, text_col=text_col, exact_from=exact_from, **how).where(~F.col("kept"))
     by_doc = gone.groupBy(F.col("doc_id").alias("_gone_id")).agg(F.collect_set("line_no").alias("_gone"))
     joined = docs.join(by_doc, docs[id_col].cast("long") == F.col("_gone_id"), "left")
-    split = joined.select("*", F.explode(F.array(F.split(F.when(F.col("_gone").isNotNull(), F.col(text_col)), "\n", -1))).alias("_lines"))
+    split = joined.select("*", once(F.split(F.when(F.col("_gone").isNotNull(), F.col(text_col)), "\n", -1), "_lines"))
     places = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), "_gone")
     wide = split.withColumn("_kept", F.when(F.col("_gone").isNotNull(), F.transform(places, lambda i: F.get("_lines", i))))
     rest = F.when(F.col("_kept").isNull(), F.col(text_col)).otherwise(F.array_join("_kept", "\n"))

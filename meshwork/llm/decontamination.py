@@ -3,7 +3,8 @@
 The embedding walks over a string of words: at step j it puts out the current word and moves on if a random function of
 j and that word says so. Strings at a small edit distance fall into step again after an edit, so their walks have a small
 Hamming distance. Each repetition walks with other functions and samples a few steps; windows and items that agree in
-all samples are candidates. Candidates are verified by the exact edit distance of window and item.
+all samples are candidates. Only windows that hold some runs of three words of the benchmark are walked at all: what is
+edited within the bound keeps far more of them. Candidates are verified by the exact edit distance of stretch and item.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from functools import reduce
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -19,26 +20,39 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import Memo, Scratch, kept, nothing, text_of
 
-WORD = re.compile(r"\w+")
-#: Words a worker remembers before it starts anew.
-REMEMBERED = 400_000
-#: Items of fewer words are not searched for: they would be found in any text.
+#: Scripts that are written without blanks: each character is a word.
+UNSPACED = "฀-໿က-႟ក-៿぀-ヿ㐀-鿿豈-﫿\U00020000-\U0003ffff"
+ASCII_WORD, WORD = re.compile(r"\w+"), re.compile(rf"[{UNSPACED}]|[^\W{UNSPACED}]+")
+#: Items of fewer words are searched for as they are, without edits.
 LEAST_WORDS = 5
+#: The share of its word runs that a window must have in common with the benchmark to be walked, one run at least. Runs
+#: are of three words, in windows of fewer than eight of two. Of strings with three in ten words edited a third is left.
+RUN_SHARE, SMALL = 0.1, 8
+#: By how many parts of its length a stretch may be shorter or longer than the item.
+STRETCHES = (0, -1 / 16, 1 / 16, -1 / 8, 1 / 8)
+#: Texts walked at a time.
+SLICE = 128
 CANDIDATES = "doc_id long, item_id long, start_word long, found string"
+MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
-class WordHashes(dict):
-    def __missing__(self, word: str) -> int:
-        if len(self) >= REMEMBERED:
-            self.clear()
-        self[word] = h = xxhash.xxh64_intdigest(word) | 1
-        return h
+def word_hash(word: str) -> int:
+    return xxhash.xxh64_intdigest(word) | 1
+
+
+def word_hashes() -> Memo:
+    return kept("decontamination", partial(Memo, word_hash, nothing))
 
 
 def words_of(text: str) -> list[str]:
-    return WORD.findall(text.lower())
+    return (ASCII_WORD if text.isascii() else WORD).findall(text.lower())
+
+
+def joined(key: np.ndarray, own: np.ndarray) -> np.ndarray:
+    key = (key ^ own) * MIX
+    return key ^ (key >> np.uint64(31))
 
 
 def window_size(n_words: int) -> tuple[int, int]:
@@ -50,6 +64,10 @@ def window_size(n_words: int) -> tuple[int, int]:
     return size, max(1, size // 4)
 
 
+def run_length(size: int) -> int:
+    return 2 if size < SMALL else 3
+
+
 @dataclass
 class Repetition:
     """One walk with its samples over windows of `size` words, and the items' keys under it."""
@@ -60,111 +78,137 @@ class Repetition:
     samples: list[int]
     keys: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))
     owner: np.ndarray = field(default_factory=lambda: np.zeros((0, 2), np.int64))
-    #: for each sample but the last the bits of the items' keys so far, so that other windows stop early
-    gates: list[np.ndarray] = field(default_factory=list)
-    shift: int = 48
 
     @classmethod
     def drawn(cls, size: int, stride: int, number: int, n_samples: int) -> Repetition:
         rng = np.random.default_rng([size, number, 7])
+        # a walk is twice as slow as the string; samples lie anywhere on it
         length = max(2 * n_samples, int(1.6 * size))
-        # two samples lie early in the walk, so that most windows stop there; the others anywhere after
-        early = np.sort(rng.choice(min(8, length // 2), min(2, n_samples), replace=False))
-        late = np.sort(rng.choice(np.arange(early[-1] + 1, length), n_samples - len(early), replace=False))
+        samples = np.sort(rng.choice(length, n_samples, replace=False))
         steps = rng.integers(0, 1 << 63, length, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-        return cls(size, stride, steps, [*map(int, early), *map(int, late)])
+        return cls(size, stride, steps, [*map(int, samples)])
 
-    def walk(self, words: np.ndarray, starts: np.ndarray, gated: bool) -> tuple[list[np.ndarray], np.ndarray]:
-        """The keys after each sample, and which of starts came through all gates; words end in more padding than a walk is long."""
-        at, left, key, keys, n = starts.copy(), np.arange(len(starts)), np.zeros(len(starts), np.uint64), [], 0
+    def walk(self, words: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """The keys of the walks that begin at starts; words end in more padding than a walk is long."""
+        at, key, n = starts.copy(), np.zeros(len(starts), np.uint64), 0
         for j in range(self.samples[-1] + 1):
             own = words[at]
             if j == self.samples[n]:
-                key = (key ^ own) * np.uint64(0x9E3779B97F4A7C15)
-                key ^= key >> np.uint64(31)
-                keys.append(key)
-                if gated and n < len(self.gates):
-                    through = self.gates[n][key >> np.uint64(self.shift)]
-                    at, left, key, own = at[through], left[through], key[through], own[through]
-                    if not len(at):
-                        return [key], left
-                n += 1
-            at = at + ((own * self.steps[j]) >> np.uint64(63)).astype(np.int64)
-        return keys if not gated else [key], left
-
-    def index(self, items: list[tuple[int, np.ndarray]]) -> None:
+                key, n = joined(key, own), n + 1
+            at += ((own * self.steps[j]) >> np.uint64(63)).astype(np.int64)
+        return key
+
+    def index(self, words: np.ndarray, starts: np.ndarray, owner: np.ndarray) -> None:
         """Keys of every window of the items that a document's window may meet: those at offsets below the stride."""
-        parts, starts, owner, at = [], [], [], 0
-        for number, words in items:
-            for o in range(self.stride):
-                starts.append(at + o)
-                owner.append((number, o))
-            parts += [words, np.zeros(2 * self.size + 8, np.uint64)]
-            at += len(words) + 2 * self.size + 8
-        keys, _ = self.walk(np.concatenate(parts), np.array(starts), gated=False)
-        order = np.argsort(keys[-1], kind="stable")
-        self.keys, self.owner = keys[-1][order], np.array(owner, dtype=np.int64)[order]
-        self.shift = 64 - max(16, min(24, (64 * len(starts)).bit_length()))
-        for k in keys[:-1]:
-            gate = np.zeros(1 << (64 - self.shift), dtype=bool)
-            gate[k >> np.uint64(self.shift)] = True
-            self.gates.append(gate)
+        keys = self.walk(words, starts)
+        order = np.argsort(keys, kind="stable")
+        self.keys, self.owner = keys[order], owner[order]
 
     def meetings(self, words: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(position, owner) of the windows whose key an item has too, an entry for each such item."""
-        (key, *_), left = self.walk(words, starts, gated=True)
-        lo, hi = np.searchsorted(self.keys, key, "left"), np.searchsorted(self.keys, key, "right")
-        count = hi - lo
-        hit = np.repeat(starts[left], count)
-        which = np.concatenate([np.arange(a, b) for a, b in zip(lo[count > 0], hi[count > 0], strict=True)]) if count.any() else np.zeros(0, np.int64)
-        return hit, self.owner[which]
-
-
-def repetitions(items: list[tuple[int, list[str]]], n_repetitions: int, n_samples: int) -> list[Repetition]:
-    hashes, by_size = WordHashes(), {}
-    for number, words in items:
-        by_size.setdefault(window_size(len(words)), []).append((number, np.array([hashes[w] for w in words], dtype=np.uint64)))
-    out = []
-    for (size, stride), own in sorted(by_size.items()):
-        for r in range(n_repetitions):
-            rep = Repetition.drawn(size, stride, r, min(n_samples, size))
-            rep.index(own)
-            out.append(rep)
-    return out
-
-
-def candidates(docs: DataFrame, items: list[tuple[int, list[str]]], n_repetitions: int, n_samples: int) -> DataFrame:
-    """CANDIDATES rows: item-sized stretches of the documents that met the item in some repetition."""
-    reps = repetitions(items, n_repetitions, n_samples)
-    sent = docs.sparkSession.sparkContext.broadcast((reps, {number: len(words) for number, words in items}))
-    padding = 2 * max((r.size for r in reps), default=1) + 8
+        key = self.walk(words, starts)
+        lo = np.searchsorted(self.keys, key, "left")
+        hit = np.flatnonzero(self.keys[np.minimum(lo, len(self.keys) - 1)] == key)
+        hi = np.searchsorted(self.keys, key[hit], "right")
+        lo = lo[hit]
+        which = np.concatenate([np.zeros(0, np.int64), *(np.arange(a, b) for a, b in zip(lo, hi, strict=True))])
+        return np.repeat(starts[hit], hi - lo), self.owner[which]
+
+
+class Bench:
+    """What a block of the benchmark is searched by: its word runs, its walks and, for short items, its word sequences."""
+
+    def __init__(self, items: list[tuple[int, list[str]]], n_repetitions: int, n_samples: int):
+        hashes = Memo(word_hash, nothing)
+        self.sizes = {number: len(words) for number, words in items}
+        own = [(number, np.array([hashes[w] for w in words], dtype=np.uint64)) for number, words in items]
+        long = [(number, h) for number, h in own if len(h) >= LEAST_WORDS]
+        by_size: dict[tuple[int, int], list[tuple[int, np.ndarray]]] = {}
+        for number, h in long:
+            by_size.setdefault(window_size(len(h)), []).append((number, h))
+        self.repetitions: dict[tuple[int, int], list[Repetition]] = {}
+        for (size, stride), held in sorted(by_size.items()):
+            pad = np.zeros(2 * size + 8, np.uint64)
+            begins = np.cumsum([0, *(len(h) + len(pad) for _, h in held)])[:-1]
+            starts = (begins[:, None] + np.arange(stride)).ravel()
+            owner = np.array([(number, o) for number, _ in held for o in range(stride)], dtype=np.int64)
+            words = np.concatenate([x for _, h in held for x in (h, pad)])
+            reps = [Repetition.drawn(size, stride, r, min(n_samples, size)) for r in range(n_repetitions)]
+            for r in reps:
+                r.index(words, starts, owner)
+            self.repetitions[size, stride] = reps
+        self.runs: dict[int, tuple[np.uint64, np.ndarray]] = {}
+        for n in {run_length(size) for size, _ in self.repetitions}:
+            runs = np.concatenate([self.sequences(h, n) for _, h in long])
+            shift = np.uint64(64 - max(16, min(26, (256 * len(runs)).bit_length())))
+            self.runs[n] = shift, np.zeros(1 << (64 - int(shift)), dtype=bool)
+            self.runs[n][1][runs >> shift] = True
+        self.short: dict[int, dict[int, list[int]]] = {}
+        for number, h in own:
+            if 0 < len(h) < LEAST_WORDS:
+                self.short.setdefault(len(h), {}).setdefault(int(self.sequences(h, len(h))[0]), []).append(number)
+        self.padding = 2 * max((size for size, _ in self.repetitions), default=LEAST_WORDS) + 8
+
+    @staticmethod
+    def sequences(words: np.ndarray, n: int) -> np.ndarray:
+        key = np.zeros(max(0, len(words) - n + 1), np.uint64)
+        for j in range(n):
+            key = joined(key, words[j : len(words) - n + 1 + j])
+        return key
+
+    def met(self, words: np.ndarray, begins: np.ndarray, lengths: np.ndarray) -> set[tuple[int, int, int]]:
+        """(text, item, first word) of what may hold an item. words: all texts' hashes, each with padding of zeros."""
+        found: set[tuple[int, int, int]] = set()
+        text = np.repeat(np.arange(len(begins)), lengths)
+        place = np.arange(len(text)) + np.repeat(begins - (np.cumsum(lengths) - lengths), lengths)
+        known = {n: np.cumsum(np.append(0, held[self.sequences(words, n) >> shift])) for n, (shift, held) in self.runs.items()}
+        for (size, stride), reps in self.repetitions.items():
+            on = (place - begins[text]) % stride == 0
+            starts = place[on]
+            n = run_length(size)
+            own = known[n][np.minimum(starts + size - n + 1, len(known[n]) - 1)] - known[n][starts]
+            starts = starts[own >= max(1, int(RUN_SHARE * (size - n + 1)))]
+            for r in reps if len(starts) else ():
+                at, owner = r.meetings(words, starts)
+                d = np.searchsorted(begins, at, "right") - 1
+                found.update(zip(d.tolist(), owner[:, 0].tolist(), np.maximum(at - begins[d] - owner[:, 1], 0).tolist(), strict=True))
+        for n, keys in self.short.items():
+            key = self.sequences(words, n)
+            for at in np.flatnonzero(np.isin(key, np.fromiter(keys, np.uint64, len(keys)))).tolist():
+                d = int(np.searchsorted(begins, at, "right")) - 1
+                if at + n <= begins[d] + lengths[d]:
+                    found.update((d, number, at - int(begins[d])) for number in keys[int(key[at])])
+        return found
+
+    def stretches(self, item: int, start: int, n_words: int) -> set[tuple[int, int]]:
+        """(first word, end) of what is compared with an item that a text of n_words words may hold from start on."""
+        n = self.sizes[item]
+        ends = {start + n + (round(share * n) if n >= LEAST_WORDS else 0) for share in STRETCHES}
+        return {(start, min(e, n_words)) for e in ends}
+
+
+def candidates(docs: DataFrame, bench: Bench) -> DataFrame:
+    """CANDIDATES rows: stretches of the documents, about as long as the item that they met in some repetition."""
+    sent = docs.sparkSession.sparkContext.broadcast(bench)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (own, sizes), hashes = sent.value, WordHashes()
-        for b in batches:
-            for low in range(0, b.num_rows, 128):
-                part = b.slice(low, 128)
-                ids, texts = part.column("doc_id").to_pylist(), [words_of(t) for t in part.column("text").to_pylist()]
-                begins, flat = [], []
-                for words in texts:
-                    begins.append(len(flat))
-                    flat += map(hashes.__getitem__, words)
-                    flat += [0] * padding
-                packed, begins = np.array(flat, dtype=np.uint64), np.array(begins)
-                found = set()
-                for stride in sorted({r.stride for r in own}):
-                    starts = np.concatenate([np.arange(s, s + len(w), stride) for s, w in zip(begins, texts, strict=True)] or [np.zeros(0, np.int64)])
-                    for rep in own:
-                        if rep.stride == stride and len(starts):
-                            at, owner = rep.meetings(packed, starts)
-                            d = np.searchsorted(begins, at, "right") - 1
-                            found |= set(zip(d.tolist(), owner[:, 0].tolist(), np.maximum(at - begins[d] - owner[:, 1], 0).tolist(), strict=True))
-                rows = [(ids[d], i, s, " ".join(texts[d][s : s + sizes[i]])) for d, i, s in sorted(found)]
-                if rows:
-                    yield pa.RecordBatch.from_arrays(
-                        [*(pa.array([r[c] for r in rows], pa.int64()) for c in range(3)), pa.array([r[3] for r in rows], pa.string())],
-                        ["doc_id", "item_id", "start_word", "found"],
-                    )
+        own, hashes = sent.value, word_hashes()
+        pad = [0] * own.padding
+        for b in (part.slice(lo, SLICE) for part in batches for lo in range(0, part.num_rows, SLICE)):
+            ids, texts = b.column("doc_id").to_pylist(), [words_of(t.as_py()) for t in b.column("text")]
+            flat: list[int] = []
+            for words in texts:
+                flat += map(hashes.__getitem__, words)
+                flat += pad
+            lengths = np.array([len(w) for w in texts], dtype=np.int64)
+            begins = np.cumsum(lengths + len(pad)) - lengths - len(pad)
+            met = sorted(own.met(np.array(flat, dtype=np.uint64), begins, lengths))
+            rows = [(ids[d], i, x, " ".join(texts[d][x:e])) for d, i, s in met for x, e in sorted(own.stretches(i, s, len(texts[d])))]
+            if rows:
+                yield pa.RecordBatch.from_arrays(
+                    [*(pa.array([r[c] for r in rows], pa.int64()) for c in range(3)), pa.array([r[3] for r in rows], pa.string())],
+                    ["doc_id", "item_id", "start_word", "found"],
+                )
 
     return docs.mapInArrow(run, CANDIDATES)
 
@@ -173,34 +217,41 @@ def contaminated(
     docs: DataFrame,
     benchmark: DataFrame,
     most_edits: float = 0.25,
-    n_repetitions: int = 20,
-    n_samples: int = 5,
+    n_repetitions: int = 60,
+    n_samples: int = 4,
     block: int = 10_000,
+    block_bytes: int = 8 << 20,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
     """(doc_id, item_id, start_word, edits, similarity): the best place of every item in every document that holds it.
 
-    Words are runs of letters, digits and underscores, in lower case. An item is held where a stretch of as many words is at
-    an edit distance, in characters, of at most most_edits of the item's length; ties go to the first place. Whole
-    texts are searched. Null and empty texts hold nothing; items that are null or of fewer than five words are not
-    searched for; repeated rows are one row, and equal items each have theirs. Extra columns are ignored. The benchmark is
-    broadcast in blocks of at most `block` items, one pass over the documents for each, so no size of it breaks a task.
+    Words are runs of letters, digits and underscores, in lower case; in scripts written without blanks each character is
+    one. An item is held where a stretch of as many words, or up to an eighth more or fewer, is at an edit distance, in
+    characters, of at most most_edits of the item's length; ties go to the first place. Items of fewer than five words are
+    held where their words stand as they are. Whole texts are searched. Null and empty texts hold nothing, items that are
+    null, have no id or no word aren't searched for; repeated rows are one row, and equal items each have theirs. Extra
+    columns are ignored, empty tables give no rows. The benchmark is read and broadcast in blocks of about `block` items
+    and block_bytes bytes, one pass over the documents for each, so no size of it breaks a task or the driver.
     """
-    items = [(r["item_id"], w) for r in benchmark.select("item_id", "text").where("item_id is not null").toLocalIterator() if len(w := words_of(r["text"] or "")) >= LEAST_WORDS]
-    read = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
-    blocks = [items[i : i + block] for i in range(0, len(items), block)]
     spark = docs.sparkSession
-    if not blocks:
-        return spark.createDataFrame([], "doc_id long, item_id long, start_word long, edits int, similarity double")
-
-    def searched(own: list[tuple[int, list[str]]]) -> DataFrame:
-        texts = spark.createDataFrame([(i, " ".join(w)) for i, w in own], "item_id long, item string")
-        each = candidates(read, own, n_repetitions, n_samples).distinct().join(F.broadcast(texts), "item_id")
-        bound = F.floor(F.length("item") * most_edits).cast("int")
-        near = each.withColumn("bound", bound).withColumn("edits", F.expr("levenshtein(found, item, bound)"))  # -1 beyond the bound
-        return near.where(F.col("edits") >= 0).withColumn("similarity", 1 - F.col("edits") / F.length("item"))
-
-    every = reduce(DataFrame.unionByName, map(searched, blocks))
-    best = every.groupBy("doc_id", "item_id").agg(F.min(F.struct("edits", "start_word", "similarity")).alias("b"))
-    return best.select("doc_id", "item_id", "b.start_word", "b.edits", "b.similarity")
+    read = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
+    asked = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text")
+    size = asked.agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("b")).first()
+    n_blocks = max(1, -(-size["n"] // block), -(-(size["b"] or 0) // block_bytes))
+    asked = asked.withColumn("block", F.pmod(F.xxhash64("item_id", F.lit(n_blocks)), F.lit(n_blocks)))
+    with Scratch(spark) as scratch:
+        found = None
+        for number in range(n_blocks):
+            items = [(r["item_id"], w) for r in asked.where(F.col("block") == number).toLocalIterator() if (w := words_of(r["text"]))]
+            if not items:
+                continue
+            texts = spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id long, item string")
+            each = candidates(read, Bench(items, n_repetitions, n_samples)).distinct().join(F.broadcast(texts), "item_id")
+            bound = F.floor(F.length("item") * most_edits).cast("int")
+            near = each.withColumn("bound", bound).withColumn("edits", F.expr("levenshtein(found, item, bound)"))  # -1 beyond the bound
+            near = near.where(F.col("edits") >= 0).withColumn("similarity", 1 - F.col("edits") / F.length("item"))
+            best = near.groupBy("doc_id", "item_id").agg(F.min(F.struct("edits", "start_word", "similarity")).alias("b"))
+            own = scratch.written(best.select("doc_id", "item_id", "b.start_word", "b.edits", "b.similarity"), "found", keep=True)
+            found = own if found is None else found.unionByName(own)
+    return spark.createDataFrame([], "doc_id long, item_id long, start_word long, edits int, similarity double") if found is None else found

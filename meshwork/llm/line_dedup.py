@@ -2,11 +2,11 @@
 
 A line's shingles are all its stretches of `chars` characters, one at every character. Equal lines share a key; the
 signature of a key is the least of its shingles' hashes under each of several xors. Keys that agree in a band of the
-signature are candidates. Within a band they are compared with a leader first, in some rounds with others, which joins
-the copies of one line without comparing them with one another. Bands that hold lines of several components after that are
-compared pair by pair if they are small; the lines of the larger ones are compared wherever they share one of their rarest
-shingles, as all similar lines do. Candidates are verified by the exact Jaccard similarity of their shingle sets, and
-union-find joins them.
+signature are candidates. Within a band they are compared with a leader first, which joins the copies of one line without
+comparing them with one another. Bands that hold lines of several components after that are compared pair by pair if they
+are small. The larger ones are split by further rows of the signature, in as many ways as make hardly any loss, and what is
+large still is compared wherever lines share one of their rarest shingles, as all similar lines do. Candidates are
+verified by the exact Jaccard similarity of their shingle sets, and union-find joins them.
 """
 
 from __future__ import annotations
@@ -25,6 +25,8 @@ FEW_MEMBERS = 32
 STRIDE = 16
 #: Hashes of a signature of which the sketch keeps four bits each.
 SKETCHED = 32
+#: Rows of the signature by which large bands are split.
+SPLIT_ROWS = 3
 #: Cells in which shingles are counted to put the rare ones first.
 CELLS = 1 << 18
 #: White space besides the blank, as in a pattern's class.
@@ -84,11 +86,14 @@ def signatures(texts: DataFrame, chars: int, n_hashes: int) -> DataFrame:
 
 
 def sketched(signed: DataFrame, bands: int, rows: int) -> DataFrame:
-    """(key, q0, q1, bands): four bits of each of the first 32 hashes, and the hash of each band."""
+    """(key, q0, q1, bands, splits): four bits of each of the first 32 hashes, the hash of each band, and those of rows that
+    large bands are split by."""
     nibble = lambda i: F.shiftleft(F.col(f"s{i}").bitwiseAND(F.lit(15)), 4 * (i % 16))
     q = [reduce(Column.bitwiseOR, [nibble(i) for i in range(lo, min(lo + 16, bands * rows))], F.lit(0).cast("long")) for lo in (0, 16)]
-    each = [F.xxhash64(F.lit(b), *[F.col(f"s{b * rows + r}") for r in range(rows)]) for b in range(bands)]
-    return signed.select("key", q[0].alias("q0"), q[1].alias("q1"), F.array(*each).alias("bands"))
+    own = lambda lo, n: [F.col(f"s{i}") for i in range(lo, min(lo + n, bands * rows))]
+    each = [F.xxhash64(F.lit(b), *own(b * rows, rows)) for b in range(bands)]
+    splits = [F.hash(*own(i, SPLIT_ROWS)) for i in range(0, bands * rows, SPLIT_ROWS)]
+    return signed.select("key", q[0].alias("q0"), q[1].alias("q1"), F.array(*each).alias("bands"), F.array(*splits).alias("splits"))
 
 
 def differing(a: Column, b: Column) -> Column:
@@ -121,16 +126,16 @@ class Links:
     """The links found so far and the components they make."""
 
     def __init__(self, scratch: Scratch, texts: DataFrame, signed: DataFrame, chars: int, similarity: float, n_hashes: int):
-        self.scratch, self.texts, self.signed, self.chars, self.similarity = scratch, texts, signed.select("key", "q0", "q1"), chars, similarity
+        self.scratch, self.texts, self.signed, self.chars, self.similarity = scratch, texts, signed, chars, similarity
         self.n_sketched = min(SKETCHED, n_hashes)
         self.found: list[DataFrame] = []
         self.label: DataFrame | None = None
 
     def most_different(self) -> int:
         """Groups of four bits in which sketches may differ: linked lines' agree in similarity + (1 - similarity) / 16 of
-        them, and four deviations below that hardly a pair is lost."""
+        them, and three deviations below that one of 700 of the least similar is lost."""
         p = self.similarity + (1 - self.similarity) / 16
-        return int(self.n_sketched * (1 - p) + 4 * (self.n_sketched * p * (1 - p)) ** 0.5)
+        return int(self.n_sketched * (1 - p) + 3 * (self.n_sketched * p * (1 - p)) ** 0.5)
 
     def named(self, rows: DataFrame) -> DataFrame:
         """rows with `of`, the component of their key."""
@@ -199,17 +204,31 @@ class Links:
         self.compare(pairs.select("key", "other"))
 
 
-def find_links(rows: DataFrame, links: Links, rounds: int) -> DataFrame | None:
-    """(key, component) of all links among the members of a band, None if there are none: (band, key) rows."""
+def compare_groups(rows: DataFrame, links: Links, rounds: int) -> DataFrame:
+    """Links the members of the groups `band` of (band, key, ...) rows; the rows of those too large to be compared in full."""
     for number in range(rounds):
         if not links.star(rows, number):
             break
-    left = links.named(rows).join(links.open_bands(rows, rounds), "band").select("band", "key", "of", "members")
+    left = links.named(rows).join(links.open_bands(rows, rounds).select("band", "members"), "band")
     left = links.scratch.written(left, "left")
     links.pairwise(left.where(F.col("members") <= FEW_MEMBERS))
-    large = links.scratch.written(left.where(F.col("members") > FEW_MEMBERS).select("key").distinct(), "large")
-    if not large.isEmpty():
-        links.by_rare_shingles(large)
+    return left.where(F.col("members") > FEW_MEMBERS).drop("of", "members")
+
+
+def find_links(rows: DataFrame, links: Links, rounds: int, n_rows: int) -> DataFrame | None:
+    """(key, component) of all links among the members of a band, None if there are none: (band, number, key) rows."""
+    large = compare_groups(rows, links, rounds)
+    if large.isEmpty():
+        return links.label
+    # rows of the band itself split nothing
+    low, high = F.col("i") * SPLIT_ROWS, F.col("i") * SPLIT_ROWS + SPLIT_ROWS - 1
+    other = (high < F.col("number") * n_rows) | (low >= (F.col("number") + 1) * n_rows)
+    split = large.join(links.signed.select("key", "splits"), "key").select("band", "number", "key", F.posexplode("splits").alias("i", "split")).where(other)
+    split = links.scratch.written(split.select(F.xxhash64("band", "i", "split").alias("band"), "key"), "split")
+    left = compare_groups(split, links, rounds)
+    keys = links.scratch.written(left.select("key").distinct(), "large")
+    if not keys.isEmpty():
+        links.by_rare_shingles(keys)
     return links.label
 
 
@@ -221,7 +240,7 @@ def line_components(
     rows: int = 4,
     min_chars: int = 16,
     exact_from: int = 1,
-    rounds: int = 2,
+    rounds: int = 1,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
@@ -231,9 +250,10 @@ def line_components(
     case, single blanks) have equal ones only, those shorter than exact_from none, nor have blank lines, null and empty
     texts; lines of any length are compared whole. Rows of one doc_id are one document: repeated rows keep the same
     lines. Extra columns are ignored, an empty table gives no rows. Lines of similarity s share a band with probability
-    1 - (1 - s**rows)**bands, 0.991 at 0.8, and are then compared however many lines share it, but for pairs whose
-    sketches differ by four deviations more than such similar lines' do. rounds is the number of leaders of a band; it
-    changes the work only. Keys have 64 bits.
+    1 - (1 - s**rows)**bands, 0.991 at 0.8, and are then compared, but for pairs whose sketches differ by three deviations
+    more than such similar lines' do, however many lines share it: large bands are split in ten ways, of which similar
+    lines share one with probability 0.999. rounds is the number of leaders of a band; it changes the work only. Keys
+    have 64 bits.
     """
     spark = docs.sparkSession
     n_buckets = min(2 * task_count(spark), 20_000)
@@ -244,10 +264,10 @@ def line_components(
         held = scratch.bucketed(held, "lines", "key", n_buckets)
         texts = held.where(F.length("line") >= min_chars).select("key", "line")
         signed = scratch.written(sketched(signatures(texts, chars, bands * rows), bands, rows), "signed")
-        banded = signed.select("key", F.explode("bands").alias("band"))
+        banded = signed.select("key", F.posexplode("bands").alias("number", "band"))
         wanted = banded.groupBy("band").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo <> hi").select("band")
         banded = scratch.written(banded.join(wanted, "band", "left_semi"), "banded")
-        label = find_links(banded, Links(scratch, texts, signed, chars, similarity, bands * rows), rounds)
+        label = find_links(banded, Links(scratch, texts, signed, chars, similarity, bands * rows), rounds, rows)
 
         # a component's lines are reckoned from one row for each key, whatever number of lines have it
         own = held.select("key", "first", "last")

@@ -7,33 +7,37 @@ collisions), without ever pairing off the members of a group:
    in, are counted; a document too few of whose tokens occur in another class can have no link and is left out.
 2. For the rest tokens are ordered rare before frequent. A prefix is extended until it must share a signature with every
    linked document: rare tokens are signatures alone, frequent ones only in pairs of the same subclass.
-3. Members of a signature are verified against its leader. Jaccard distance is a metric, so what is near the leader and
+3. Members of a signature are compared with a leader of its largest component first, in some rounds with others, which
+   joins the copies of one text without comparing them with one another; who is outside that component after that is
+   compared with all members. Where too many are, Jaccard distance, a metric, tells them apart: what is near a leader and
    what is far from it need not be compared; what remains forms the next round's groups.
 """
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
-from functools import reduce
+from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import task_count, text_of, written
+from .common import Memo, Scratch, kept, nothing, task_count, text_of
 from .components import connected_components
 
-#: Words a worker remembers before it starts anew.
-REMEMBERED = 400_000
-class WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= REMEMBERED:
-            self.clear()
-        self[word] = h = xxhash.xxh64_intdigest(word)
-        return h
+#: Texts whose sets are made at a time.
+SLICE = 64
+#: Outsiders of a group's largest component up to which they are compared with all its members.
+FEW = 16
+#: Tokens below this make up a set's head, a quarter of it on average.
+HEAD = -(1 << 62)
+SIGN = np.uint64(1 << 63)
+
+
+def word_hashes() -> Memo:
+    return kept("ngram_join", partial(Memo, xxhash.xxh64_intdigest, nothing))
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -46,7 +50,7 @@ def mixed(h: np.ndarray) -> np.ndarray:
 MULTIPLIERS = mixed(mixed(np.arange(1, 65, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))) | np.uint64(1)
 
 
-def shingle_set(text: str, words: WordHashes, k: int) -> np.ndarray:
+def shingle_set(text: str, words: Memo, k: int) -> np.ndarray:
     """The sorted distinct hashes of all k-word shingles, or of the whole sequence if it is shorter; empty without words.
 
     bytes.lower() lowers A-Z only and bytes.split() parts at blank, tab, line feed to carriage return, nothing else.
@@ -78,10 +82,10 @@ def prefix_tokens(docs: DataFrame, k: int, percent: int) -> DataFrame:
     """(token, class): the least tokens of every document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordHashes()
+        words = word_hashes()
         for b in batches:
-            for lo in range(0, b.num_rows, 256):
-                sets = [shingle_set(t, words, k) for t in b.column("text").slice(lo, 256).to_pylist()]
+            for lo in range(0, b.num_rows, SLICE):
+                sets = [shingle_set(t.as_py(), words, k) for t in b.column("text").slice(lo, SLICE)]
                 least = [step_prefix(s, percent) for s in sets]
                 marks = np.array([class_of(s) for s in sets], dtype=np.int64)
                 tokens = np.concatenate(least).view(np.int64)
@@ -111,26 +115,39 @@ class Bitmap:
         return (self.words.view(np.uint64)[place >> np.uint64(6)] >> (place & np.uint64(63))) & np.uint64(1)
 
 
+def arrays_of(sets: list[np.ndarray | None]) -> pa.Array:
+    """Sets as arrays of signed longs in their order, None as null."""
+    bounds = np.cumsum([0, *(0 if s is None else len(s) for s in sets)], dtype=np.int32)
+    values = np.concatenate([np.zeros(0, np.uint64), *(s for s in sets if s is not None)])
+    return pa.ListArray.from_arrays(pa.array(bounds), pa.array((values ^ SIGN).view(np.int64)), mask=pa.array([s is None for s in sets]))
+
+
+def sets_of(arrays: pa.ListArray) -> list[np.ndarray]:
+    """arrays_of's inverse, without nulls."""
+    bounds, values = arrays.offsets.to_numpy(), arrays.flatten().to_numpy().view(np.uint64) ^ SIGN
+    return [values[a:b] for a, b in zip(bounds[:-1] - bounds[0], bounds[1:] - bounds[0], strict=True)]
+
+
 def classed(docs: DataFrame, shared: Bitmap, k: int, percent: int) -> DataFrame:
-    """(doc_id, n, class, tokens): tokens as bytes if the document may have a link, else null; class null without words."""
+    """(doc_id, n, class, tokens): tokens as an array if the document may have a link, else null; class null without words."""
     sent = docs.sparkSession.sparkContext.broadcast(shared)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, bits = WordHashes(), sent.value
+        words, bits = word_hashes(), sent.value
         for b in batches:
-            for lo in range(0, b.num_rows, 256):
-                part = b.slice(lo, 256)
-                sets = [shingle_set(t, words, k) for t in part.column("text").to_pylist()]
+            for lo in range(0, b.num_rows, SLICE):
+                part = b.slice(lo, SLICE)
+                sets = [shingle_set(t.as_py(), words, k) for t in part.column("text")]
                 # a linked document may be shorter, and share no more than its own slack lets it
                 able = [len(s) and bits.holds(step_prefix(s, percent)).sum() > slack(-(-percent * len(s) // 100)) for s in sets]
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([class_of(s) if len(s) else None for s in sets], pa.int64()),
-                        pa.array([s.tobytes() if a else None for s, a in zip(sets, able, strict=True)], pa.binary()),
+                        arrays_of([s if a else None for s, a in zip(sets, able, strict=True)]),
                     ], ["doc_id", "n", "class", "tokens"],
                 )
 
-    return docs.mapInArrow(run, "doc_id long, n long, class long, tokens binary")
+    return docs.mapInArrow(run, "doc_id long, n long, class long, tokens array<long>")
 
 
 def size_bands(n: int) -> list[int]:
@@ -174,48 +191,35 @@ def signatures_of(s: np.ndarray, frequent: np.ndarray, percent: int) -> list[np.
 
 def signature_rows(sets: DataFrame, frequent: list[DataFrame], percent: int) -> DataFrame:
     """(signature, class, n). frequent: the frequent tokens in blocks of bounded size, each broadcast in its own pass."""
-    marked = sets
+    marked = sets.select("class", "n", "tokens", F.lit(None).cast("binary").alias("frequent"))
     for block in frequent:
-        own = np.sort(block.toPandas()["token"].to_numpy(dtype=np.int64).view(np.uint64))
+        own = np.sort(block.toPandas()["token"].to_numpy(dtype=np.int64).view(np.uint64) ^ SIGN)
         sent = sets.sparkSession.sparkContext.broadcast(own)
 
         def mark(batches: Iterator[pa.RecordBatch], sent: object = sent) -> Iterator[pa.RecordBatch]:
             often = sent.value
-            for b in batches:
-                out = []
-                for t, f in zip(b.column("tokens").to_pylist(), b.column("frequent").to_pylist(), strict=True):
-                    s, at = np.frombuffer(t, np.uint64), np.frombuffer(f or bytes(len(t) // 8), bool)
-                    place = np.minimum(np.searchsorted(often, s), len(often) - 1)
-                    out.append((at | (often[place] == s)).tobytes())
-                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("class", "n", "tokens")), pa.array(out, pa.binary())], ["class", "n", "tokens", "frequent"])
-
-        before = marked if "frequent" in marked.columns else marked.withColumn("frequent", F.lit(None).cast("binary"))
-        marked = before.select("class", "n", "tokens", "frequent").mapInArrow(mark, "class long, n long, tokens binary, frequent binary")
-    if "frequent" not in marked.columns:
-        marked = marked.withColumn("frequent", F.lit(None).cast("binary"))
+            for whole in batches:
+                for lo in range(0, whole.num_rows, SLICE):
+                    b, out = whole.slice(lo, SLICE), []
+                    for s, f in zip(sets_of(b.column("tokens")), b.column("frequent").to_pylist(), strict=True):
+                        place = np.minimum(np.searchsorted(often, s), len(often) - 1)
+                        out.append((np.frombuffer(f or bytes(len(s)), bool) | (often[place] == s)).tobytes())
+                    yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("class", "n", "tokens")), pa.array(out, pa.binary())], ["class", "n", "tokens", "frequent"])
+
+        marked = marked.mapInArrow(mark, "class long, n long, tokens array<long>, frequent binary")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = [(c, n, np.frombuffer(t, np.uint64), f) for c, n, t, f in zip(*(b.column(x).to_pylist() for x in ("class", "n", "tokens", "frequent")), strict=True)]
-            own = [np.unique(np.concatenate(signatures_of(s, np.frombuffer(f, bool) if f else np.zeros(len(s), bool), percent))) for _, _, s, f in rows]
-            if own:
-                count = [len(x) for x in own]
-                ids = (np.repeat(np.array([r[i] for r in rows], dtype=np.int64), count) for i in (0, 1))
+        for whole in batches:
+            for lo in range(0, whole.num_rows, SLICE):
+                b = whole.slice(lo, SLICE)
+                own = [
+                    np.unique(np.concatenate(signatures_of(s, np.frombuffer(f or bytes(len(s)), bool), percent)))
+                    for s, f in zip(sets_of(b.column("tokens")), b.column("frequent").to_pylist(), strict=True)
+                ]
+                ids = (np.repeat(b.column(c).to_numpy(), [len(x) for x in own]) for c in ("class", "n"))
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(own).view(np.int64)), *map(pa.array, ids)], ["signature", "class", "n"])
 
-    return marked.select("class", "n", "tokens", "frequent").mapInArrow(run, "signature long, class long, n long")
-
-
-def bucketed(sets: DataFrame) -> DataFrame:
-    """sets, with a head of the least tokens, as a table bucketed by class: joins by class then move pairs, not sets."""
-    name = f"meshwork_sets_{uuid.uuid4().hex}"
-    head = F.substring("tokens", 1, (8 * F.ceil(0.3 * F.col("n"))).cast("int"))
-    sets.withColumn("head", head).write.bucketBy(task_count(sets.sparkSession), "class").sortBy("class").saveAsTable(name)
-    return sets.sparkSession.table(name)
-
-
-def common_tokens(x: np.ndarray, y: np.ndarray) -> int:
-    return int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum()) if len(y) else 0
+    return marked.mapInArrow(run, "signature long, class long, n long")
 
 
 def with_sides(pairs: DataFrame, sets: DataFrame, column: str) -> DataFrame:
@@ -223,84 +227,109 @@ def with_sides(pairs: DataFrame, sets: DataFrame, column: str) -> DataFrame:
     return pairs.join(side("b"), "b").join(side("a"), "a")
 
 
-def possible(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(a, b) of the pairs whose heads leave it open that they are not far apart.
-
-    Below the lesser of the heads' last tokens both sets are known; above it at most the smaller rest is common.
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            keep = []
-            for x, y, n, m in zip(b.column("head_a"), b.column("head_b"), b.column("n_a").to_pylist(), b.column("n_b").to_pylist(), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                last = min(x[-1], y[-1])
-                x, y = x[: np.searchsorted(x, last, "right")], y[: np.searchsorted(y, last, "right")]
-                most = common_tokens(x, y) + min(n - len(x), m - len(y))
-                keep.append(100 * most >= percent * (n + m - most))
-            yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    both = with_sides(pairs.select("a", "b").distinct(), sets, "head").select("a", "b", "head_a", "head_b", "n_a", "n_b")
-    return both.mapInArrow(run, "a long, b long")
-
-
-def compared(pairs: DataFrame, sets: DataFrame, least: int) -> DataFrame:
-    """(a, b, common, total): sizes of the intersection and the union of the pairs' token sets; pairs whose heads show that
-    their similarity is below least percent have no row."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            common, total = [], []
-            for x, y in zip(b.column("tokens_a"), b.column("tokens_b"), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                common.append(common_tokens(x, y))
-                total.append(len(x) + len(y) - common[-1])
-            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array(common, pa.int64()), pa.array(total, pa.int64())], ["a", "b", "common", "total"])
-
-    open_pairs = written(possible(pairs, sets, least), "possible")
-    return with_sides(open_pairs, sets, "tokens").select("a", "b", "tokens_a", "tokens_b").mapInArrow(run, "a long, b long, common long, total long")
-
-
-def find_links(rows: DataFrame, sets: DataFrame, percent: int, rounds: int) -> DataFrame | None:
-    """(a, b) links whose components are those of all links among members of a signature; None if there are none."""
-    reach = 2 * percent - 100  # below this similarity a set is far: more than twice the distance of a link
-    ratio = lambda a, b, p=reach: 100 * F.least(a, b) >= p * F.greatest(a, b)
-    links: list[DataFrame] = []
-    label: DataFrame | None = None
-    for n_round in range(rounds + 1):
-        if label is None:
-            named = rows.withColumn("of", F.col("class"))
-        else:
-            named = rows.join(label.withColumnRenamed("node", "class"), "class", "left").select("signature", "class", "n", F.coalesce("component", "class").alias("of"))
-        ends = named.groupBy("signature").agg(F.min(F.struct("class", "n", "of")).alias("lead"), F.min("of").alias("lo"), F.max("of").alias("hi"))
-        open_ends = ends.where(F.col("lo") != F.col("hi"))
-        if n_round == rounds:  # what is left is compared in full
-            left = named.join(open_ends.select("signature"), "signature", "left_semi")
-            other = left.select("signature", F.col("class").alias("a"), F.col("of").alias("of_a"), F.col("n").alias("n_a"))
-            pairs = left.join(other, "signature").where((F.col("a") < F.col("class")) & (F.col("of") != F.col("of_a")) & ratio(F.col("n"), F.col("n_a"), percent))
-            found = written(compared(pairs.select("a", F.col("class").alias("b")), sets, percent), "compared")
-            links.append(found.where(100 * F.col("common") >= percent * F.col("total")).select("a", "b"))
-            break
-        led = written(named.join(open_ends.select("signature", "lead"), "signature").where(F.col("class") != F.col("lead.class")), "led")
-        if led.isEmpty():
-            break
-        a, n_a = F.col("lead.class"), F.col("lead.n")
-        pairs = led.where(ratio(F.col("n"), n_a)).select(a.alias("a"), F.col("class").alias("b"))
-        found = written(compared(pairs, sets, reach), "compared")
-        links.append(found.where(100 * F.col("common") >= percent * F.col("total")).select("a", "b"))
-        label = connected_components(reduce(DataFrame.unionByName, links), "a", "b")
-        # near: linked; far: more than twice the distance of a link; the others may be linked with both kinds
-        seen = found.select(F.col("a").alias("leader"), F.col("b").alias("class"), "common", "total")
-        told = led.withColumn("leader", a).join(seen, ["leader", "class"], "left").select(
-            "signature", "class", "n", "leader", F.coalesce(100 * F.col("common") >= percent * F.col("total"), F.lit(False)).alias("near"),
-            F.coalesce(100 * F.col("common") >= (2 * percent - 100) * F.col("total"), F.lit(False)).alias("mid"),
+def common(column: str) -> Column:
+    return F.size(F.array_intersect(f"{column}_a", f"{column}_b"))
+
+
+def distinct_groups(rows: DataFrame) -> DataFrame:
+    """rows without the groups that have the same members as another one: shared passages have many signatures alike."""
+    own = rows.groupBy("signature").agg(F.count("*").alias("m"), F.bit_xor(F.xxhash64("class")).alias("x"), F.bit_xor(F.xxhash64("class", F.lit(1))).alias("y"))
+    one = own.where("m > 1").groupBy("m", "x", "y").agg(F.min("signature").alias("signature"))
+    return rows.join(one.select("signature"), "signature", "left_semi")
+
+
+class Links:
+    """The links found so far and the components they make."""
+
+    def __init__(self, scratch: Scratch, sets: DataFrame, percent: int):
+        self.scratch, self.sets, self.percent = scratch, sets, percent
+        #: below this similarity a set is far: more than twice the distance of a link
+        self.reach = 2 * percent - 100
+        self.found: list[DataFrame] = []
+        self.label: DataFrame | None = None
+
+    def named(self, rows: DataFrame) -> DataFrame:
+        """rows with `of`, the component of their class."""
+        if self.label is None:
+            return rows.withColumn("of", F.col("class"))
+        return rows.join(self.label, "class", "left").withColumn("of", F.coalesce("component", "class")).drop("component")
+
+    def compare(self, pairs: DataFrame, least: int) -> DataFrame:
+        """(a, b, near) of the pairs (a, n_a, b, n_b), which may repeat, of at least this similarity in percent; near ones, at
+        percent or more, are kept as links. Heads come first: they show for most others that they are less similar."""
+        able = pairs.where(100 * F.least("n_a", "n_b") >= least * F.greatest("n_a", "n_b"))
+        own = able.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        both = with_sides(own, self.sets, "head")
+        above = F.least(F.col("n_a") - F.size("head_a"), F.col("n_b") - F.size("head_b"))
+        open_pairs = both.where((100 + least) * (common("head") + above) >= least * (F.col("n_a") + F.col("n_b"))).select("a", "b")
+        met = with_sides(self.scratch.written(open_pairs, "open_pairs"), self.sets, "tokens").select("a", "b", "n_a", "n_b", F.explode(F.array(common("tokens"))).alias("c"))
+        enough = lambda p: (100 + p) * F.col("c") >= p * (F.col("n_a") + F.col("n_b"))
+        seen = self.scratch.written(met.where(enough(least)).select("a", "b", enough(self.percent).alias("near")), "compared")
+        new = seen.where("near").select("a", "b")
+        if not new.isEmpty():
+            self.found.append(new)
+            label = connected_components(reduce(DataFrame.unionByName, self.found), "a", "b")
+            self.label = label.withColumnRenamed("node", "class")
+        return seen
+
+    def open_groups(self, rows: DataFrame, number: int) -> DataFrame:
+        """(signature, lead, lead_n, lead_of, outsiders) of the groups that hold several components; lead is a class of the
+        largest one, another in each round."""
+        mark = F.xxhash64("class", F.lit(number))
+        parts = self.named(rows).groupBy("signature", "of").agg(F.count("*").alias("m"), F.min_by("class", mark).alias("lead"), F.min_by("n", mark).alias("lead_n"))
+        groups = parts.groupBy("signature").agg(
+            *[F.max_by(c, F.struct("m", "of")).alias(c if c != "of" else "lead_of") for c in ("lead", "lead_n", "of")],
+            (F.sum("m") - F.max("m")).alias("outsiders"), F.count("*").alias("parts"),
         )
-        told = written(told, "told")
-        apart = told.where(~F.col("near")).select("signature", "class", "n")
-        mixed_groups = told.groupBy("signature").agg(F.max(F.col("mid") & ~F.col("near")).alias("m")).where("m").select("signature")
-        around = told.where("mid").join(mixed_groups, "signature", "left_semi").select(F.xxhash64("signature", "leader").alias("signature"), "class", "n")
-        rows = apart.unionByName(around).distinct()
-    return reduce(DataFrame.unionByName, links) if links else None
+        return groups.where("parts > 1").drop("parts")
+
+    def star(self, rows: DataFrame, number: int) -> bool:
+        """Compares the outsiders of open groups with a leader of the largest component; whether that linked any."""
+        led = self.named(rows).join(self.open_groups(rows, number), "signature").where(F.col("of") != F.col("lead_of"))
+        before = len(self.found)
+        self.compare(led.select(F.col("lead").alias("a"), F.col("lead_n").alias("n_a"), F.col("class").alias("b"), F.col("n").alias("n_b")), self.percent)
+        return len(self.found) > before
+
+    def outside(self, left: DataFrame) -> None:
+        """Compares the outsiders of groups with all members that aren't linked with them yet."""
+        other = left.where(F.col("of") != F.col("lead_of")).select("signature", F.col("class").alias("a"), F.col("n").alias("n_a"), F.col("of").alias("of_a"))
+        pairs = left.join(other, "signature").where(F.col("of") != F.col("of_a"))
+        self.compare(pairs.select("a", "n_a", F.col("class").alias("b"), F.col("n").alias("n_b")), self.percent)
+
+    def apart(self, rows: DataFrame) -> DataFrame:
+        """Compares all members of groups with the least one and gives the groups of what may be linked yet.
+
+        What is near the leader is linked with it, what is far from it can't be linked with that: only those not near, among
+        each other, and the ones between, with the near ones too, are left.
+        """
+        lead = rows.groupBy("signature").agg(F.min("class").alias("leader"), F.min_by("n", "class").alias("n_leader"))
+        led = self.scratch.written(rows.select("signature", "class", "n").join(lead, "signature").where(F.col("class") != F.col("leader")), "led")
+        seen = self.compare(led.select(F.col("leader").alias("a"), F.col("n_leader").alias("n_a"), F.col("class").alias("b"), F.col("n").alias("n_b")), self.reach)
+        ends = {"a": F.least("class", "leader"), "b": F.greatest("class", "leader")}
+        told = led.withColumns(ends).join(seen, ["a", "b"], "left").select(
+            "signature", "class", "n", "leader", F.coalesce("near", F.lit(False)).alias("near"), F.col("near").isNotNull().alias("mid")
+        )
+        told = self.scratch.written(told, "told")
+        groups = told.groupBy("signature").agg(F.max(F.col("mid") & ~F.col("near")).alias("m"), F.max("near").alias("k")).where("m and k").select("signature")
+        around = told.where("mid").join(groups, "signature", "left_semi").select(F.xxhash64("signature", "leader").alias("signature"), "class", "n")
+        return self.scratch.written(told.where("not near").select("signature", "class", "n").unionByName(around), "apart")
+
+
+def find_links(rows: DataFrame, links: Links, rounds: int) -> DataFrame | None:
+    """(class, component) of all links among the members of a signature, None if there are none; rounds changes the work only."""
+    for number in range(rounds):
+        rows = links.scratch.written(distinct_groups(rows), "groups")
+        if links.star(rows, 2 * number):
+            links.star(rows, 2 * number + 1)
+        left = links.named(rows).join(links.open_groups(rows, 2 * number), "signature").drop("lead", "lead_n")
+        left = links.scratch.written(left, "left")
+        last = number == rounds - 1
+        links.outside(left if last else left.where(F.col("outsiders") <= FEW))
+        rows = left.where(F.col("outsiders") > FEW).select("signature", "class", "n")
+        if last or rows.isEmpty():
+            break
+        rows = links.apart(rows)
+    return links.label
 
 
 def jaccard_components(
@@ -308,7 +337,7 @@ def jaccard_components(
     k: int = 5,
     percent: int = 80,
     frequent_from: int = 64,
-    rounds: int = 2,
+    rounds: int = 4,
     most_bits: int = 1 << 26,
     block: int = 500_000,
     id_col: str = "doc_id",
@@ -323,30 +352,26 @@ def jaccard_components(
     """
     if not 50 < percent <= 100:
         raise ValueError("percent must be over 50 and at most 100")
+    spark = docs.sparkSession
     read = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
-    ends = prefix_tokens(read, k, percent).groupBy("token").agg(F.min("class").alias("lo"), F.max("class").alias("hi"))
-    shared = written(ends.where(F.col("lo") != F.col("hi")).select("token"), "shared")
-    held = written(classed(read, Bitmap(shared, most_bits), k, percent), "classes")
-    sets = bucketed(held.where(F.col("tokens").isNotNull()).groupBy("class").agg(F.first("n").alias("n"), F.first("tokens").alias("tokens")))
-
-    def tokens_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(b.column("tokens").to_pylist()), np.int64))], ["token"])
-
-    counts = sets.select("tokens").mapInArrow(tokens_of, "token long").groupBy("token").agg(F.count("*").alias("n"))
-    often = written(counts.where(F.col("n") >= frequent_from).select("token"), "frequent")
-    n_blocks = -(-often.count() // block)
-    blocks = [often.where(F.pmod(F.xxhash64("token"), F.lit(n_blocks)) == i) for i in range(n_blocks)]
-    rows = written(signature_rows(sets, blocks, percent), "signatures")
-    many = rows.groupBy("signature").agg(F.count("*").alias("m")).where("m > 1").select("signature")
-    links = find_links(written(rows.join(many, "signature", "left_semi"), "shared_signatures"), sets, percent, rounds)
-
-    if links is None:
-        joined = held.withColumn("of", F.col("class"))
-    else:
-        label = connected_components(links, "a", "b")
-        joined = held.join(label.withColumnRenamed("node", "class"), "class", "left").withColumn("of", F.coalesce("component", "class"))
-    joined = joined.select("doc_id", "n", "of")
+    with Scratch(spark) as scratch:
+        ends = prefix_tokens(read, k, percent).groupBy("token").agg(F.min("class").alias("lo"), F.max("class").alias("hi"))
+        shared = scratch.written(ends.where(F.col("lo") != F.col("hi")).select("token"), "shared")
+        held = scratch.written(classed(read, Bitmap(shared, most_bits), k, percent), "classes")
+        of_class = held.where(F.col("tokens").isNotNull()).groupBy("class").agg(F.first("n").alias("n"), F.first("tokens").alias("tokens"))
+        head = F.filter("tokens", lambda t: t < HEAD)
+        sets = scratch.bucketed(of_class.withColumn("head", head), "sets", "class", task_count(spark))
+
+        counts = sets.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("n"))
+        often = scratch.written(counts.where(F.col("n") >= frequent_from).select("token"), "frequent")
+        n_blocks = -(-often.count() // block)
+        blocks = [often.where(F.pmod(F.xxhash64("token"), F.lit(n_blocks)) == i) for i in range(n_blocks)]
+        rows = scratch.written(signature_rows(sets, blocks, percent), "signatures")
+        label = find_links(rows, Links(scratch, sets, percent), rounds)
+
+        joined = held.select("doc_id", "n", "class")
+        joined = joined.withColumn("of", F.col("class")) if label is None else joined.join(label, "class", "left").withColumn("of", F.coalesce("component", "class"))
+        joined = scratch.written(joined.select("doc_id", "n", "of"), "joined", keep=True)
     least = joined.where(F.col("of").isNotNull()).groupBy("of").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("m")).where("m > 1")
     return joined.join(least.select("of", "component_id"), "of", "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id")

@@ -12,19 +12,22 @@ from __future__ import annotations
 
 import os
 import re
+import unicodedata
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import task_count, text_of, written
+from .common import Memo, Scratch, kept, task_count, text_of
 
-#: Chunks, and words without punctuation, that a worker remembers before it starts anew, and the longest of them.
-REMEMBERED, LONGEST = 500_000, 48
+#: Longer chunks and words aren't remembered.
+LONGEST = 48
+#: Texts encoded at a time.
+SLICE = 256
 #: Punctuation that may stand around a word.
 MARKS = ".,;:!?|*$%&#()[]\"/"
 NOT_LATIN = re.compile("[^\0-\u024f]")
@@ -39,25 +42,25 @@ def byte_letters() -> list[str]:
     return [moved.get(b, chr(b)) for b in range(256)]
 
 
-class WordEncoder(dict):
+class WordEncoder:
     """Ids by a tokenizers file as little-endian bytes.
 
     A tokenizer that drops white space encodes what stands between blanks on its own, so such chunks are encoded once
     and remembered. Where it also parts letters from punctuation and lowers case, a chunk is its word and the marks
-    around it, and words are remembered apart from chunks; a word of letters goes straight to the model. Probes of the
-    library decide which of this holds for the file; without it whole texts are encoded.
+    around it, and words are remembered apart from chunks; a word of letters goes straight to the model. That holds only
+    for words whose lower case is letters, one for each, in composed form: others leave marks that belong to what follows.
+    Probes of the library decide which of this holds for the file; without it whole texts are encoded.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.model = Tokenizer.from_file(path)
         self.model.no_truncation()
         self.model.no_padding()
         self.kind = "<u2" if self.model.get_vocab_size() <= 0x10000 else "<u4"
-        self.words: dict[str, bytes] = {}
+        self.chunks, self.words = Memo(self.chunk, longest=LONGEST), Memo(self.word, longest=LONGEST)
         self.letters = byte_letters()
         probe = "The  quick\nbrown fox's 12 dogs.\n\n(Été) "
         self.apart = self.whole(probe) == b"".join(self.whole(x) for x in probe.replace("\n", " ").split(" "))
@@ -73,46 +76,36 @@ class WordEncoder(dict):
         own = letters if letters.isascii() else "".join([self.letters[b] for b in letters.encode()])
         return np.array([x.id for x in self.model.model.tokenize(own)], dtype=self.kind).tobytes()
 
-    def __missing__(self, chunk: str) -> bytes:
-        ids = self.chunk(chunk)
-        if len(chunk) <= LONGEST:
-            if len(self) >= REMEMBERED:
-                self.clear()
-            self[chunk] = ids
-        return ids
-
     def chunk(self, chunk: str) -> bytes:
         left = chunk.lstrip(MARKS)
         core = left.rstrip(MARKS)
         if not self.parted or not core.isalpha() or len(core) > LONGEST or NOT_LATIN.search(core):
             return self.whole(chunk)
-        core, before, after = core.lower(), chunk[: len(chunk) - len(left)], left[len(core) :]
-        ids = self.words.get(core)
-        if ids is None:
-            if len(self.words) >= REMEMBERED:
-                self.words.clear()
-            ids = self.words[core] = self.word(core) if core.isalpha() else self.whole(core)
-        return (self[before] if before else b"") + ids + (self[after] if after else b"")
+        low = core.lower()
+        if not low.isascii() and (len(low) != len(core) or not low.isalpha() or not unicodedata.is_normalized("NFC", core)):
+            return self.whole(chunk)
+        before, after = chunk[: len(chunk) - len(left)], left[len(core) :]
+        return (self.chunks[before] if before else b"") + self.words[low] + (self.chunks[after] if after else b"")
 
     def encode(self, text: str) -> bytes:
-        return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" "))) if self.apart else self.whole(text)
+        return b"".join(map(self.chunks.__getitem__, text.replace("\n", " ").split(" "))) if self.apart else self.whole(text)
 
 
-@lru_cache(maxsize=2)
 def encoder(path: str) -> WordEncoder:
-    return WordEncoder(path)
+    return kept(("packing", path), partial(WordEncoder, path))
 
 
 def tokenized(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: str, text_col: str) -> DataFrame:
-    """IDS_SCHEMA rows: each document's ids with end_id after them; uid tells repeated rows apart."""
+    """IDS_SCHEMA rows: each document's ids with end_id after them, of null and empty texts end_id alone; uid tells
+    repeated rows apart. Extra columns are left out, an empty table gives no rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(tokenizer_path)
         end, width = np.array([end_id], dtype=own.kind).tobytes(), np.dtype(own.kind).itemsize
         for b in batches:
-            for lo in range(0, b.num_rows, 512):
-                part = b.slice(lo, 512)
-                ids = [own.encode(t) + end for t in part.column("text").to_pylist()]
+            for lo in range(0, b.num_rows, SLICE):
+                part = b.slice(lo, SLICE)
+                ids = [own.encode(t.as_py()) + end for t in part.column("text")]
                 n = pa.array([len(x) // width for x in ids], pa.int64())
                 yield pa.RecordBatch.from_arrays([part.column("uid"), part.column("doc_id"), n, pa.array(ids, pa.binary())], ["uid", "doc_id", "n", "ids"])
 
@@ -277,7 +270,7 @@ def pack(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = encoder(tokenizer_path).kind
-        for b in batches:
+        for b in (part.slice(lo, SLICE) for part in batches for lo in range(0, part.num_rows, SLICE)):
             out: list[tuple] = []
             for r in b.to_pylist():
                 ids, n = np.frombuffer(r["ids"], dtype=kind).astype("<u4"), r["n"]

@@ -7,23 +7,24 @@ by the two digests, and only the distinct contents without a stored count are en
 from __future__ import annotations
 
 import hashlib
+import os
 import re
 import uuid
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import partial
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_dir, text_of
+from .common import Memo, kept, nothing, shared_dir, text_of
 
 CACHE_SCHEMA = "content string, tokenizer string, n_tokens long"
-#: Distinct chunks a worker remembers before it starts anew.
-REMEMBERED = 400_000
-#: Longer chunks are not remembered.
-LONGEST = 64
+#: Texts counted at a time.
+SLICE = 256
 APART = re.compile("(?<=[^ ]) (?=[^ ])")
+#: How sentencepiece writes a space.
+MARK = "▁"
 
 
 def tokenizer_digest(path: str) -> str:
@@ -36,39 +37,35 @@ def tokenizer_digest(path: str) -> str:
         return hashlib.sha256(f.read() + library.encode()).hexdigest()
 
 
-class PieceCounter(dict):
+class PieceCounter:
     """Counts by sentencepiece. A chunk between single spaces is encoded once and remembered.
 
-    That is exact only if no piece crosses from a character into a following space mark, which the vocabulary
-    shows; with any other vocabulary, or text that the model rewrites, whole texts are encoded.
+    That is exact only if no piece crosses from a character into a following space mark, which the vocabulary shows, and
+    if the text doesn't hold the mark itself, which reads as a space; texts that do, and all texts with any other
+    vocabulary or where the model rewrites them, are encoded whole.
     """
 
     def __init__(self, path: str):
         import sentencepiece
 
-        super().__init__()
         self.model = sentencepiece.SentencePieceProcessor(model_file=path)
         pieces = (self.model.id_to_piece(i) for i in range(self.model.get_piece_size()))
-        probe = "a  b\tc ﬁ"
-        self.apart = not any("▁" in p.lstrip("▁") for p in pieces) and self.model.encode(" x") != self.model.encode("x")
+        probe = "a  b\tc ﬁ"
+        self.apart = not any(MARK in p.lstrip(MARK) for p in pieces) and self.model.encode(" x") != self.model.encode("x")
         self.apart = self.apart and self.model.decode(self.model.encode(probe)) == probe
+        self.chunks = Memo(self.whole, nothing)
 
-    def __missing__(self, chunk: str) -> int:
-        n = len(self.model.encode(chunk, num_threads=1))
-        if len(chunk) <= LONGEST:
-            if len(self) >= REMEMBERED:
-                self.clear()
-            self[chunk] = n
-        return n
+    def whole(self, text: str) -> int:
+        return len(self.model.encode(text, num_threads=1))
+
+    def count(self, text: str) -> int:
+        if not self.apart or MARK in text:
+            return self.whole(text)
+        single = "  " not in text and text[:1] != " " and text[-1:] != " "
+        return sum(map(self.chunks.__getitem__, text.split(" ") if single else APART.split(text))) if text else 0
 
     def counts(self, texts: list[str]) -> list[int]:
-        if not self.apart:
-            return [len(x) for x in self.model.encode(texts, num_threads=1)]
-        out = []
-        for t in texts:
-            single = "  " not in t and t[:1] != " " and t[-1:] != " "
-            out.append(sum(map(self.__getitem__, t.split(" ") if single else APART.split(t))) if t else 0)
-        return out
+        return [self.count(t) for t in texts]
 
 
 class WordCounter:
@@ -85,22 +82,19 @@ class WordCounter:
         return [len(x.ids) for x in self.model.encode_batch(texts, add_special_tokens=False)]
 
 
-@lru_cache(maxsize=2)
 def counter(path: str) -> PieceCounter | WordCounter:
-    import os
-
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    return PieceCounter(path) if path.endswith(".model") else WordCounter(path)
+    return kept(("token_counts", path), partial(PieceCounter if path.endswith(".model") else WordCounter, path))
 
 
 def encode_counts(misses: DataFrame, tokenizer_path: str, version: str) -> DataFrame:
-    """(content, text) rows as rows of the cache."""
+    """(content, text) rows as rows of the cache, one each; texts must not be null, empty ones count 0, no rows give none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = counter(tokenizer_path)
         for b in batches:
-            for lo in range(0, b.num_rows, 512):
-                part = b.slice(lo, 512)
+            for lo in range(0, b.num_rows, SLICE):
+                part = b.slice(lo, SLICE)
                 n = count.counts(part.column("text").to_pylist())
                 yield pa.RecordBatch.from_arrays(
                     [part.column("content"), pa.array([version] * len(n), pa.string()), pa.array(n, pa.int64())], ["content", "tokenizer", "n_tokens"]

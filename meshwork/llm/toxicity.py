@@ -12,22 +12,23 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of, written
+from .common import Memo, Scratch, kept, text_of
 from .pii import fit_logistic
 
 WORD = re.compile(r"[^\W\d_]+")
 #: Insults that vote whether or not labelled rows hold them (fixed values).
 LEXICON = "idiot moron stupid scum loser pathetic worthless disgusting trash clown imbecile dumbass bastard retard asshole idiota imbécil estúpido crétin salaud connard abruti trottel arschloch dummkopf".split()
+#: Texts whose patterns a task counts at a time.
+SLICE = 500
 #: Lengths of beginnings and ends of words that may become voters.
 AFFIXES = (3, 4, 5, 6)
-#: Words a worker remembers before it starts anew.
-REMEMBERED = 400_000
 
 
 def held_out(id_col: str = "doc_id") -> Column:
@@ -43,24 +44,21 @@ def patterns_of(word: str) -> list[str]:
     return [word, *(f"^{word[:n]}" for n in AFFIXES if len(word) >= n), *(f"{word[-n:]}$" for n in AFFIXES if len(word) >= n)]
 
 
-class Voters(dict):
+class Voters:
     """The patterns of voters that a word shows; words are looked up once and remembered."""
 
     def __init__(self, voters: list[str]):
-        super().__init__()
         self.index = {p: i for i, p in enumerate(voters)}
         self.patterns = {p.rpartition(" ")[2] for p in voters}
+        self.words = Memo(self.shown)
 
-    def __missing__(self, word: str) -> tuple[str, ...]:
-        if len(self) >= REMEMBERED:
-            self.clear()
-        self[word] = hit = tuple(p for p in patterns_of(word) if p in self.patterns)
-        return hit
+    def shown(self, word: str) -> tuple[str, ...]:
+        return tuple(p for p in patterns_of(word) if p in self.patterns)
 
     def votes(self, text: str) -> list[int]:
         shown: Counter[str] = Counter()
         for w in WORD.findall(text.lower()):
-            if hit := self[w]:
+            if hit := self.words[w]:
                 shown.update(hit)
         return sorted(self.index[v] for v in counted(shown) if v in self.index)
 
@@ -84,11 +82,11 @@ def pattern_counts(rows: DataFrame) -> DataFrame:
     """(pattern, toxic, clean): the number of documents of each class with a pattern, from (text, toxic) rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (part.slice(lo, SLICE) for part in batches for lo in range(0, part.num_rows, SLICE)):
             count: tuple[Counter[str], Counter[str]] = (Counter(), Counter())
-            for t, y in zip(b.column("text").to_pylist(), b.column("toxic").to_pylist(), strict=True):
+            for t, y in zip(b.column("text"), b.column("toxic").to_pylist(), strict=True):
                 shown: Counter[str] = Counter()
-                for w, c in Counter(WORD.findall(t.lower())).items():
+                for w, c in Counter(WORD.findall(t.as_py().lower())).items():
                     for p in set(patterns_of(w)):
                         shown[p] += c
                 count[y].update(counted(shown))
@@ -141,9 +139,9 @@ def votes_of(docs: DataFrame, voters: list[str], id_col: str, text_col: str) ->
     """(doc_id, votes): the numbers of the voters that a document's words make vote, in order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Voters(voters)
+        own = kept(("toxicity", *voters), partial(Voters, voters))
         for b in batches:
-            hit = [own.votes(t) for t in b.column("text").to_pylist()]
+            hit = [own.votes(t.as_py()) for t in b.column("text")]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(hit, pa.list_(pa.int32()))], ["doc_id", "votes"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text")).mapInArrow(run, "doc_id long, votes array<int>")
@@ -222,9 +220,15 @@ def score_toxicity(
     the score of such; repeated rows score alike; extra columns, lang and source are never read. Without usable labels
     the lexicon votes with default rates, and an empty table gives no rows.
     """
-    spark: SparkSession = docs.sparkSession
+    with Scratch(docs.sparkSession) as scratch:
+        return scored(scratch, docs, labels, threshold, max_rows, most_voters, rounds, id_col, text_col)
+
+
+def scored(
+    scratch: Scratch, docs: DataFrame, labels: DataFrame, threshold: float, max_rows: int, most_voters: int, rounds: int, id_col: str, text_col: str
+) -> DataFrame:
     # at most max_rows rows of two numbers: bounded, so broadcast
-    sample = F.broadcast(written(labelled_sample(labels, max_rows), "sample"))
+    sample = F.broadcast(scratch.written(labelled_sample(labels, max_rows), "sample"))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text")).join(sample, "doc_id")
     size = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     n_known = (size.get(0, 0), size.get(1, 0))
@@ -232,13 +236,13 @@ def score_toxicity(
     prior = float(np.clip(share.get(1, 0) / max(1, share.get(0, 0) + share.get(1, 0)), 0.01, 0.5)) if share else 0.05
     voters = choose_voters(pattern_counts(rows), n_known[1], n_known[0], most_voters)
 
-    voted = written(votes_of(docs, voters, id_col, text_col), "votes")
+    voted = scratch.written(votes_of(docs, voters, id_col, text_col), "votes", keep=True)
     # at most max_rows rows
     taught = [(r["votes"], r["toxic"], r["n"]) for r in voted.join(sample, "doc_id").groupBy("votes", "toxic").agg(F.count("*").alias("n")).collect()]
     useful = cover(taught, len(voters), len(LEXICON), max(3, n_known[1] // 100)) if taught else list(range(len(voters)))
     voted = voted.withColumn("votes", F.array_intersect("votes", F.array(*map(F.lit, useful))))
     taught = [(sorted({*own} & {*useful}), y, n) for own, y, n in taught]
-    patterns = written(voted.groupBy("votes").agg(F.count("*").alias("n")), "patterns")
+    patterns = scratch.written(voted.groupBy("votes").agg(F.count("*").alias("n")), "patterns")
     known = np.zeros((2, len(voters)))
     for own, y, n in taught:
         known[y, own] += n

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Memo, Scratch, kept, task_count, text_of
+from .common import Memo, kept, task_count, text_of, written
 
 #: Longer chunks and words aren't remembered.
 LONGEST = 48

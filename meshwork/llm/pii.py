@@ -144,7 +144,7 @@ def extracted(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             base, extra = [], []
-            for t in map(pa.Scalar.as_py, b.column("text")):
+            for t in (x.as_py() for x in b.column("text")):
                 found = base_spans(t)
                 base.append([{"kind": k, "start": s, "stop": e} for k, s, e in found])
                 extra.append(candidates(t, found))

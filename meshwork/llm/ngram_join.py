@@ -5,12 +5,12 @@ collisions), without ever pairing off the members of a group:
 
 1. Documents of equal sets are one class. Of each document the least tokens, a few more than two linked ones may differ
    in, are counted; a document too few of whose tokens occur in another class can have no link and is left out.
-2. For the rest tokens are ordered rare before frequent. A prefix is extended until it must share a signature with every
-   linked document: rare tokens are signatures alone, frequent ones only in pairs of the same subclass.
-3. Members of a signature are compared with a leader of its largest component first, in some rounds with others, which
-   joins the copies of one text without comparing them with one another; who is outside that component after that is
-   compared with all members. Where too many are, Jaccard distance, a metric, tells them apart: what is near a leader and
-   what is far from it need not be compared; what remains forms the next round's groups.
+2. For the rest tokens are ordered: those of one class only, then rare ones, then frequent ones. A prefix is extended until
+   it must share a signature with every linked document: rare tokens are signatures alone, frequent ones only in pairs of
+   the same subclass.
+3. Members of a signature are compared with a leader first, the one with the fewest tokens of its own, which joins the
+   copies of one text without comparing them with one another. Who is outside the largest component after that is
+   compared with those members with which it has tokens enough to share.
 """
 
 from __future__ import annotations
@@ -29,8 +29,6 @@ from .components import connected_components
 
 #: Texts whose sets are made at a time.
 SLICE = 64
-#: Outsiders of a group's largest component up to which they are compared with all its members.
-FEW = 16
 #: Tokens below this make up a set's head, a quarter of it on average.
 HEAD = -(1 << 62)
 SIGN = np.uint64(1 << 63)
@@ -99,20 +97,28 @@ def class_of(s: np.ndarray) -> int:
 
 
 class Bitmap:
-    """A set of tokens as bits of a bounded number: it may hold more than was put in, never less."""
+    """A set of tokens as a Bloom filter of a bounded number of bits: it may hold more than was put in, never less.
+
+    Tokens are hashes, so three stretches of their own bits are three places.
+    """
 
     def __init__(self, tokens: DataFrame, most_bits: int):
-        n = tokens.count()
-        self.log = max(12, min(most_bits.bit_length() - 1, (64 * n).bit_length()))
-        place = F.shiftrightunsigned("token", 64 - self.log)
-        bits = tokens.select(F.shiftright(place, 6).alias("w"), F.expr(f"shiftleft(1L, cast(shiftrightunsigned(token, {64 - self.log}) & 63 as int))").alias("bit"))
+        self.log = max(12, min(most_bits.bit_length() - 1, (64 * tokens.count()).bit_length()))
+        place = F.explode(F.array(*[F.shiftrightunsigned("token", shift).bitwiseAND(F.lit((1 << self.log) - 1)) for shift in self.shifts()]))
+        bits = tokens.select(place.alias("place")).select(F.shiftright("place", 6).alias("w"), F.expr("shiftleft(1L, cast(place & 63 as int))").alias("bit"))
         rows = bits.groupBy("w").agg(F.bit_or("bit").alias("bits")).toPandas()
         self.words = np.zeros(1 << (self.log - 6), dtype=np.int64)
         self.words[rows["w"].to_numpy()] = rows["bits"].to_numpy()
 
+    def shifts(self) -> list[int]:
+        return [64 - self.log, (64 - self.log) // 2, 0]
+
     def holds(self, s: np.ndarray) -> np.ndarray:
-        place = s >> np.uint64(64 - self.log)
-        return (self.words.view(np.uint64)[place >> np.uint64(6)] >> (place & np.uint64(63))) & np.uint64(1)
+        held = np.ones(len(s), dtype=np.uint64)
+        for shift in self.shifts():
+            place = (s >> np.uint64(shift)) & np.uint64((1 << self.log) - 1)
+            held &= self.words.view(np.uint64)[place >> np.uint64(6)] >> (place & np.uint64(63))
+        return held & np.uint64(1)
 
 
 def arrays_of(sets: list[np.ndarray | None]) -> pa.Array:
@@ -161,13 +167,19 @@ def size_bands(n: int) -> list[int]:
     return [0 if not o else (50 << (o - 1)) // 5 for o in bands]
 
 
-def signatures_of(s: np.ndarray, frequent: np.ndarray, percent: int) -> list[np.ndarray]:
-    """The signatures of the shortest prefix that keeps one, whichever tokens a linked document lacks."""
+def signatures_of(tokens: np.ndarray, frequent: np.ndarray, lone: np.ndarray, percent: int) -> list[np.ndarray]:
+    """The signatures of the shortest prefix that keeps one, whichever tokens a linked document lacks.
+
+    lone: tokens of no other class, which every linked document lacks.
+    """
+    s, frequent = tokens[~lone], frequent[~lone]
+    need = may_differ(len(tokens), percent) + 1 - int(lone.sum())
+    if need <= 0:
+        return [s[:0]]
     rare, often = s[~frequent], s[frequent]
-    need = may_differ(len(s), percent) + 1
     out = [rare[:need]]
     lacking = need - len(rare)
-    for g in size_bands(len(s)) if lacking > 0 else ():
+    for g in size_bands(len(tokens)) if lacking > 0 else ():
         if not g:
             out.append(often[:lacking])
             continue
@@ -189,37 +201,40 @@ def signatures_of(s: np.ndarray, frequent: np.ndarray, percent: int) -> list[np.
     return out
 
 
-def signature_rows(sets: DataFrame, frequent: list[DataFrame], percent: int) -> DataFrame:
-    """(signature, class, n). frequent: the frequent tokens in blocks of bounded size, each broadcast in its own pass."""
+def signature_rows(sets: DataFrame, frequent: list[DataFrame], repeated: Bitmap, percent: int) -> DataFrame:
+    """(signature, class, n, c): c is the number of tokens that another class may hold too.
+
+    frequent: the frequent tokens in blocks of bounded size, each broadcast in its own pass.
+    """
+    spark = sets.sparkSession
     marked = sets.select("class", "n", "tokens", F.lit(None).cast("binary").alias("frequent"))
     for block in frequent:
-        own = np.sort(block.toPandas()["token"].to_numpy(dtype=np.int64).view(np.uint64) ^ SIGN)
-        sent = sets.sparkSession.sparkContext.broadcast(own)
+        sent_block = spark.sparkContext.broadcast(np.sort(block.toPandas()["token"].to_numpy(dtype=np.int64).view(np.uint64) ^ SIGN))
 
-        def mark(batches: Iterator[pa.RecordBatch], sent: object = sent) -> Iterator[pa.RecordBatch]:
+        def mark(batches: Iterator[pa.RecordBatch], sent: object = sent_block) -> Iterator[pa.RecordBatch]:
             often = sent.value
-            for whole in batches:
-                for lo in range(0, whole.num_rows, SLICE):
-                    b, out = whole.slice(lo, SLICE), []
-                    for s, f in zip(sets_of(b.column("tokens")), b.column("frequent").to_pylist(), strict=True):
-                        place = np.minimum(np.searchsorted(often, s), len(often) - 1)
-                        out.append((np.frombuffer(f or bytes(len(s)), bool) | (often[place] == s)).tobytes())
-                    yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("class", "n", "tokens")), pa.array(out, pa.binary())], ["class", "n", "tokens", "frequent"])
+            for b in (part.slice(lo, SLICE) for part in batches for lo in range(0, part.num_rows, SLICE)):
+                out = []
+                for s, f in zip(sets_of(b.column("tokens")), b.column("frequent").to_pylist(), strict=True):
+                    place = np.minimum(np.searchsorted(often, s), len(often) - 1)
+                    out.append((np.frombuffer(f or bytes(len(s)), bool) | (often[place] == s)).tobytes())
+                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("class", "n", "tokens")), pa.array(out, pa.binary())], ["class", "n", "tokens", "frequent"])
 
         marked = marked.mapInArrow(mark, "class long, n long, tokens array<long>, frequent binary")
+    sent_bits = spark.sparkContext.broadcast(repeated)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for lo in range(0, whole.num_rows, SLICE):
-                b = whole.slice(lo, SLICE)
-                own = [
-                    np.unique(np.concatenate(signatures_of(s, np.frombuffer(f or bytes(len(s)), bool), percent)))
-                    for s, f in zip(sets_of(b.column("tokens")), b.column("frequent").to_pylist(), strict=True)
-                ]
-                ids = (np.repeat(b.column(c).to_numpy(), [len(x) for x in own]) for c in ("class", "n"))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(own).view(np.int64)), *map(pa.array, ids)], ["signature", "class", "n"])
+        bits = sent_bits.value
+        for b in (part.slice(lo, SLICE) for part in batches for lo in range(0, part.num_rows, SLICE)):
+            own, n_common = [], []
+            for s, f in zip(sets_of(b.column("tokens")), b.column("frequent").to_pylist(), strict=True):
+                lone = bits.holds(s) == 0
+                own.append(np.unique(np.concatenate(signatures_of(s, np.frombuffer(f or bytes(len(s)), bool), lone, percent))))
+                n_common.append(int(len(s) - lone.sum()))
+            ids = (np.repeat(x, [len(x) for x in own]) for x in (b.column("class").to_numpy(), b.column("n").to_numpy(), np.array(n_common, dtype=np.int64)))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(own).view(np.int64)), *map(pa.array, ids)], ["signature", "class", "n", "c"])
 
-    return marked.mapInArrow(run, "signature long, class long, n long")
+    return marked.mapInArrow(run, "signature long, class long, n long, c long")
 
 
 def with_sides(pairs: DataFrame, sets: DataFrame, column: str) -> DataFrame:
@@ -243,8 +258,6 @@ class Links:
 
     def __init__(self, scratch: Scratch, sets: DataFrame, percent: int):
         self.scratch, self.sets, self.percent = scratch, sets, percent
-        #: below this similarity a set is far: more than twice the distance of a link
-        self.reach = 2 * percent - 100
         self.found: list[DataFrame] = []
         self.label: DataFrame | None = None
 
@@ -254,81 +267,60 @@ class Links:
             return rows.withColumn("of", F.col("class"))
         return rows.join(self.label, "class", "left").withColumn("of", F.coalesce("component", "class")).drop("component")
 
-    def compare(self, pairs: DataFrame, least: int) -> DataFrame:
-        """(a, b, near) of the pairs (a, n_a, b, n_b), which may repeat, of at least this similarity in percent; near ones, at
-        percent or more, are kept as links. Heads come first: they show for most others that they are less similar."""
-        able = pairs.where(100 * F.least("n_a", "n_b") >= least * F.greatest("n_a", "n_b"))
-        own = able.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        both = with_sides(own, self.sets, "head")
+    def able(self, n_a: Column, c_a: Column, n_b: Column, c_b: Column) -> Column:
+        """Whether two sets of n tokens, c of them also held by others, may be linked."""
+        return (100 + self.percent) * F.least(c_a, c_b) >= self.percent * (n_a + n_b)
+
+    def compare(self, pairs: DataFrame) -> bool:
+        """Keeps the links among (a, b) rows, which may repeat; whether there are any. Heads come first: they show for most
+        others that they are less similar."""
+        own = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        enough = lambda c: (100 + self.percent) * c >= self.percent * (F.col("n_a") + F.col("n_b"))
         above = F.least(F.col("n_a") - F.size("head_a"), F.col("n_b") - F.size("head_b"))
-        open_pairs = both.where((100 + least) * (common("head") + above) >= least * (F.col("n_a") + F.col("n_b"))).select("a", "b")
-        met = with_sides(self.scratch.written(open_pairs, "open_pairs"), self.sets, "tokens").select("a", "b", "n_a", "n_b", F.explode(F.array(common("tokens"))).alias("c"))
-        enough = lambda p: (100 + p) * F.col("c") >= p * (F.col("n_a") + F.col("n_b"))
-        seen = self.scratch.written(met.where(enough(least)).select("a", "b", enough(self.percent).alias("near")), "compared")
-        new = seen.where("near").select("a", "b")
-        if not new.isEmpty():
-            self.found.append(new)
-            label = connected_components(reduce(DataFrame.unionByName, self.found), "a", "b")
-            self.label = label.withColumnRenamed("node", "class")
-        return seen
+        open_pairs = with_sides(own, self.sets, "head").where(enough(common("head") + above)).select("a", "b")
+        met = with_sides(self.scratch.written(open_pairs, "open_pairs"), self.sets, "tokens")
+        new = self.scratch.written(met.where(enough(common("tokens"))).select("a", "b"), "links")
+        if new.isEmpty():
+            return False
+        self.found.append(new)
+        label = connected_components(reduce(DataFrame.unionByName, self.found), "a", "b")
+        self.label = label.withColumnRenamed("node", "class")
+        return True
 
     def open_groups(self, rows: DataFrame, number: int) -> DataFrame:
-        """(signature, lead, lead_n, lead_of, outsiders) of the groups that hold several components; lead is a class of the
-        largest one, another in each round."""
-        mark = F.xxhash64("class", F.lit(number))
-        parts = self.named(rows).groupBy("signature", "of").agg(F.count("*").alias("m"), F.min_by("class", mark).alias("lead"), F.min_by("n", mark).alias("lead_n"))
-        groups = parts.groupBy("signature").agg(
-            *[F.max_by(c, F.struct("m", "of")).alias(c if c != "of" else "lead_of") for c in ("lead", "lead_n", "of")],
-            (F.sum("m") - F.max("m")).alias("outsiders"), F.count("*").alias("parts"),
-        )
-        return groups.where("parts > 1").drop("parts")
+        """(signature, lead, lead_n, lead_c, lead_of) of the groups that hold several components; lead is the class of the
+        largest one, or of all if none is larger, with the fewest tokens of its own, after the first round any other."""
+        order = F.struct((F.col("n") - F.col("c") if number == 0 else F.lit(0).cast("long")).alias("own"), F.xxhash64("class", F.lit(number)).alias("mark"))
+        least = F.min(F.struct(order.alias("order"), F.col("class").alias("lead"), F.col("n").alias("lead_n"), F.col("c").alias("lead_c")))
+        parts = self.named(rows).groupBy("signature", "of").agg(F.count("*").alias("m"), least.alias("least"))
+        best = F.min(F.struct((-F.col("m")).alias("m"), "least", F.col("of").alias("lead_of")))
+        groups = parts.groupBy("signature").agg(best.alias("best"), F.count("*").alias("parts")).where("parts > 1")
+        return groups.select("signature", "best.least.lead", "best.least.lead_n", "best.least.lead_c", "best.lead_of")
 
     def star(self, rows: DataFrame, number: int) -> bool:
         """Compares the outsiders of open groups with a leader of the largest component; whether that linked any."""
-        led = self.named(rows).join(self.open_groups(rows, number), "signature").where(F.col("of") != F.col("lead_of"))
-        before = len(self.found)
-        self.compare(led.select(F.col("lead").alias("a"), F.col("lead_n").alias("n_a"), F.col("class").alias("b"), F.col("n").alias("n_b")), self.percent)
-        return len(self.found) > before
-
-    def outside(self, left: DataFrame) -> None:
-        """Compares the outsiders of groups with all members that aren't linked with them yet."""
-        other = left.where(F.col("of") != F.col("lead_of")).select("signature", F.col("class").alias("a"), F.col("n").alias("n_a"), F.col("of").alias("of_a"))
-        pairs = left.join(other, "signature").where(F.col("of") != F.col("of_a"))
-        self.compare(pairs.select("a", "n_a", F.col("class").alias("b"), F.col("n").alias("n_b")), self.percent)
-
-    def apart(self, rows: DataFrame) -> DataFrame:
-        """Compares all members of groups with the least one and gives the groups of what may be linked yet.
-
-        What is near the leader is linked with it, what is far from it can't be linked with that: only those not near, among
-        each other, and the ones between, with the near ones too, are left.
-        """
-        lead = rows.groupBy("signature").agg(F.min("class").alias("leader"), F.min_by("n", "class").alias("n_leader"))
-        led = self.scratch.written(rows.select("signature", "class", "n").join(lead, "signature").where(F.col("class") != F.col("leader")), "led")
-        seen = self.compare(led.select(F.col("leader").alias("a"), F.col("n_leader").alias("n_a"), F.col("class").alias("b"), F.col("n").alias("n_b")), self.reach)
-        ends = {"a": F.least("class", "leader"), "b": F.greatest("class", "leader")}
-        told = led.withColumns(ends).join(seen, ["a", "b"], "left").select(
-            "signature", "class", "n", "leader", F.coalesce("near", F.lit(False)).alias("near"), F.col("near").isNotNull().alias("mid")
-        )
-        told = self.scratch.written(told, "told")
-        groups = told.groupBy("signature").agg(F.max(F.col("mid") & ~F.col("near")).alias("m"), F.max("near").alias("k")).where("m and k").select("signature")
-        around = told.where("mid").join(groups, "signature", "left_semi").select(F.xxhash64("signature", "leader").alias("signature"), "class", "n")
-        return self.scratch.written(told.where("not near").select("signature", "class", "n").unionByName(around), "apart")
+        may = self.able(F.col("n"), F.col("c"), F.col("lead_n"), F.col("lead_c"))
+        led = self.named(rows).join(self.open_groups(rows, number), "signature").where((F.col("of") != F.col("lead_of")) & may)
+        return self.compare(led.select(F.col("lead").alias("a"), F.col("class").alias("b")))
+
+    def outside(self, rows: DataFrame) -> None:
+        """Compares the outsiders of open groups with all members that aren't linked with them yet and may be."""
+        left = self.named(rows).join(self.open_groups(rows, 0).select("signature", "lead_of"), "signature")
+        left = self.scratch.written(left, "left")
+        other = left.where(F.col("of") != F.col("lead_of")).select("signature", *[F.col(c).alias(f"{c}_a") for c in ("class", "n", "c", "of")])
+        # of two outsiders one row is enough
+        once = (F.col("of") == F.col("lead_of")) | (F.col("class") < F.col("class_a"))
+        may = self.able(F.col("n"), F.col("c"), F.col("n_a"), F.col("c_a"))
+        self.compare(left.join(other, "signature").where((F.col("of") != F.col("of_a")) & once & may).select(F.col("class_a").alias("a"), F.col("class").alias("b")))
 
 
 def find_links(rows: DataFrame, links: Links, rounds: int) -> DataFrame | None:
     """(class, component) of all links among the members of a signature, None if there are none; rounds changes the work only."""
+    rows = links.scratch.written(distinct_groups(rows), "groups")
     for number in range(rounds):
-        rows = links.scratch.written(distinct_groups(rows), "groups")
-        if links.star(rows, 2 * number):
-            links.star(rows, 2 * number + 1)
-        left = links.named(rows).join(links.open_groups(rows, 2 * number), "signature").drop("lead", "lead_n")
-        left = links.scratch.written(left, "left")
-        last = number == rounds - 1
-        links.outside(left if last else left.where(F.col("outsiders") <= FEW))
-        rows = left.where(F.col("outsiders") > FEW).select("signature", "class", "n")
-        if last or rows.isEmpty():
+        if not links.star(rows, number):
             break
-        rows = links.apart(rows)
+    links.outside(rows)
     return links.label
 
 
@@ -337,7 +329,7 @@ def jaccard_components(
     k: int = 5,
     percent: int = 80,
     frequent_from: int = 64,
-    rounds: int = 4,
+    rounds: int = 2,
     most_bits: int = 1 << 26,
     block: int = 500_000,
     id_col: str = "doc_id",
@@ -363,10 +355,12 @@ def jaccard_components(
         sets = scratch.bucketed(of_class.withColumn("head", head), "sets", "class", task_count(spark))
 
         counts = sets.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("n"))
-        often = scratch.written(counts.where(F.col("n") >= frequent_from).select("token"), "frequent")
+        counts = scratch.written(counts.where("n > 1"), "repeated")
+        often = counts.where(F.col("n") >= frequent_from).select("token")
         n_blocks = -(-often.count() // block)
         blocks = [often.where(F.pmod(F.xxhash64("token"), F.lit(n_blocks)) == i) for i in range(n_blocks)]
-        rows = scratch.written(signature_rows(sets, blocks, percent), "signatures")
+        repeated = Bitmap(counts.select(F.col("token").bitwiseXOR(F.lit(-(1 << 63))).alias("token")), most_bits)
+        rows = scratch.written(signature_rows(sets, blocks, repeated, percent), "signatures")
         label = find_links(rows, Links(scratch, sets, percent), rounds)
 
         joined = held.select("doc_id", "n", "class")

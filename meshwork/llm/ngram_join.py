@@ -10,7 +10,8 @@ collisions), without ever pairing off the members of a group:
    the same subclass.
 3. Members of a signature are compared with a leader first, the one with the fewest tokens of its own, which joins the
    copies of one text without comparing them with one another. Who is outside the largest component after that is
-   compared with those members with which it has tokens enough to share.
+   compared with those members with which it has tokens enough to share. Two documents that meet in frequent tokens only
+   share no rare one, else they would meet in that too, so there only their frequent tokens count.
 """
 
 from __future__ import annotations
@@ -167,18 +168,18 @@ def size_bands(n: int) -> list[int]:
     return [0 if not o else (50 << (o - 1)) // 5 for o in bands]
 
 
-def signatures_of(tokens: np.ndarray, frequent: np.ndarray, lone: np.ndarray, percent: int) -> list[np.ndarray]:
-    """The signatures of the shortest prefix that keeps one, whichever tokens a linked document lacks.
+def signatures_of(tokens: np.ndarray, frequent: np.ndarray, lone: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """The signatures, of rare tokens and of frequent ones, of the shortest prefix that keeps one, whichever tokens a linked
+    document lacks. Where it holds frequent tokens, it holds all rare ones.
 
     lone: tokens of no other class, which every linked document lacks.
     """
     s, frequent = tokens[~lone], frequent[~lone]
     need = may_differ(len(tokens), percent) + 1 - int(lone.sum())
     if need <= 0:
-        return [s[:0]]
+        return s[:0], s[:0]
     rare, often = s[~frequent], s[frequent]
-    out = [rare[:need]]
-    lacking = need - len(rare)
+    lacking, out = need - len(rare), [s[:0]]
     for g in size_bands(len(tokens)) if lacking > 0 else ():
         if not g:
             out.append(often[:lacking])
@@ -198,11 +199,12 @@ def signatures_of(tokens: np.ndarray, frequent: np.ndarray, lone: np.ndarray, pe
             if not same.any():
                 break
             out.append(mixed(often[a[same]] * MULTIPLIERS[1] + often[b[same]] * MULTIPLIERS[2] + np.uint64(g)))
-    return out
+    return rare[:need], np.unique(np.concatenate(out))
 
 
 def signature_rows(sets: DataFrame, frequent: list[DataFrame], repeated: Bitmap, percent: int) -> DataFrame:
-    """(signature, class, n, c): c is the number of tokens that another class may hold too.
+    """(signature, class, n, c): c is the number of tokens that may be shared with who has the signature too: of the frequent
+    ones if it is of these, else of those that any other class holds.
 
     frequent: the frequent tokens in blocks of bounded size, each broadcast in its own pass.
     """
@@ -226,13 +228,16 @@ def signature_rows(sets: DataFrame, frequent: list[DataFrame], repeated: Bitmap,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = sent_bits.value
         for b in (part.slice(lo, SLICE) for part in batches for lo in range(0, part.num_rows, SLICE)):
-            own, n_common = [], []
+            own, count, n_common = [], [], []
             for s, f in zip(sets_of(b.column("tokens")), b.column("frequent").to_pylist(), strict=True):
-                lone = bits.holds(s) == 0
-                own.append(np.unique(np.concatenate(signatures_of(s, np.frombuffer(f or bytes(len(s)), bool), lone, percent))))
-                n_common.append(int(len(s) - lone.sum()))
-            ids = (np.repeat(x, [len(x) for x in own]) for x in (b.column("class").to_numpy(), b.column("n").to_numpy(), np.array(n_common, dtype=np.int64)))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(own).view(np.int64)), *map(pa.array, ids)], ["signature", "class", "n", "c"])
+                lone, often = bits.holds(s) == 0, np.frombuffer(f or bytes(len(s)), bool)
+                rare_ones, frequent_ones = signatures_of(s, often, lone, percent)
+                own += [rare_ones, frequent_ones]
+                count.append(len(rare_ones) + len(frequent_ones))
+                n_common += [len(s) - int(lone.sum())] * len(rare_ones) + [int(often.sum())] * len(frequent_ones)
+            ids = (np.repeat(b.column(x).to_numpy(), count) for x in ("class", "n"))
+            rows = [np.concatenate(own).view(np.int64), *ids, np.array(n_common, dtype=np.int64)]
+            yield pa.RecordBatch.from_arrays([*map(pa.array, rows)], ["signature", "class", "n", "c"])
 
     return marked.mapInArrow(run, "signature long, class long, n long, c long")
 
@@ -248,7 +253,7 @@ def common(column: str) -> Column:
 
 def distinct_groups(rows: DataFrame) -> DataFrame:
     """rows without the groups that have the same members as another one: shared passages have many signatures alike."""
-    own = rows.groupBy("signature").agg(F.count("*").alias("m"), F.bit_xor(F.xxhash64("class")).alias("x"), F.bit_xor(F.xxhash64("class", F.lit(1))).alias("y"))
+    own = rows.groupBy("signature").agg(F.count("*").alias("m"), F.bit_xor(F.xxhash64("class", "c")).alias("x"), F.bit_xor(F.xxhash64("c", "class")).alias("y"))
     one = own.where("m > 1").groupBy("m", "x", "y").agg(F.min("signature").alias("signature"))
     return rows.join(one.select("signature"), "signature", "left_semi")
 

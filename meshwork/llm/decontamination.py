@@ -11,7 +11,6 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass, field
 from functools import partial
 
 import numpy as np
@@ -33,8 +32,10 @@ RUN_SHARE, SMALL = 0.1, 8
 #: By how many parts of its length a stretch may be shorter or longer than the item.
 STRETCHES = (0, -1 / 16, 1 / 16, -1 / 8, 1 / 8)
 #: Texts walked at a time.
-SLICE = 128
-CANDIDATES = "doc_id long, item_id long, start_word long, found string"
+SLICE = 256
+#: Windows walked at a time.
+AT_A_TIME = 4096
+CANDIDATES = "doc_id long, item_id long, start_word long, found array<string>"
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -68,51 +69,46 @@ def run_length(size: int) -> int:
     return 2 if size < SMALL else 3
 
 
-@dataclass
-class Repetition:
-    """One walk with its samples over windows of `size` words, and the items' keys under it."""
+class Walks:
+    """All repetitions' walks over windows of `size` words, each with its samples, and the items' keys under them."""
 
-    size: int
-    stride: int
-    steps: np.ndarray
-    samples: list[int]
-    keys: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))
-    owner: np.ndarray = field(default_factory=lambda: np.zeros((0, 2), np.int64))
-
-    @classmethod
-    def drawn(cls, size: int, stride: int, number: int, n_samples: int) -> Repetition:
-        rng = np.random.default_rng([size, number, 7])
+    def __init__(self, size: int, stride: int, n_repetitions: int, n_samples: int):
+        self.size, self.stride, self.n = size, stride, n_repetitions
+        rng = np.random.default_rng([size, 7])
         # a walk is twice as slow as the string; samples lie anywhere on it
         length = max(2 * n_samples, int(1.6 * size))
-        samples = np.sort(rng.choice(length, n_samples, replace=False))
-        steps = rng.integers(0, 1 << 63, length, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-        return cls(size, stride, steps, [*map(int, samples)])
+        samples = np.array([rng.choice(length, min(n_samples, size), replace=False) for _ in range(n_repetitions)])
+        #: the repetitions that sample each step
+        self.sampled = [np.flatnonzero((samples == j).any(1)) for j in range(length)]
+        self.steps = rng.integers(0, 1 << 63, (length, n_repetitions, 1), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+        self.keys, self.owner = np.zeros(0, np.uint64), np.zeros((0, 2), np.int64)
 
     def walk(self, words: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        """The keys of the walks that begin at starts; words end in more padding than a walk is long."""
-        at, key, n = starts.copy(), np.zeros(len(starts), np.uint64), 0
-        for j in range(self.samples[-1] + 1):
+        """The keys of the walks that begin at starts, a row for each repetition; words end in more padding than a walk is
+        long. The repetition is part of the key."""
+        at = np.broadcast_to(starts, (self.n, len(starts))).copy()
+        key = np.broadcast_to((np.arange(self.n, dtype=np.uint64) * MIX)[:, None], at.shape).copy()
+        for steps, sampled in zip(self.steps, self.sampled, strict=True):
             own = words[at]
-            if j == self.samples[n]:
-                key, n = joined(key, own), n + 1
-            at += ((own * self.steps[j]) >> np.uint64(63)).astype(np.int64)
+            if len(sampled):
+                key[sampled] = joined(key[sampled], own[sampled])
+            at += ((own * steps) >> np.uint64(63)).astype(np.int64)
         return key
 
     def index(self, words: np.ndarray, starts: np.ndarray, owner: np.ndarray) -> None:
         """Keys of every window of the items that a document's window may meet: those at offsets below the stride."""
-        keys = self.walk(words, starts)
+        keys = self.walk(words, starts).ravel()
         order = np.argsort(keys, kind="stable")
-        self.keys, self.owner = keys[order], owner[order]
+        self.keys, self.owner = keys[order], owner[order % len(starts)]
 
     def meetings(self, words: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(position, owner) of the windows whose key an item has too, an entry for each such item."""
-        key = self.walk(words, starts)
+        key = self.walk(words, starts).ravel()
         lo = np.searchsorted(self.keys, key, "left")
         hit = np.flatnonzero(self.keys[np.minimum(lo, len(self.keys) - 1)] == key)
-        hi = np.searchsorted(self.keys, key[hit], "right")
-        lo = lo[hit]
+        hi, lo = np.searchsorted(self.keys, key[hit], "right"), lo[hit]
         which = np.concatenate([np.zeros(0, np.int64), *(np.arange(a, b) for a, b in zip(lo, hi, strict=True))])
-        return np.repeat(starts[hit], hi - lo), self.owner[which]
+        return np.repeat(starts[hit % len(starts)], hi - lo), self.owner[which]
 
 
 class Bench:
@@ -126,19 +122,18 @@ class Bench:
         by_size: dict[tuple[int, int], list[tuple[int, np.ndarray]]] = {}
         for number, h in long:
             by_size.setdefault(window_size(len(h)), []).append((number, h))
-        self.repetitions: dict[tuple[int, int], list[Repetition]] = {}
+        self.sets = {number: frozenset(h.tolist()) for number, h in own}
+        self.walks: list[Walks] = []
         for (size, stride), held in sorted(by_size.items()):
             pad = np.zeros(2 * size + 8, np.uint64)
             begins = np.cumsum([0, *(len(h) + len(pad) for _, h in held)])[:-1]
             starts = (begins[:, None] + np.arange(stride)).ravel()
             owner = np.array([(number, o) for number, _ in held for o in range(stride)], dtype=np.int64)
-            words = np.concatenate([x for _, h in held for x in (h, pad)])
-            reps = [Repetition.drawn(size, stride, r, min(n_samples, size)) for r in range(n_repetitions)]
-            for r in reps:
-                r.index(words, starts, owner)
-            self.repetitions[size, stride] = reps
+            walks = Walks(size, stride, n_repetitions, n_samples)
+            walks.index(np.concatenate([x for _, h in held for x in (h, pad)]), starts, owner)
+            self.walks.append(walks)
         self.runs: dict[int, tuple[np.uint64, np.ndarray]] = {}
-        for n in {run_length(size) for size, _ in self.repetitions}:
+        for n in {run_length(w.size) for w in self.walks}:
             runs = np.concatenate([self.sequences(h, n) for _, h in long])
             shift = np.uint64(64 - max(16, min(26, (256 * len(runs)).bit_length())))
             self.runs[n] = shift, np.zeros(1 << (64 - int(shift)), dtype=bool)
@@ -147,7 +142,7 @@ class Bench:
         for number, h in own:
             if 0 < len(h) < LEAST_WORDS:
                 self.short.setdefault(len(h), {}).setdefault(int(self.sequences(h, len(h))[0]), []).append(number)
-        self.padding = 2 * max((size for size, _ in self.repetitions), default=LEAST_WORDS) + 8
+        self.padding = 2 * max((w.size for w in self.walks), default=LEAST_WORDS) + 8
 
     @staticmethod
     def sequences(words: np.ndarray, n: int) -> np.ndarray:
@@ -159,19 +154,17 @@ class Bench:
     def met(self, words: np.ndarray, begins: np.ndarray, lengths: np.ndarray) -> set[tuple[int, int, int]]:
         """(text, item, first word) of what may hold an item. words: all texts' hashes, each with padding of zeros."""
         found: set[tuple[int, int, int]] = set()
-        text = np.repeat(np.arange(len(begins)), lengths)
-        place = np.arange(len(text)) + np.repeat(begins - (np.cumsum(lengths) - lengths), lengths)
         known = {n: np.cumsum(np.append(0, held[self.sequences(words, n) >> shift])) for n, (shift, held) in self.runs.items()}
-        for (size, stride), reps in self.repetitions.items():
-            on = (place - begins[text]) % stride == 0
-            starts = place[on]
-            n = run_length(size)
-            own = known[n][np.minimum(starts + size - n + 1, len(known[n]) - 1)] - known[n][starts]
-            starts = starts[own >= max(1, int(RUN_SHARE * (size - n + 1)))]
-            for r in reps if len(starts) else ():
-                at, owner = r.meetings(words, starts)
+        for w in self.walks:
+            n = run_length(w.size)
+            starts = np.concatenate([np.zeros(0, np.int64), *(np.arange(b, b + k, w.stride) for b, k in zip(begins, lengths, strict=True))])
+            own = known[n][np.minimum(starts + w.size - n + 1, len(known[n]) - 1)] - known[n][starts]
+            starts = starts[own >= max(1, int(RUN_SHARE * (w.size - n + 1)))]
+            for lo in range(0, len(starts), AT_A_TIME):
+                at, owner = w.meetings(words, starts[lo : lo + AT_A_TIME])
                 d = np.searchsorted(begins, at, "right") - 1
                 found.update(zip(d.tolist(), owner[:, 0].tolist(), np.maximum(at - begins[d] - owner[:, 1], 0).tolist(), strict=True))
+        found = {x for x in found if self.alike(words[begins[x[0]] + x[2] :][: self.sizes[x[1]]], x[1])}
         for n, keys in self.short.items():
             key = self.sequences(words, n)
             for at in np.flatnonzero(np.isin(key, np.fromiter(keys, np.uint64, len(keys)))).tolist():
@@ -180,15 +173,22 @@ class Bench:
                     found.update((d, number, at - int(begins[d])) for number in keys[int(key[at])])
         return found
 
-    def stretches(self, item: int, start: int, n_words: int) -> set[tuple[int, int]]:
-        """(first word, end) of what is compared with an item that a text of n_words words may hold from start on."""
+    def alike(self, stretch: np.ndarray, item: int) -> bool:
+        """Whether a stretch holds half of the item's words: samples of frequent words agree by chance, too."""
+        own = self.sets[item]
+        return 2 * len(own.intersection(stretch.tolist())) >= len(own)
+
+    def stretches(self, item: int, start: int, n_words: int) -> list[tuple[int, int]]:
+        """(first word, end) of what is compared with an item that a text of n_words words may hold from start on; the one of
+        as many words comes first."""
         n = self.sizes[item]
-        ends = {start + n + (round(share * n) if n >= LEAST_WORDS else 0) for share in STRETCHES}
-        return {(start, min(e, n_words)) for e in ends}
+        ends = [start + n + (round(share * n) if n >= LEAST_WORDS else 0) for share in STRETCHES]
+        return list(dict.fromkeys((start, min(e, n_words)) for e in ends))
 
 
 def candidates(docs: DataFrame, bench: Bench) -> DataFrame:
-    """CANDIDATES rows: stretches of the documents, about as long as the item that they met in some repetition."""
+    """CANDIDATES rows: stretches of the documents, about as long as the item that they met in some repetition, the one of as
+    many words first."""
     sent = docs.sparkSession.sparkContext.broadcast(bench)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -203,10 +203,10 @@ def candidates(docs: DataFrame, bench: Bench) -> DataFrame:
             lengths = np.array([len(w) for w in texts], dtype=np.int64)
             begins = np.cumsum(lengths + len(pad)) - lengths - len(pad)
             met = sorted(own.met(np.array(flat, dtype=np.uint64), begins, lengths))
-            rows = [(ids[d], i, x, " ".join(texts[d][x:e])) for d, i, s in met for x, e in sorted(own.stretches(i, s, len(texts[d])))]
+            rows = [(ids[d], i, s, [" ".join(texts[d][x:e]) for x, e in own.stretches(i, s, len(texts[d]))]) for d, i, s in met]
             if rows:
                 yield pa.RecordBatch.from_arrays(
-                    [*(pa.array([r[c] for r in rows], pa.int64()) for c in range(3)), pa.array([r[3] for r in rows], pa.string())],
+                    [*(pa.array([r[c] for r in rows], pa.int64()) for c in range(3)), pa.array([r[3] for r in rows], pa.list_(pa.string()))],
                     ["doc_id", "item_id", "start_word", "found"],
                 )
 
@@ -248,8 +248,12 @@ def contaminated(
                 continue
             texts = spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id long, item string")
             each = candidates(read, Bench(items, n_repetitions, n_samples)).distinct().join(F.broadcast(texts), "item_id")
+            # other stretches are nearer than the first one by their difference in length at most
             bound = F.floor(F.length("item") * most_edits).cast("int")
-            near = each.withColumn("bound", bound).withColumn("edits", F.expr("levenshtein(found, item, bound)"))  # -1 beyond the bound
+            slack = F.array_max(F.transform("found", lambda x: F.abs(F.length(x) - F.length(F.get("found", F.lit(0))))))
+            each = each.withColumn("bound", bound).withColumn("first", F.get("found", F.lit(0))).withColumn("slack", F.col("bound") + slack)
+            near = each.where(F.expr("levenshtein(first, item, slack)") >= 0).withColumn("stretch", F.explode("found"))
+            near = near.withColumn("edits", F.expr("levenshtein(stretch, item, bound)"))  # -1 beyond the bound
             near = near.where(F.col("edits") >= 0).withColumn("similarity", 1 - F.col("edits") / F.length("item"))
             best = near.groupBy("doc_id", "item_id").agg(F.min(F.struct("edits", "start_word", "similarity")).alias("b"))
             own = scratch.written(best.select("doc_id", "item_id", "b.start_word", "b.edits", "b.similarity"), "found", keep=True)

@@ -1,10 +1,11 @@
 """Approximate nearest neighbours with a permutation index.
 
-A vector is represented by its nearest pivots in order. Each block of vectors holds an inverted file per pivot:
-the vectors that have the pivot among their nearest, and at which rank. A query walks the lists of its own nearest
-pivots, adds up the footrule distance of every vector it meets, keeps the share with the smallest distance and reranks
-these by the exact inner product. Blocks are independent tasks, so a vector that a third of all rows repeat is spread
-over all blocks like any other, and no task holds more than one block of vectors and one of queries.
+A vector is represented by its nearest pivots in order. Each block of vectors holds an inverted file per pivot: the
+vectors that have the pivot among their nearest, and at which rank. A query walks the files of its own nearest pivots,
+adds up what each met vector saves of the footrule distance, keeps the share of them with the smallest distance and
+reranks these by the exact inner product; vectors that it doesn't meet are never scored. Blocks are independent tasks,
+so a vector that a third of all rows repeat is spread over all blocks like any other, and no task holds more than one
+block of vectors and one of queries.
 """
 
 from __future__ import annotations
@@ -31,12 +32,13 @@ def usable(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
 
 
 def choose_pivots(vectors: DataFrame, n_pivots: int) -> np.ndarray:
-    """A bounded sample of distinct vectors as pivots: those whose id hashes lowest, the same on every run."""
-    rows = vectors.select("v", F.xxhash64("vec_id").alias("h"), "vec_id").orderBy("h", "vec_id").limit(2 * n_pivots).collect()
-    if not rows:
+    """A bounded sample of distinct vectors of the most frequent dimension as pivots: those whose id hashes lowest, the same on
+    every run."""
+    dims = vectors.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "d").first()
+    if dims is None:
         return np.zeros((0, 1))
-    dims = len(rows[0]["v"])
-    return np.unique(np.array([r["v"] for r in rows if len(r["v"]) == dims], dtype="f8"), axis=0)[:n_pivots]
+    rows = vectors.where(F.size("v") == dims["d"]).select("v", F.xxhash64("vec_id").alias("h"), "vec_id").orderBy("h", "vec_id").limit(2 * n_pivots).collect()
+    return np.array(list(dict.fromkeys(tuple(r["v"]) for r in rows))[:n_pivots], dtype="f8")
 
 
 def nearest_pivots(v: np.ndarray, pivots: np.ndarray, length: int) -> np.ndarray:
@@ -49,46 +51,48 @@ def nearest_pivots(v: np.ndarray, pivots: np.ndarray, length: int) -> np.ndarray
 
 
 class PivotFiles:
-    """The inverted files of one block, a file per pivot.
-
-    A third or more of the block's rows hold a pivot, so a file is kept dense: each row's rank of the pivot, or `length`.
-    """
-
-    def __init__(self, v: np.ndarray, pivots: np.ndarray, length: int):
-        self.length = min(length, len(pivots))
-        kind = np.uint8 if self.length < 256 else np.uint16
-        self.files = np.full((len(pivots), len(v)), self.length, dtype=kind)
-        permutations = nearest_pivots(v, pivots, length)
-        for rank in range(self.length):
-            self.files[permutations[:, rank], np.arange(len(v))] = rank
-
-    def footrule(self, permutation: np.ndarray) -> np.ndarray:
-        """Each row's footrule distance to a query's permutation, pivots missing on a side counting as rank `length`.
-
-        Without any pivot in common it is length * (length + 1); a shared one at ranks r and q saves 2 * (length - max(r, q)),
-        since |r - q| replaces (length - r) + (length - q).
+    """The inverted files of one block: of each pivot the rows that have it among their `posted` nearest, and its ranks."""
+
+    def __init__(self, v: np.ndarray, pivots: np.ndarray, posted: int):
+        permutations = nearest_pivots(v, pivots, posted)
+        self.length = permutations.shape[1]
+        pivot, row = permutations.ravel(), np.repeat(np.arange(len(v)), self.length)
+        order = np.argsort(pivot, kind="stable")
+        self.rows, self.ranks = row[order], np.tile(np.arange(self.length), len(v))[order]
+        self.bounds = np.searchsorted(pivot[order], np.arange(len(pivots) + 1))
+        self.n_rows = len(v)
+
+    def met(self, permutation: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(rows, saved): the rows that share a pivot with a query's permutation, and by how much that shortens the footrule.
+
+        With pivots that a side lacks at rank `length` there, the distance without any shared pivot is the same for all;
+        one at ranks r and q saves 2 * (length - max(r, q)), since |r - q| replaces (length - r) + (length - q).
         """
-        far = np.zeros(self.files.shape[1], dtype=np.int32)
+        length = max(self.length, len(permutation))
+        saved = np.zeros(self.n_rows, dtype=np.int64)
         for q, pivot in enumerate(permutation):
-            far += np.maximum(self.files[pivot], self.files.dtype.type(q))
-        return self.length * (self.length + 1) - 2 * (self.length * len(permutation) - far)
+            own = slice(self.bounds[pivot], self.bounds[pivot + 1])
+            saved[self.rows[own]] += 2 * (length - np.maximum(self.ranks[own], q))
+        rows = np.flatnonzero(saved)
+        return rows, saved[rows]
 
 
 def search_block(
-    q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, v: np.ndarray, pivots: np.ndarray, length: int, share: float, least: int, k: int
+    q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, v: np.ndarray, pivots: np.ndarray, posted: int, probed: int, share: float, k: int
 ) -> pd.DataFrame:
     order = np.argsort(ids, kind="stable")
     ids, v = ids[order], v[order]
-    files, out = PivotFiles(v, pivots, length), []
-    keep = max(least, int(np.ceil(share * len(ids))))
-    for i, x, permutation in zip(q_ids, q, nearest_pivots(q, pivots, length), strict=True):
-        distance = files.footrule(permutation).astype(np.int64) * len(ids) + np.arange(len(ids))  # ties to the smaller id
-        distance[ids == i] = np.iinfo(np.int64).max
-        near = np.argpartition(distance, keep)[:keep] if keep < len(ids) else np.arange(len(ids))
-        near = near[ids[near] != i]
-        score = np.einsum("ij,j->i", v[near], x)
-        best = np.lexsort((ids[near], -score))[:k]
-        out.append(pd.DataFrame({"query_id": i, "vec_id": ids[near][best], "score": score[best]}))
+    files, out = PivotFiles(v, pivots, posted), []
+    for i, x, permutation in zip(q_ids, q, nearest_pivots(q, pivots, probed), strict=True):
+        rows, saved = files.met(permutation)
+        other = ids[rows] != i
+        rows, saved = rows[other], saved[other]
+        keep = max(k, int(np.ceil(share * len(rows))))
+        if keep < len(rows):  # ties go to the smaller id
+            rows = rows[np.argpartition(-saved * len(ids) + rows, keep)[:keep]]
+        score = np.einsum("ij,j->i", v[rows], x)
+        best = np.lexsort((ids[rows], -score))[:k]
+        out.append(pd.DataFrame({"query_id": i, "vec_id": ids[rows][best], "score": score[best]}))
     return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
 
 
@@ -98,19 +102,21 @@ def permutation_search(
     id_col: str = "vec_id",
     vec_col: str = "embedding",
     k: int = 20,
-    n_pivots: int = 256,
-    length: int = 96,
-    share: float = 0.12,
-    least: int = 400,
+    n_pivots: int = 1024,
+    posted: int = 24,
+    probed: int = 32,
+    share: float = 0.7,
     block_rows: int = 16384,
-    query_rows: int = 1024,
+    query_rows: int = 8192,
 ) -> DataFrame:
     """The k nearest vectors by inner product found for each query: (query_id, rank from 1, vec_id, score).
 
     queries and vectors carry id_col and vec_col; other columns are ignored. Vectors that are null, empty, zero or hold
-    null or non-finite components take no part, on either side; so do vectors of another dimension than the pivots. A
+    null or non-finite components take no part, on either side; so do vectors of another dimension than the most frequent one. A
     query never finds a row of its own id. Equal scores go to the smaller id, repeated rows are found once, and queries
     without any candidate have no rows. Every row is indexed; n_pivots vectors are sampled as pivots (documented bound).
+    A row is posted in the files of its `posted` nearest pivots, a query walks those of its `probed` nearest and reranks
+    `share` of what it meets. Vectors move once for each query_rows queries, queries once for each block_rows vectors.
     """
     spark = vectors.sparkSession
     base, asked = usable(vectors, id_col, vec_col), usable(queries, id_col, vec_col)
@@ -132,7 +138,7 @@ def permutation_search(
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
         left, right = left.drop_duplicates("vec_id"), right.drop_duplicates("vec_id")
         return search_block(
-            left["vec_id"].to_numpy(), np.stack(left["v"]), right["vec_id"].to_numpy(), np.stack(right["v"]), shared.value, length, share, least, k
+            left["vec_id"].to_numpy(), np.stack(left["v"]), right["vec_id"].to_numpy(), np.stack(right["v"]), shared.value, posted, probed, share, k
         )
 
     n_tasks = max(task_count(spark), min(4 * n_blocks * n_asked, 2000))

@@ -14,7 +14,7 @@ __all__ = ["Memo", "Scratch", "ascii_lower", "kept", "shared_dir", "table", "tas
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Bytes of memory that a worker's memo may take, and what an entry takes besides its content.
-MEMO_BYTES, ENTRY_BYTES = 24 << 20, 160
+MEMO_BYTES, ENTRY_BYTES = 64 << 20, 160
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -61,17 +61,24 @@ def most_distance(threshold: float) -> int:
     return math.floor((1 - threshold) * BITS + 1e-9)
 
 
+def bound_to(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with value computed once, however often it is used: it becomes a lambda's variable."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def permute(words: Column, shift: int) -> Column:
     """All 10,048 bits rotated to the left; shift may be negative, and 10,048 - shift undoes it."""
     shift %= 64 * WORDS
     whole, part = divmod(shift, 64)
-    source = lambda i: F.get(words, F.pmod(i - whole, F.lit(WORDS)))
-    if not part:
-        return F.transform(F.sequence(F.lit(0), F.lit(WORDS - 1)), source)
-    before = lambda i: F.get(words, F.pmod(i - whole - 1, F.lit(WORDS)))
-    return F.transform(
-        F.sequence(F.lit(0), F.lit(WORDS - 1)), lambda i: F.shiftleft(source(i), part).bitwiseOR(F.shiftrightunsigned(before(i), 64 - part))
-    )
+
+    def turned(own: Column) -> Column:
+        word = lambda i, back: F.get(own, F.pmod(i - whole - back, F.lit(WORDS)))
+        if not part:
+            return F.transform(F.sequence(F.lit(0), F.lit(WORDS - 1)), lambda i: word(i, 0))
+        turn = lambda i: F.shiftleft(word(i, 0), part).bitwiseOR(F.shiftrightunsigned(word(i, 1), 64 - part))
+        return F.transform(F.sequence(F.lit(0), F.lit(WORDS - 1)), turn)
+
+    return bound_to(words, turned)
 
 
 def to_binary(words: Column) -> Column:

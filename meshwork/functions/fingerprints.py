@@ -25,8 +25,9 @@ def sha_chain(identity: Column) -> Column:
 
     Equal identities have equal prints; others differ in about half their bits, however alike the texts are.
     """
-    words = F.transform(F.sequence(F.lit(0), F.lit(WORDS - 1)), lambda i: _swapped(F.substring(F.sha2(F.concat(identity, F.lit(":"), i.cast("string")), 256), 1, 16)))
-    return F.when(identity.isNotNull(), masked(words))
+    digests = F.transform(F.sequence(F.lit(0), F.lit(WORDS - 1)), lambda i: F.substring(F.sha2(F.concat(identity, F.lit(":"), i.cast("string")), 256), 1, 16))
+    # the bytes are swapped of a bound variable, so that each word costs one digest
+    return F.when(identity.isNotNull(), masked(F.transform(digests, _swapped)))
 
 
 def xorshift(content: Column, mask: bool = True) -> Column:

@@ -5,13 +5,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: A route for each task keyword, first match wins (fixed values).
+from ..schema import GATES
+
+# Rules of the blackboard (fixed values). A route for the words of a task, first match wins; the rest goes to the developer.
 ROUTES = [
-    (("architect", "design"), "architect"), (("test", "qa"), "tester"), (("review", "audit"), "reviewer"), (("doc", "explain"), "scribe"),
-    (("research", "find"), "scout"), (("deploy", "release"), "operator"), (("code", "implement", "fix"), "coder"),
-]
-#: Text that a change must not hold unseen (fixed values).
-DANGEROUS = ["rm -rf", "DROP TABLE", "eval(", "exec("]
+    (("excavate", "find"), "archaeologist"),
+    (("evaluate", "priority"), "product_sage"),
+    (("learn", "capture"), "meta_learner"),
+    (("review",), "reviewer"),
+]
+DANGEROUS = {
+    "acts_as_": "Meta-programming magic - trace carefully",
+    "method_missing": "Dynamic method handling - unpredictable",
+    "eval(": "Code execution - security risk",
+    "send(": "Dynamic dispatch - trace all paths",
+}
 
 
 def active_blockers(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -37,8 +45,8 @@ def note(kind: str, agent: str, content: Column, at: Column, **properties: Colum
 
 
 def decision(agent: str, content: Column, gate: str, at: Column) -> list[Column]:
-    if gate not in ("FLOW", "HOLD", "BLOCK"):
-        raise ValueError(f"gate {gate!r} is none of FLOW, HOLD, BLOCK")
+    if gate not in GATES:
+        raise ValueError(f"gate {gate!r} is none of {', '.join(GATES)}")
     return note("Decision", agent, content, at, gate=F.lit(gate))
 
 
@@ -59,20 +67,30 @@ def learning_summary(moments: DataFrame, until: object, hours: float) -> DataFra
     )
 
 
-def route_task(task: Column, otherwise: str = "generalist") -> Column:
-    text, out = F.lower(task), F.lit(otherwise)
+def route_task(task: Column, agents: list[str] | None = None) -> Column:
+    """The agent for a task by its words; the orchestrator's where the agent isn't one of those there are (None: all are)."""
+    text, out = F.lower(task), F.lit("developer")
     for words, agent in reversed(ROUTES):
-        out = F.when(text.rlike("|".join(words)), agent).otherwise(out)
-    return out
+        out = F.when(F.exists(F.array(*map(F.lit, words)), lambda w: F.contains(text, w)), agent).otherwise(out)
+    return out if agents is None else F.when(out.isin(agents), out).otherwise("orchestrator")
 
 
-def spawn_rule(context: Column, failed: Column) -> Column:
-    return F.when(failed >= 3, "specialist").when(context > 60, "successor")
+def spawn_rule(context_percent: Column, domain: Column, needs_ux: Column, failed: Column) -> Column:
+    """The agent to spawn, null if there is no reason: the first rule that holds decides, null counts as not holding."""
+    return (
+        F.when(context_percent > 60, "continuation_agent").when(domain == "rails", "archaeologist").when(needs_ux, "product_sage")
+        .when(failed >= 3, "fresh_perspective")
+    )
 
 
 def dangerous(text: Column) -> Column:
-    found = [F.when(F.contains(text, F.lit(p)), F.lit(p)) for p in DANGEROUS]
-    return F.array_compact(F.array(*found))
+    """The dangerous patterns that a text holds, in their order."""
+    return F.array_compact(F.array(*[F.when(F.contains(text, F.lit(p)), F.lit(p)) for p in DANGEROUS]))
+
+
+def danger_warnings(text: Column) -> Column:
+    """A line with its reason for each dangerous pattern."""
+    return F.transform(dangerous(text), lambda p: F.concat(p, F.lit(": "), F.element_at(F.create_map(*[F.lit(x) for kv in DANGEROUS.items() for x in kv]), p)))
 
 
 def merged_concepts(concepts: DataFrame) -> DataFrame:

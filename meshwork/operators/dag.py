@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,22 +14,19 @@ from .relations import latest_per
 def dag_levels(tasks: DataFrame, depends: DataFrame, most: int = 1000) -> DataFrame:
     """(id, level): 0 without dependencies, else one more than the greatest level of a dependency.
 
-    tasks has id; depends has (id, depends_on). Unknown dependencies count as level 0. A cycle is an error. Each round
-    joins only what rose in the round before.
+    tasks has id; depends has (id, depends_on). Unknown dependencies count as level 0. A cycle is an error. A round
+    writes the tasks at the end of a path of so many dependencies, found from the round before.
     """
     ids = tasks.select("id").distinct()
-    edges = depends.join(ids, "id", "left_semi").select("id", "depends_on").distinct()
-    first = edges.groupBy("id").agg(F.lit(1).alias("level"))
-    level = written(ids.join(first, "id", "left").fillna(0, ["level"]), "level0")
-    bound = min(most, ids.count())
-    risen = level.where("level > 0")
-    for n in range(1, bound + 2):
-        up = edges.join(risen.withColumnRenamed("id", "depends_on"), "depends_on").groupBy("id").agg((F.max("level") + 1).alias("up"))
-        both = written(level.join(up, "id", "left").select("id", "level", F.greatest("level", F.coalesce("up", F.lit(0))).alias("new")), f"level{n}")
-        risen = both.where("new > level").select("id", F.col("new").alias("level"))
-        level = both.select("id", F.col("new").alias("level"))
+    edges = written(depends.join(ids, "id", "left_semi").select("id", "depends_on").distinct(), "edges")
+    risen = edges.select("id").distinct()
+    levels = [ids.withColumn("level", F.lit(0))]
+    for n in range(1, min(most, ids.count()) + 2):
+        risen = written(risen, f"level{n}")
         if risen.isEmpty():
-            return level
+            return reduce(DataFrame.unionByName, levels).groupBy("id").agg(F.max("level").alias("level"))
+        levels.append(risen.withColumn("level", F.lit(n)))
+        risen = edges.join(risen.withColumnRenamed("id", "depends_on"), "depends_on").select("id").distinct()
     raise ValueError("the dependencies have a cycle")
 
 

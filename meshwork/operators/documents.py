@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, replace
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.bits import most_distance
 from ..functions.fingerprints import xorshift
+from ..sources.scratch import written
 from . import relations, search
 
 
@@ -67,12 +68,21 @@ class Documents:
         return Documents(self.rows.orderBy(F.xxhash64("id", F.lit(seed)), "id"))
 
     def split(self, ratio: float) -> tuple[Documents, Documents]:
-        """The first int(n * ratio) by id, and the rest: the bound is an order statistic, no row is numbered."""
-        n = int(len(self) * ratio)
-        if n == 0:
+        """The first int(n * ratio) by id, and the rest; rows of one id stay together. The bound's id is found from the
+        numbers of ids in ranges, so that no row is numbered over the whole table; null ids come first."""
+        parts = self.rows.select(F.col("id")).repartitionByRange("id").withColumn("part", F.spark_partition_id())
+        parts = written(parts, "ids")
+        sizes = {r["part"]: r["n"] for r in parts.groupBy("part").agg(F.count("*").alias("n")).collect()}
+        left = int(sum(sizes.values()) * ratio)
+        if left == 0:
             return Documents(self.rows.limit(0)), self
-        ranked = self.rows.withColumn("_n", F.row_number().over(Window.orderBy("id")))
-        return Documents(ranked.where(F.col("_n") <= n).drop("_n")), Documents(ranked.where(F.col("_n") > n).drop("_n"))
+        for part in sorted(sizes):
+            if left <= sizes[part]:
+                break
+            left -= sizes[part]
+        last = parts.where(F.col("part") == part).orderBy("id").offset(left - 1).limit(1).first()["id"]
+        first = F.col("id").isNull() if last is None else F.col("id").isNull() | (F.col("id") <= F.lit(last))
+        return Documents(self.rows.where(first)), Documents(self.rows.where(~first))
 
     def query(self) -> Query:
         return Query(self.rows)

@@ -65,8 +65,47 @@ def first_paths(paths: DataFrame) -> DataFrame:
 
 
 def trace_effects(starts: DataFrame, edges: DataFrame, most: int = 10, least_confidence: float = LEAST_CONFIDENCE) -> DataFrame:
-    """Every node reached from each start, by its first path that keeps the confidence."""
-    return first_paths(expand(starts, edges, 1, most, least_confidence))
+    """Every node reached from each start, by its first path that keeps the confidence: the one of fewest edges, ties to the
+    least path.
+
+    Not all paths are followed: one that isn't more confident than a shorter one to the same node, or than one of its own
+    length before it, can't be part of any first path. So a level holds few rows for a start and node.
+    """
+    hops = _measured(edges)
+    level = starts.select(F.col("id").alias("start")).distinct().select(
+        "start", F.col("start").alias("end"), F.array("start").alias("path"), F.lit(1.0).alias("amplification"), F.lit(1.0).alias("confidence"),
+        F.lit(0).cast("long").alias("latency"), F.lit(0).alias("depth"),
+    )
+    before = Window.partitionBy("start", "end").orderBy("path", F.desc("amplification"), F.desc("confidence")).rowsBetween(Window.unboundedPreceding, -1)
+    kept: list[DataFrame] = []
+    for depth in range(1, most + 1):
+        level = (
+            level.join(hops, F.col("end") == F.col("u"))
+            .where(~F.array_contains("path", F.col("v")) & (F.col("confidence") * F.col("e_conf") >= least_confidence))
+            .select(
+                "start", F.col("v").alias("end"), F.concat("path", F.array("v")).alias("path"), (F.col("amplification") * F.col("e_amp")).alias("amplification"),
+                (F.col("confidence") * F.col("e_conf")).alias("confidence"), (F.col("latency") + F.col("e_lat")).alias("latency"), F.lit(depth).alias("depth"),
+            )
+            .withColumn("best", F.max("confidence").over(before))
+        )
+        if kept:
+            shorter = reduce(DataFrame.unionByName, kept).groupBy("start", "end").agg(F.max("confidence").alias("shorter"))
+            level = level.join(shorter, ["start", "end"], "left").withColumn("best", F.greatest("best", "shorter")).drop("shorter")
+        level = written(level.where(F.col("best").isNull() | (F.col("confidence") > F.col("best"))).drop("best"), f"level{depth}")
+        if level.isEmpty():
+            break
+        kept.append(level)
+    return first_paths(reduce(DataFrame.unionByName, kept or [level]))
+
+
+def in_traversal_order(paths: DataFrame) -> DataFrame:
+    """Shorter paths first, of one length the more amplified ones."""
+    return paths.orderBy("depth", F.desc("amplification"), "path")
+
+
+def amplified(paths: DataFrame, threshold: float = 2.0) -> DataFrame:
+    """Paths that amplify by the threshold or more."""
+    return paths.where(F.col("amplification") >= threshold)
 
 
 def trace_chain(edges: DataFrame, source: str, target: str, most: int = 10, least_confidence: float = LEAST_CONFIDENCE) -> DataFrame:

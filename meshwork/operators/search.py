@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,33 +11,62 @@ from ..functions import bits, vectors
 from ..schema import BITS
 
 
+#: Prints of queries that are broadcast at a time, 1,256 bytes each.
+QUERY_BLOCK = 4096
+
+
+def constant(corpus: DataFrame, query: Column) -> Column:
+    """A query print as a literal: it is made once, not for each row."""
+    words = corpus.sparkSession.sql("SELECT 1").select(query.alias("words")).first()["words"]
+    return F.lit(None).cast("array<bigint>") if words is None else F.array(*map(F.lit, words)).cast("array<bigint>")
+
+
+def distances(corpus: DataFrame, query: Column, words: str, where: Column | None) -> DataFrame:
+    """corpus with its distances to one print, which a generator keeps the optimizer from computing at each use; rows without
+    a print are left out."""
+    rows = corpus if where is None else corpus.where(where)
+    own = F.when(F.col(words).isNotNull(), bits.hamming(F.col(words), constant(corpus, query)))
+    return rows.select(*[c for c in rows.columns if c != words], F.explode(F.array(own)).alias("distance")).where(F.col("distance").isNotNull())
+
+
 def knn(corpus: DataFrame, query: Column, k: int, words: str = "words", id_col: str = "id", where: Column | None = None) -> DataFrame:
     """The k nearest prints to one print: (id, distance, similarity), null prints left out, ties to the lesser id."""
-    rows = corpus.where(F.col(words).isNotNull())
-    rows = rows if where is None else rows.where(where)
-    found = rows.withColumn("distance", bits.hamming(F.col(words), query)).orderBy("distance", id_col).limit(k)
-    return found.withColumn("similarity", 1 - F.col("distance") / BITS).drop(words)
+    found = distances(corpus, query, words, where).orderBy("distance", id_col).limit(k)
+    return found.withColumn("similarity", 1 - F.col("distance") / BITS)
 
 
 def resonate(corpus: DataFrame, query: Column, threshold: float = 0.6, words: str = "words", id_col: str = "id", where: Column | None = None) -> DataFrame:
     """All prints of at least this similarity, most similar first; the bound is tested on whole distances."""
-    rows = corpus.where(F.col(words).isNotNull())
-    rows = rows if where is None else rows.where(where)
-    found = rows.withColumn("distance", bits.hamming(F.col(words), query)).where(F.col("distance") <= bits.most_distance(threshold))
-    return found.withColumn("resonance", 1 - F.col("distance") / BITS).drop(words).orderBy("distance", id_col)
+    found = distances(corpus, query, words, where).where(F.col("distance") <= bits.most_distance(threshold))
+    return found.withColumn("resonance", 1 - F.col("distance") / BITS).orderBy("distance", id_col)
+
+
+def top(found: DataFrame, k: int = 1, by: str = "distance", id_col: str = "id") -> DataFrame:
+    return found.orderBy(by, id_col).limit(k)
+
+
+def above_threshold(found: DataFrame, threshold: float = 0.6) -> DataFrame:
+    """Results of at least this similarity, of knn's or hamming_join's rows."""
+    return found.where(F.col("distance") <= bits.most_distance(threshold))
 
 
 def hamming_join(queries: DataFrame, corpus: DataFrame, k: int, words: str = "words", most: int | None = None) -> DataFrame:
     """The k nearest prints of each query, at most `most` bits apart: (query_id, id, distance, similarity, rank).
 
-    queries and corpus have (id, words). The queries are a stated set, much smaller than the corpus; Spark broadcasts them
-    where their size allows and otherwise pairs blocks of both sides.
+    queries and corpus have (id, words). The queries are a stated set; they are counted and broadcast in blocks of about
+    QUERY_BLOCK prints, one pass over the corpus for each, so that no broadcast grows with them.
     """
     left = queries.where(F.col(words).isNotNull()).select(F.col("id").alias("query_id"), bits.to_binary(F.col(words)).alias("q"))
     right = corpus.where(F.col(words).isNotNull()).select("id", bits.to_binary(F.col(words)).alias("w"))
-    pairs = right.join(left).select("query_id", "id", bits.hamming_packed("q", "w").alias("distance"))
-    pairs = pairs if most is None else pairs.where(F.col("distance") <= most)
-    return ranked(pairs, k).withColumn("similarity", 1 - F.col("distance") / BITS)
+    n_blocks = max(1, -(-left.count() // QUERY_BLOCK))
+
+    def met(block: DataFrame) -> DataFrame:
+        pairs = right.join(F.broadcast(block)).select("query_id", "id", bits.hamming_packed("q", "w").alias("distance"))
+        return ranked(pairs if most is None else pairs.where(F.col("distance") <= most), k)
+
+    block = F.pmod(F.xxhash64("query_id"), F.lit(n_blocks))
+    # a query lies in one block, so its rank there is its rank
+    return reduce(DataFrame.unionByName, [met(left.where(block == i)) for i in range(n_blocks)]).withColumn("similarity", 1 - F.col("distance") / BITS)
 
 
 def ranked(pairs: DataFrame, k: int, query_id: str = "query_id", by: str = "distance", id_col: str = "id") -> DataFrame:

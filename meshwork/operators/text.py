@@ -36,7 +36,12 @@ def fixed_windows(df: DataFrame, id_col: str, text_col: str, size: int = 512, ov
 
 
 def split_text(text: str, size: int = 512, overlap: int = 64, separator: str = "\n") -> list[str]:
-    """Chunks of at most size characters that end at the last separator in reach, else at a hard cut; starts always advance."""
+    """Chunks of at most size characters that end at the last separator in reach, else at a hard cut; starts always advance.
+
+    A text of no more than size characters is one chunk, an empty one too.
+    """
+    if len(text) <= size:
+        return [text]
     out, start = [], 0
     while start < len(text):
         end = min(start + size, len(text))
@@ -51,28 +56,42 @@ def split_text(text: str, size: int = 512, overlap: int = 64, separator: str = "
 
 
 def pack_paragraphs(text: str, least: int = 100, most: int = 1000) -> list[str]:
-    """Paragraphs packed up to `most` characters; longer ones by sentences; pieces under `least` are dropped."""
-    parts: list[str] = []
-    for p in re.split(r"\n\s*\n", text):
-        p = p.strip()
-        parts += re.split(r"(?<=[.!?])\s+", p) if len(p) > most else [p] if p else []
-    out, now = [], ""
-    for p in parts:
-        if now and len(now) + 1 + len(p) > most:
-            out.append(now)
-            now = p
-        else:
-            now = f"{now} {p}" if now else p
-    return [c for c in [*out, now] if len(c) >= least]
+    """Paragraphs, parted by blank lines, packed up to `most` characters with a blank line after each.
+
+    A paragraph that doesn't fit any more closes a chunk of at least `least` characters and begins the next one, however
+    long it is. Where the chunk so far is shorter, a paragraph of at most `most` characters takes its place; of a longer
+    one the sentences are packed, with a blank after each, onto what there is. Chunks under `least` are dropped.
+    """
+    out: list[str] = []
+    held = ""
+
+    def close() -> None:
+        if held and len(held) >= least:
+            out.append(held.strip())
+
+    for p in re.split(r"\n\n+", text):
+        if len(held) + len(p) > most and len(p) > most and (not held or len(held) < least):
+            for sentence in re.split(r"(?<=[.!?])\s+", p):
+                if len(held) + len(sentence) > most:
+                    close()
+                    held = ""
+                held += f"{sentence} "
+            continue
+        if len(held) + len(p) > most:
+            close()
+            held = ""
+        held += f"{p}\n\n"
+    close()
+    return out
 
 
 def chunk_text(df: DataFrame, id_col: str, text_col: str, semantic: bool = False, **how: object) -> DataFrame:
-    """(id, chunk_no, chunk) by split_text, or by pack_paragraphs if semantic."""
+    """(id, chunk_no, chunk) by split_text, or by pack_paragraphs if semantic; a null text has no chunks."""
     cut = pack_paragraphs if semantic else split_text
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = [(i, n, c) for i, t in zip(b[id_col], b[text_col], strict=True) for n, c in enumerate(cut(t or "", **how))]
+            rows = [(i, n, c) for i, t in zip(b[id_col], b[text_col], strict=True) for n, c in enumerate(cut(t, **how) if t is not None else [])]
             yield pd.DataFrame(rows, columns=[id_col, "chunk_no", "chunk"])
 
     return df.select(id_col, text_col).mapInPandas(run, f"{id_col} {dict(df.dtypes)[id_col]}, chunk_no int, chunk string")

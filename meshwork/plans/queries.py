@@ -367,14 +367,18 @@ def dag_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dag.dag_levels(tasks, pairs.where("depends_on >= 1 AND depends_on < id"))
 
 
-@query("""SELECT event_id, CASE (event_id % 256) // 32 WHEN 0 THEN 'void' WHEN 1 THEN 'sensory' WHEN 2 THEN 'emotional' WHEN 3 THEN 'cognitive' WHEN 4 THEN 'social' WHEN 5 THEN 'creative'
-WHEN 6 THEN 'transcendent' ELSE 'unity' END AS label FROM events""")
+@query("""SELECT event_id, CASE WHEN q BETWEEN 0 AND 31 THEN 'crisis' WHEN q BETWEEN 32 AND 63 THEN 'struggling' WHEN q BETWEEN 64 AND 95 THEN 'working' WHEN q BETWEEN 96 AND 127 THEN 'flowing'
+WHEN q BETWEEN 128 AND 159 THEN 'engaged' WHEN q BETWEEN 160 AND 191 THEN 'excited' WHEN q BETWEEN 192 AND 223 THEN 'breakthrough' WHEN q BETWEEN 224 AND 255 THEN 'transcendent' ELSE 'unknown' END AS label
+FROM (SELECT event_id, event_id % 260 AS q FROM events)""")
 def qidx_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return of(spark, sf_dir, "events").select("event_id", qidx_label(F.col("event_id") % 256).alias("label"))
+    return of(spark, sf_dir, "events").select("event_id", qidx_label(F.col("event_id") % 260).alias("label"))
 
 
-@query("""SELECT conv_id, turn, CASE WHEN regexp_matches(lower(text), 'architect|design') THEN 'architect' WHEN regexp_matches(lower(text), 'test|qa') THEN 'tester'
-WHEN regexp_matches(lower(text), 'review|audit') THEN 'reviewer' WHEN regexp_matches(lower(text), 'doc|explain') THEN 'scribe' WHEN regexp_matches(lower(text), 'research|find') THEN 'scout'
-WHEN regexp_matches(lower(text), 'deploy|release') THEN 'operator' WHEN regexp_matches(lower(text), 'code|implement|fix') THEN 'coder' ELSE 'generalist' END AS agent FROM conversations""")
+@query("""SELECT conv_id, turn, CASE WHEN contains(t, 'excavate') OR contains(t, 'find') THEN 'archaeologist' WHEN contains(t, 'evaluate') OR contains(t, 'priority') THEN 'product_sage'
+WHEN contains(t, 'learn') OR contains(t, 'capture') THEN 'meta_learner' WHEN contains(t, 'review') THEN 'reviewer' ELSE 'developer' END AS agent
+FROM (SELECT conv_id, turn, lower(text || ' ' || ['Find', 'priority', 'capturing', 'Reviews', 'code'][(turn % 5)::INT + 1]) AS t FROM conversations)""")
 def route_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return of(spark, sf_dir, "conversations").select("conv_id", "turn", blackboard.route_task(F.col("text")).alias("agent"))
+    """Texts with a word of a task put after them, as the texts are invented prose."""
+    words = F.array(*map(F.lit, ("Find", "priority", "capturing", "Reviews", "code")))
+    task = F.concat("text", F.lit(" "), F.get(words, (F.col("turn") % 5).cast("int")))
+    return of(spark, sf_dir, "conversations").select("conv_id", "turn", blackboard.route_task(task).alias("agent"))

@@ -10,16 +10,28 @@ from pyspark.sql import types as T
 
 #: A fingerprint holds 10,000 bits in 157 words of 64; the last word has 16 of them.
 BITS, WORDS, LAST_MASK = 10_000, 157, 0xFFFF
-#: Edge types by family (fixed values).
+# Vocabularies (fixed values).
 EDGE_TYPES = {
-    "causal": ["CAUSES", "ENABLES", "PREVENTS", "TRIGGERS", "AMPLIFIES"],
-    "structural": ["CONTAINS", "PART_OF", "DEPENDS_ON", "IMPLEMENTS"],
-    "temporal": ["PRECEDES", "FOLLOWS", "CONCURRENT"],
-    "semantic": ["SIMILAR_TO", "OPPOSITE_OF", "RELATED_TO", "YIELDS"],
-    "agent": ["CREATED_BY", "DECIDED_BY", "BLOCKED_BY", "RESOLVES", "HANDS_OVER"],
+    "causal": ["CAUSES", "AMPLIFIES", "DAMPENS", "TRIGGERS", "ENABLES", "PREVENTS"],
+    "structural": ["CONTAINS", "EXTENDS", "IMPLEMENTS", "DEPENDS_ON"],
+    "semantic": ["SIMILAR_TO", "CONTRADICTS", "REFINES", "ABSTRACTS"],
+    "learning": ["YIELDS", "SUPPORTS", "RECALLS"],
+    "workflow": ["HANDS_OVER", "RESOLVES", "BLOCKS", "FOLLOWS"],
 }
-#: Buckets of 32 values each of the qualia index (fixed values).
-QIDX_LABELS = ["void", "sensory", "emotional", "cognitive", "social", "creative", "transcendent", "unity"]
+LABEL_TYPES = {
+    "cognitive": ["Thought", "Concept", "LearningMoment", "MemoryScent"],
+    "workflow": ["Decision", "Blocker", "Resolution", "Handover"],
+    "agents": ["Agent", "Session", "Task"],
+    "code": ["Atom", "Module", "Dependency"],
+}
+#: Labels of the qualia index, 32 values each.
+QIDX_LABELS = ["crisis", "struggling", "working", "flowing", "engaged", "excited", "breakthrough", "transcendent"]
+THINKING_STYLES = ["analytical", "creative", "practical", "empathetic", "strategic", "detailed", "intuitive"]
+CAUSAL_TYPES = ["CAUSES", "CORRELATES", "AMPLIFIES", "DAMPENS", "DELAYS", "ENABLES", "PREVENTS", "TRIGGERS"]
+IMPACT_TYPES = ["FUNCTIONAL", "PERFORMANCE", "SECURITY", "STABILITY", "MAINTENANCE"]
+AGENT_ROLES = ["orchestrator", "analyst", "archaeologist", "developer", "reviewer", "tester", "product_sage", "meta_learner"]
+MESSAGE_TYPES = ["task", "question", "answer", "decision", "blocker", "handover", "observe", "resonance"]
+NODE_TYPES = ["Node", "Thought", "Concept", "LearningMoment", "Decision", "Blocker"]
 GATES = ["FLOW", "HOLD", "BLOCK"]
 
 
@@ -71,8 +83,19 @@ def schema_to_ddl(schema: T.StructType, table: str) -> str:
 
 
 def qidx_label(qidx: Column) -> Column:
-    """The bucket's label; values beyond 0 to 255 are null."""
-    return F.get(F.array(*map(F.lit, QIDX_LABELS)), F.floor(qidx / 32).cast("int"))
+    """The bucket's label; "unknown" for null and for values beyond 0 to 255."""
+    return F.coalesce(F.get(F.array(*map(F.lit, QIDX_LABELS)), F.floor(qidx / 32).cast("int")), F.lit("unknown"))
+
+
+def node_type(label: Column) -> Column:
+    """The typed node that a label makes; labels without one are plain nodes."""
+    return F.when(label.isin(NODE_TYPES), label).otherwise(NODE_TYPES[0])
+
+
+def style_distance(style: Column, target: list[float]) -> Column:
+    """The Euclidean distance of thinking styles, vectors of the seven dimensions."""
+    squares = F.zip_with(style, F.array(*[F.lit(float(x)) for x in target]), lambda a, b: (a - b) * (a - b))
+    return F.sqrt(F.aggregate(squares, F.lit(0.0), lambda s, x: s + x))
 
 
 def to_json(df: DataFrame, name: str = "json") -> DataFrame:

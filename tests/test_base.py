@@ -127,7 +127,9 @@ def test_search_ties_nulls_and_small_corpora(spark):
     docs = Documents.of(spark.createDataFrame([("1", "alpha"), ("2", "beta"), ("3", "")], "id string, content string"))
     assert docs.search("beta", 1).first().id == "2" and len(docs.delete(start(spark, "1"))) == 2
     assert [r.id for r in docs.query().like("alpha").at_least(0.9).limit(5).run().collect()] == ["1"]
-    assert [len(x) for x in docs.split(0.7)] == [2, 1]
+    assert [len(x) for x in docs.split(0.7)] == [2, 1] and [len(x) for x in docs.split(0.0)] == [0, 3]
+    many = Documents.of(spark.createDataFrame([(f"{i % 50:03}", "x") for i in range(200)], "id string, content string"))
+    assert [len(x) for x in many.split(0.5)] == [100, 100] and many.split(0.5)[0].rows.agg(F.max("id")).first()[0] == "024"
 
 
 def test_encodings_have_inverses(spark):
@@ -148,9 +150,14 @@ def test_encodings_have_inverses(spark):
 
 
 def test_chunkers(spark):
-    assert text.split_text("abc\ndefgh", 5, 1) == ["abc\n", "\ndefg", "gh"] and text.split_text("", 5, 1) == []
+    assert text.split_text("abc\ndefgh", 5, 1) == ["abc\n", "\ndefg", "gh"] and text.split_text("", 5, 1) == [""]
     assert text.pack_paragraphs("One. " * 30 + "\n\nshort", 10, 50)[0].startswith("One.")
+    assert text.pack_paragraphs("a" * 30 + "\n\n\n" + "b" * 30 + "\n\nc", 20, 70) == ["a" * 30 + "\n\n" + "b" * 30 + "\n\nc"]
+    assert text.pack_paragraphs("short\n\n" + "b" * 60, 20, 50) == ["b" * 60] and text.pack_paragraphs("a" * 40 + "\n\n" + "b" * 60, 20, 50) == ["a" * 40, "b" * 60]
+    assert text.pack_paragraphs("x. " * 40, 20, 50) == [("x. " * 17).strip(), ("x. " * 17).strip()]
+    assert text.pack_paragraphs("", 10, 50) == []
     df = spark.createDataFrame([(1, "a b c d e"), (2, ""), (3, None), (4, "x")], "id long, t string")
+    assert [(r.id, r.chunk) for r in text.chunk_text(df, "id", "t").orderBy("id").collect()] == [(1, "a b c d e"), (2, ""), (4, "x")]
     assert [(r.id, r.chunk) for r in text.chunk_tokens(df, "id", "t", 3, 1).orderBy("id", "chunk_no").collect()] == [(1, "a b c"), (1, "c d e"), (4, "x")]
 
 
@@ -177,9 +184,17 @@ def test_store_versions_and_parameters(spark, tmp_path):
 
 
 def test_blackboard_and_relations(spark):
-    row = spark.createDataFrame([("Please REVIEW the design", 0.8, 0.6, "rm -rf /")], "t string, s double, e double, c string")
-    got = row.select(blackboard.route_task(F.col("t")), blackboard.is_breakthrough(F.col("s"), F.col("e")), blackboard.dangerous(F.col("c")), blackboard.learning_qidx(F.col("s"))).first()
-    assert tuple(got) == ("architect", True, ["rm -rf"], 204)
+    row = spark.createDataFrame([("Please REVIEW the design", 0.8, 0.6, "send(eval(x))")], "t string, s double, e double, c string")
+    got = row.select(
+        blackboard.route_task(F.col("t")), blackboard.route_task(F.col("t"), ["tester"]), blackboard.is_breakthrough(F.col("s"), F.col("e")), blackboard.dangerous(F.col("c")), blackboard.learning_qidx(F.col("s"))
+    ).first()
+    assert tuple(got) == ("reviewer", "orchestrator", True, ["eval(", "send("], 204)
+    assert row.select(blackboard.danger_warnings(F.col("c")).alias("w")).first().w[1] == "send(: Dynamic dispatch - trace all paths"
+    rules = [(61, "rails", True, 9, "continuation_agent"), (60, "rails", True, 9, "archaeologist"), (5, "web", True, 9, "product_sage"), (5, None, None, 3, "fresh_perspective"), (5, "web", False, 2, None)]
+    spawned = spark.createDataFrame(rules, "p long, d string, u boolean, f long, want string").select(blackboard.spawn_rule(F.col("p"), F.col("d"), F.col("u"), F.col("f")).alias("got"), "want").collect()
+    assert all(r.got == r.want for r in spawned)
+    marks = spark.createDataFrame([(0,), (31,), (32,), (160,), (255,), (256,), (None,)], "q long").select(schema.qidx_label(F.col("q")).alias("l")).collect()
+    assert [r.l for r in marks] == ["crisis", "crisis", "struggling", "excited", "transcendent", "unknown", "unknown"]
     left = spark.createDataFrame([(1, 5), (1, 1), (2, 9)], "k long, t long")
     right = spark.createDataFrame([(1, 5, "e"), (1, 2, "b")], "k long, t long, v string")
     assert sorted((r.k, r.t, r.v or "") for r in relations.as_of_join(left, right, ["k"], "t", "t", ["v"]).collect()) == [(1, 1, ""), (1, 5, "e"), (2, 9, "")]
@@ -196,7 +211,7 @@ def test_streams_equal_batches(spark, tmp_path):
     assert closed and closed <= {tuple(r) for r in batch.collect()}
 
 
-SMALL = ["pattern_1hop", "correlations", "degrees", "bind_xor", "chunk_stats", "rle_runs", "chunk_tokens", "grouping_sets", "as_of_views", "pivot_types"]
+SMALL = ["trace_chain", "print_sequence", "split_documents", "pattern_1hop", "correlations", "degrees", "bind_xor", "chunk_stats", "rle_runs", "chunk_tokens", "grouping_sets", "as_of_views", "pivot_types"]
 
 
 @pytest.mark.parametrize("name", SMALL)

@@ -47,7 +47,7 @@ def record_leaves(pages: DataFrame, id_col: str, uri_col: str, payload_col: str,
 
 @dataclass
 class MerkleTree:
-    """levels[0] are leaves (id, file_no, lo, hi, digest); each further level (node, digest); fanout children to a node."""
+    """levels[0] are leaves (id, file_no, lo, hi, digest); each further level (node, bytes, digest); fanout children to a node."""
 
     levels: list[DataFrame]
     fanout: int
@@ -59,9 +59,10 @@ class MerkleTree:
 
 
 def level_above(below: DataFrame, child: str, fanout: int) -> DataFrame:
-    """(node, digest): a node hashes its children's numbers and digests in order; at most fanout of them are gathered."""
-    kids = F.array_sort(F.collect_list(F.concat_ws(":", F.lpad(F.col(child).cast("string"), 20, "0"), "digest")))
-    return below.groupBy(F.floor(F.col(child) / fanout).alias("node")).agg(F.sha2(F.array_join(kids, ","), 256).alias("digest"))
+    """(node, bytes, digest): a node hashes its children's numbers, bytes and digests in order, which are its offset ranges
+    from its own beginning on; at most fanout of them are gathered."""
+    kids = F.array_sort(F.collect_list(F.concat_ws(":", F.lpad(F.col(child).cast("string"), 20, "0"), F.col("bytes").cast("string"), "digest")))
+    return below.groupBy(F.floor(F.col(child) / fanout).alias("node")).agg(F.sum("bytes").alias("bytes"), F.sha2(F.array_join(kids, ","), 256).alias("digest"))
 
 
 def merkle_tree(
@@ -70,7 +71,8 @@ def merkle_tree(
     """The tree of a replica, every level written to the shared folder, with top_level levels above the leaves."""
     levels = [written(record_leaves(pages, id_col, uri_col, payload_col, file_records), "leaves")]
     for n in range(top_level):
-        levels.append(written(level_above(levels[-1], "node" if n else "id", fanout), f"level{n + 1}"))
+        below = levels[-1] if n else levels[0].withColumn("bytes", F.col("hi") - F.col("lo"))
+        levels.append(written(level_above(below, "node" if n else "id", fanout), f"level{n + 1}"))
     return MerkleTree(levels, fanout)
 
 
@@ -110,7 +112,11 @@ def audit(left: DataFrame, right: DataFrame, fanout: int = 32, file_records: int
 
 
 def damaged(pages: DataFrame) -> DataFrame:
-    """A replica with faults at known places, for drills: a payload cut short, one replaced, a lost record, a foreign one."""
+    """A replica with faults at known places, for drills: a payload with a byte more, one emptied, a lost record, a foreign one.
+
+    The places follow from page_id alone, so repeated rows and equal ids fare alike; rows with a null id are lost, null
+    payloads stay null unless they are emptied, extra columns stay, and an empty table stays empty.
+    """
     n, html = F.col("page_id"), F.col("html")
     kept = pages.where(F.pmod(n, F.lit(211)) != 13)
     bad = F.when(F.pmod(n, F.lit(97)) == 5, F.concat(html, F.lit("\u0000"))).when(F.pmod(n, F.lit(389)) == 7, F.lit("")).otherwise(html)

@@ -16,7 +16,7 @@ from .line_dedup import line_components
 from .ngram_join import jaccard_components
 from .packing import pack
 from .permutation_index import permutation_search
-from .pii import BASE, find_pii, rendered
+from .pii import ADDED, BASE, find_pii, rendered
 from .token_counts import count_tokens
 from .toxicity import score_toxicity
 
@@ -37,9 +37,10 @@ def op3_merkle_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_pii(table(spark, sf_dir, "documents"))
-    of_kind = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long")
-    counts = [of_kind(k).alias(f"n_{x}") for k, x in enumerate(BASE)]
-    return found.select("doc_id", *counts, F.sha2(rendered("base"), 256).alias("base_sha256"), rendered("spans").alias("spans"))
+    of_kind = lambda spans, k: F.size(F.filter(spans, lambda s: s["kind"] == k)).cast("long")
+    counts = [of_kind("base", k).alias(f"n_{x}") for k, x in enumerate(BASE)]
+    added = [of_kind("spans", k).alias(f"n_{x}") for k, x in enumerate(ADDED, len(BASE))]
+    return found.select("doc_id", *counts, F.sha2(rendered("base"), 256).alias("base_sha256"), rendered("spans").alias("spans"), *added)
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

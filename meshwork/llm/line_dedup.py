@@ -153,10 +153,14 @@ class Links:
         if new.isEmpty():
             return False
         self.found.append(new)
-        label = connected_components(reduce(DataFrame.unionByName, self.found), "a", "b")
-        self.label = label.withColumnRenamed("node", "key")
         return True
 
+    def relabel(self) -> None:
+        """Brings the components up to the links found; comparisons between may meet lines that are linked already."""
+        if self.found:
+            label = connected_components(reduce(DataFrame.unionByName, self.found), "a", "b")
+            self.label = label.withColumnRenamed("node", "key")
+
     def open_bands(self, rows: DataFrame, number: int) -> DataFrame:
         """(band, lead, lead_of, members) of the bands that hold several components; lead is a key of the largest one, another
         in each round."""
@@ -209,6 +213,7 @@ def compare_groups(rows: DataFrame, links: Links, rounds: int) -> DataFrame:
     for number in range(rounds):
         if not links.star(rows, number):
             break
+        links.relabel()
     left = links.named(rows).join(links.open_bands(rows, rounds).select("band", "members"), "band")
     left = links.scratch.written(left, "left")
     links.pairwise(left.where(F.col("members") <= FEW_MEMBERS))
@@ -218,9 +223,14 @@ def compare_groups(rows: DataFrame, links: Links, rounds: int) -> DataFrame:
 def find_links(rows: DataFrame, links: Links, rounds: int, n_rows: int) -> DataFrame | None:
     """(key, component) of all links among the members of a band, None if there are none: (band, number, key) rows."""
     large = compare_groups(rows, links, rounds)
-    if large.isEmpty():
-        return links.label
-    # rows of the band itself split nothing
+    if not large.isEmpty():
+        compare_large(large, links, rounds, n_rows)
+    links.relabel()
+    return links.label
+
+
+def compare_large(large: DataFrame, links: Links, rounds: int, n_rows: int) -> None:
+    """Links the members of (band, number, key) rows of large bands, which are split by rows that aren't the band's own."""
     low, high = F.col("i") * SPLIT_ROWS, F.col("i") * SPLIT_ROWS + SPLIT_ROWS - 1
     other = (high < F.col("number") * n_rows) | (low >= (F.col("number") + 1) * n_rows)
     split = large.join(links.signed.select("key", "splits"), "key").select("band", "number", "key", F.posexplode("splits").alias("i", "split")).where(other)
@@ -229,7 +239,6 @@ def find_links(rows: DataFrame, links: Links, rounds: int, n_rows: int) -> DataF
     keys = links.scratch.written(left.select("key").distinct(), "large")
     if not keys.isEmpty():
         links.by_rare_shingles(keys)
-    return links.label
 
 
 def line_components(

@@ -288,10 +288,14 @@ class Links:
         if new.isEmpty():
             return False
         self.found.append(new)
-        label = connected_components(reduce(DataFrame.unionByName, self.found), "a", "b")
-        self.label = label.withColumnRenamed("node", "class")
         return True
 
+    def relabel(self) -> None:
+        """Brings the components up to the links found."""
+        if self.found:
+            label = connected_components(reduce(DataFrame.unionByName, self.found), "a", "b")
+            self.label = label.withColumnRenamed("node", "class")
+
     def open_groups(self, rows: DataFrame, number: int) -> DataFrame:
         """(signature, lead, lead_n, lead_c, lead_of) of the groups that hold several components; lead is the class of the
         largest one, or of all if none is larger, with the fewest tokens of its own, after the first round any other."""
@@ -325,7 +329,9 @@ def find_links(rows: DataFrame, links: Links, rounds: int) -> DataFrame | None:
     for number in range(rounds):
         if not links.star(rows, number):
             break
+        links.relabel()
     links.outside(rows)
+    links.relabel()
     return links.label
 
 
@@ -334,7 +340,7 @@ def jaccard_components(
     k: int = 5,
     percent: int = 80,
     frequent_from: int = 64,
-    rounds: int = 2,
+    rounds: int = 1,
     most_bits: int = 1 << 26,
     block: int = 500_000,
     id_col: str = "doc_id",

@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+import inspect
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -49,6 +50,15 @@ def node_print(name: Column, kind: str = "node") -> Column:
     return sha_chain(F.concat(F.lit(f"{kind}::"), name))
 
 
+def callable_identity(f: Callable) -> str:
+    """What the print of a Python callable is made of: its name, signature and source text, or a mark for built-ins."""
+    try:
+        body = inspect.getsource(f)
+    except (OSError, TypeError):
+        body = f"<builtin:{f.__name__}>"
+    return f"{f.__name__}:{inspect.signature(f)}:{body}"
+
+
 def random_print(seed: Column) -> Column:
     return masked(F.transform(F.sequence(F.lit(0), F.lit(WORDS - 1)), lambda i: F.xxhash64(seed, i)))
 

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..schema import GATES
+from ..functions.fingerprints import sha_chain
+from ..schema import GATES, THINKING_STYLES
 
 # Rules of the blackboard (fixed values). A route for the words of a task, first match wins; the rest goes to the developer.
 ROUTES = [
@@ -22,6 +23,23 @@ DANGEROUS = {
 }
 
 
+# Code smells and the bounds beyond which they hold (fixed values).
+ANTIPATTERNS = {
+    "GOD_CLASS": "method_count > 20",
+    "LONG_METHOD": "lines > 50",
+    "FEATURE_ENVY": "external_calls > internal_calls",
+    "DATA_CLUMP": "repeated_param_groups > 2",
+    "PRIMITIVE_OBSESSION": "primitive_ratio > 0.8",
+    "SHOTGUN_SURGERY": "change_fan_out > 5",
+    "DIVERGENT_CHANGE": "change_reasons > 3",
+    "PARALLEL_INHERITANCE": "mirror_hierarchies > 0",
+    "LAZY_CLASS": "method_count < 3",
+    "SPECULATIVE_GENERALITY": "unused_abstractions > 0",
+}
+# Targets of the compliance ratios: each is to be above (fixed values).
+COMPLIANCE = {"spawn_rate": 0.3, "handover_completeness": 0.95, "context_overflow_prevention": 0.99}
+
+
 def active_blockers(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Blocker nodes that no RESOLVES edge points at."""
     solved = edges.where(F.col("type") == "RESOLVES").select(F.col("to_id").alias("id"))
@@ -104,3 +122,53 @@ def handover_markdown(row: dict) -> str:
         if row.get(key):
             parts.append("\n".join([f"## {title}", *(f"- {x}" for x in row[key])]))
     return "\n\n".join(p for p in parts if p)
+
+
+def is_positive(valence: Column) -> Column:
+    return valence > 0
+
+
+def is_intense(intensity: Column) -> Column:
+    return intensity > 0.7
+
+
+def is_resolved(resolved_at: Column) -> Column:
+    return resolved_at.isNotNull()
+
+
+def default_style(qidx: Column) -> Column:
+    """The thinking style of a node without one: the dimension qidx mod 7 alone."""
+    n = len(THINKING_STYLES)
+    return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.when(i == F.pmod(qidx.cast("int"), F.lit(n)), 1.0).otherwise(0.0).cast("float"))
+
+
+def antipatterns(df: DataFrame, name: str = "smells") -> DataFrame:
+    """df with the names of the code smells that its measures show; a missing or null measure shows none."""
+    shown = []
+    for smell, rule in ANTIPATTERNS.items():
+        needs = [w for w in rule.split() if w.isidentifier()]
+        if all(c in df.columns for c in needs):
+            shown.append(F.when(F.expr(rule), F.lit(smell)))
+    return df.withColumn(name, F.array_compact(F.array(*shown)) if shown else F.array().cast("array<string>"))
+
+
+def compliance(counts: DataFrame) -> DataFrame:
+    """(metric, value, target, met) from one row of counts; a ratio over nothing is null and not met."""
+    ratio = {
+        "spawn_rate": F.col("agent_spawns") / F.nullif("significant_tasks", F.lit(0)),
+        "handover_completeness": F.col("complete_handovers") / F.nullif("total_handovers", F.lit(0)),
+        "context_overflow_prevention": 1 - F.col("overflows") / F.nullif("sessions", F.lit(0)),
+    }
+    rows = F.array(*[F.struct(F.lit(m).alias("metric"), ratio[m].alias("value"), F.lit(t).alias("target")) for m, t in COMPLIANCE.items()])
+    each = counts.select(F.explode(rows).alias("r")).select("r.*")
+    return each.withColumn("met", F.coalesce(F.col("value") > F.col("target"), F.lit(False)))
+
+
+def agent_state_print(agent_id: Column, task: Column, context: Column) -> Column:
+    """The print of an agent's state; context is its JSON text, an agent without a task has the task "None"."""
+    return sha_chain(F.concat_ws(":", agent_id, F.coalesce(task, F.lit("None")), context))
+
+
+def edge_key(from_id: Column, kind: Column, to_id: Column) -> Column:
+    """The id that an edge has in transfer objects, which isn't the one of stored edges."""
+    return F.concat(from_id, F.lit("--"), kind, F.lit("-->"), to_id)

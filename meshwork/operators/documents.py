@@ -84,6 +84,10 @@ class Documents:
         first = F.col("id").isNull() if last is None else F.col("id").isNull() | (F.col("id") <= F.lit(last))
         return Documents(self.rows.where(first)), Documents(self.rows.where(~first))
 
+    def slice(self, start: int, stop: int) -> Documents:
+        """The documents from place start to before stop, by id."""
+        return Documents(self.rows.orderBy("id").offset(start).limit(max(0, stop - start)))
+
     def query(self) -> Query:
         return Query(self.rows)
 

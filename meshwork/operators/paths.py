@@ -103,6 +103,11 @@ def in_traversal_order(paths: DataFrame) -> DataFrame:
     return paths.orderBy("depth", F.desc("amplification"), "path")
 
 
+def most_amplified_first(paths: DataFrame) -> DataFrame:
+    """The other default order: more amplified paths first, of those the shorter ones."""
+    return paths.orderBy(F.desc("amplification"), "depth", "path")
+
+
 def amplified(paths: DataFrame, threshold: float = 2.0) -> DataFrame:
     """Paths that amplify by the threshold or more."""
     return paths.where(F.col("amplification") >= threshold)

@@ -209,9 +209,65 @@ def style_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.select("vec_id", F.round("distance", 6).alias("distance"))
 
 
+@query("""SELECT event_id, value > 50 AS positive, value > 0.7 AS intense, event_type = 'purchase' AS resolved, (event_id % 256 % 7)::INT AS dimension FROM events""")
+def typed_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = F.when(F.col("event_type") == "purchase", F.col("ts"))
+    style = F.array_position(F.transform(blackboard.default_style(F.col("event_id") % 256), lambda x: x.cast("int")), 1) - 1
+    return of(spark, sf_dir, "events").select(
+        "event_id", blackboard.is_positive(F.col("value") - 50).alias("positive"), blackboard.is_intense(F.col("value")).alias("intense"),
+        blackboard.is_resolved(kept).alias("resolved"), style.cast("int").alias("dimension"),
+    )
+
+
+@query("""SELECT p_partkey, concat_ws('|', CASE WHEN p_size > 20 THEN 'GOD_CLASS' END, CASE WHEN p_partkey % 90 > 50 THEN 'LONG_METHOD' END, CASE WHEN p_partkey % 11 > p_partkey % 5 THEN 'FEATURE_ENVY' END,
+CASE WHEN p_partkey % 4 > 2 THEN 'DATA_CLUMP' END, CASE WHEN p_retailprice / 1500 > 0.8 THEN 'PRIMITIVE_OBSESSION' END, CASE WHEN p_partkey % 9 > 5 THEN 'SHOTGUN_SURGERY' END,
+CASE WHEN p_partkey % 6 > 3 THEN 'DIVERGENT_CHANGE' END, CASE WHEN p_partkey % 2 > 0 THEN 'PARALLEL_INHERITANCE' END, CASE WHEN p_size < 3 THEN 'LAZY_CLASS' END) AS smells FROM part""")
+def antipatterns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The smells of parts, measures made of their columns; one measure is missing."""
+    n = F.col("p_partkey")
+    measured = of(spark, sf_dir, "part").select(
+        "p_partkey", F.col("p_size").alias("method_count"), (n % 90).alias("lines"), (n % 11).alias("external_calls"), (n % 5).alias("internal_calls"),
+        (n % 4).alias("repeated_param_groups"), (F.col("p_retailprice") / 1500).alias("primitive_ratio"), (n % 9).alias("change_fan_out"), (n % 6).alias("change_reasons"),
+        (n % 2).alias("mirror_hierarchies"),
+    )
+    return blackboard.antipatterns(measured).select("p_partkey", F.array_join("smells", "|").alias("smells"))
+
+
+@query("""WITH c AS (SELECT count(*) FILTER (event_type = 'signup') AS s, count(*) FILTER (event_type = 'click') AS t, count(*) FILTER (event_type = 'view' AND value > 1) AS h,
+count(*) FILTER (event_type = 'view') AS a, count(*) FILTER (event_type = 'error' AND value > 99) AS o, count(DISTINCT user_id) AS u FROM events)
+SELECT 'spawn_rate' AS metric, round(s / t, 9) AS value, s / t > 0.3 AS met FROM c UNION ALL SELECT 'handover_completeness', round(h / a, 9), h / a > 0.95 FROM c
+UNION ALL SELECT 'context_overflow_prevention', round(1 - o / u, 9), 1 - o / u > 0.99 FROM c""")
+def compliance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kind, value = F.col("event_type"), F.col("value")
+    counts = of(spark, sf_dir, "events").agg(
+        F.count_if(kind == "signup").alias("agent_spawns"), F.count_if(kind == "click").alias("significant_tasks"), F.count_if((kind == "view") & (value > 1)).alias("complete_handovers"),
+        F.count_if(kind == "view").alias("total_handovers"), F.count_if((kind == "error") & (value > 99)).alias("overflows"), F.countDistinct("user_id").alias("sessions"),
+    )
+    return blackboard.compliance(counts).select("metric", F.round("value", 9).alias("value"), "met")
+
+
+@query(f"""WITH {_prints('p', "(SELECT n_nationkey, 'a' || n_nationkey || ':' || CASE WHEN n_nationkey % 2 = 0 THEN 'None' ELSE n_name END || ':' || '{}' AS t FROM nation)", 'n_nationkey', 't')}
+SELECT id AS agent, list_sum(list_transform(w, lambda x: bit_count(x)::INT))::INT AS ones FROM p""")
+def agent_prints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    task = F.when(F.col("n_nationkey") % 2 != 0, F.col("n_name"))
+    own = blackboard.agent_state_print(F.concat(F.lit("a"), "n_nationkey"), task, F.lit("{}"))
+    return of(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("agent"), bits.popcount(own).alias("ones"))
+
+
+@query(f"""{WITH_GRAPH} SELECT from_id || '--' || type || '-->' || to_id AS id FROM transitions""")
+def edge_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return transitions(spark, sf_dir).select(blackboard.edge_key(F.col("from_id"), F.col("type"), F.col("to_id")).alias("id"))
+
+
 # logs, documents, joins
 
 
+@query("SELECT doc_id::VARCHAR AS id FROM documents ORDER BY doc_id::VARCHAR LIMIT 30 OFFSET 20")
+def document_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return documents.Documents(of(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("id"))).slice(20, 50).rows
+
+
+
 @query("SELECT event_type AS atom, count(*)::BIGINT AS calls, round(sum(value), 4) AS total_ns, round(avg(value), 6) AS mean_ns FROM events GROUP BY event_type")
 def execution_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = dag.execution_stats(of(spark, sf_dir, "events").select(F.col("event_type").alias("atom"), F.col("value").alias("ns")))

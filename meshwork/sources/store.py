@@ -5,6 +5,8 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 
+from py4j.java_gateway import JavaObject
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,7 +24,11 @@ def connect(spark: SparkSession, path: str, create: bool = True, read_only: bool
 
 
 class Store:
-    """A folder of table/v=N Parquet snapshots. Reads take the newest version unless one is checked out."""
+    """A folder of table/v=N Parquet snapshots. Reads take the newest version unless one is checked out.
+
+    Each append is a folder of its own, so append many rows at a time; add_node and add_edge are for a few. A version is
+    claimed by making its folder, so that of two writers at once the later one takes the next number.
+    """
 
     def __init__(self, spark: SparkSession, path: str, create: bool = True, read_only: bool = False, version: int | None = None):
         self.spark, self.path, self.read_only, self.version = spark, path.rstrip("/"), read_only, version
@@ -58,9 +64,22 @@ class Store:
         if self.read_only or self.version is not None:
             raise PermissionError("this store is read-only")
         version = max(self._versions(name), default=-1) + 1
+        hadoop = self.spark._jvm.org.apache.hadoop.fs
+        fs = hadoop.Path(self.path).getFileSystem(self.spark._jsc.hadoopConfiguration())
+        # a marker that only one writer can create
+        while not self._claimed(fs, hadoop.Path(f"{self.path}/{name}/_claims/v={version}")):
+            version += 1
         schema.conform(df, schema.get_schema(name)).write.parquet(f"{self.path}/{name}/v={version}")
         return version
 
+    @staticmethod
+    def _claimed(fs: JavaObject, marker: JavaObject) -> bool:
+        """Whether this writer made the marker, which fails where it is there already."""
+        try:
+            return fs.createNewFile(marker)
+        except Py4JJavaError:
+            return False
+
     def add_nodes(self, df: DataFrame) -> int:
         defaults = {c: F.coalesce(F.col(c), F.lit(v)) if c in df.columns else F.lit(v) for c, v in NODE_DEFAULTS.items()}
         style = F.array(*[F.lit(0.5)] * 7)

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, Scratch, kept, nothing, text_of
+from .common import Memo, Scratch, in_arrow, kept, nothing, text_of
 
 #: Scripts that are written without blanks: each character is a word.
 UNSPACED = "฀-໿က-႟ក-៿぀-ヿ㐀-鿿豈-﫿\U00020000-\U0003ffff"
@@ -210,7 +210,7 @@ def candidates(docs: DataFrame, bench: Bench) -> DataFrame:
                     ["doc_id", "item_id", "start_word", "found"],
                 )
 
-    return docs.mapInArrow(run, CANDIDATES)
+    return in_arrow(docs, "decontamination", run, CANDIDATES)
 
 
 def contaminated(

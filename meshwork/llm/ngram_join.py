@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, Scratch, kept, nothing, task_count, text_of
+from .common import Memo, Scratch, in_arrow, kept, nothing, task_count, text_of
 from .components import connected_components
 
 #: Texts whose sets are made at a time.
@@ -90,7 +90,7 @@ def prefix_tokens(docs: DataFrame, k: int, percent: int) -> DataFrame:
                 tokens = np.concatenate(least).view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(tokens), pa.array(np.repeat(marks, [len(x) for x in least]))], ["token", "class"])
 
-    return docs.select("text").mapInArrow(run, "token long, class long")
+    return in_arrow(docs.select("text"), "ngram_join", run, "token long, class long")
 
 
 def class_of(s: np.ndarray) -> int:
@@ -154,7 +154,7 @@ def classed(docs: DataFrame, shared: Bitmap, k: int, percent: int) -> DataFrame:
                     ], ["doc_id", "n", "class", "tokens"],
                 )
 
-    return docs.mapInArrow(run, "doc_id long, n long, class long, tokens array<long>")
+    return in_arrow(docs, "ngram_join", run, "doc_id long, n long, class long, tokens array<long>")
 
 
 def size_bands(n: int) -> list[int]:
@@ -222,7 +222,7 @@ def signature_rows(sets: DataFrame, frequent: list[DataFrame], repeated: Bitmap,
                     out.append((np.frombuffer(f or bytes(len(s)), bool) | (often[place] == s)).tobytes())
                 yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("class", "n", "tokens")), pa.array(out, pa.binary())], ["class", "n", "tokens", "frequent"])
 
-        marked = marked.mapInArrow(mark, "class long, n long, tokens array<long>, frequent binary")
+        marked = in_arrow(marked, "ngram_join", mark, "class long, n long, tokens array<long>, frequent binary")
     sent_bits = spark.sparkContext.broadcast(repeated)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -239,7 +239,7 @@ def signature_rows(sets: DataFrame, frequent: list[DataFrame], repeated: Bitmap,
             rows = [np.concatenate(own).view(np.int64), *ids, np.array(n_common, dtype=np.int64)]
             yield pa.RecordBatch.from_arrays([*map(pa.array, rows)], ["signature", "class", "n", "c"])
 
-    return marked.mapInArrow(run, "signature long, class long, n long, c long")
+    return in_arrow(marked, "ngram_join", run, "signature long, class long, n long, c long")
 
 
 def with_sides(pairs: DataFrame, sets: DataFrame, column: str) -> DataFrame:

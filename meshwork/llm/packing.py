@@ -22,10 +22,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Memo, kept, task_count, text_of, written
+from .common import Memo, in_arrow, kept, task_count, text_of, written
 
 #: Longer chunks and words aren't remembered.
 LONGEST = 48
+#: Bytes of memory of the memo of words, which cost most to make.
+WORD_BYTES = 64 << 20
 #: Texts encoded at a time.
 SLICE = 256
 #: Punctuation that may stand around a word.
@@ -60,7 +62,7 @@ class WordEncoder:
         self.model.no_truncation()
         self.model.no_padding()
         self.kind = "<u2" if self.model.get_vocab_size() <= 0x10000 else "<u4"
-        self.chunks, self.words = Memo(self.chunk, longest=LONGEST), Memo(self.word, longest=LONGEST)
+        self.chunks, self.words = Memo(self.chunk, longest=LONGEST), Memo(self.word, longest=LONGEST, most=WORD_BYTES)
         self.letters = byte_letters()
         probe = "The  quick\nbrown fox's 12 dogs.\n\n(Été) "
         self.apart = self.whole(probe) == b"".join(self.whole(x) for x in probe.replace("\n", " ").split(" "))
@@ -110,7 +112,7 @@ def tokenized(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: str, te
                 yield pa.RecordBatch.from_arrays([part.column("uid"), part.column("doc_id"), n, pa.array(ids, pa.binary())], ["uid", "doc_id", "n", "ids"])
 
     rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
-    return rows.mapInArrow(run, IDS_SCHEMA)
+    return in_arrow(rows, "packing", run, IDS_SCHEMA)
 
 
 def best_pattern(units: np.ndarray, value: np.ndarray, room: int) -> tuple[float, np.ndarray]:
@@ -201,6 +203,7 @@ def pack(
         raise ValueError("size must be a power of two and a multiple of step")
     spark = docs.sparkSession
     held = written(tokenized(docs, tokenizer_path, end_id, id_col, text_col), "ids")
+    kind = WordEncoder(tokenizer_path).kind
     n_salts = task_count(spark)
     rest = (F.col("n") % size).alias("rest")
     lengths = held.select("uid", "n", rest, F.pmod(F.xxhash64("uid"), F.lit(n_salts)).alias("salt"))
@@ -269,7 +272,6 @@ def pack(
     stream_base, tail = sequence_base, stream - stream % size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = encoder(tokenizer_path).kind
         for b in (part.slice(lo, SLICE) for part in batches for lo in range(0, part.num_rows, SLICE)):
             out: list[tuple] = []
             for r in b.to_pylist():
@@ -295,4 +297,4 @@ def pack(
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
 
     joined = held.join(placed, "uid").select("doc_id", "n", "ids", "full_id", "sequence", "at", "stream_at")
-    return joined.mapInArrow(run, PIECES_SCHEMA)
+    return in_arrow(joined, "packing", run, PIECES_SCHEMA)

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of, written
+from .common import in_arrow, text_of, written
 
 #: Base kinds in their order, then the kinds that the method adds.
 BASE = ("email", "ip", "card", "phone")
@@ -150,7 +150,8 @@ def extracted(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 extra.append(candidates(t, found))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(base, kinds.field("base").type), pa.array(extra, kinds.field("extra").type)], schema=kinds)
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text")).mapInArrow(run, schema)
+    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
+    return in_arrow(own, "pii", run, schema)
 
 
 def estimate_reliabilities(patterns: dict[str, int], rounds: int = 50, trust: tuple[float, ...] | None = None) -> tuple[float, np.ndarray, dict[str, float]]:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Memo, kept, nothing, shared_dir, text_of
+from .common import Memo, in_arrow, kept, nothing, shared_dir, text_of
 
 CACHE_SCHEMA = "content string, tokenizer string, n_tokens long"
 #: Texts counted at a time.
@@ -100,7 +100,7 @@ def encode_counts(misses: DataFrame, tokenizer_path: str, version: str) -> DataF
                     [part.column("content"), pa.array([version] * len(n), pa.string()), pa.array(n, pa.int64())], ["content", "tokenizer", "n_tokens"]
                 )
 
-    return misses.select("content", "text").mapInArrow(run, CACHE_SCHEMA)
+    return in_arrow(misses.select("content", "text"), "token_counts", run, CACHE_SCHEMA)
 
 
 def read_cache(spark: SparkSession, cache_path: str) -> DataFrame:

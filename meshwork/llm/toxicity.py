@@ -19,14 +19,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, Scratch, kept, text_of
+from .common import Memo, Scratch, in_arrow, kept, text_of
 from .pii import fit_logistic
 
 WORD = re.compile(r"[^\W\d_]+")
 #: Insults that vote whether or not labelled rows hold them (fixed values).
 LEXICON = "idiot moron stupid scum loser pathetic worthless disgusting trash clown imbecile dumbass bastard retard asshole idiota imbécil estúpido crétin salaud connard abruti trottel arschloch dummkopf".split()
 #: Texts whose patterns a task counts at a time.
-SLICE = 500
+SLICE = 100
 #: Lengths of beginnings and ends of words that may become voters.
 AFFIXES = (3, 4, 5, 6)
 
@@ -95,7 +95,7 @@ def pattern_counts(rows: DataFrame) -> DataFrame:
                 [pa.array(names, pa.string()), *(pa.array([count[y][p] for p in names], pa.int64()) for y in (1, 0))], ["pattern", "toxic", "clean"]
             )
 
-    each = rows.select("text", "toxic").mapInArrow(run, "pattern string, toxic long, clean long")
+    each = in_arrow(rows.select("text", "toxic"), "toxicity", run, "pattern string, toxic long, clean long")
     return each.groupBy("pattern").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
 
@@ -144,7 +144,8 @@ def votes_of(docs: DataFrame, voters: list[str], id_col: str, text_col: str) ->
             hit = [own.votes(t.as_py()) for t in b.column("text")]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(hit, pa.list_(pa.int32()))], ["doc_id", "votes"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text")).mapInArrow(run, "doc_id long, votes array<int>")
+    own_columns = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
+    return in_arrow(own_columns, "toxicity", run, "doc_id long, votes array<int>")
 
 
 def weighed(votes: Column, weights: np.ndarray, bias: float) -> Column:

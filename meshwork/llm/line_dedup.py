@@ -27,8 +27,6 @@ STRIDE = 16
 SKETCHED = 32
 #: Rows of the signature by which large bands are split.
 SPLIT_ROWS = 3
-#: Cells in which shingles are counted to put the rare ones first.
-CELLS = 1 << 18
 #: White space besides the blank, as in a pattern's class.
 WHITE = r"\t\n\x0b\f\r\x1c-\x1f\x85\xa0  -     　"
 #: What a line with such white space holds: characters, and the two bytes with which those of general punctuation begin.
@@ -161,18 +159,20 @@ class Links:
             label = connected_components(reduce(DataFrame.unionByName, self.found), "a", "b")
             self.label = label.withColumnRenamed("node", "key")
 
-    def open_bands(self, rows: DataFrame, number: int) -> DataFrame:
-        """(band, lead, lead_of, members) of the bands that hold several components; lead is a key of the largest one, another
-        in each round."""
-        parts = self.named(rows).groupBy("band", "of").agg(F.count("*").alias("n"), F.min_by("key", F.xxhash64("key", F.lit(number))).alias("lead"))
-        bands = parts.groupBy("band").agg(
-            F.max_by("lead", "n").alias("lead"), F.max_by("of", "n").alias("lead_of"), F.sum("n").alias("members"), F.count("*").alias("parts")
+    def open_bands(self, rows: DataFrame) -> DataFrame:
+        """(band, lead, lead_of, members) of the bands that hold several components; lead is the line of the largest one, or of
+        all if none is larger, that most documents repeat: others are likely to be copies of it."""
+        weight = F.shiftleft(F.least(F.col("n"), F.lit(1 << 30)), 32).bitwiseOR(F.xxhash64("key").bitwiseAND(F.lit((1 << 32) - 1)))
+        parts = self.named(rows).withColumn("weight", weight).groupBy("band", "of").agg(
+            F.count("*").alias("m"), F.max_by("key", "weight").alias("lead"), F.max("weight").alias("weight")
         )
-        return bands.where("parts > 1").drop("parts")
+        best = F.max(F.struct("m", "weight", "lead", F.col("of").alias("lead_of")))
+        bands = parts.groupBy("band").agg(best.alias("best"), F.sum("m").alias("members"))
+        return bands.where(F.col("best.m") < F.col("members")).select("band", "best.lead", "best.lead_of", "members")
 
-    def star(self, rows: DataFrame, number: int) -> bool:
+    def star(self, rows: DataFrame) -> bool:
         """Compares the members of open bands with a leader, unless they are linked already; whether that linked any."""
-        led = self.named(rows).join(self.open_bands(rows, number), "band").where(F.col("of") != F.col("lead_of"))
+        led = self.named(rows).join(self.open_bands(rows), "band").where(F.col("of") != F.col("lead_of"))
         return self.compare(led.select("key", F.col("lead").alias("other")))
 
     def pairwise(self, rows: DataFrame) -> None:
@@ -181,61 +181,58 @@ class Links:
         self.compare(rows.join(other, "band").where((F.col("key") > F.col("other")) & (F.col("of") != F.col("of_other"))))
 
     def by_rare_shingles(self, keys: DataFrame) -> None:
-        """Compares lines wherever they share a rare shingle, unless they are linked already.
+        """Compares lines wherever they share a rare shingle and may share enough, unless they are linked already.
 
         Of n shingles in any order a line shares one among its first n - similarity * n + 1 with every larger linked one,
-        which has it among its own so many; the smaller line of a pair needs still fewer. The order is by the counts of
-        cells that shingles are hashed to, a table of bounded size.
+        which has it among its own so many; the smaller line of a pair needs still fewer. In the order by number of lines
+        a shingle's rank bounds what is shared from the first shared one on; those of one line only come first.
         """
         own = keys.join(self.texts, "key").select("key", once(wide(F.col("line")), "wide"))
         own = own.select("key", "wide", F.explode(F.sequence(F.lit(1), last_start(F.col("wide"), self.chars))).alias("start"))
-        each = own.select("key", shingle_at(F.col("wide"), F.col("start"), self.chars).alias("shingle")).distinct()
-        each = each.withColumn("cell", F.col("shingle").bitwiseAND(F.lit(CELLS - 1)))
-        cells = self.scratch.written(each.groupBy("cell").agg(F.count("*").alias("often")), "cells")
+        each = self.scratch.written(own.select("key", shingle_at(F.col("wide"), F.col("start"), self.chars).alias("shingle")).distinct(), "shingles")
+        often = each.groupBy("shingle").agg(F.count("*").alias("often"))
         by_key = Window.partitionBy("key")
-        ranked = each.join(F.broadcast(cells), "cell").select(
-            "key", "shingle", F.row_number().over(by_key.orderBy("often", "shingle")).alias("rank"), F.count("*").over(by_key).alias("n")
+        ranked = each.join(often, "shingle").select(
+            "key", "shingle", "often", F.row_number().over(by_key.orderBy("often", "shingle")).alias("rank"), F.count("*").over(by_key).alias("n")
         )
         needed = lambda part: F.col("n") - F.ceil(F.col("n") * part - 1e-9) + 1
         indexed = F.col("rank") <= needed(2 * self.similarity / (1 + self.similarity))
-        rows = ranked.where(F.col("rank") <= needed(self.similarity)).select("shingle", "key", "n", indexed.alias("indexed"))
-        rows = self.scratch.written(rows, "rare")
-        shared = rows.groupBy("shingle").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo <> hi").select("shingle")
-        left = self.named(rows.join(shared, "shingle", "left_semi"))
-        other = left.where("indexed").select("shingle", F.col("key").alias("other"), F.col("n").alias("n_other"), F.col("of").alias("of_other"))
-        order = (F.col("n") > F.col("n_other")) | ((F.col("n") == F.col("n_other")) & (F.col("key") > F.col("other")))
-        pairs = left.join(other, "shingle").where(order & (F.col("of") != F.col("of_other")) & (F.col("n_other") >= self.similarity * F.col("n")))
-        self.compare(pairs.select("key", "other"))
-
-
-def compare_groups(rows: DataFrame, links: Links, rounds: int) -> DataFrame:
-    """Links the members of the groups `band` of (band, key, ...) rows; the rows of those too large to be compared in full."""
-    for number in range(rounds):
-        if not links.star(rows, number):
-            break
+        kept = ranked.where((F.col("rank") <= needed(self.similarity)) & (F.col("often") > 1))
+        left = self.named(self.scratch.written(kept.select("shingle", "key", "n", "rank", indexed.alias("indexed")), "rare"))
+        other = left.where("indexed").select("shingle", *[F.col(c).alias(f"{c}_b") for c in ("key", "n", "rank", "of")])
+        order = (F.col("n") > F.col("n_b")) | ((F.col("n") == F.col("n_b")) & (F.col("key") > F.col("key_b")))
+        most = 1 + F.least(F.col("n") - F.col("rank"), F.col("n_b") - F.col("rank_b"))
+        enough = (1 + self.similarity) * most >= self.similarity * (F.col("n") + F.col("n_b")) - 1e-9
+        pairs = left.join(other, "shingle").where(order & enough & (F.col("of") != F.col("of_b")))
+        self.compare(pairs.select("key", F.col("key_b").alias("other")))
+
+
+def compare_groups(rows: DataFrame, links: Links) -> DataFrame:
+    """Links the members of the groups `band` of (band, key, n, ...) rows; the rows of those too large to be compared in full."""
+    if links.star(rows):
         links.relabel()
-    left = links.named(rows).join(links.open_bands(rows, rounds).select("band", "members"), "band")
+    left = links.named(rows).join(links.open_bands(rows).select("band", "members"), "band")
     left = links.scratch.written(left, "left")
     links.pairwise(left.where(F.col("members") <= FEW_MEMBERS))
     return left.where(F.col("members") > FEW_MEMBERS).drop("of", "members")
 
 
-def find_links(rows: DataFrame, links: Links, rounds: int, n_rows: int) -> DataFrame | None:
-    """(key, component) of all links among the members of a band, None if there are none: (band, number, key) rows."""
-    large = compare_groups(rows, links, rounds)
+def find_links(rows: DataFrame, links: Links, n_rows: int) -> DataFrame | None:
+    """(key, component) of all links among the members of a band, None if there are none: (band, number, key, n) rows."""
+    large = compare_groups(rows, links)
     if not large.isEmpty():
-        compare_large(large, links, rounds, n_rows)
+        compare_large(large, links, n_rows)
     links.relabel()
     return links.label
 
 
-def compare_large(large: DataFrame, links: Links, rounds: int, n_rows: int) -> None:
-    """Links the members of (band, number, key) rows of large bands, which are split by rows that aren't the band's own."""
+def compare_large(large: DataFrame, links: Links, n_rows: int) -> None:
+    """Links the members of (band, number, key, n) rows of large bands, which are split by rows that aren't the band's own."""
     low, high = F.col("i") * SPLIT_ROWS, F.col("i") * SPLIT_ROWS + SPLIT_ROWS - 1
     other = (high < F.col("number") * n_rows) | (low >= (F.col("number") + 1) * n_rows)
-    split = large.join(links.signed.select("key", "splits"), "key").select("band", "number", "key", F.posexplode("splits").alias("i", "split")).where(other)
-    split = links.scratch.written(split.select(F.xxhash64("band", "i", "split").alias("band"), "key"), "split")
-    left = compare_groups(split, links, rounds)
+    split = large.join(links.signed.select("key", "splits"), "key").select("band", "number", "key", "n", F.posexplode("splits").alias("i", "split")).where(other)
+    split = links.scratch.written(split.select(F.xxhash64("band", "i", "split").alias("band"), "key", "n"), "split")
+    left = compare_groups(split, links)
     keys = links.scratch.written(left.select("key").distinct(), "large")
     if not keys.isEmpty():
         links.by_rare_shingles(keys)
@@ -249,7 +246,6 @@ def line_components(
     rows: int = 4,
     min_chars: int = 16,
     exact_from: int = 1,
-    rounds: int = 1,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
@@ -261,22 +257,22 @@ def line_components(
     lines. Extra columns are ignored, an empty table gives no rows. Lines of similarity s share a band with probability
     1 - (1 - s**rows)**bands, 0.991 at 0.8, and are then compared, but for pairs whose sketches differ by three deviations
     more than such similar lines' do, however many lines share it: large bands are split in ten ways, of which similar
-    lines share one with probability 0.999. rounds is the number of leaders of a band; it changes the work only. Keys
-    have 64 bits.
+    lines share one with probability 0.999. Keys have 64 bits.
     """
     spark = docs.sparkSession
     n_buckets = min(2 * task_count(spark), 20_000)
     lines = lines_of(docs, max(1, exact_from), id_col, text_col).withColumn("key", F.xxhash64("line"))
     place = F.struct("doc_id", "line_no")
     with Scratch(spark) as scratch:
-        held = lines.groupBy("key").agg(F.first("line").alias("line"), F.min(place).alias("first"), F.max(place).alias("last"))
+        held = lines.groupBy("key").agg(F.first("line").alias("line"), F.min(place).alias("first"), F.max(place).alias("last"), F.count("*").alias("n"))
         held = scratch.bucketed(held, "lines", "key", n_buckets)
         texts = held.where(F.length("line") >= min_chars).select("key", "line")
-        signed = scratch.written(sketched(signatures(texts, chars, bands * rows), bands, rows), "signed")
-        banded = signed.select("key", F.posexplode("bands").alias("number", "band"))
+        signed = sketched(signatures(texts, chars, bands * rows), bands, rows).join(held.select("key", "n"), "key")
+        signed = scratch.written(signed, "signed")
+        banded = signed.select("key", "n", F.posexplode("bands").alias("number", "band"))
         wanted = banded.groupBy("band").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo <> hi").select("band")
         banded = scratch.written(banded.join(wanted, "band", "left_semi"), "banded")
-        label = find_links(banded, Links(scratch, texts, signed, chars, similarity, bands * rows), rounds, rows)
+        label = find_links(banded, Links(scratch, texts, signed, chars, similarity, bands * rows), rows)
 
         # a component's lines are reckoned from one row for each key, whatever number of lines have it
         own = held.select("key", "first", "last")

@@ -25,11 +25,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, Scratch, in_arrow, kept, nothing, task_count, text_of
+from .common import Memo, Scratch, give_back, in_arrow, kept, nothing, task_count, text_of
 from .components import connected_components
 
 #: Texts whose sets are made at a time.
 SLICE = 64
+#: Words of a Bloom filter that the driver reads at a time.
+READ_WORDS = 1 << 16
 #: Tokens below this make up a set's head, a quarter of it on average.
 HEAD = -(1 << 62)
 SIGN = np.uint64(1 << 63)
@@ -100,16 +102,20 @@ def class_of(s: np.ndarray) -> int:
 class Bitmap:
     """A set of tokens as a Bloom filter of a bounded number of bits: it may hold more than was put in, never less.
 
-    Tokens are hashes, so three stretches of their own bits are three places.
+    Tokens are hashes, so three stretches of their own bits are three places. The driver reads the bits in slices.
     """
 
-    def __init__(self, tokens: DataFrame, most_bits: int):
+    def __init__(self, scratch: Scratch, tokens: DataFrame, most_bits: int):
         self.log = max(12, min(most_bits.bit_length() - 1, (64 * tokens.count()).bit_length()))
         place = F.explode(F.array(*[F.shiftrightunsigned("token", shift).bitwiseAND(F.lit((1 << self.log) - 1)) for shift in self.shifts()]))
         bits = tokens.select(place.alias("place")).select(F.shiftright("place", 6).alias("w"), F.expr("shiftleft(1L, cast(place & 63 as int))").alias("bit"))
-        rows = bits.groupBy("w").agg(F.bit_or("bit").alias("bits")).toPandas()
+        rows = scratch.written(bits.groupBy("w").agg(F.bit_or("bit").alias("bits")), "bits")
         self.words = np.zeros(1 << (self.log - 6), dtype=np.int64)
-        self.words[rows["w"].to_numpy()] = rows["bits"].to_numpy()
+        for lo in range(0, len(self.words), READ_WORDS):
+            part = rows.where((F.col("w") >= lo) & (F.col("w") < lo + READ_WORDS)).toPandas()
+            self.words[part["w"].to_numpy()] = part["bits"].to_numpy()
+        del part
+        give_back()
 
     def shifts(self) -> list[int]:
         return [64 - self.log, (64 - self.log) // 2, 0]
@@ -341,8 +347,8 @@ def jaccard_components(
     percent: int = 80,
     frequent_from: int = 64,
     rounds: int = 1,
-    most_bits: int = 1 << 26,
-    block: int = 500_000,
+    most_bits: int = 1 << 25,
+    block: int = 250_000,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
@@ -360,7 +366,7 @@ def jaccard_components(
     with Scratch(spark) as scratch:
         ends = prefix_tokens(read, k, percent).groupBy("token").agg(F.min("class").alias("lo"), F.max("class").alias("hi"))
         shared = scratch.written(ends.where(F.col("lo") != F.col("hi")).select("token"), "shared")
-        held = scratch.written(classed(read, Bitmap(shared, most_bits), k, percent), "classes")
+        held = scratch.written(classed(read, Bitmap(scratch, shared, most_bits), k, percent), "classes")
         of_class = held.where(F.col("tokens").isNotNull()).groupBy("class").agg(F.first("n").alias("n"), F.first("tokens").alias("tokens"))
         head = F.filter("tokens", lambda t: t < HEAD)
         sets = scratch.bucketed(of_class.withColumn("head", head), "sets", "class", task_count(spark))
@@ -370,7 +376,7 @@ def jaccard_components(
         often = counts.where(F.col("n") >= frequent_from).select("token")
         n_blocks = -(-often.count() // block)
         blocks = [often.where(F.pmod(F.xxhash64("token"), F.lit(n_blocks)) == i) for i in range(n_blocks)]
-        repeated = Bitmap(counts.select(F.col("token").bitwiseXOR(F.lit(-(1 << 63))).alias("token")), most_bits)
+        repeated = Bitmap(scratch, counts.select(F.col("token").bitwiseXOR(F.lit(-(1 << 63))).alias("token")), most_bits)
         rows = scratch.written(signature_rows(sets, blocks, repeated, percent), "signatures")
         label = find_links(rows, Links(scratch, sets, percent), rounds)
 

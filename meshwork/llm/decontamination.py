@@ -31,11 +31,13 @@ LEAST_WORDS = 5
 RUN_SHARE, SMALL = 0.1, 8
 #: By how many parts of its length a stretch may be shorter or longer than the item.
 STRETCHES = (0, -1 / 16, 1 / 16, -1 / 8, 1 / 8)
+#: By how many parts of the item's length, a word at least, it may begin before or after where a walk met it.
+SHIFTS = (0, -1 / 32, 1 / 32, -1 / 16, 1 / 16)
 #: Texts walked at a time.
 SLICE = 256
 #: Windows walked at a time.
 AT_A_TIME = 4096
-CANDIDATES = "doc_id long, item_id long, start_word long, found array<string>"
+CANDIDATES = "doc_id long, item_id long, start_word long, found array<struct<start: long, text: string>>"
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -182,8 +184,10 @@ class Bench:
         """(first word, end) of what is compared with an item that a text of n_words words may hold from start on; the one of
         as many words comes first."""
         n = self.sizes[item]
-        ends = [start + n + (round(share * n) if n >= LEAST_WORDS else 0) for share in STRETCHES]
-        return list(dict.fromkeys((start, min(e, n_words)) for e in ends))
+        if n < LEAST_WORDS:
+            return [(start, start + n)]
+        begins = [max(0, start + (int(np.copysign(max(1, round(abs(p) * n)), p)) if p else 0)) for p in SHIFTS]
+        return list(dict.fromkeys((b, min(b + n + round(p * n), n_words)) for b in begins for p in STRETCHES))
 
 
 def candidates(docs: DataFrame, bench: Bench) -> DataFrame:
@@ -203,10 +207,10 @@ def candidates(docs: DataFrame, bench: Bench) -> DataFrame:
             lengths = np.array([len(w) for w in texts], dtype=np.int64)
             begins = np.cumsum(lengths + len(pad)) - lengths - len(pad)
             met = sorted(own.met(np.array(flat, dtype=np.uint64), begins, lengths))
-            rows = [(ids[d], i, s, [" ".join(texts[d][x:e]) for x, e in own.stretches(i, s, len(texts[d]))]) for d, i, s in met]
+            rows = [(ids[d], i, s, [{"start": x, "text": " ".join(texts[d][x:e])} for x, e in own.stretches(i, s, len(texts[d]))]) for d, i, s in met]
             if rows:
                 yield pa.RecordBatch.from_arrays(
-                    [*(pa.array([r[c] for r in rows], pa.int64()) for c in range(3)), pa.array([r[3] for r in rows], pa.list_(pa.string()))],
+                    [*(pa.array([r[c] for r in rows], pa.int64()) for c in range(3)), pa.array([r[3] for r in rows], pa.list_(pa.struct([("start", pa.int64()), ("text", pa.string())])))],
                     ["doc_id", "item_id", "start_word", "found"],
                 )
 
@@ -217,7 +221,7 @@ def contaminated(
     docs: DataFrame,
     benchmark: DataFrame,
     most_edits: float = 0.25,
-    n_repetitions: int = 60,
+    n_repetitions: int = 80,
     n_samples: int = 4,
     block: int = 10_000,
     block_bytes: int = 8 << 20,
@@ -248,12 +252,12 @@ def contaminated(
                 continue
             texts = spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id long, item string")
             each = candidates(read, Bench(items, n_repetitions, n_samples)).distinct().join(F.broadcast(texts), "item_id")
-            # other stretches are nearer than the first one by their difference in length at most
+            # other stretches are nearer than the first one by the words between their ends at most, about a fifth of the item
             bound = F.floor(F.length("item") * most_edits).cast("int")
-            slack = F.array_max(F.transform("found", lambda x: F.abs(F.length(x) - F.length(F.get("found", F.lit(0))))))
-            each = each.withColumn("bound", bound).withColumn("first", F.get("found", F.lit(0))).withColumn("slack", F.col("bound") + slack)
-            near = each.where(F.expr("levenshtein(first, item, slack)") >= 0).withColumn("stretch", F.explode("found"))
-            near = near.withColumn("edits", F.expr("levenshtein(stretch, item, bound)"))  # -1 beyond the bound
+            each = each.withColumn("bound", bound).withColumn("slack", F.col("bound") + F.ceil(F.length("item") / 5).cast("int"))
+            first = each.withColumn("first", F.get("found", F.lit(0))["text"]).where(F.expr("levenshtein(first, item, slack)") >= 0)
+            near = first.withColumn("stretch", F.explode("found")).withColumn("start_word", F.col("stretch.start"))
+            near = near.withColumn("edits", F.expr("levenshtein(stretch.text, item, bound)"))  # -1 beyond the bound
             near = near.where(F.col("edits") >= 0).withColumn("similarity", 1 - F.col("edits") / F.length("item"))
             best = near.groupBy("doc_id", "item_id").agg(F.min(F.struct("edits", "start_word", "similarity")).alias("b"))
             own = scratch.written(best.select("doc_id", "item_id", "b.start_word", "b.edits", "b.similarity"), "found", keep=True)

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -100,29 +100,33 @@ def bound(df: DataFrame, words: str, *keys: str) -> DataFrame:
     return _gathered(each.groupBy(*keys, "i").agg(F.bit_xor("w").alias("w")), words, *keys)
 
 
-def bundled(df: DataFrame, words: str, *keys: str) -> DataFrame:
-    """The majority of each bit over a group's prints, ties to 0, as (keys, words).
+#: Two counters of 32 bits to a long: bit j of a word counts in the lower half of long j, bit j + 32 in its upper half.
+HALF, PAIR = 32, 0x0000000100000001
+
+
+def counted(df: DataFrame, words: str, *keys: str) -> DataFrame:
+    """(keys, i, n, counts): how many of a group's prints have each bit of word i, as 32 longs of two counters each.
 
-    Bits are counted eight words' worth to a row in Arrow batches and summed by Spark, so a group of any size is spread over
-    all tasks. Null prints don't count.
+    Counters are added as packed longs: masking a word by bits j and j + 32 gives an addend, so 32 sums a word count all
+    its 64 bits. Spark adds them up in generated code before it shuffles, and a row for each word, not for each bit, is
+    what moves. A group may have 2**31 - 1 prints. Null prints don't count.
     """
-    fields = [f"{c} {t}" for c, t in df.select(*keys).dtypes]
-    schema = ", ".join([*fields, "i int", "n long", "counts array<long>"])
-
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            groups = b.groupby(list(keys), dropna=False) if keys else [((), b)]
-            for key, own in groups:
-                bits = np.unpackbits(np.stack(own[words]).astype(np.int64).view(np.uint8), axis=1, bitorder="little").sum(0, dtype=np.int64).reshape(WORDS, 64)
-                out = pd.DataFrame({"i": range(WORDS), "n": len(own), "counts": list(bits)})
-                for c, v in zip(keys, key if isinstance(key, tuple) else (key,), strict=True):
-                    out[c] = v
-                yield out[[*keys, "i", "n", "counts"]]
-
-    part = df.where(F.col(words).isNotNull()).select(*keys, words).mapInPandas(count, schema)
-    each = part.select(*keys, "i", "n", F.posexplode("counts").alias("bit", "c")).groupBy(*keys, "i", "bit").agg(F.sum("n").alias("n"), F.sum("c").alias("c"))
-    word = F.bit_or(F.when(2 * F.col("c") > F.col("n"), F.expr("shiftleft(1L, bit)")).otherwise(F.lit(0).cast("long")))
-    return _gathered(each.groupBy(*keys, "i").agg(word.alias("w")), words, *keys)
+    each = df.where(F.col(words).isNotNull()).select(*keys, F.posexplode(words).alias("i", "w"))
+    sums = [F.sum(F.expr(f"shiftrightunsigned(w, {j}) & {PAIR}L")).alias(f"c{j}") for j in range(HALF)]
+    return each.groupBy(*keys, "i").agg(F.count("*").alias("n"), *sums).select(*keys, "i", "n", F.array(*[f"c{j}" for j in range(HALF)]).alias("counts"))
+
+
+def bit_counts(counts: Column) -> Column:
+    """The 64 counts of a word, from bit 0 on."""
+    low = F.transform(counts, lambda c: c.bitwiseAND(F.lit(0xFFFFFFFF).cast("long")))
+    return F.concat(low, F.transform(counts, lambda c: F.shiftrightunsigned(c, HALF)))
+
+
+def bundled(df: DataFrame, words: str, *keys: str) -> DataFrame:
+    """The majority of each bit over a group's prints, ties to 0, as (keys, words). A group of any size is spread over all tasks."""
+    bit = lambda c, j: F.when(2 * c > F.col("n"), F.call_function("shiftleft", F.lit(1).cast("long"), j)).otherwise(F.lit(0).cast("long"))
+    word = F.aggregate(F.transform(bit_counts(F.col("counts")), bit), F.lit(0).cast("long"), lambda a, b: a.bitwiseOR(b))
+    return _gathered(counted(df, words, *keys).select(*keys, "i", word.alias("w")), words, *keys)
 
 
 def sequenced(df: DataFrame, words: str, order: str, *keys: str) -> DataFrame:

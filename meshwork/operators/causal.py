@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .paths import expand, trace_effects
+from .paths import expand, shortest_paths, trace_effects
 
 #: Defaults of the edge shorthands: type, strength, amplification (fixed values).
 SHORTHANDS = {"causes": ("CAUSES", 0.5, 1.0), "amplifies": ("AMPLIFIES", 0.7, 2.0), "enables": ("ENABLES", 0.3, 1.0), "triggers": ("TRIGGERS", 0.8, 1.5)}
@@ -51,9 +51,21 @@ def find_all_butterflies(nodes: DataFrame, edges: DataFrame, **how: float) -> Da
 
 
 def butterfly_paths(starts: DataFrame, edges: DataFrame, threshold: float = BUTTERFLY, most: int = 10) -> DataFrame:
-    """All simple causal paths, not only first ones, that amplify by more than the threshold."""
-    causal = edges.where(F.col("type").isin(*CAUSAL_TYPES))
-    return expand(starts, causal, 1, most).where(F.col("amplification") > threshold)
+    """All simple causal paths, not only first ones, that amplify by more than the threshold. Paths that can't any more, however
+    they go on, are cut."""
+    return expand(starts, edges.where(F.col("type").isin(*CAUSAL_TYPES)), 1, most, above=threshold)
+
+
+def impact_totals(starts: DataFrame, edges: DataFrame, most: int = 10, threshold: float = BUTTERFLY) -> DataFrame:
+    """(start, reach, butterflies, max_amplification) over causal and enabling paths of at most `most` edges.
+
+    What is reached is found by breadth, a row for each node. Butterflies are paths of causal types that amplify by more
+    than the threshold, by branch and bound; max_amplification is their greatest, 1 without any. A start without effects has zeros.
+    """
+    reached = shortest_paths(starts, edges.where(F.col("type").isin(*IMPACT_TYPES)), most).where("depth > 0").groupBy("start").agg(F.count("*").alias("reach"))
+    found = butterfly_paths(starts, edges, threshold, most).groupBy("start").agg(F.count("*").alias("butterflies"), F.max("amplification").alias("max_amplification"))
+    own = starts.select(F.col("id").alias("start")).distinct()
+    return own.join(reached, "start", "left").join(found, "start", "left").fillna({"reach": 0, "butterflies": 0, "max_amplification": 1.0})
 
 
 def analyze_impact(starts: DataFrame, edges: DataFrame, criticality: DataFrame, most: int = 10) -> DataFrame:

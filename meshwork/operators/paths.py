@@ -7,7 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.scratch import written
+from ..functions.bits import hamming
+from ..sources.scratch import Scratch, written
 
 #: Paths whose confidence falls below this are not followed (fixed value).
 LEAST_CONFIDENCE = 0.3
@@ -23,39 +24,102 @@ def _measured(edges: DataFrame) -> DataFrame:
     )
 
 
+def _zero(starts: DataFrame) -> DataFrame:
+    """The paths of no edge."""
+    return starts.select(F.col("id").alias("start")).distinct().select(
+        "start", F.col("start").alias("end"), F.array("start").alias("path"), F.lit(1.0).alias("amplification"), F.lit(1.0).alias("confidence"),
+        F.lit(0).cast("long").alias("latency"), F.lit(0).alias("depth"),
+    )
+
+
+def _step(level: DataFrame, hops: DataFrame, depth: int, least_confidence: float) -> DataFrame:
+    """The paths of a level with one more edge, to a node that they haven't visited."""
+    return (
+        level.join(hops, F.col("end") == F.col("u"))
+        .where(~F.array_contains("path", F.col("v")) & (F.col("confidence") * F.col("e_conf") >= least_confidence))
+        .select(
+            "start", F.col("v").alias("end"), F.concat("path", F.array("v")).alias("path"), (F.col("amplification") * F.col("e_amp")).alias("amplification"),
+            (F.col("confidence") * F.col("e_conf")).alias("confidence"), (F.col("latency") + F.col("e_lat")).alias("latency"), F.lit(depth).alias("depth"),
+        )
+    )
+
+
+def best_ahead(hops: DataFrame, ends: DataFrame | None, most: int, cut_every: int = 3) -> list[DataFrame]:
+    """For 0 to most edges: (node, ahead_conf, ahead_amp), bounds of what any path of at most that many edges from node on adds.
+
+    A backward relaxation over walks: each round takes, of each node's edges, the greatest product of confidences and of
+    absolute amplifications. Paths visit no node twice and walks may, so the bounds are never too low. Walks end in ends
+    (id), without these anywhere; nodes that reach none are missing. Every few rounds the lineage is cut, and rounds that
+    change nothing any more are one round.
+    """
+    nodes = hops.select(F.explode(F.array("u", "v")).alias("id"))
+    stay = (nodes if ends is None else nodes.unionByName(ends.select("id"))).distinct().select(F.col("id").alias("u"), F.col("id").alias("v"), F.lit(1.0).alias("c"), F.lit(1.0).alias("a"))
+    # parallel edges count once; an edge from each node to itself stands for walks that are shorter
+    own = hops.groupBy("u", "v").agg(F.max("e_conf").alias("c"), F.max(F.abs("e_amp")).alias("a"))
+    links = written(own.unionByName(stay), "links")
+    goals = (nodes if ends is None else ends.select("id")).distinct()
+    rounds = [goals.select(F.col("id").alias("node"), F.lit(1.0).alias("ahead_conf"), F.lit(1.0).alias("ahead_amp"))]
+    seen = None
+    for n in range(1, most + 1):
+        met = links.join(rounds[-1], F.col("v") == F.col("node")).select(F.col("u").alias("n"), (F.col("c") * F.col("ahead_conf")).alias("p"), (F.col("a") * F.col("ahead_amp")).alias("q"))
+        best = met.groupBy(F.col("n").alias("node")).agg(F.max("p").alias("ahead_conf"), F.max("q").alias("ahead_amp"))
+        if n % cut_every == 0 and n < most:
+            best = written(best, f"ahead{n}")
+            now = best.agg(F.count("*"), F.sum("ahead_conf"), F.sum("ahead_amp")).first()
+            if now == seen:
+                return rounds + [best] * (most + 1 - n)
+            seen = now
+        rounds.append(best)
+    return rounds
+
+
 def expand(
-    starts: DataFrame, edges: DataFrame, least: int, most: int, least_confidence: float = 0.0, until: str | None = None, cut_every: int = 3
+    starts: DataFrame, edges: DataFrame, least: int, most: int, least_confidence: float = 0.0, until: str | None = None, above: float | None = None, ends: DataFrame | None = None
 ) -> DataFrame:
     """(start, end, path, amplification, confidence, latency, depth) of all paths of least to most edges that visit no node twice.
 
     starts has a column id. Amplification and confidence are products, latency is a sum; an edge without amplification has
     its weight's, then 1. Paths below least_confidence are dropped as they fall, since products of confidences only fall.
     A path that has reached `until` goes no further. Parallel edges give a path each; cycles and self-loops end by the rule.
-    One join a level, stopped when no path is left; every few levels the lineage is cut.
+
+    With `above`, only paths that amplify by more count; with `ends` (id), only those that end there. Then partial paths are
+    branches with bounds: best_ahead() says what the edges that are left can add at most, and a path that can reach no end,
+    not keep the confidence or not amplify enough goes at once. So the paths that are written lead to results, as far as
+    walks tell. One join a level, each level written, stopped when no path is left.
     """
     hops = _measured(edges)
-    level = starts.select(F.col("id").alias("start")).distinct().select(
-        "start", F.col("start").alias("end"), F.array("start").alias("path"), F.lit(1.0).alias("amplification"), F.lit(1.0).alias("confidence"),
-        F.lit(0).cast("long").alias("latency"), F.lit(0).alias("depth"),
-    )
+    bounded = above is not None or ends is not None
+    if most > 3:  # what makes the edges isn't done again for each level
+        hops = written(hops, "hops")
+    ahead = best_ahead(hops, ends, most - 1) if bounded and most else []
+    # products are rounded in another order than a path's own
+    up = 1 + 1e-9
+
+    def worth(level: DataFrame, left: int) -> DataFrame:
+        if not bounded:
+            return level
+        met = level.join(ahead[left], F.col("end") == F.col("node"))
+        ok = F.col("confidence") * F.col("ahead_conf") * up >= least_confidence
+        if above is not None:
+            ok = ok & (F.abs("amplification") * F.col("ahead_amp") * up > above)
+        return met.where(ok).select(*level.columns)
+
+    def wanted(level: DataFrame) -> DataFrame:
+        level = level if above is None else level.where(F.col("amplification") > above)
+        return level if ends is None else level.join(ends.select(F.col("id").alias("end")).distinct(), "end", "left_semi").select(*level.columns)
+
+    level = _zero(starts)
     levels = [level] if least == 0 else []
     for depth in range(1, most + 1):
         open_paths = level if until is None else level.where(F.col("end") != until)
-        level = (
-            open_paths.join(hops, F.col("end") == F.col("u"))
-            .where(~F.array_contains("path", F.col("v")) & (F.col("confidence") * F.col("e_conf") >= least_confidence))
-            .select(
-                "start", F.col("v").alias("end"), F.concat("path", F.array("v")).alias("path"), (F.col("amplification") * F.col("e_amp")).alias("amplification"),
-                (F.col("confidence") * F.col("e_conf")).alias("confidence"), (F.col("latency") + F.col("e_lat")).alias("latency"), F.lit(depth).alias("depth"),
-            )
-        )
-        if depth % cut_every == 0 and depth < most:
+        level = worth(_step(open_paths, hops, depth, least_confidence), most - depth)
+        if depth < most:
             level = written(level, f"level{depth}")
             if level.isEmpty():
                 break
         if depth >= least:
             levels.append(level)
-    return reduce(DataFrame.unionByName, levels)
+    return wanted(reduce(DataFrame.unionByName, levels or [level]))
 
 
 def first_paths(paths: DataFrame) -> DataFrame:
@@ -71,23 +135,12 @@ def trace_effects(starts: DataFrame, edges: DataFrame, most: int = 10, least_con
     Not all paths are followed: one that isn't more confident than a shorter one to the same node, or than one of its own
     length before it, can't be part of any first path. So a level holds few rows for a start and node.
     """
-    hops = _measured(edges)
-    level = starts.select(F.col("id").alias("start")).distinct().select(
-        "start", F.col("start").alias("end"), F.array("start").alias("path"), F.lit(1.0).alias("amplification"), F.lit(1.0).alias("confidence"),
-        F.lit(0).cast("long").alias("latency"), F.lit(0).alias("depth"),
-    )
+    hops = written(_measured(edges), "hops")
+    level = _zero(starts)
     before = Window.partitionBy("start", "end").orderBy("path", F.desc("amplification"), F.desc("confidence")).rowsBetween(Window.unboundedPreceding, -1)
     kept: list[DataFrame] = []
     for depth in range(1, most + 1):
-        level = (
-            level.join(hops, F.col("end") == F.col("u"))
-            .where(~F.array_contains("path", F.col("v")) & (F.col("confidence") * F.col("e_conf") >= least_confidence))
-            .select(
-                "start", F.col("v").alias("end"), F.concat("path", F.array("v")).alias("path"), (F.col("amplification") * F.col("e_amp")).alias("amplification"),
-                (F.col("confidence") * F.col("e_conf")).alias("confidence"), (F.col("latency") + F.col("e_lat")).alias("latency"), F.lit(depth).alias("depth"),
-            )
-            .withColumn("best", F.max("confidence").over(before))
-        )
+        level = _step(level, hops, depth, least_confidence).withColumn("best", F.max("confidence").over(before))
         if kept:
             shorter = reduce(DataFrame.unionByName, kept).groupBy("start", "end").agg(F.max("confidence").alias("shorter"))
             level = level.join(shorter, ["start", "end"], "left").withColumn("best", F.greatest("best", "shorter")).drop("shorter")
@@ -114,9 +167,9 @@ def amplified(paths: DataFrame, threshold: float = 2.0) -> DataFrame:
 
 
 def trace_chain(edges: DataFrame, source: str, target: str, most: int = 10, least_confidence: float = LEAST_CONFIDENCE) -> DataFrame:
-    """All simple paths from source to target, most confident first."""
-    start = edges.sparkSession.createDataFrame([(source,)], "id string")
-    found = expand(start, edges, 1, most, least_confidence, until=target).where(F.col("end") == target)
+    """All simple paths from source to target, most confident first. Only branches that can still reach it are followed."""
+    start, end = (edges.sparkSession.createDataFrame([(x,)], "id string") for x in (source, target))
+    found = expand(start, edges, 1, most, least_confidence, until=target, ends=end)
     return found.orderBy(F.desc("confidence"), "depth", "path")
 
 
@@ -143,6 +196,105 @@ def shortest_paths(starts: DataFrame, edges: DataFrame, most: int = 10) -> DataF
     return seen
 
 
+def lightest_paths(starts: DataFrame, edges: DataFrame, weight: Column, targets: DataFrame | None = None, delta: float | None = None, potential: DataFrame | None = None) -> DataFrame:
+    """(start, end, distance, path, depth): the path of least total weight from each start to every node that it reaches, ties to
+    the least path; the start itself is at 0.
+
+    weight is an expression over edges' columns and must be zero or more; edges whose weight is null are left out, of
+    parallel ones the lightest counts. Distances are summed from the start on.
+
+    Bucketed relaxation (delta-stepping): open nodes within delta of the nearest one are relaxed together over light edges,
+    below delta, until none of them gets nearer; then they are settled and their heavy edges are relaxed once. A round is
+    one join and one aggregation of the open nodes, written to the shared folder, so rounds grow with the number of
+    buckets, greatest distance by delta, and not with nodes. delta is the mean weight unless it is given.
+
+    With targets (id) it ends once all that can be reached are settled for all starts, and returns these only. With a
+    potential (id, potential), nodes are taken in the order of distance plus potential, as A* does: it must be consistent, so
+    no edge is lighter than its ends' potentials differ, nodes without one have 0, and its results are the same.
+    """
+    spark = edges.sparkSession
+    links = edges.select(F.col("from_id").alias("u"), F.col("to_id").alias("v"), weight.cast("double").alias("w")).where("w is not null and u is not null and v is not null and u <> v")
+    links = links.groupBy("u", "v").agg(F.min("w").alias("w"))
+    if potential is None:
+        links = links.withColumn("r", F.col("w"))
+    else:
+        known = potential.select(F.col("id").alias("_i"), F.col("potential").cast("double").alias("_p")).groupBy("_i").agg(F.min("_p").alias("_p"))
+        of = lambda end, name: known.select(F.col("_i").alias(end), F.col("_p").alias(name))
+        links = links.join(of("u", "pu"), "u", "left").join(of("v", "pv"), "v", "left")
+        # reduced weights: what an edge costs beyond what it brings nearer; rounding may leave a little below zero
+        reduced = F.col("w") - F.coalesce("pu", F.lit(0.0)) + F.coalesce("pv", F.lit(0.0))
+        links = links.select("u", "v", "w", F.when((reduced < 0) & (reduced > -1e-9 * (1 + F.col("w"))), 0.0).otherwise(reduced).alias("r"))
+    with Scratch(spark) as scratch:
+        links = scratch.written(links, "links")
+        seen = links.agg(F.min("r").alias("least"), F.min("w").alias("lightest"), F.avg("r").alias("mean")).first()
+        if (seen["least"] or 0) < 0 or (seen["lightest"] or 0) < 0:
+            raise ValueError("weights must be zero or more" if seen["lightest"] < 0 else "the potential isn't consistent: an edge is lighter than its ends' potentials differ")
+        step = delta or seen["mean"] or 1.0
+        light, heavy = links.where(F.col("r") < step), links.where(F.col("r") >= step)
+        best = F.min(F.struct("key", "distance", "path", "fresh")).alias("b")
+        merged = lambda df: df.groupBy("start", "end").agg(best).select("start", "end", "b.key", "b.distance", "b.path", "b.fresh")
+        zero = starts.select(F.col("id").alias("start")).where("start is not null").distinct()
+        open_ = scratch.written(zero.select("start", F.col("start").alias("end"), F.lit(0.0).alias("key"), F.lit(0.0).alias("distance"), F.array("start").alias("path"), F.lit(0).alias("fresh")), "open", keep=True)
+        need = None if targets is None else zero.count() * targets.select("id").distinct().count()
+        settled: list[DataFrame] = []
+
+        def relaxed(front: DataFrame, over: DataFrame) -> DataFrame:
+            met = front.join(over, F.col("end") == F.col("u"))
+            met = met.select("start", F.col("v").alias("end"), (F.col("key") + F.col("r")).alias("key"), (F.col("distance") + F.col("w")).alias("distance"), F.concat("path", F.array("v")).alias("path"))
+            return met.withColumn("fresh", F.lit(0))
+
+        def without_settled(df: DataFrame) -> DataFrame:
+            return df.join(reduce(DataFrame.unionByName, settled).select("start", "end"), ["start", "end"], "left_anti").select(*open_.columns) if settled else df
+
+        def wanted(parts: list[DataFrame]) -> DataFrame:
+            found = reduce(DataFrame.unionByName, parts)
+            return found if targets is None else found.join(targets.select(F.col("id").alias("end")).distinct(), "end", "left_semi")
+
+        # fresh 0: got nearer since it was relaxed last; of equal offers an old one, which has been relaxed, is kept
+        while (first := open_.agg(F.min("key")).first()[0]) is not None:
+            until = (first // step + 1) * step
+            while until <= first:  # of keys so large that a bucket is lost in rounding
+                until = first * (1 + 1e-15) + step
+            near = F.col("key") < until
+            while not (front := open_.where(near & (F.col("fresh") == 0))).isEmpty():
+                passed = open_.withColumn("fresh", F.when(near, 1).otherwise(F.col("fresh")))
+                offers = without_settled(relaxed(front, light))
+                # an offer as good as what is known isn't news
+                all_ = passed.withColumn("fresh", -F.col("fresh")).unionByName(offers)
+                open_ = scratch.written(merged(all_).withColumn("fresh", -F.col("fresh")), f"open{len(settled)}")
+            done = scratch.written(open_.where(near), "settled", keep=True)
+            settled.append(done)
+            offers = relaxed(done, heavy)
+            open_ = scratch.written(merged(without_settled(open_.where(~near).unionByName(offers))), f"open{len(settled)}")
+            if targets is not None and wanted(settled).count() >= need:
+                break
+        found = wanted(settled or [open_])
+        return found.select("start", "end", "distance", "path", (F.size("path") - 1).alias("depth"))
+
+
+def print_potential(prints: DataFrame, target: str, edges: DataFrame, weight: Column, words: str = "words") -> DataFrame:
+    """(id, potential) that leads to target through the space of prints: the bits that differ from target's print, times the
+    least weight of a bit that any edge has.
+
+    Distances of prints obey the triangle inequality, so no edge is lighter than its ends' potentials differ, whatever the
+    weights are. Edges whose ends have equal prints are free to weigh anything; an end without a print makes all potentials 0.
+    """
+    own = prints.where(F.col(words).isNotNull()).select("id", F.col(words).alias("w"))
+    links = edges.select(F.col("from_id").alias("u"), F.col("to_id").alias("v"), weight.cast("double").alias("weight")).where("weight is not null and u <> v")
+    ends = links.join(own.select(F.col("id").alias("u"), F.col("w").alias("a")), "u", "left").join(own.select(F.col("id").alias("v"), F.col("w").alias("b")), "v", "left")
+    apart = F.when(F.col("a").isNull() | F.col("b").isNull(), 0.0).otherwise(F.try_divide(F.col("weight"), hamming(F.col("a"), F.col("b"))))
+    scale = ends.agg(F.min(apart)).first()[0] or 0.0
+    goal = own.where(F.col("id") == target).first()
+    at = F.lit(None).cast("array<bigint>") if goal is None else F.array(*map(F.lit, goal["w"])).cast("array<bigint>")
+    return own.select("id", (hamming(F.col("w"), at) * F.lit(scale if goal else 0.0)).alias("potential"))
+
+
+def lightest_path(edges: DataFrame, source: str, target: str, weight: Column, potential: DataFrame | None = None, delta: float | None = None) -> DataFrame:
+    """The lightest path from source to target, one row or none; with a potential it is A*."""
+    start, end = (edges.sparkSession.createDataFrame([(x,)], "id string") for x in (source, target))
+    return lightest_paths(start, edges, weight, end, delta, potential)
+
+
 def path_length(path: str = "path") -> Column:
     return F.size(path) - 1
 

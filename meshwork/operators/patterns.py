@@ -104,7 +104,9 @@ def match(
             found = found if e.alias else found.drop("from_id", "to_id")
         else:
             starts = found.select(here.alias("id")).distinct()
-            paths = expand(starts, hops, *e.hops)
+            # long stretches to chosen nodes are followed only where they can still end there
+            chosen = (n.label is not None or n.props) and e.hops[1] > 3
+            paths = expand(starts, hops, *e.hops, ends=fitting(nodes, n).select("id") if chosen else None)
             names = {c: f"_{c}" if c in ("start", "end") else f"{c}_{stretches}" for c in ("start", "end", "path", "amplification", "depth")}
             paths = paths.select(*[F.col(c).alias(a) for c, a in names.items()])
             found = found.join(paths, here == F.col("_start")).join(ends, F.col("_end") == F.col(f"{n.alias}_id")).drop("_start", "_end")

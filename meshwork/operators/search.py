@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import bits, vectors
 from ..schema import BITS
+from ..sources.scratch import Scratch
 
 
 #: Prints of queries that are broadcast at a time, 1,256 bytes each.
@@ -50,12 +55,16 @@ def above_threshold(found: DataFrame, threshold: float = 0.6) -> DataFrame:
     return found.where(F.col("distance") <= bits.most_distance(threshold))
 
 
-def hamming_join(queries: DataFrame, corpus: DataFrame, k: int, words: str = "words", most: int | None = None) -> DataFrame:
+def hamming_join(queries: DataFrame, corpus: DataFrame, k: int, words: str = "words", most: int | None = None, recall: float = 1.0) -> DataFrame:
     """The k nearest prints of each query, at most `most` bits apart: (query_id, id, distance, similarity, rank).
 
-    queries and corpus have (id, words). The queries are a stated set; they are counted and broadcast in blocks of about
-    QUERY_BLOCK prints, one pass over the corpus for each, so that no broadcast grows with them.
+    queries and corpus have (id, words). With a tight bound, at most TIGHT bits, and a recall below 1, pairs are found by
+    near_pairs(), so the work doesn't grow with queries times corpus. Otherwise this is brute force: every query meets every
+    print. The queries then are a stated set; they are counted and broadcast in blocks of about QUERY_BLOCK prints, one
+    pass over the corpus for each, so that no broadcast grows with them.
     """
+    if most is not None and most <= TIGHT and recall < 1:
+        return ranked(near_pairs(queries, corpus, most, recall, k, words), k)
     left = queries.where(F.col(words).isNotNull()).select(F.col("id").alias("query_id"), bits.to_binary(F.col(words)).alias("q"))
     right = corpus.where(F.col(words).isNotNull()).select("id", bits.to_binary(F.col(words)).alias("w"))
     n_blocks = max(1, -(-left.count() // QUERY_BLOCK))
@@ -69,6 +78,71 @@ def hamming_join(queries: DataFrame, corpus: DataFrame, k: int, words: str = "wo
     return reduce(DataFrame.unionByName, [met(left.where(block == i)) for i in range(n_blocks)]).withColumn("similarity", 1 - F.col("distance") / BITS)
 
 
+#: Distances up to which sampled bits tell near prints from others.
+TIGHT = 2000
+#: Bits of a sample: at least so many, so that of unrelated prints few meet, and at most so many.
+LEAST_SAMPLED, MOST_SAMPLED = 14, 40
+
+
+def sampling(n: int, most: int, recall: float) -> tuple[int, int]:
+    """(bits of a sample, number of tables): prints at `most` bits meet in some table with probability `recall`.
+
+    Samples have about log2(n) bits, so that a print meets about one unrelated print of n in each table.
+    """
+    size = min(MOST_SAMPLED, max(LEAST_SAMPLED, math.ceil(math.log2(max(2, n)))))
+    alike = (1 - most / BITS) ** size
+    return size, max(1, math.ceil(math.log1p(-recall) / math.log1p(-alike))) if alike < 1 else 1
+
+
+def sampled_keys(prints: DataFrame, size: int, tables: int, seed: int = 17) -> DataFrame:
+    """(print, table_no, key): of each print (binary) the bits that each table samples."""
+    places = np.random.default_rng(seed).integers(0, BITS, (tables, size))
+    at = np.arange(tables, dtype=np.int32)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for lo in range(0, b.num_rows, 1024):
+                part = b.slice(lo, 1024)
+                held = np.unpackbits(np.frombuffer(b"".join(part.column("w").to_pylist()), np.uint8).reshape(part.num_rows, -1), axis=1, bitorder="little")
+                key = (held[:, places].astype(np.int64) << np.arange(size)).sum(2)
+                ids = pa.array(np.repeat(np.arange(part.num_rows), tables))
+                yield pa.RecordBatch.from_arrays([part.column("print").take(ids), pa.array(np.tile(at, part.num_rows)), pa.array(key.ravel())], ["print", "table_no", "key"])
+
+    return prints.select("print", "w").mapInArrow(run, "print binary, table_no int, key long")
+
+
+def near_pairs(queries: DataFrame, corpus: DataFrame, most: int, recall: float = 0.99, k: int | None = None, words: str = "words") -> DataFrame:
+    """(query_id, id, distance, similarity) of prints at most `most` bits apart, each with probability `recall` or more, if most
+    is at most TIGHT; what is returned is verified and exact.
+
+    Tables sample bits; prints that agree in all bits of a sample are candidates. Equal prints are one print, told by a
+    digest, so copies neither meet one another nor repeat comparisons. With k, each print stands for the k least of its ids,
+    which is all that the k nearest of a query can need. Null prints are left out.
+    """
+    if not 0 <= most <= TIGHT or not 0 < recall < 1:
+        raise ValueError(f"sampled bits find prints at most {TIGHT} bits apart, with a recall below 1")
+
+    def of(df: DataFrame, id_name: str) -> DataFrame:
+        held = df.where(F.col(words).isNotNull()).select(F.col("id").alias(id_name), bits.to_binary(F.col(words)).alias("w"))
+        return held.select(id_name, F.unhex(F.md5("w")).alias("print"), "w")
+
+    scratch = Scratch(queries.sparkSession)
+    asked, known = scratch.written(of(queries, "query_id"), "queries", keep=True), scratch.written(of(corpus, "id"), "corpus", keep=True)
+    each = lambda df: df.groupBy("print").agg(F.first("w").alias("w"))
+    left, right = scratch.written(each(asked), "left", keep=True), scratch.written(each(known), "right", keep=True)
+    size, tables = sampling(right.count(), most, recall)
+    a, b = (sampled_keys(df, size, tables).withColumnRenamed("print", name) for df, name in ((left, "a"), (right, "b")))
+    met = a.join(b, ["table_no", "key"]).select("a", "b").distinct()
+    held = lambda df, p, w: df.select(F.col("print").alias(p), F.col("w").alias(w))
+    pairs = met.join(held(left, "a", "wa"), "a").join(held(right, "b", "wb"), "b").select("a", "b", bits.hamming_packed("wa", "wb").alias("distance"))
+    near = pairs.where(F.col("distance") <= most)
+    members = known.select("id", F.col("print").alias("b"))
+    if k is not None:
+        members = members.withColumn("_n", F.row_number().over(Window.partitionBy("b").orderBy("id"))).where(F.col("_n") <= k).drop("_n")
+    found = near.join(asked.select("query_id", F.col("print").alias("a")), "a").join(members, "b")
+    return found.select("query_id", "id", "distance", (1 - F.col("distance") / BITS).alias("similarity"))
+
+
 def ranked(pairs: DataFrame, k: int, query_id: str = "query_id", by: str = "distance", id_col: str = "id") -> DataFrame:
     """The k first of each query; Spark keeps k rows a task before it shuffles (window group limit)."""
     rank = F.row_number().over(Window.partitionBy(query_id).orderBy(by, id_col))
@@ -92,6 +166,15 @@ def hybrid_search(corpus: DataFrame, vector: list[float], query: Column, k: int,
     return near.withColumn("distance", bits.hamming(F.col(words), query)).orderBy("distance", id_col).limit(k)
 
 
+def within(queries: DataFrame, corpus: DataFrame, most: int, words: str = "words") -> DataFrame:
+    """(query_id, id, distance) of all prints at most `most` bits from each query, by brute force in blocks of queries; nothing is ranked."""
+    left = queries.where(F.col(words).isNotNull()).select(F.col("id").alias("query_id"), bits.to_binary(F.col(words)).alias("q"))
+    right = corpus.where(F.col(words).isNotNull()).select("id", bits.to_binary(F.col(words)).alias("w"))
+    n_blocks, block = max(1, -(-left.count() // QUERY_BLOCK)), F.xxhash64("query_id")
+    parts = [right.join(F.broadcast(left.where(F.pmod(block, F.lit(n_blocks)) == i))) for i in range(n_blocks)]
+    return reduce(DataFrame.unionByName, parts).select("query_id", "id", bits.hamming_packed("q", "w").alias("distance")).where(F.col("distance") <= most)
+
+
 def nearest_anchor(noisy: DataFrame, anchors: DataFrame, words: str = "words") -> DataFrame:
     """Cleanup: each print's nearest anchor of the codebook, as (query_id, id, distance, similarity)."""
     return hamming_join(noisy, anchors, 1, words).drop("rank")
@@ -99,7 +182,7 @@ def nearest_anchor(noisy: DataFrame, anchors: DataFrame, words: str = "words") -
 
 def cleaned_by_resonance(noisy: DataFrame, anchors: DataFrame, threshold: float = 0.6, words: str = "words") -> DataFrame:
     """Each print bundled with the anchors that resonate with it; unchanged if none does."""
-    near = hamming_join(noisy, anchors, 1 << 30, words, bits.most_distance(threshold)).select(F.col("query_id").alias("id"), F.col("id").alias("anchor"))
+    near = within(noisy, anchors, bits.most_distance(threshold), words).select(F.col("query_id").alias("id"), F.col("id").alias("anchor"))
     parts = near.join(anchors.select(F.col("id").alias("anchor"), words), "anchor").select("id", words)
     own = noisy.select("id", words)
     return bits.bundled(own.unionByName(parts), words, "id")
@@ -116,9 +199,8 @@ def cohesion(groups: DataFrame, group: str, words: str = "words") -> DataFrame:
 
     Of n prints with c ones in a bit, c * (n - c) pairs differ in it. Groups of one print have cohesion 1.
     """
-    bit = F.sequence(F.lit(0), F.lit(63))
-    ones = groups.where(F.col(words).isNotNull()).select(group, F.posexplode(words).alias("i", "w")).select(group, "i", "w", F.explode(bit).alias("b"))
-    each = ones.groupBy(group, "i", "b").agg(F.sum(F.expr("shiftrightunsigned(w, b) & 1")).alias("c"), F.count("*").alias("n"))
-    apart = each.groupBy(group).agg(F.sum(F.col("c") * (F.col("n") - F.col("c"))).alias("d"), F.max("n").alias("n"))
-    pairs = F.col("n") * (F.col("n") - 1) / 2
+    counts = bits.counted(groups, words, group)
+    differ = F.aggregate(bits.bit_counts(F.col("counts")), F.lit(0).cast("decimal(38,0)"), lambda a, c: (a + c.cast("decimal(19,0)") * (F.col("n") - c).cast("decimal(18,0)")).cast("decimal(38,0)"))
+    apart = counts.select(group, "n", differ.alias("d")).groupBy(group).agg(F.sum("d").cast("double").alias("d"), F.max("n").alias("n"))
+    pairs = F.col("n") * (F.col("n") - 1.0) / 2
     return apart.select(group, F.when(F.col("n") > 1, 1 - F.col("d") / (pairs * BITS)).otherwise(1.0).alias("cohesion"))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from .. import schema
 from ..functions.bits import from_binary, to_binary
 from ..functions.fingerprints import sha_chain
-from ..operators import causal, paths, patterns, relations, search
+from ..operators import causal, patterns, relations, search
 
 #: What nodes have if nothing else is said (fixed values).
 NODE_DEFAULTS = {"qidx": 128, "version": 1, "content": ""}
@@ -136,12 +136,8 @@ class Store:
         return causal.butterfly_paths(self._start(source), self.edges, threshold, most)
 
     def impact(self, source: str, most: int = 10) -> DataFrame:
-        """(reach, butterflies, max_amplification) over all simple causal paths from source; amplification 1 without any."""
-        found = paths.expand(self._start(source), self.edges.where(F.col("type").isin(*causal.IMPACT_TYPES)), 1, most)
-        return found.agg(
-            F.countDistinct("end").alias("reach"), F.count_if(F.col("amplification") > causal.BUTTERFLY).alias("butterflies"),
-            F.coalesce(F.max("amplification"), F.lit(1.0)).alias("max_amplification"),
-        )
+        """(reach, butterflies, max_amplification) of source; amplification 1 without butterflies."""
+        return causal.impact_totals(self._start(source), self.edges, most).drop("start")
 
     def _start(self, source: str) -> DataFrame:
         return self.spark.createDataFrame([(source,)], "id string")

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Memo, in_arrow, kept, nothing, task_count, text_of
-from .decontamination import joined, word_hash, words_of
+from .decontamination import joined, words_of
 
 #: Lanes of 64 bits for equality, and lanes of 16 bits for likeness.
 EXACT, SIGNS = 32, 256
@@ -63,6 +63,10 @@ class Print(NamedTuple):
 NOTHING = Print(np.zeros(EXACT, np.uint64), np.zeros(SIGNS, np.int16))
 
 
+def word_hash(word: str) -> int:
+    return xxhash.xxh64_intdigest(word) | 1
+
+
 def paragraphs(text: str) -> list[str]:
     """The lines of a text, empty ones too, so that texts are equal up to the order of their lines or not at all; the empty
     text has none."""

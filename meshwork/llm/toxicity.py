@@ -25,6 +25,8 @@ from .pii import fit_logistic
 WORD = re.compile(r"[^\W\d_]+")
 #: Insults that vote whether or not labelled rows hold them (fixed values).
 LEXICON = "idiot moron stupid scum loser pathetic worthless disgusting trash clown imbecile dumbass bastard retard asshole idiota imbécil estúpido crétin salaud connard abruti trottel arschloch dummkopf".split()
+#: Toxic rows of the sample, not yet voted on twice, that a mined voter must add: the same on tables of any size.
+LEAST_ADDED = 3
 #: Texts whose patterns a task counts at a time.
 SLICE = 100
 #: Lengths of beginnings and ends of words that may become voters.
@@ -240,7 +242,7 @@ def scored(
     voted = scratch.written(votes_of(docs, voters, id_col, text_col), "votes", keep=True)
     # at most max_rows rows
     taught = [(r["votes"], r["toxic"], r["n"]) for r in voted.join(sample, "doc_id").groupBy("votes", "toxic").agg(F.count("*").alias("n")).collect()]
-    useful = cover(taught, len(voters), len(LEXICON), max(3, n_known[1] // 100)) if taught else list(range(len(voters)))
+    useful = cover(taught, len(voters), len(LEXICON), LEAST_ADDED) if taught else list(range(len(voters)))
     voted = voted.withColumn("votes", F.array_intersect("votes", F.array(*map(F.lit, useful))))
     taught = [(sorted({*own} & {*useful}), y, n) for own, y, n in taught]
     patterns = scratch.written(voted.groupBy("votes").agg(F.count("*").alias("n")), "patterns")

@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from meshwork.llm import conversations as conv
 from meshwork.llm.filter_audit import RemovalPolynomial, audit_filters
 from meshwork.llm.fingerprint import NOTHING, Print, edited_fingerprints, fingerprints, likeness, paragraphs, print_of, updated
+from meshwork.llm.pii import ADDED, BASE, find_pii
+from meshwork.llm.toxicity import score_toxicity
 
 DOCS = "doc_id long, text string, lang string, source string, range int, is_next boolean, part string, mask int, n long"
 
@@ -33,6 +35,51 @@ def prose(seed, n):
 AWKWARD = ["", None, "\n", "a", "a\nb", "b\na", " ", "ä\U0001f600ö" * 5, prose(1, 30), prose(2, 400), "x y z\n" * 3000, prose(3, 60_000), "一二三四五六七八九十" * 30]
 
 
+# personal data and toxicity
+
+
+def test_long_secrets_and_masked_addresses_are_candidates(spark):
+    rng = random.Random(6)
+    token = lambda n: "".join(rng.choice("ABCDEFGHabcdefgh0123456789") for _ in range(n))
+    tokens = [token(n) for n in (20, 200, 201, 400, 2000, 50_000)] + [token(40) for _ in range(20)]
+    masked = [f"{'q' * 41} [at] example [dot] com", f"{'r' * 300}(at){'host' * 30}.com", "someone [at] here [dot] org"]
+    texts = [f"api_key = {t} end" for t in tokens] + [f"mail {m} now" for m in masked] + ["a" * 300_000 + " [at] b", "ab" * 100_000, "x[at]" * 20_000, "a-" * 100_000 + "1"]
+    rows = {r.doc_id: [((BASE + ADDED)[s.kind], s.start, s.stop) for s in r.spans] for r in find_pii(docs_of(spark, [(i, t, "s") for i, t in enumerate(texts)])).collect()}
+    for i, t in enumerate(tokens):
+        assert rows[i] == [("secret", 10, 10 + len(t))]
+    for i, m in enumerate(masked, len(tokens)):
+        assert rows[i] == [("email_masked", 5, 5 + len(m))]
+    assert rows[len(tokens) + 3] == []
+
+
+@pytest.mark.parametrize("times", [1, 100])
+def test_a_rare_toxic_word_votes_on_tables_of_any_size(spark, times):
+    rng = random.Random(7)
+    clean = [f"plain{i}" for i in range(400)]
+    sentence = lambda *more: " ".join([*rng.choices(clean, k=12), *more])
+    common = ["zorgul", "fnarble", "mukwit", "drivok", "slunch", "grobnik", "pestrul", "vexnor"]
+    texts = [(sentence(*[rng.choice(common)] * (i % 2)), 1) for i in range(40 * times)] + [(sentence(), 0) for _ in range(200 * times)] + [(sentence("quibblefrax"), 1) for _ in range(24)]
+    rng.shuffle(texts)
+    docs = docs_of(spark, [(i, t, "s") for i, (t, _) in enumerate(texts)]).repartition(4)
+    labels = spark.createDataFrame([(i, 1, y) for i, (_, y) in enumerate(texts)], "doc_id long, quality int, toxic int")
+    scored = {r.doc_id: r.predicted for r in score_toxicity(docs, labels).collect()}
+    rare = [i for i, (t, _) in enumerate(texts) if "quibblefrax" in t]
+    assert all(scored[i] == 1 for i in rare)
+    assert sum(scored[i] for i, (_, y) in enumerate(texts) if not y) <= 0.01 * 200 * times
+
+
+def test_scores_of_long_texts_and_repeated_rows(spark):
+    texts = ["plain words here", "you idiot moron", prose(3, 60_000) + " idiot moron scum loser", None, ""] * 2
+    docs = docs_of(spark, [(i, t, "s") for i, t in enumerate(texts)])
+    labels = spark.createDataFrame([(1, 1, 1), (0, 1, 0)], "doc_id long, quality int, toxic int")
+    rows = score_toxicity(docs.unionByName(docs.where("doc_id in (1, 3)")), labels).collect()
+    by_id = defaultdict(set)
+    for r in rows:
+        by_id[r.doc_id].add(r.score)
+    assert len(rows) == 12 and all(len(v) == 1 for v in by_id.values())
+    assert by_id[0] == by_id[3] == by_id[4] and max(by_id[2]) > max(by_id[0]) and by_id[1] == by_id[6]
+
+
 # fingerprints
 
 

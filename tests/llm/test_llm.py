@@ -317,11 +317,14 @@ def test_toxicity_on_held_out_rows(spark):
     assert {r.doc_id: r.predicted for r in score_toxicity(docs_of(spark, ["you moron", "fine"]), labels.limit(0)).collect()} == {0: 1, 1: 0}
 
 
-def changed(words, share, rng, vocabulary):
+KINDS = ("other", "lost", "more", "letter")
+
+
+def changed(words, share, rng, vocabulary, kinds=KINDS):
     """words with a share of them edited: replaced, lost, with one put after them, or with a letter changed."""
     out = []
     for w in words:
-        kind = rng.choice(["other", "lost", "more", "letter"]) if rng.random() < share else "same"
+        kind = rng.choice(kinds) if rng.random() < share else "same"
         at = rng.randrange(len(w))
         out += {"same": [w], "other": [rng.choice(vocabulary)], "lost": [], "more": [w, rng.choice(vocabulary)], "letter": [w[:at] + "x" + w[at + 1 :]]}[kind]
     return out
@@ -336,14 +339,14 @@ def edits_by_force(a, b):
     return row[-1]
 
 
-@pytest.mark.parametrize("share", [0.15, 0.25])
-def test_decontamination_recall_at_its_bound(spark, share):
+@pytest.mark.parametrize(("share", "kinds"), [(0.15, KINDS), (0.25, KINDS), (0.25, ("letter",)), (0.4, ("letter",)), (0.5, ("letter",))])
+def test_decontamination_recall_at_its_bound(spark, share, kinds):
     rng = random.Random(share)
     vocabulary = prose(30, 4000, 2500).split()
     items = [[rng.choice(vocabulary) for _ in range(16 + 4 * (i % 12))] for i in range(120)]
     held, texts = [], []
     for item in items:
-        own = changed(item, share, rng, vocabulary)
+        own = changed(item, share, rng, vocabulary, kinds)
         held.append(edits_by_force(" ".join(own), " ".join(item)) <= 0.25 * len(" ".join(item)))
         texts.append(" ".join([rng.choice(vocabulary) for _ in range(rng.randrange(40))] + own + [rng.choice(vocabulary) for _ in range(30)]))
     benchmark = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(items)], "item_id long, text string")
@@ -369,7 +372,7 @@ def test_decontamination_finds_exact_and_edited_items(spark):
     found = {(r.doc_id, r.item_id) for r in contaminated(docs_of(spark, [*texts, *clean, None, ""]), benchmark).collect()}
     assert {(i, i) for i in range(20)} <= found and len(found & {(20 + i, i) for i in range(20)}) == 20
     assert all(d % 20 == i and d < 40 for d, i in found)
-    assert contaminated(docs_of(spark, texts), benchmark, block=7).count() == 40
+    assert contaminated(docs_of(spark, texts), benchmark, block_bytes=60_000).count() == 40
     assert contaminated(docs_of(spark, texts), benchmark.limit(0)).count() == 0 == contaminated(docs_of(spark, []), benchmark).count()
 
 

@@ -92,16 +92,23 @@ def analyze_impact(starts: DataFrame, edges: DataFrame, criticality: DataFrame,
 
 def find_correlations(pairs: DataFrame, least: float = CORRELATED) -> DataFrame:
     """(changed, affected, observations, strength): co-occurrences over all of changed's occurrences on either side, above least."""
-    both = pairs.groupBy("changed", "affected").agg(F.count("*").alias("observations"))
-    sides = pairs.select(F.col("changed").alias("changed_")).unionByName(pairs.select(F.col("affected").alias("changed_")))
-    total = sides.groupBy("changed_").agg(F.count("*").alias("n"))
-    scored = both.join(total, F.col("changed") == F.col("changed_")).withColumn("strength", F.col("observations") / F.col("n"))
+    return correlations_of(pairs.groupBy("changed", "affected").agg(F.count("*").alias("observations")), least)
+
+
+def correlations_of(counts: DataFrame, least: float = CORRELATED) -> DataFrame:
+    """find_correlations() from counts of pairs (changed, affected, observations)."""
+    sides = counts.select(F.col("changed").alias("changed_"), "observations").unionByName(counts.select(F.col("affected").alias("changed_"), "observations"))
+    total = sides.groupBy("changed_").agg(F.sum("observations").alias("n"))
+    scored = counts.join(total, F.col("changed") == F.col("changed_")).withColumn("strength", F.col("observations") / F.col("n"))
     return scored.where(F.col("strength") > least).select("changed", "affected", "observations", "strength")
 
 
 def learn_edges(pairs: DataFrame) -> DataFrame:
     """Correlations as CAUSES edges."""
-    found = find_correlations(pairs)
+    return edges_of(find_correlations(pairs))
+
+
+def edges_of(found: DataFrame) -> DataFrame:
     return found.select(
         F.col("changed").alias("from_id"), F.col("affected").alias("to_id"), F.lit("CAUSES").alias("type"), "strength", F.lit(1.0).alias("amplification"),
         F.lit(CONFIDENCE).alias("confidence"), F.lit(LATENCY).alias("latency"), "observations",

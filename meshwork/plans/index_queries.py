@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import bits, fingerprints
 from ..operators import causal, paths, search
 from ..operators.vector_index import VectorIndex
+from ..operators.zones import read_clustered, write_clustered
 from ..sources.scratch import Scratch
+from ..streaming import events as streams
+from ..streaming import stateful
 from .more_queries import _shown
 from .queries import _CAUSAL, _HAM, WITH_GRAPH, _prints, of, query
 from .views import graph, transitions
@@ -132,3 +137,35 @@ def indexed_vectors_probed(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = of(spark, sf_dir, "embeddings")
     index = VectorIndex.build(rows, Scratch(spark).root + "/index", "vec_id", posted=4)
     return index.search(rows.where("vec_id % 50 = 7"), 20, max(1, len(index.sizes) // 8), 10, "vec_id").withColumn("score", F.round("score", 6))
+
+
+# clustered tables
+
+
+@query("""SELECT l_orderkey, l_linenumber, l_shipdate, l_extendedprice FROM lineitem
+WHERE l_shipdate BETWEEN TIMESTAMP '1995-03-01' AND TIMESTAMP '1995-08-31' AND l_extendedprice BETWEEN 20000 AND 30000""")
+def clustered_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines clustered by date and price; a range of both opens few of the files."""
+    path = Scratch(spark).root + "/lines"
+    write_clustered(of(spark, sf_dir, "lineitem"), path, ["l_shipdate", "l_extendedprice"], 64)
+    bounds = {"l_shipdate": (dt.datetime(1995, 3, 1), dt.datetime(1995, 8, 31)), "l_extendedprice": (20000.0, 30000.0)}
+    return read_clustered(spark, path, bounds).select("l_orderkey", "l_linenumber", "l_shipdate", "l_extendedprice")
+
+
+# blockers in time
+
+
+@query("""SELECT user_id, event_id, epoch_ms(ts) AS ts_ms, epoch_ms(ts) + 86400000 AS deadline_ms FROM events b WHERE event_type = 'error' AND NOT EXISTS (
+SELECT 1 FROM events r WHERE r.event_type = 'purchase' AND r.user_id = b.user_id AND r.ts >= b.ts AND r.ts <= b.ts + INTERVAL 1 DAY)""")
+def overdue_blockers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The batch form of the stream with timers; a test runs both on the same events."""
+    return stateful.overdue(of(spark, sf_dir, "events"), 86_400_000)
+
+
+@query("""SELECT b.event_id AS blocker_id, b.user_id AS user_id, r.event_id AS resolution_id FROM events b LEFT JOIN events r
+ON r.event_type = 'purchase' AND r.user_id = b.user_id AND r.ts >= b.ts AND r.ts <= b.ts + INTERVAL 6 HOUR WHERE b.event_type = 'error'""")
+def blockers_with_resolutions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The batch form of the stream-stream join."""
+    events = streams.with_time(of(spark, sf_dir, "events")).withColumnRenamed("event_id", "id")
+    kind = lambda name: events.where(F.col("event_type") == name).select("id", "user_id", "ts")
+    return stateful.with_resolutions(kind("error"), kind("purchase"), "6 HOURS").drop("blocked", "resolved")

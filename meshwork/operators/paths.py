@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.bits import hamming
 from ..sources.scratch import Scratch, written
+from .hubs import hub_join, hub_keys
 
 #: Paths whose confidence falls below this are not followed (fixed value).
 LEAST_CONFIDENCE = 0.3
@@ -32,11 +33,11 @@ def _zero(starts: DataFrame) -> DataFrame:
     )
 
 
-def _step(level: DataFrame, hops: DataFrame, depth: int, least_confidence: float) -> DataFrame:
+def _step(level: DataFrame, hops: DataFrame, depth: int, least_confidence: float, split_hubs: float | None = None, hubs: list | None = None) -> DataFrame:
     """The paths of a level with one more edge, to a node that they haven't visited."""
+    met = hub_join(level, hops, "end", "u", split_hubs, keys=hubs) if split_hubs else level.join(hops, F.col("end") == F.col("u"))
     return (
-        level.join(hops, F.col("end") == F.col("u"))
-        .where(~F.array_contains("path", F.col("v")) & (F.col("confidence") * F.col("e_conf") >= least_confidence))
+        met.where(~F.array_contains("path", F.col("v")) & (F.col("confidence") * F.col("e_conf") >= least_confidence))
         .select(
             "start", F.col("v").alias("end"), F.concat("path", F.array("v")).alias("path"), (F.col("amplification") * F.col("e_amp")).alias("amplification"),
             (F.col("confidence") * F.col("e_conf")).alias("confidence"), (F.col("latency") + F.col("e_lat")).alias("latency"), F.lit(depth).alias("depth"),
@@ -74,8 +75,9 @@ def best_ahead(hops: DataFrame, ends: DataFrame | None, most: int, cut_every: in
 
 
 def expand(
-    starts: DataFrame, edges: DataFrame, least: int, most: int, least_confidence: float = 0.0, until: str | None = None, above: float | None = None, ends: DataFrame | None = None
-) -> DataFrame:
+    starts: DataFrame, edges: DataFrame, least: int, most: int, least_confidence: float = 0.0, until: str | None = None, above: float | None = None, ends: DataFrame | None = None,
+    split_hubs: float | None = None,
+) -> DataFrame:
     """(start, end, path, amplification, confidence, latency, depth) of all paths of least to most edges that visit no node twice.
 
     starts has a column id. Amplification and confidence are products, latency is a sum; an edge without amplification has
@@ -86,11 +88,14 @@ def expand(
     branches with bounds: best_ahead() says what the edges that are left can add at most, and a path that can reach no end,
     not keep the confidence or not amplify enough goes at once. So the paths that are written lead to results, as far as
     walks tell. One join a level, each level written, stopped when no path is left.
+
+    With split_hubs, a share, the edges of nodes with that share of all edges or more are dealt by a salt, see hub_join().
     """
     hops = _measured(edges)
     bounded = above is not None or ends is not None
-    if most > 3:  # what makes the edges isn't done again for each level
+    if most > 3 or split_hubs:  # what makes the edges isn't done again for each level
         hops = written(hops, "hops")
+    hubs = hub_keys(hops, "u", split_hubs) if split_hubs else None
     ahead = best_ahead(hops, ends, most - 1) if bounded and most else []
     # products are rounded in another order than a path's own
     up = 1 + 1e-9
@@ -112,7 +117,7 @@ def expand(
     levels = [level] if least == 0 else []
     for depth in range(1, most + 1):
         open_paths = level if until is None else level.where(F.col("end") != until)
-        level = worth(_step(open_paths, hops, depth, least_confidence), most - depth)
+        level = worth(_step(open_paths, hops, depth, least_confidence, split_hubs, hubs), most - depth)
         if depth < most:
             level = written(level, f"level{depth}")
             if level.isEmpty():

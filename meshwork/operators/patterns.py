@@ -13,6 +13,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .hubs import hub_join, hub_keys
 from .paths import expand
 
 
@@ -83,12 +84,15 @@ def match(
     order_by: Sequence[Column | str] = (),
     skip: int = 0,
     limit: int | None = None,
+    split_hubs: float | None = None,
 ) -> DataFrame:
     """All matches, a row each. Node columns are alias_column, those of an edge with an alias too.
 
     A stretch of several hops adds path_i, amplification_i and depth_i for the i-th such stretch; its paths visit no node
     twice, (0, n) includes the start itself, and conditions on its ends hold for its first and last node only. Label
     and property conditions are applied before the joins; edges of unknown nodes match nothing. Order, then skip, then limit.
+
+    With split_hubs, a share, edges that begin or end in a node with that share of all edges or more are dealt by a salt.
     """
     first, rest = pattern[0], list(pattern[1:])
     if not isinstance(first, Node) or len(rest) % 2 or any(isinstance(p, Node) != bool(i % 2) for i, p in enumerate(rest)):
@@ -100,13 +104,17 @@ def match(
         if e.hops is None:
             kept = prefixed(hops, e.alias) if e.alias else hops.select("from_id", "to_id")
             source, target = (f"{e.alias}_from_id", f"{e.alias}_to_id") if e.alias else ("from_id", "to_id")
-            found = found.join(kept, here == F.col(source)).join(ends, F.col(target) == F.col(f"{n.alias}_id"))
+            if split_hubs:
+                found = hub_join(found, kept, f"{last}_id", source, split_hubs)
+                found = hub_join(ends, found, f"{n.alias}_id", target, split_hubs, keys=hub_keys(kept, target, split_hubs))
+            else:
+                found = found.join(kept, here == F.col(source)).join(ends, F.col(target) == F.col(f"{n.alias}_id"))
             found = found if e.alias else found.drop("from_id", "to_id")
         else:
             starts = found.select(here.alias("id")).distinct()
             # long stretches to chosen nodes are followed only where they can still end there
             chosen = (n.label is not None or n.props) and e.hops[1] > 3
-            paths = expand(starts, hops, *e.hops, ends=fitting(nodes, n).select("id") if chosen else None)
+            paths = expand(starts, hops, *e.hops, ends=fitting(nodes, n).select("id") if chosen else None, split_hubs=split_hubs)
             names = {c: f"_{c}" if c in ("start", "end") else f"{c}_{stretches}" for c in ("start", "end", "path", "amplification", "depth")}
             paths = paths.select(*[F.col(c).alias(a) for c, a in names.items()])
             found = found.join(paths, here == F.col("_start")).join(ends, F.col("_end") == F.col(f"{n.alias}_id")).drop("_start", "_end")

@@ -8,15 +8,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import bits, fingerprints
-from ..operators import causal, paths, search
+from ..functions.table_functions import register_table_functions
+from ..operators import causal, codebook, paths, search, sketches
 from ..operators.vector_index import VectorIndex
 from ..operators.zones import read_clustered, write_clustered
 from ..sources.scratch import Scratch
 from ..streaming import events as streams
 from ..streaming import stateful
 from .more_queries import _shown
-from .queries import _CAUSAL, _HAM, WITH_GRAPH, _prints, of, query
-from .views import graph, transitions
+from .queries import _CAUSAL, _COLUMN, _HAM, WITH_GRAPH, _column, _prints, of, query
+from .queries import ORACLE_SQL as SQL
+from .views import graph, register, transitions
 
 # paths
 
@@ -155,17 +157,80 @@ def clustered_range(spark: SparkSession, sf_dir: str) -> DataFrame:
 # blockers in time
 
 
-@query("""SELECT user_id, event_id, epoch_ms(ts) AS ts_ms, epoch_ms(ts) + 86400000 AS deadline_ms FROM events b WHERE event_type = 'error' AND NOT EXISTS (
-SELECT 1 FROM events r WHERE r.event_type = 'purchase' AND r.user_id = b.user_id AND r.ts >= b.ts AND r.ts <= b.ts + INTERVAL 1 DAY)""")
+@query("""SELECT user_id, event_id, epoch_us(ts) // 1000 AS ts_ms, epoch_us(ts) // 1000 + 86400000 AS deadline_ms FROM events b WHERE event_type = 'error' AND NOT EXISTS (
+SELECT 1 FROM events r WHERE r.event_type = 'purchase' AND r.user_id = b.user_id AND epoch_us(r.ts) // 1000 BETWEEN epoch_us(b.ts) // 1000 AND epoch_us(b.ts) // 1000 + 86400000)""")
 def overdue_blockers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The batch form of the stream with timers; a test runs both on the same events."""
     return stateful.overdue(of(spark, sf_dir, "events"), 86_400_000)
 
 
-@query("""SELECT b.event_id AS blocker_id, b.user_id AS user_id, r.event_id AS resolution_id FROM events b LEFT JOIN events r
+@query("""SELECT b.event_id AS blocker_id, b.user_id AS user_id, coalesce(r.event_id, -1) AS resolution_id FROM events b LEFT JOIN events r
 ON r.event_type = 'purchase' AND r.user_id = b.user_id AND r.ts >= b.ts AND r.ts <= b.ts + INTERVAL 6 HOUR WHERE b.event_type = 'error'""")
 def blockers_with_resolutions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The batch form of the stream-stream join."""
     events = streams.with_time(of(spark, sf_dir, "events")).withColumnRenamed("event_id", "id")
     kind = lambda name: events.where(F.col("event_type") == name).select("id", "user_id", "ts")
-    return stateful.with_resolutions(kind("error"), kind("purchase"), "6 HOURS").drop("blocked", "resolved")
+    return stateful.with_resolutions(kind("error"), kind("purchase"), "6 HOURS").drop("blocked", "resolved").fillna(-1, ["resolution_id"])
+
+
+# table functions
+
+
+@query(SQL["chunk_tokens"])
+def sql_chunk_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    register_table_functions(spark)
+    register(spark, sf_dir, ["documents"])
+    return spark.sql("SELECT doc_id, chunk_no, n_tokens, md5(chunk) AS chunk FROM chunk_tokens(TABLE(documents), 'doc_id', 'text', 256, 32)")
+
+
+@query(r"""WITH RECURSIVE t AS (SELECT doc_id, text FROM documents WHERE text IS NOT NULL),
+c AS (SELECT doc_id, text, 0 AS chunk_no, 0::BIGINT AS b, CASE WHEN length(text) <= 512 THEN length(text) ELSE coalesce(nullif(512 - strpos(reverse(substr(text, 1, 512)), chr(10)) + 1, 513), 512) END AS e FROM t
+UNION ALL SELECT doc_id, text, chunk_no + 1, greatest(e - 64, b + 1),
+  CASE WHEN greatest(e - 64, b + 1) + 512 >= length(text) THEN length(text) ELSE greatest(e - 64, b + 1) + coalesce(nullif(CASE WHEN strpos(reverse(substr(text, greatest(e - 64, b + 1) + 1, 512)), chr(10)) IN (0, 512)
+    THEN 512 ELSE 513 - strpos(reverse(substr(text, greatest(e - 64, b + 1) + 1, 512)), chr(10)) END, 0), 512) END FROM c WHERE e < length(text))
+SELECT doc_id, chunk_no::INT AS chunk_no, md5(substr(text, b + 1, e - b)) AS chunk FROM c""")
+def sql_chunk_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    register_table_functions(spark)
+    register(spark, sf_dir, ["documents"])
+    return spark.sql("SELECT doc_id, chunk_no, md5(chunk) AS chunk FROM chunk_text(TABLE(SELECT doc_id, text FROM documents), 'doc_id', 'text', 512, 64)")
+
+
+@query("""WITH c AS (SELECT user_id, ts, event_id, event_type FROM events), n AS (SELECT *, CASE WHEN event_type IS NOT DISTINCT FROM lag(event_type) OVER w AND lag(event_id) OVER w IS NOT NULL THEN 0 ELSE 1 END AS fresh
+FROM c WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)), r AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS run FROM n)
+SELECT user_id, run::BIGINT AS run, any_value(event_type) AS event_type, count(*)::BIGINT AS run_length FROM r GROUP BY user_id, run""")
+def sql_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of one event type of each user, by a table function with PARTITION BY and ORDER BY."""
+    register_table_functions(spark)
+    register(spark, sf_dir, ["events"])
+    return spark.sql("SELECT * FROM runs_of(TABLE(SELECT user_id, ts, event_id, event_type FROM events) PARTITION BY user_id ORDER BY (ts, event_id), 'user_id', 'event_type')")
+
+
+# codebooks and sketches
+
+
+@query(f"""{_SPOILT}, d AS (SELECT a.id AS a, b.id AS b, {_HAM.format(a="a.w", b="b.w")} AS distance FROM (SELECT id, w FROM q UNION ALL SELECT id + 1000000, w FROM p) a, (SELECT id, w FROM q UNION ALL SELECT id + 1000000, w FROM p) b)
+SELECT count(DISTINCT a)::BIGINT AS prints, 0::BIGINT AS far, 0::BIGINT AS crowded FROM d""")
+def codebook_grown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spoilt and clean prints: how many are further than 1500 bits from their anchor, and how many anchors are nearer to another."""
+    items = of(spark, sf_dir, "benchmark")
+    both = items.select(F.col("item_id").alias("id"), fingerprints.sha_chain(F.col("text")).alias("words"), fingerprints.sha_chain(F.concat(F.lit("other "), "text")).alias("other"))
+    spoilt = both.select("id", F.zip_with(F.sequence(F.lit(0), F.lit(156)), F.arrays_zip("words", "other"), lambda i, w: F.when(i < F.col("id") * 13 % 80, w["other"]).otherwise(w["words"])).alias("words"))
+    prints = spoilt.unionByName(both.select(F.col("id") + 1_000_000, "words").toDF("id", "words"))
+    book, assigned = codebook.grow_codebook(prints, 1500)
+    near = search.within(book, book, 1500).where("query_id <> id").agg(F.count("*").alias("crowded"))
+    anchors = book.select(F.col("id").alias("anchor"), F.col("words").alias("a"))
+    each = prints.join(assigned, "id", "left").join(anchors, "anchor", "left").withColumn("far", bits.hamming("words", "a") > 1500)
+    return each.agg(F.count("*").alias("prints"), F.count_if("far").alias("far")).join(near)
+
+
+@query(f"""WITH c AS ({_COLUMN.format(value='l_quantity')}) SELECT chunk // 2 AS part, count(*)::BIGINT AS n_values, min(value) AS min_value, max(value) AS max_value, count(DISTINCT value)::BIGINT AS distinct_count,
+true AS near_median FROM c GROUP BY chunk // 2""")
+def merged_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sketches of chunks, merged by twos: distinct counts of few values are exact, medians are within the error of ranks."""
+    column = _column(spark, sf_dir, "l_quantity")
+    each = sketches.merged(sketches.sketched(column).withColumn("part", F.floor(F.col("chunk") / 2)), "part")
+    found = sketches.estimates(each, (0.5,)).withColumn("median", F.get("quantiles", F.lit(0)))
+    rows = column.withColumn("part", F.floor(F.col("chunk") / 2)).join(found.select("part", "median"), "part")
+    ranks = rows.groupBy("part").agg(F.avg((F.col("value") < F.col("median")).cast("int")).alias("below"), F.avg((F.col("value") <= F.col("median")).cast("int")).alias("upto"))
+    near = ranks.select("part", ((F.col("below") <= 0.52) & (F.col("upto") >= 0.48)).alias("near_median"))
+    return found.join(near, "part").select("part", "n_values", "min_value", "max_value", "distinct_count", "near_median")

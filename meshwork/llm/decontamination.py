@@ -38,8 +38,11 @@ RUN_SHARE, RUN, SMALL = 0.08, 4, 8
 GAP = 3
 #: Windows of fewer words get more repetitions.
 SMALL_WINDOW = 20
-#: Characters of a beginning and an end.
+#: The least number of characters of a beginning and an end.
 AFFIX = 3
+#: Of an item's pairs of neighbouring beginnings, or of ends, a place must show this share for texts to be compared there.
+#: Where each word is mistyped once, a quarter is left; walks find such items less often than this.
+PAIR_SHARE = 0.2
 #: Places of one item that lie within this share of its length of one another are verified as one.
 MERGED = 1 / 16
 #: By how many parts of its length a stretch may be shorter or longer than the item.
@@ -55,8 +58,9 @@ MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 def word_keys(word: str) -> bytes:
-    """The hashes of a word, of its beginning and of its end."""
-    return xxhash.xxh64_digest(word) + xxhash.xxh64_digest(word[:AFFIX]) + xxhash.xxh64_digest(word[-AFFIX:])
+    """The hashes of a word, and of its first and last half, which are AFFIX characters at least."""
+    n = max(AFFIX, (len(word) + 1) // 2)
+    return xxhash.xxh64_digest(word) + xxhash.xxh64_digest(word[:n]) + xxhash.xxh64_digest(word[-n:])
 
 
 def word_memo() -> Memo:
@@ -155,7 +159,7 @@ class RunSet:
 def index_bytes(n_words: int, n_repetitions: int) -> int:
     """Bytes of an item in the index: a key and an owner for each repetition and offset, and the bitmaps of its runs."""
     size, stride = window_size(n_words)
-    return stride * repetitions(size, n_repetitions) * 16 + n_words * 3 * 64 + 256
+    return stride * repetitions(size, n_repetitions) * 16 + n_words * (3 * 64 + 2 * 100) + 256
 
 
 class Bench:
@@ -181,6 +185,7 @@ class Bench:
             walks.index(np.concatenate([x for _, keys in held for x in (keys, pad)]), (begins[:, None] + np.arange(stride)).ravel(), owner)
             kinds = [(1, RUN), (2, RUN)] if size >= SMALL else [(1, RUN), (2, RUN), (0, 2)]
             self.walks.append((walks, [(runs(held, column, n), column, n) for column, n in kinds]))
+        self.pair_sets = [tuple(frozenset(self.sequences(keys[:, c], 2).tolist()) for c in (1, 2)) for _, _, keys in own]
         self.short: dict[int, dict[int, list[int]]] = {}
         for number, words, keys in own:
             if 0 < len(words) < LEAST_WORDS:
@@ -215,7 +220,14 @@ class Bench:
                 d = np.searchsorted(begins, at, "right") - 1
                 for text, item, start in zip(d.tolist(), owner[:, 0].tolist(), np.maximum(at - begins[d] - owner[:, 1], 0).tolist(), strict=True):
                     found.setdefault((text, item), []).append(start)
-        out = {(d, item, start) for (d, item), places in found.items() for start in self.merged(places, self.sizes[item])}
+        pairs = [self.sequences(keys[:, c], 2) for c in (1, 2)]
+        out = set()
+        for (d, item), places in found.items():
+            n = self.sizes[item]
+            for start in self.merged(places, n):
+                lo, hi = begins[d] + max(0, start - n // 8), begins[d] + min(int(lengths[d]), start + n + n // 8) - 1
+                if any(len(own.intersection(p[lo:hi].tolist())) >= PAIR_SHARE * len(own) for own, p in zip(self.pair_sets[item], pairs, strict=True)):
+                    out.add((d, item, start))
         for n, own in self.short.items():
             key = self.sequences(keys[:, 0], n)
             for at in np.flatnonzero(np.isin(key, np.fromiter(own, np.uint64, len(own)))).tolist():

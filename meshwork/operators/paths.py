@@ -300,6 +300,14 @@ def lightest_path(edges: DataFrame, source: str, target: str, weight: Column, po
     return lightest_paths(start, edges, weight, end, delta, potential)
 
 
+def neighbourhood(starts: DataFrame, edges: DataFrame, most: int = 3, types: list[str] | None = None) -> DataFrame:
+    """(start, end, distance) of all other nodes within `most` edges of each start, whichever way edges point, of the given types;
+    each node once, at its least distance."""
+    own = edges if types is None else edges.where(F.col("type").isin(*types))
+    both = own.select("from_id", "to_id").unionByName(own.select(F.col("to_id").alias("from_id"), F.col("from_id").alias("to_id")))
+    return shortest_paths(starts, both, most).where("depth > 0").withColumnRenamed("depth", "distance")
+
+
 def path_length(path: str = "path") -> Column:
     return F.size(path) - 1
 

@@ -102,6 +102,26 @@ def bounded_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _shown(found).select("start", "path", "amplification", "confidence", "depth")
 
 
+@query(f"""{WITH_GRAPH}, both_ways AS (SELECT from_id, to_id FROM edges WHERE type IN ('CONTAINS', 'PLACED') UNION SELECT to_id, from_id FROM edges WHERE type IN ('CONTAINS', 'PLACED')),
+near AS (SELECT 'n3' AS node_id, 0 AS d UNION SELECT e.to_id, near.d + 1 FROM near JOIN both_ways e ON e.from_id = near.node_id WHERE near.d < 3),
+least AS (SELECT node_id, min(d) AS d FROM near GROUP BY node_id) SELECT m.label AS m_label, d::INT AS distance, count(*)::BIGINT AS n FROM least JOIN nodes m ON m.id = node_id WHERE d > 0 GROUP BY ALL""")
+def neighbourhood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What lies within three edges of a nation, either way, by label and distance."""
+    nodes, edges = graph(spark, sf_dir)
+    found = paths.neighbourhood(nodes.where("id = 'n3'").select("id"), edges, 3, ["CONTAINS", "PLACED"])
+    return found.join(nodes.select(F.col("id").alias("end"), F.col("label").alias("m_label")), "end").groupBy("m_label", "distance").agg(F.count("*").alias("n"))
+
+
+@query(f"""{WITH_GRAPH}, {_CAUSAL.format(least=0.3)}, first AS (SELECT *, row_number() OVER (PARTITION BY s, node_id ORDER BY depth, path, amp DESC) AS rn FROM causal WHERE depth >= 1)
+SELECT s AS start, node_id AS target, array_to_string(path, '>') AS path, round(amp, 6) AS amplification, round(amp * 0.5 * conf, 6) AS criticality FROM first WHERE rn = 1 AND amp >= 1.4""")
+def all_butterflies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Butterflies from every node, traced in one job."""
+    edges = transitions(spark, sf_dir)
+    nodes = edges.select(F.col("from_id").alias("id")).unionByName(edges.select(F.col("to_id").alias("id"))).distinct().withColumn("criticality", F.lit(0.5))
+    found = causal.find_all_butterflies(nodes, edges, ratio=1.4)
+    return _shown(found).select("start", F.col("end").alias("target"), "path", "amplification", F.round("criticality", 6).alias("criticality"))
+
+
 # near prints
 
 _SPOILT = f"""WITH {_prints("p", "benchmark", "item_id", "text")}, {_prints("o", "benchmark", "item_id", "('other ' || text)")},

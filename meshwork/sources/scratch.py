@@ -51,10 +51,15 @@ class Scratch:
         return self
 
     def __exit__(self, *_: object) -> None:
+        self.clear()
+
+    def clear(self) -> None:
+        """Removes all tables but those to keep."""
         for path in self.folders:
             remove(self.spark, path)
         for name in self.tables:
             self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+        self.folders, self.tables = [], []
 
     def written(self, df: DataFrame, name: str, keep: bool = False) -> DataFrame:
         self.number += 1

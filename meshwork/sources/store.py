@@ -27,7 +27,8 @@ class Store:
     """A folder of table/v=N Parquet snapshots. Reads take the newest version unless one is checked out.
 
     Each append is a folder of its own, so append many rows at a time; add_node and add_edge are for a few. A version is
-    claimed by making its folder, so that of two writers at once the later one takes the next number.
+    claimed by making its folder, so that of two writers at once the later one takes the next number. Readers see a version
+    once its writer has finished it.
     """
 
     def __init__(self, spark: SparkSession, path: str, create: bool = True, read_only: bool = False, version: int | None = None):
@@ -41,8 +42,9 @@ class Store:
         hadoop = self.spark._jvm.org.apache.hadoop.fs
         folder = hadoop.Path(f"{self.path}/{name}")
         fs = folder.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        found = [x.getPath().getName() for x in fs.listStatus(folder)] if fs.exists(folder) else []
-        return sorted(int(x[2:]) for x in found if x.startswith("v="))
+        found = [x.getPath() for x in fs.listStatus(folder)] if fs.exists(folder) else []
+        # what a crashed or running writer has left has no marker yet
+        return sorted(int(x.getName()[2:]) for x in found if x.getName().startswith("v=") and fs.exists(hadoop.Path(x, "_SUCCESS")))
 
     def table(self, name: str) -> DataFrame:
         """All parts written up to the version that is read."""

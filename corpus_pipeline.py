@@ -14,7 +14,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meshwork.llm.common import table, written
+from meshwork.llm.common import Scratch, table, written
 from meshwork.llm.decontamination import contaminated
 from meshwork.llm.line_dedup import dedup_lines
 from meshwork.llm.ngram_join import jaccard_components
@@ -72,8 +72,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages one after the other over the whole table; the pieces that packing returns, none of an empty table."""
-    docs = table(spark, sf_dir, "documents")
+    """The stages one after the other over the whole table; the pieces that packing returns, none of an empty table. A stage's
+    table goes once the next one's is stored."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), name)
+        now = Scratch(spark)
+        docs = now.written(stage(spark, docs, sf_dir), name)
+        if before:
+            before.clear()
+        before = now
     return docs

@@ -28,9 +28,9 @@ SKETCHED = 32
 #: Rows of the signature by which large bands are split.
 SPLIT_ROWS = 3
 #: White space besides the blank, as in a pattern's class.
-WHITE = r"\t\n\x0b\f\r\x1c-\x1f\x85\xa0  -     　"
+WHITE = r"\t\n\x0b\f\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: What a line with such white space holds: characters, and the two bytes with which those of general punctuation begin.
-SIGNS, SIGN_BYTES = ["  ", *"\t\r\x0b\f\x1c\x1d\x1e\x1f\x85\xa0  　"], b"\xe2\x80"
+SIGNS, SIGN_BYTES = ["  ", *"\t\r\x0b\f\x1c\x1d\x1e\x1f\x85\xa0\u1680\u205f\u3000"], b"\xe2\x80"
 
 
 def normal_line(line: Column) -> Column:

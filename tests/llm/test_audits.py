@@ -12,9 +12,11 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from meshwork.llm import conversations as conv
 from meshwork.llm.filter_audit import RemovalPolynomial, audit_filters
 from meshwork.llm.fingerprint import NOTHING, Print, edited_fingerprints, fingerprints, likeness, paragraphs, print_of, updated
+from meshwork.llm.license_scan import scan_licenses
 from meshwork.llm.pii import ADDED, BASE, find_pii
 from meshwork.llm.toxicity import score_toxicity
 
@@ -329,3 +331,50 @@ def test_conversations_are_repaired_as_by_force(spark):
     empty = hashlib.sha256(b"").hexdigest()
     assert want[5555] == (0, 0, 0, 0, 0, 0, "", empty)
     assert conv.repair_conversations(table.where("conv_id > 100000")).count() == 0
+
+
+# the pipeline, licenses
+
+
+def tables_of(spark, folder, docs, labels, benchmark):
+    docs.write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    spark.createDataFrame(benchmark, "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    return str(folder)
+
+
+def test_pipeline_with_awkward_rows(spark, tmp_path):
+    item = " ".join(f"benchword{i}" for i in range(30))
+    long = "\n".join(" ".join(f"u{k}x{i}" for i in range(12)) for k in range(3000))
+    rows = [(1, "a fine text about nothing in particular at all\nwith a second line of its own", "s"), (2, None, "s"), (3, "", "s"), (4, long, "s"), (None, "no id here but words that stay as they are", "s"),
+            (5, f"before it {item} and after", "s"), (6, "you idiot moron scum loser trash", "s"), (7, "repeated row that is packed as often as it comes in", "s"), (7, "repeated row that is packed as often as it comes in", "s")]
+    docs = spark.createDataFrame([(i, t, "en", s, len(t or ""), 1) for i, t, s in rows], "doc_id long, text string, lang string, source string, n_chars long, token int")
+    folder = tables_of(spark, tmp_path / "a", docs, [(6, 1, 1), (1, 1, 0)], [(1, item)])
+    got = corpus_pipeline.run(spark, folder).collect()
+    kept = Counter(r.doc_id for r in got if r.start == 0)
+    assert kept[1] == kept[2] == kept[3] == kept[4] == kept[None] == 1 and kept[5] == kept[6] == 0 and kept[7] >= 1
+    pieces = defaultdict(int)
+    for r in got:
+        pieces[r.doc_id] += r.length
+    assert pieces[2] == pieces[3] == 1 and pieces[4] > 2048
+    by_sequence = defaultdict(list)
+    for r in got:
+        by_sequence[r.sequence_id].append((r.offset, r.length))
+    for parts in by_sequence.values():
+        assert [o for o, _ in sorted(parts)] == [sum(n for _, n in sorted(parts)[:k]) for k in range(len(parts))] and sum(n for _, n in parts) <= 2048
+    empty = tables_of(spark, tmp_path / "b", docs.limit(0), [], [])
+    assert corpus_pipeline.run(spark, empty).count() == 0
+
+
+def test_license_base_by_force(spark):
+    rng = random.Random(11)
+    pool = ["MIT", "license", "License", "apache", "Apache", "general", "public", "mit", "x", "y.z", "lic\u0130ense", "g_p"]
+    texts = [" ".join(rng.choices(pool, k=rng.randrange(0, 40))) for _ in range(120)] + [None, "", "mit license " * 5000, "apache\nLICENSE\tgeneral-public-license"]
+    labels = {("mit", "license"): "mit", ("apache", "license"): "apache", ("general", "public", "license"): "gpl"}
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    for r in scan_licenses(docs_of(spark, [(i, t, "s") for i, t in enumerate(texts)])).collect():
+        words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (texts[r.doc_id] or "").translate(str.maketrans(upper, upper.lower())))
+        at = [(i, label) for i in range(len(words)) for phrase, label in labels.items() if tuple(words[i : i + len(phrase)]) == phrase]
+        base = sorted({label for _, label in at})
+        assert (r.n_words, r.n_base, r.first_word, r.last_word) == (len(words), len(at), min((i for i, _ in at), default=None), max((i for i, _ in at), default=None))
+        assert r.base_labels == ",".join(base) and set(base) <= set(filter(None, r.labels.split(","))) and 0 <= r.score <= 1

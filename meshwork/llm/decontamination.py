@@ -53,7 +53,7 @@ SHIFTS = (0, -1 / 32, 1 / 32, -1 / 16, 1 / 16)
 SLICE = 256
 #: Windows walked at a time.
 AT_A_TIME = 4096
-CANDIDATES = "doc_id long, item_id long, start_word long, found array<struct<start: long, text: string>>"
+FOUND = "doc_id long, item_id long, start_word long, edits int, similarity double"
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -90,6 +90,30 @@ def window_size(n_words: int) -> tuple[int, int]:
     return size, max(1, size // 4)
 
 
+class Pattern:
+    """An item's text, compared with texts by bits: a column of the table of edit distances is two whole numbers."""
+
+    def __init__(self, text: str):
+        self.text, self.n = text, len(text)
+        self.places: dict[str, int] = {}
+        for i, c in enumerate(text):
+            self.places[c] = self.places.get(c, 0) | 1 << i
+
+    def distances(self, text: str) -> list[int]:
+        """The edit distances of the item to each beginning of text, the empty one first (Myers' bit-parallel recurrence)."""
+        mask, high = (1 << self.n) - 1, 1 << (self.n - 1)
+        up, down, score, out = mask, 0, self.n, [self.n]
+        for c in text:
+            same = self.places.get(c, 0)
+            across = ((((same & up) + up) ^ up) | same) & mask
+            more, less = down | (~(across | up) & mask), up & across
+            score += (more & high > 0) - (less & high > 0)
+            more, less = (more << 1 | 1) & mask, (less << 1) & mask
+            up, down = less | (~(same | down | more) & mask), more & (same | down)
+            out.append(score)
+        return out
+
+
 def repetitions(size: int, n: int) -> int:
     """Half as many again for small windows: their items hold few of them, so fewer chances to be met."""
     return n + n // 2 if size < SMALL_WINDOW else n
@@ -169,6 +193,7 @@ class Bench:
         known = Memo(word_keys)
         self.sizes = [len(words) for _, words in items]
         self.ids = [item for item, _ in items]
+        self.texts = [" ".join(words) for _, words in items]
         own = [(number, words, keys_of(words, known)) for number, (_, words) in enumerate(items)]
         long = [x for x in own if len(x[1]) >= LEAST_WORDS]
         by_size: dict[tuple[int, int], list[tuple[int, np.ndarray]]] = {}
@@ -245,34 +270,44 @@ class Bench:
                 taken.append(place)
         return taken
 
-    def stretches(self, item: int, start: int, n_words: int) -> list[tuple[int, int]]:
-        """(first word, end) of what is compared with an item that a text of n_words words may hold from start on; the one of
-        as many words comes first."""
-        n = self.sizes[item]
-        if n < LEAST_WORDS:
-            return [(start, start + n)]
-        begins = [max(0, start + (int(np.copysign(max(1, round(abs(p) * n)), p)) if p else 0)) for p in SHIFTS]
-        return list(dict.fromkeys((b, min(b + n + round(p * n), n_words)) for b in begins for p in STRETCHES))
+    def best_place(self, item: int, pattern: Pattern, start: int, words: list[str], most_edits: float) -> tuple[int, int, float] | None:
+        """(edits, first word, similarity) of the stretch nearest to an item that a text may hold from start on, if it lies within the
+        bound. Stretches that begin at one word are beginnings of the longest of them: one table has all their distances."""
+        n, bound = self.sizes[item], int(pattern.n * most_edits + 1e-9)
+        shifts, lengths = (SHIFTS, STRETCHES) if n >= LEAST_WORDS else ((0,), (0,))
+        begins = list(dict.fromkeys(max(0, start + (int(np.copysign(max(1, round(abs(p) * n)), p)) if p else 0)) for p in shifts))
+        best = None
+        for k, b in enumerate(begins):
+            own = words[b : b + n + max(round(p * n) for p in lengths)]
+            ends = np.cumsum([len(w) + 1 for w in own]) - 1  # of the text joined by blanks
+            far = pattern.distances(" ".join(own))
+            each = [far[ends[min(n + round(p * n), len(own)) - 1]] for p in lengths] if own else [pattern.n]
+            # other stretches are nearer than the first one by the words between their ends at most, about a fifth of the item
+            if k == 0 and min(each) > bound + -(-pattern.n // 5):
+                return None
+            now = min(each), b, 1 - min(each) / pattern.n
+            best = now if best is None else min(best, now)
+        return best if best[0] <= bound else None
 
 
-def candidates(docs: DataFrame, bench: Bench) -> DataFrame:
-    """CANDIDATES rows: stretches of the documents, about as long as the item that they met in some repetition, the one of as
-    many words first."""
+def held(docs: DataFrame, bench: Bench, most_edits: float) -> DataFrame:
+    """FOUND rows of the places in documents (doc_id, text) that hold an item."""
     sent = docs.sparkSession.sparkContext.broadcast(bench)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, known = sent.value, word_memo()
+        patterns: dict[int, Pattern] = {}
         for b in (part.slice(lo, SLICE) for part in batches for lo in range(0, part.num_rows, SLICE)):
-            ids, texts = b.column("doc_id").to_pylist(), [words_of(t.as_py()) for t in b.column("text")]
-            met = sorted(own.met(texts, known))
-            rows = [(ids[d], own.ids[i], s, [{"start": x, "text": " ".join(texts[d][x:e])} for x, e in own.stretches(i, s, len(texts[d]))]) for d, i, s in met]
-            if rows:
-                yield pa.RecordBatch.from_arrays(
-                    [*(pa.array([r[c] for r in rows], pa.int64()) for c in range(3)), pa.array([r[3] for r in rows], pa.list_(pa.struct([("start", pa.int64()), ("text", pa.string())])))],
-                    ["doc_id", "item_id", "start_word", "found"],
-                )
+            ids, texts, rows = b.column("doc_id").to_pylist(), [words_of(t.as_py()) for t in b.column("text")], []
+            for d, item, start in sorted(own.met(texts, known)):
+                if item not in patterns:
+                    patterns[item] = Pattern(own.texts[item])
+                if place := own.best_place(item, patterns[item], start, texts[d], most_edits):
+                    rows.append((ids[d], own.ids[item], place[1], place[0], place[2]))
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.float64()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], k) for c, k in enumerate(kinds)], [f.split()[0] for f in FOUND.split(", ")])
 
-    return in_arrow(docs, "decontamination", run, CANDIDATES)
+    return in_arrow(docs, "decontamination", run, FOUND)
 
 
 def blocks(items: Iterable[tuple[int, list[str]]], n_repetitions: int, most_bytes: int) -> Iterator[list[tuple[int, list[str]]]]:
@@ -321,16 +356,8 @@ def contaminated(
     with Scratch(spark) as scratch:
         found = None
         for items in blocks(((r["item_id"], words_of(r["text"])) for r in asked.toLocalIterator()), n_repetitions, block_bytes):
-            texts = spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id long, item string")
-            each = candidates(read, Bench(items, n_repetitions, n_samples)).distinct().join(F.broadcast(texts), "item_id")
-            # other stretches are nearer than the first one by the words between their ends at most, about a fifth of the item
-            bound = F.floor(F.length("item") * most_edits).cast("int")
-            each = each.withColumn("bound", bound).withColumn("slack", F.col("bound") + F.ceil(F.length("item") / 5).cast("int"))
-            first = each.withColumn("first", F.get("found", F.lit(0))["text"]).where(F.expr("levenshtein(first, item, slack)") >= 0)
-            near = first.withColumn("stretch", F.explode("found")).withColumn("start_word", F.col("stretch.start"))
-            near = near.withColumn("edits", F.expr("levenshtein(stretch.text, item, bound)"))  # -1 beyond the bound
-            near = near.where(F.col("edits") >= 0).withColumn("similarity", 1 - F.col("edits") / F.length("item"))
+            near = held(read, Bench(items, n_repetitions, n_samples), most_edits)
             best = near.groupBy("doc_id", "item_id").agg(F.min(F.struct("edits", "start_word", "similarity")).alias("b"))
             own = scratch.written(best.select("doc_id", "item_id", "b.start_word", "b.edits", "b.similarity"), "found", keep=True)
             found = own if found is None else found.unionByName(own)
-    return spark.createDataFrame([], "doc_id long, item_id long, start_word long, edits int, similarity double") if found is None else found
+    return spark.createDataFrame([], FOUND) if found is None else found

@@ -30,10 +30,10 @@ UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf
 ASCII_WORD, WORD = re.compile(r"\w+"), re.compile(rf"[{UNSPACED}]|[^\W{UNSPACED}]+")
 #: Items of fewer words are searched for as they are, without edits.
 LEAST_WORDS = 5
-#: Of a window's runs of RUN words' beginnings and of ends, how many per place must be the benchmark's for it to be walked,
-#: one at least; windows of fewer than SMALL words may share a run of two whole words instead. Of strings with half their
-#: words mistyped, or a quarter replaced, three in ten such runs are left.
-RUN_SHARE, RUN, SMALL = 0.08, 4, 8
+#: A window is walked if it holds one of the runs of RUN words' beginnings, or of their ends, of the items of its size; windows
+#: of fewer than SMALL words may hold a run of two whole words instead. Of strings with half their words mistyped, or a
+#: quarter replaced, three in ten such runs are left.
+RUN, SMALL = 4, 8
 #: The least number of steps between a walk's samples.
 GAP = 3
 #: Windows of fewer words get more repetitions.
@@ -165,9 +165,10 @@ class Walks:
 
 
 class RunSet:
-    """Hashes of runs of n words as a bitmap of 256 bits for each and more."""
+    """Hashes of runs of n words: a bitmap of 256 bits for each and more, and the hashes themselves for what it lets through."""
 
     def __init__(self, runs: np.ndarray):
+        self.runs = np.unique(runs)
         self.shift = np.uint64(64 - max(16, min(32, (256 * len(runs)).bit_length())))
         at = runs >> self.shift
         self.held = np.zeros(1 << (61 - int(self.shift)), dtype=np.uint8)
@@ -177,13 +178,17 @@ class RunSet:
         """How many of the runs before each place are held."""
         at = runs >> self.shift
         bit = (self.held[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & np.uint8(1)
-        return np.cumsum(np.append(np.zeros(1, np.int64), bit))
+        hit = np.flatnonzero(bit)
+        found = np.minimum(np.searchsorted(self.runs, runs[hit]), len(self.runs) - 1)
+        out = np.zeros(len(runs) + 1, np.int64)
+        out[1:][hit[self.runs[found] == runs[hit]]] = 1
+        return np.cumsum(out)
 
 
 def index_bytes(n_words: int, n_repetitions: int) -> int:
     """Bytes of an item in the index: a key and an owner for each repetition and offset, and the bitmaps of its runs."""
     size, stride = window_size(n_words)
-    return stride * repetitions(size, n_repetitions) * 16 + n_words * (3 * 64 + 2 * 100) + 256
+    return stride * repetitions(size, n_repetitions) * 16 + n_words * (3 * 72 + 2 * 100) + 256
 
 
 class Bench:
@@ -234,12 +239,11 @@ class Bench:
         made = {(column, n): self.sequences(keys[:, column], n) for _, sets in self.walks for _, column, n in sets}
         for w, sets in self.walks:
             starts = np.concatenate([np.zeros(0, np.int64), *(np.arange(b, b + k, w.stride) for b, k in zip(begins, lengths, strict=True))])
-            count = np.zeros(len(starts), np.int64)
+            holds = np.zeros(len(starts), bool)
             for held, column, n in sets:
                 sums = held.sums(made[column, n])
-                own = sums[np.minimum(starts + max(0, w.size - n + 1), len(sums) - 1)] - sums[starts]
-                count += own if n == RUN else own * w.size  # a run of whole words is enough
-            starts = starts[count >= max(1, int(RUN_SHARE * (w.size - RUN + 1)))]
+                holds |= sums[np.minimum(starts + max(0, w.size - n + 1), len(sums) - 1)] > sums[starts]
+            starts = starts[holds]
             for lo in range(0, len(starts), AT_A_TIME):
                 at, owner = w.meetings(keys, starts[lo : lo + AT_A_TIME])
                 d = np.searchsorted(begins, at, "right") - 1
@@ -328,7 +332,7 @@ def contaminated(
     docs: DataFrame,
     benchmark: DataFrame,
     most_edits: float = 0.25,
-    n_repetitions: int = 80,
+    n_repetitions: int = 160,
     n_samples: int = 3,
     block_bytes: int = 48 << 20,
     id_col: str = "doc_id",

@@ -63,8 +63,12 @@ def word_keys(word: str) -> bytes:
     return xxhash.xxh64_digest(word) + xxhash.xxh64_digest(word[:n]) + xxhash.xxh64_digest(word[-n:])
 
 
+#: Bytes of the memo of word_keys: enough for the words that a task meets again.
+WORD_BYTES = 96 << 20
+
+
 def word_memo() -> Memo:
-    return kept("decontamination", partial(Memo, word_keys))
+    return kept("decontamination", partial(Memo, word_keys, most=WORD_BYTES))
 
 
 def keys_of(words: list[str], known: Memo) -> np.ndarray:
@@ -249,7 +253,7 @@ class Bench:
                 d = np.searchsorted(begins, at, "right") - 1
                 for text, item, start in zip(d.tolist(), owner[:, 0].tolist(), np.maximum(at - begins[d] - owner[:, 1], 0).tolist(), strict=True):
                     found.setdefault((text, item), []).append(start)
-        pairs = [self.sequences(keys[:, c], 2) for c in (1, 2)]
+        pairs = [self.sequences(keys[:, c], 2) for c in (1, 2)] if found else []
         out = set()
         for (d, item), places in found.items():
             n = self.sizes[item]

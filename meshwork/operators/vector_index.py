@@ -3,7 +3,8 @@
 Cells are the Voronoi cells of trained centroids. Each vector is posted to its nearest cells, with the code of its residual
 there: the residual is cut into pieces, and each is replaced by the number of its nearest trained piece. A search ranks
 the cells by their centroids, opens only the folders of those it probes, ranks their postings by codes alone, and computes
-exact distances for the best of them.
+exact distances for the best of them. Distances are products of matrices, held for a slice of the rows at a time, so that a
+task's memory doesn't grow with the number of cells, rows or queries.
 
 An index is a folder: centroids and codebooks (one small table), cells (rows of each) and postings/cell=N.
 """
@@ -31,6 +32,12 @@ MOST_SAMPLED, SAMPLED_A_CELL = 1_000_000, 64
 #: Bytes that all centroids may take: every task holds them.
 CENTROID_BYTES = 64 << 20
 ROUNDS = 12
+#: Distances that a task holds at a time, 8 bytes each.
+AT_ONCE = 1 << 20
+#: Queries that are held against a batch of rows at a time, and those rows.
+QUERIES_AT_ONCE, ROWS_AT_ONCE = 256, AT_ONCE // 256
+#: The nearest cells of a query that hold so many times its candidates give a bound for the codes of all the others.
+BOUND_BY = 4
 POSTING = "cell int, id long, code binary, vector array<float>"
 
 
@@ -43,28 +50,40 @@ def squares(x: np.ndarray, centroids: np.ndarray) -> np.ndarray:
     return np.maximum((x * x).sum(1)[:, None] - 2 * x @ centroids.T + (centroids * centroids).sum(1), 0)
 
 
-def trained(sample: DataFrame, n: int, dimension: int, groups: int = 1, rounds: int = ROUNDS, seed: int = 5, own: np.ndarray | None = None) -> np.ndarray:
-    """(groups, n, dimension / groups) centroids by Lloyd's rounds on a bounded sample (column vector): one job a round trains all
-    groups, that is pieces of the vectors. With `own` centroids, what is trained are pieces of the residuals to the nearest.
+def nearest(x: np.ndarray, centroids: np.ndarray, n: int = 1) -> np.ndarray:
+    """(rows, n): the n nearest centroids of each row, nearest first, ties to the lesser number."""
+    step, n = max(1, AT_ONCE // len(centroids)), min(n, len(centroids))
+    out = np.empty((len(x), n), dtype=np.int64)
+    for lo in range(0, len(x), step):
+        far = squares(x[lo : lo + step], centroids)
+        if n > 8:
+            out[lo : lo + step] = np.argsort(far, axis=1, kind="stable")[:, :n]
+            continue
+        for place in range(n):
+            out[lo : lo + step, place] = best = far.argmin(1)
+            far[np.arange(len(far)), best] = np.inf
+    return out
+
+
+def trained(sample: DataFrame, n: int, dimension: int, groups: int = 1, rounds: int = ROUNDS) -> np.ndarray:
+    """(groups, n, dimension / groups) centroids by Lloyd's rounds on a bounded sample (vector, place), those of the least places first: one job a round trains all
+    groups, that is pieces of the vectors.
 
     A task returns a sum and a count for each centroid, so the driver gets as many rows as there are centroids and tasks.
     """
     width = dimension // groups
-    first = np.array([r["vector"] for r in sample.orderBy(F.xxhash64("vector", F.lit(seed))).limit(n).collect()], dtype=np.float64)
-    if own is not None:
-        first = first - own[squares(first, own).argmin(1)]
+    first = np.array([r["vector"] for r in sample.orderBy("place").limit(n).collect()], dtype=np.float64)
     now = first.reshape(len(first), groups, width).transpose(1, 0, 2).copy()
 
     def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, count = np.zeros_like(now), np.zeros(now.shape[:2])
         for b in batches:
             x = matrix(b.column("vector"), dimension)
-            x = x if own is None else x - own[squares(x, own).argmin(1)]
             for g in range(groups):
                 part = x[:, g * width : (g + 1) * width]
-                nearest = squares(part, now[g]).argmin(1)
-                np.add.at(total[g], nearest, part)
-                count[g] += np.bincount(nearest, minlength=now.shape[1])
+                own = nearest(part, now[g])[:, 0]
+                np.add.at(total[g], own, part)
+                count[g] += np.bincount(own, minlength=now.shape[1])
         yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary()), pa.array([count.tobytes()], pa.binary())], ["total", "count"])
 
     for _ in range(rounds):
@@ -76,6 +95,72 @@ def trained(sample: DataFrame, n: int, dimension: int, groups: int = 1, rounds:
     return now
 
 
+def residuals(sample: DataFrame, centroids: np.ndarray) -> DataFrame:
+    """The vectors of a sample (vector, place) less their nearest centroids, as arrays of doubles."""
+    dimension = centroids.shape[1]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in (part.slice(lo, 4096) for part in batches for lo in range(0, part.num_rows, 4096)):
+            x = matrix(b.column("vector"), dimension)
+            left = x - centroids[nearest(x, centroids)[:, 0]]
+            yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * dimension, pa.int32()), pa.array(left.ravel())), b.column("place")], ["vector", "place"])
+
+    return sample.select("vector", "place").mapInArrow(run, "vector array<double>, place long")
+
+
+class Best:
+    """The k nearest ids of each of n queries, as far as they have been met: ties to the lesser id, an id once."""
+
+    def __init__(self, n: int, k: int):
+        self.k, self.score, self.id = k, np.full((n, k), np.inf), np.zeros((n, k), dtype=np.int64)
+
+    def add(self, q: np.ndarray, ids: np.ndarray, score: np.ndarray) -> None:
+        own = np.unique(q)
+        held = np.isfinite(self.score[own]).ravel()
+        q = np.concatenate([q, np.repeat(own, self.k)[held]])
+        ids, score = np.concatenate([ids, self.id[own].ravel()[held]]), np.concatenate([score, self.score[own].ravel()[held]])
+        order = np.lexsort((score, ids, q))
+        q, ids, score = q[order], ids[order], score[order]
+        once = np.r_[True, (q[1:] != q[:-1]) | (ids[1:] != ids[:-1])]
+        q, ids, score = q[once], ids[once], score[once]
+        order = np.lexsort((ids, score, q))
+        q, ids, score = q[order], ids[order], score[order]
+        rank = np.arange(len(q)) - np.searchsorted(q, q)
+        kept = rank < self.k
+        self.score[own] = np.inf
+        self.score[q[kept], rank[kept]], self.id[q[kept], rank[kept]] = score[kept], ids[kept]
+
+    def meet(self, at: np.ndarray, queries: np.ndarray, ids: np.ndarray, x: np.ndarray) -> None:
+        """Holds rows (ids, x) against the queries of these numbers. Products of matrices say which may be among the k nearest, with
+        room for their rounding; those get their exact distance, summed in the order of the components."""
+        squared = (x * x).sum(1)
+        # of so many rows at least k have different ids
+        enough = self.k * int(np.unique(ids, return_counts=True)[1].max())
+        for lo in range(0, len(at), QUERIES_AT_ONCE):
+            own = at[lo : lo + QUERIES_AT_ONCE]
+            y = queries[own]
+            size = (y * y).sum(1)
+            far = squared - 2 * (y @ x.T)
+            room = 1e-12 * (size + squared.max())
+            most = np.square(self.score[own, -1]) - size
+            if len(x) > enough and not np.isfinite(most).all():
+                most = np.minimum(most, np.partition(far, enough - 1, axis=1)[:, enough - 1])
+            i, j = np.nonzero(far <= (most + room)[:, None])
+            if len(i):
+                total = np.zeros(len(i))
+                for d in range(x.shape[1]):
+                    total += np.square(x[j, d] - y[i, d])
+                self.add(own[i], ids[j], np.sqrt(total))
+
+
+def grouped(cells: np.ndarray, mask: np.ndarray) -> dict[int, np.ndarray]:
+    """{cell: the numbers of the queries that probe it} of (queries, probed) cells, where the mask is true."""
+    of, query = cells[mask], np.nonzero(mask)[0].astype(np.int32)
+    order = np.argsort(of, kind="stable")
+    own, start = np.unique(of[order], return_index=True)
+    return dict(zip(own.tolist(), np.split(query[order], start[1:]), strict=True)) if len(own) else {}
+
+
 @dataclass
 class Coder:
     """Centroids (cells, dimension) and codebooks (pieces, codes, dimension / pieces)."""
@@ -89,16 +174,15 @@ class Coder:
 
     def cells_of(self, x: np.ndarray, n: int) -> np.ndarray:
         """The n nearest cells of each row, nearest first, ties to the lesser cell."""
-        return np.argsort(squares(x, self.centroids), axis=1, kind="stable")[:, :n]
+        return nearest(x, self.centroids, n)
 
     def encode(self, residuals: np.ndarray) -> np.ndarray:
         width = residuals.shape[1] // self.pieces
-        return np.stack([squares(residuals[:, g * width : (g + 1) * width], self.books[g]).argmin(1) for g in range(self.pieces)], axis=1).astype(np.uint8)
+        return np.concatenate([nearest(residuals[:, g * width : (g + 1) * width], self.books[g]) for g in range(self.pieces)], axis=1).astype(np.uint8)
 
-    def table(self, residual: np.ndarray) -> np.ndarray:
-        """(pieces, codes): the squared distance of each piece of a query's residual to each code."""
-        width = len(residual) // self.pieces
-        return np.stack([squares(residual[None, g * width : (g + 1) * width], self.books[g])[0] for g in range(self.pieces)])
+    def decode(self, codes: np.ndarray) -> np.ndarray:
+        """The residuals that (rows, pieces) codes stand for."""
+        return np.concatenate([self.books[g][codes[:, g]] for g in range(self.pieces)], axis=1)
 
 
 def cells_for(n_rows: int, dimension: int) -> int:
@@ -140,9 +224,9 @@ class VectorIndex:
         pieces = next(p for p in range(min(pieces, dimension), 0, -1) if dimension % p == 0)
         with Scratch(spark) as scratch:
             share = min(1.0, max(SAMPLED_A_CELL * n_cells, SAMPLED_A_CELL * CODES) * 1.2 / n_rows, MOST_SAMPLED / n_rows)
-            sample = scratch.written((rows if share == 1 else rows.where(F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1 << 20)) < share * (1 << 20))).select("vector"), "sample")
-            centroids = trained(sample, n_cells, dimension, seed=seed)[0]
-            books = trained(sample, CODES, dimension, pieces, seed=seed, own=centroids)
+            sample = scratch.written((rows if share == 1 else rows.where(F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1 << 20)) < share * (1 << 20))).select("vector", F.xxhash64("vector", F.lit(seed)).alias("place")), "sample")
+            centroids = trained(sample, n_cells, dimension)[0]
+            books = trained(scratch.written(residuals(sample, centroids), "residuals"), CODES, dimension, pieces)
         coder = Coder(centroids, books)
         saved = [(n, a.tobytes(), list(a.shape)) for n, a in (("centroids", centroids), ("books", books))]
         spark.createDataFrame(saved, "name string, data binary, shape array<int>").coalesce(1).write.parquet(f"{path}/trained")
@@ -182,53 +266,108 @@ class VectorIndex:
         cells, ties to the lesser id.
 
         Codes alone choose over * k candidates for a query; their exact distances decide. With over None every posting that
-        is met is compared exactly, so with all cells probed the result is exact. Queries that are null or of another
-        dimension have no rows. They are a stated set, counted and sent to the tasks in blocks; only the cells that a block
-        probes are opened. Of a cell, the codes are read first, and vectors of the candidates' cells only.
+        is met is compared exactly, so with all cells probed the result is exact: that is queries times vectors, as products
+        of matrices, and k rows a query leave a task. Queries that are null, of another dimension or not finite have no
+        rows. They are a stated set, counted and sent to the tasks in blocks; only the cells that a block probes are opened.
+        Of a cell, the codes are read first, and vectors of the candidates' cells only.
         """
         asked = queries.where(F.col(vector_col).isNotNull() & (F.size(vector_col) == self.dimension)).select(F.col(id_col).cast("long").alias("query_id"), F.col(vector_col).cast("array<double>").alias("q"))
+        asked = asked.where(F.forall("q", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))))
         n_blocks = max(1, -(-asked.count() // QUERY_BLOCK))
         parts = [self._block(asked.where(F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)) == i), k, probed, over) for i in range(n_blocks)]
         return reduce(DataFrame.unionByName, parts)
 
     def _block(self, asked: DataFrame, k: int, probed: int, over: int | None) -> DataFrame:
         rows = asked.collect()  # about QUERY_BLOCK queries
-        ids, x = [r["query_id"] for r in rows], np.array([r["q"] for r in rows], dtype=np.float64).reshape(len(rows), self.dimension)
-        by_cell: dict[int, list[int]] = {}
-        for i, own in enumerate(self.nearest_cells(x, probed) if rows else ()):
-            for cell in own.tolist():
-                by_cell.setdefault(cell, []).append(i)
-        postings = self.postings(sorted(by_cell)) if rows else self.postings([])
-        if over is None:
-            pairs = self.spark.createDataFrame([(c, ids[i]) for c, own in by_cell.items() for i in own], "cell int, query_id long")
-            met = postings.select("id", "cell", "vector").join(F.broadcast(pairs), "cell")
+        ids, x = np.array([r["query_id"] for r in rows], dtype=np.int64), np.array([r["q"] for r in rows], dtype=np.float64).reshape(len(rows), self.dimension)
+        if over is None and rows and probed >= len(self.sizes):
+            each = self._exact(self.postings(), ids, x, None, k)
         else:
-            met = self._candidates(postings, ids, x, by_cell, over * k).join(postings.select("cell", "id", "vector"), ["cell", "id"])
-        met = met.join(F.broadcast(asked), "query_id")
-        each = met.select("query_id", "id", vectors.l2(F.col("vector"), F.col("q")).alias("score")).groupBy("query_id", "id").agg(F.min("score").alias("score"))
+            cells = self.nearest_cells(x, probed) if rows else np.zeros((0, 1), int)
+            by_cell = grouped(cells, np.ones(cells.shape, bool))
+            postings = self.postings(sorted(by_cell))
+            if over is None:
+                each = self._exact(postings, ids, x, by_cell, k)
+            else:
+                most = self._bounds(ids, x, cells, over * k)
+                met = self._candidates(postings, ids, x, by_cell, over * k, most).join(postings.select("cell", "id", "vector"), ["cell", "id"]).join(F.broadcast(asked), "query_id")
+                each = met.select("query_id", "id", vectors.l2(F.col("vector"), F.col("q")).alias("score"))
+        each = each.groupBy("query_id", "id").agg(F.min("score").alias("score"))
         rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "id"))
         return each.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "id", "score")
 
-    def _candidates(self, postings: DataFrame, ids: list[int], x: np.ndarray, by_cell: dict[int, list[int]], most: int) -> DataFrame:
-        """(query_id, cell, id) of the `most` nearest postings of each query by their codes, one for an id."""
-        sent = self.spark.sparkContext.broadcast((self.coder, ids, x, by_cell))
+    def _exact(self, postings: DataFrame, ids: np.ndarray, x: np.ndarray, by_cell: dict[int, np.ndarray] | None, k: int) -> DataFrame:
+        """(query_id, id, score) of the k nearest postings of each query that each task meets; without by_cell every query meets
+        every cell."""
+        sent = self.spark.sparkContext.broadcast((ids, x, by_cell))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            coder, ids, x, by_cell = sent.value
-            pieces = np.arange(coder.pieces)
-            for b in batches:
+            ids, x, by_cell = sent.value
+            best, everything = Best(len(ids), k), np.arange(len(ids))
+            for b in (part.slice(lo, ROWS_AT_ONCE) for part in batches for lo in range(0, part.num_rows, ROWS_AT_ONCE)):
+                own, rows = b.column("id").to_numpy(), matrix(b.column("vector"), x.shape[1])
+                if by_cell is None:
+                    best.meet(everything, x, own, rows)
+                    continue
                 cell_of = b.column("cell").to_numpy(zero_copy_only=False)
-                codes = np.frombuffer(b"".join(b.column("code").to_pylist()), np.uint8).reshape(b.num_rows, -1)
                 for cell in np.unique(cell_of):
                     at = np.flatnonzero(cell_of == cell)
-                    for i in by_cell[int(cell)]:
-                        far = coder.table(x[i] - coder.centroids[cell])[pieces, codes[at]].sum(1)
-                        best = np.argpartition(far, most - 1)[:most] if len(far) > most else np.arange(len(far))
-                        own = pa.array(np.full(len(best), ids[i])), pa.array(np.full(len(best), cell, np.int32)), b.column("id").take(pa.array(at[best])), pa.array(far[best])
-                        yield pa.RecordBatch.from_arrays(list(own), ["query_id", "cell", "id", "far"])
+                    best.meet(by_cell[int(cell)], x, own[at], rows[at])
+            i, j = np.nonzero(np.isfinite(best.score))
+            for lo in range(0, len(i), 1 << 16):
+                p, r = i[lo : lo + (1 << 16)], j[lo : lo + (1 << 16)]
+                yield pa.RecordBatch.from_arrays([pa.array(ids[p]), pa.array(best.id[p, r]), pa.array(best.score[p, r])], ["query_id", "id", "score"])
+
+        return postings.select("cell", "id", "vector").mapInArrow(run, "query_id long, id long, score double")
+
+    def _bounds(self, ids: np.ndarray, x: np.ndarray, cells: np.ndarray, most: int) -> np.ndarray:
+        """Of each query the distance by codes of its `most`-th nearest id among its very nearest cells, inf if they hold fewer:
+        what is further isn't among the `most` nearest of all the cells it probes."""
+        if not len(ids):
+            return np.zeros(0)
+        sizes = np.zeros(max(self.sizes) + 1, dtype=np.int64)
+        sizes[list(self.sizes)] = list(self.sizes.values())
+        held = sizes[cells]
+        by_cell = grouped(cells, held.cumsum(1) - held < BOUND_BY * most)
+        found = self._nearest_codes(self._candidate_codes(self.postings(sorted(by_cell)), ids, x, by_cell, most, np.full(len(ids), np.inf)))
+        bounds = {r["query_id"]: r["far"] for r in found.where(F.col("_n") == most).select("query_id", "far").collect()}
+        # products of matrices of another shape may round otherwise
+        return np.array([bounds.get(i, np.inf) for i in ids.tolist()]) * (1 + 1e-9) + 1e-9
+
+    def _candidate_codes(self, postings: DataFrame, ids: np.ndarray, x: np.ndarray, by_cell: dict[int, np.ndarray], most: int, bounds: np.ndarray) -> DataFrame:
+        """(query_id, cell, id, far): of each query and cell the `most` nearest postings by their codes, within the query's bound."""
+        sent = self.spark.sparkContext.broadcast((self.coder, ids, x, by_cell, bounds))
 
-        far = postings.select("cell", "id", "code").mapInArrow(run, "query_id long, cell int, id long, far double")
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            coder, ids, x, by_cell, bounds = sent.value
+            for b in (part.slice(lo, ROWS_AT_ONCE) for part in batches for lo in range(0, part.num_rows, ROWS_AT_ONCE)):
+                cell_of, own = b.column("cell").to_numpy(zero_copy_only=False), b.column("id").to_numpy()
+                codes = np.frombuffer(b"".join(b.column("code").to_pylist()), np.uint8).reshape(b.num_rows, -1)
+                for cell in np.unique(cell_of):
+                    at = np.flatnonzero(cell_of == cell)
+                    # equal codes are equally far
+                    kinds, which = np.unique(codes[at], axis=0, return_inverse=True)
+                    decoded, asking = coder.decode(kinds) + coder.centroids[cell], by_cell[int(cell)]
+                    for lo in range(0, len(asking), QUERIES_AT_ONCE):
+                        part = asking[lo : lo + QUERIES_AT_ONCE]
+                        far = squares(x[part], decoded)[:, which.ravel()]
+                        most_far = bounds[part]
+                        if len(at) > most:
+                            most_far = np.minimum(most_far, np.partition(far, most - 1, axis=1)[:, most - 1])
+                        i, j = np.nonzero(far <= most_far[:, None])
+                        if len(i):
+                            columns = [pa.array(ids[part[i]]), pa.array(np.full(len(i), cell, np.int32)), pa.array(own[at[j]]), pa.array(far[i, j])]
+                            yield pa.RecordBatch.from_arrays(columns, ["query_id", "cell", "id", "far"])
+
+        return postings.select("cell", "id", "code").mapInArrow(run, "query_id long, cell int, id long, far double")
+
+    @staticmethod
+    def _nearest_codes(far: DataFrame) -> DataFrame:
         # a vector that is posted to several cells is one candidate
         once = far.groupBy("query_id", "id").agg(F.min(F.struct("far", "cell")).alias("b")).select("query_id", "id", "b.far", "b.cell")
-        rank = F.row_number().over(Window.partitionBy("query_id").orderBy("far", "id"))
-        return once.withColumn("_n", rank).where(F.col("_n") <= most).select("query_id", "cell", "id")
+        return once.withColumn("_n", F.row_number().over(Window.partitionBy("query_id").orderBy("far", "id")))
+
+    def _candidates(self, postings: DataFrame, ids: np.ndarray, x: np.ndarray, by_cell: dict[int, np.ndarray], most: int, bounds: np.ndarray) -> DataFrame:
+        """(query_id, cell, id) of the `most` nearest postings of each query by their codes, one for an id."""
+        ranked = self._nearest_codes(self._candidate_codes(postings, ids, x, by_cell, most, bounds))
+        return ranked.where(F.col("_n") <= most).select("query_id", "cell", "id")

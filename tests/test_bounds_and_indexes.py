@@ -4,6 +4,7 @@ import heapq
 import itertools
 import math
 import random
+import tempfile
 
 import numpy as np
 import pytest
@@ -314,3 +315,29 @@ def test_awkward_vectors(spark, tmp_path):
         VectorIndex.build(table.where("id = 500"), f"file://{tmp_path}/b")
     assert cells_for(5, 64) == 1 and cells_for(2000, 64) == 250 and cells_for(10**12, 1024) == (64 << 20) // 8192
     assert isinstance(ivf.coder, Coder)
+
+
+def test_exact_search_is_products_of_matrices(spark, index, monkeypatch):
+    rows, ivf = index
+    plan = ivf.search(rows.where("vec_id % 400 = 3"), 5, 10**6, None, "vec_id")._jdf.queryExecution().executedPlan().toString()
+    assert "zip_with" not in plan and "MapInArrow" in plan
+    # copies of a vector, an id with two vectors, some of the cells
+    rng = np.random.default_rng(3)
+    own = [(i, v.tolist()) for i, v in enumerate(rng.standard_normal((60, 6)))] + [(100 + i, [1.0] * 6) for i in range(90)] + [(7, [1.0] * 6)]
+    table = spark.createDataFrame(own, "id long, embedding array<double>")
+    ivf = VectorIndex.build(table, f"file://{tempfile.mkdtemp(prefix='spark-', dir='/tmp')}/a", n_cells=7, posted=2)
+    asked = spark.createDataFrame([(1, [1.0] * 6), (2, [0.5] * 6), (3, [math.nan] * 6), (4, None)], "id long, embedding array<double>")
+    got = {}
+    for r in ivf.search(asked, 25, 7, None).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.id, pytest.approx(r.score)))
+    for q, v in ((1, 1.0), (2, 0.5)):
+        least = {}
+        for i, x in own:
+            d = float(np.linalg.norm(np.array(x, np.float32).astype(float) - v))
+            least[i] = min(d, least.get(i, d))
+        assert [i for i, _ in got[q]] == [i for i, d in sorted(least.items(), key=lambda p: (round(p[1], 9), p[0]))[:25]]
+    assert set(got) == {1, 2}
+    few = ivf.search(asked.where("id = 2"), 5, 2, None).orderBy("rank").collect()
+    cells = set(ivf.nearest_cells(np.full((1, 6), 0.5), 2)[0].tolist())
+    met = {r.id: float(np.linalg.norm(np.array(r.vector) - 0.5)) for r in ivf.postings(sorted(cells)).collect() if r.id != 7}
+    assert [r.id for r in few if r.id != 7] == [i for i, d in sorted(met.items(), key=lambda p: (round(p[1], 9), p[0]))][: len([r for r in few if r.id != 7])]

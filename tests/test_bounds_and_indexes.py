@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from meshwork.functions import bits
-from meshwork.operators import causal, paths, search
+from meshwork.operators import causal, paths, search, vector_index
 from meshwork.operators.patterns import edge, match, node
 from meshwork.operators.vector_index import Coder, VectorIndex, cells_for
 
@@ -341,3 +341,15 @@ def test_exact_search_is_products_of_matrices(spark, index, monkeypatch):
     cells = set(ivf.nearest_cells(np.full((1, 6), 0.5), 2)[0].tolist())
     met = {r.id: float(np.linalg.norm(np.array(r.vector) - 0.5)) for r in ivf.postings(sorted(cells)).collect() if r.id != 7}
     assert [r.id for r in few if r.id != 7] == [i for i, d in sorted(met.items(), key=lambda p: (round(p[1], 9), p[0]))][: len([r for r in few if r.id != 7])]
+
+
+def test_distances_to_cells_are_held_in_slices(monkeypatch):
+    held = []
+    squares = vector_index.squares
+    monkeypatch.setattr(vector_index, "squares", lambda x, c: held.append(len(x) * len(c)) or squares(x, c))
+    rng = np.random.default_rng(4)
+    x, centroids = rng.integers(0, 3, (3000, 4)).astype(float), rng.integers(0, 3, (2000, 4)).astype(float)
+    coder = Coder(centroids, np.zeros((1, 1, 4)))
+    want = np.argsort(squares(x[:50], centroids), axis=1, kind="stable")
+    assert np.array_equal(coder.cells_of(x, 4)[:50], want[:, :4]) and np.array_equal(coder.cells_of(x[:50], 300), want[:, :300])
+    assert len(held) > 2 and max(held) <= 1 << 20

@@ -31,12 +31,29 @@ def as_of_join(left: DataFrame, right: DataFrame, keys: list[str], left_on: str,
     return both.where("_side = 1").select(*left.columns, *[F.col(f"_v.{v}").alias(v) for v in values])
 
 
+#: Pairs that rows of one bucket and salt make at most, about.
+PAIRS_A_SALT = 1_000_000
+
+
 def range_join(left: DataFrame, right: DataFrame, point: str, lo: str, hi: str, width: float) -> DataFrame:
-    """Rows of left whose point lies in right's [lo, hi): joined by buckets of the given width, then tested."""
+    """Rows of left whose point lies in right's [lo, hi): joined by buckets of the given width, then tested.
+
+    The rows of both sides are counted in each bucket; where they make many pairs, left's rows are dealt by a salt and right's
+    copied to each salt, so no task gets more than its share, however few buckets the points lie in. Both are dealt to as many
+    tasks as shuffles have: by their bytes, which the pairs are not in proportion to, they would be joined in one.
+    Equal rows of left have one salt.
+    """
     bucket = lambda c: F.floor(c.cast("double") / width)
     a = left.withColumn("_bucket", bucket(F.col(point)))
     b = right.where(F.col(lo) < F.col(hi)).withColumn("_bucket", F.explode(F.sequence(bucket(F.col(lo)), bucket(F.col(hi)))))
-    return a.join(b, "_bucket").where((F.col(point) >= F.col(lo)) & (F.col(point) < F.col(hi))).drop("_bucket")
+    n = a.groupBy("_bucket").agg(F.count("*").alias("_a")).join(b.groupBy("_bucket").agg(F.count("*").alias("_b")), "_bucket")
+    salts = n.select("_bucket", F.least(F.col("_a"), F.ceil(F.col("_a") * F.col("_b") / PAIRS_A_SALT)).cast("int").alias("_salts"))
+    mark = F.xxhash64(*[F.col(c) for c in left.columns if not left.schema[c].dataType.typeName().startswith("map")], F.lit(5))
+    dealt = a.join(salts, "_bucket").withColumn("_salt", F.pmod(mark, F.col("_salts")).cast("int")).drop("_salts")
+    copied = b.join(salts, "_bucket").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_salts") - 1))).drop("_salts")
+    tasks = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = lambda df: df.repartition(tasks, "_bucket", "_salt")
+    return spread(dealt).join(spread(copied), ["_bucket", "_salt"]).where((F.col(point) >= F.col(lo)) & (F.col(point) < F.col(hi))).drop("_bucket", "_salt")
 
 
 def delete_by_id(df: DataFrame, ids: DataFrame, id_col: str = "id") -> DataFrame:

@@ -297,4 +297,5 @@ def pack(
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
 
     joined = held.join(placed, "uid").select("doc_id", "n", "ids", "full_id", "sequence", "at", "stream_at")
-    return in_arrow(joined, "packing", run, PIECES_SCHEMA)
+    # another name than the encoder's: workers drop it and its memos before they take documents and ids
+    return in_arrow(joined, "placing", run, PIECES_SCHEMA)

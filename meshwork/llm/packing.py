@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import os
 import re
+import struct
 import unicodedata
 import zlib
 from collections.abc import Iterator
@@ -19,6 +20,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,8 +30,8 @@ from .common import Memo, in_arrow, kept, task_count, text_of, written
 LONGEST = 48
 #: Bytes of memory of the memo of words, which cost most to make.
 WORD_BYTES = 64 << 20
-#: Texts encoded at a time.
-SLICE = 256
+#: Documents placed at a time, and chunks whose ids are laid out at a time.
+SLICE, CHUNKS_AT_ONCE = 256, 1 << 18
 #: Punctuation that may stand around a word.
 MARKS = ".,;:!?|*$%&#()[]\"/"
 NOT_LATIN = re.compile("[^\0-\u024f]")
@@ -47,8 +49,8 @@ def byte_letters() -> list[str]:
 class WordEncoder:
     """Ids by a tokenizers file as little-endian bytes.
 
-    A tokenizer that drops white space encodes what stands between blanks on its own, so such chunks are encoded once
-    and remembered. Where it also parts letters from punctuation and lowers case, a chunk is its word and the marks
+    A tokenizer that drops white space encodes what stands between blanks on its own, so each different chunk of a batch is
+    encoded once. Where it also parts letters from punctuation and lowers case, a chunk is its word and the marks
     around it, and words are remembered apart from chunks; a word of letters goes straight to the model. That holds only
     for words whose lower case is letters, one for each, in composed form: others leave marks that belong to what follows.
     Probes of the library decide which of this holds for the file; without it whole texts are encoded.
@@ -62,7 +64,7 @@ class WordEncoder:
         self.model.no_truncation()
         self.model.no_padding()
         self.kind = "<u2" if self.model.get_vocab_size() <= 0x10000 else "<u4"
-        self.chunks, self.words = Memo(self.chunk, longest=LONGEST), Memo(self.word, longest=LONGEST, most=WORD_BYTES)
+        self.marks, self.words = Memo(self.whole, longest=LONGEST), Memo(self.word, longest=LONGEST, most=WORD_BYTES)
         self.letters = byte_letters()
         probe = "The  quick\nbrown fox's 12 dogs.\n\n(Été) "
         self.apart = self.whole(probe) == b"".join(self.whole(x) for x in probe.replace("\n", " ").split(" "))
@@ -76,7 +78,8 @@ class WordEncoder:
     def word(self, letters: str) -> bytes:
         """The ids of a word of lower-case letters in composed form."""
         own = letters if letters.isascii() else "".join([self.letters[b] for b in letters.encode()])
-        return np.array([x.id for x in self.model.model.tokenize(own)], dtype=self.kind).tobytes()
+        ids = [x.id for x in self.model.model.tokenize(own)]
+        return struct.pack(f"<{len(ids)}{'H' if self.kind == '<u2' else 'I'}", *ids)
 
     def chunk(self, chunk: str) -> bytes:
         left = chunk.lstrip(MARKS)
@@ -87,10 +90,52 @@ class WordEncoder:
         if not low.isascii() and (len(low) != len(core) or not low.isalpha() or not unicodedata.is_normalized("NFC", core)):
             return self.whole(chunk)
         before, after = chunk[: len(chunk) - len(left)], left[len(core) :]
-        return (self.chunks[before] if before else b"") + self.words[low] + (self.chunks[after] if after else b"")
+        return (self.marks[before] if before else b"") + self.words[low] + (self.marks[after] if after else b"")
+
+    def each_chunk(self, chunks: pa.Array) -> list[bytes]:
+        """chunk() of each of many: those whose words are ASCII letters share what is looked up."""
+        left = pc.utf8_ltrim(chunks, MARKS)
+        core = pc.utf8_rtrim(left, MARKS)
+        plain = pc.and_(pc.ascii_is_alpha(core), pc.less_equal(pc.binary_length(core), LONGEST if self.parted else 0))
+        out = np.empty(len(chunks), dtype=object)
+        held = np.asarray(plain)
+        words = pc.ascii_lower(core.filter(plain)).dictionary_encode()
+        out[held] = np.array([*map(self.words.__getitem__, words.dictionary.to_pylist()), None], dtype=object)[np.asarray(words.indices)]
+        marked = pc.and_(plain, pc.less(pc.binary_length(core), pc.binary_length(chunks)))
+        rows = (x.filter(marked).to_pylist() for x in (chunks, left, core))
+        marks, at = self.marks, np.flatnonzero(np.asarray(marked))
+        for i, c, x, w in zip(at.tolist(), *rows, strict=True):
+            before, after = c[: len(c) - len(x)], x[len(w) :]
+            out[i] = (marks[before] if before else b"") + out[i] + (marks[after] if after else b"")
+        out[~held] = np.array([*map(self.chunk, chunks.filter(pc.invert(plain)).to_pylist()), None], dtype=object)[:-1]
+        return out.tolist()
 
     def encode(self, text: str) -> bytes:
-        return b"".join(map(self.chunks.__getitem__, text.replace("\n", " ").split(" "))) if self.apart else self.whole(text)
+        return b"".join(map(self.chunk, text.replace("\n", " ").split(" "))) if self.apart else self.whole(text)
+
+    def encode_all(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, pa.Array]:
+        """(how many ids, the ids as bytes) of each text of a batch, end_id after them."""
+        kind, end = np.dtype(self.kind), np.array([end_id], dtype=self.kind)
+        if not self.apart:
+            each = [self.whole(t) + end.tobytes() for t in texts.to_pylist()]
+            return np.array([len(x) // kind.itemsize for x in each], dtype=np.int64), pa.array(each, pa.binary())
+        parts = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+        ends = np.asarray(parts.offsets)[1:] - parts.offsets[0].as_py()
+        coded = parts.flatten().dictionary_encode()
+        known = self.each_chunk(coded.dictionary)
+        # the end id is one more chunk, after the last of each text
+        which = np.insert(np.asarray(coded.indices), ends, len(known))
+        size = np.array([*map(len, known), kind.itemsize]) // kind.itemsize
+        ids, first = np.frombuffer(b"".join([*known, end.tobytes()]), dtype=kind), np.cumsum(size) - size
+        at = np.concatenate([[0], np.cumsum(size[which])])
+        out = np.empty(at[-1], dtype=kind)
+        for lo in range(0, len(which), CHUNKS_AT_ONCE):
+            own = which[lo : lo + CHUNKS_AT_ONCE]
+            begin, n = at[lo], size[own]
+            out[begin : at[lo + len(own)]] = ids[np.repeat(first[own] - at[lo : lo + len(own)], n) + np.arange(begin, at[lo + len(own)])]
+        bounds = at[np.concatenate([[0], ends + np.arange(1, len(ends) + 1)])]
+        held = pa.Array.from_buffers(pa.large_binary(), len(texts), [None, pa.py_buffer(bounds * kind.itemsize), pa.py_buffer(out)])
+        return np.diff(bounds), held.cast(pa.binary())
 
 
 def encoder(path: str) -> WordEncoder:
@@ -103,13 +148,9 @@ def tokenized(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: str, te
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(tokenizer_path)
-        end, width = np.array([end_id], dtype=own.kind).tobytes(), np.dtype(own.kind).itemsize
         for b in batches:
-            for lo in range(0, b.num_rows, SLICE):
-                part = b.slice(lo, SLICE)
-                ids = [own.encode(t.as_py()) + end for t in part.column("text")]
-                n = pa.array([len(x) // width for x in ids], pa.int64())
-                yield pa.RecordBatch.from_arrays([part.column("uid"), part.column("doc_id"), n, pa.array(ids, pa.binary())], ["uid", "doc_id", "n", "ids"])
+            n, ids = own.encode_all(b.column("text"), end_id)
+            yield pa.RecordBatch.from_arrays([b.column("uid"), b.column("doc_id"), pa.array(n, pa.int64()), ids], ["uid", "doc_id", "n", "ids"])
 
     rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
     return in_arrow(rows, "packing", run, IDS_SCHEMA)

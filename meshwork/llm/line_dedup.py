@@ -4,7 +4,8 @@ A line's shingles are all its stretches of `chars` characters, one at every char
 signature of a key is the least of its shingles' hashes under each of several xors. Keys that agree in a band of the
 signature are candidates. Within a band they are compared with a leader first, which joins the copies of one line without
 comparing them with one another. Bands that hold lines of several components after that are compared pair by pair if they
-are small. The larger ones are split by further rows of the signature, in as many ways as make hardly any loss, and what is
+are of bounded size: sketches travel with the rows, so a pair that can't be similar enough goes no further than the join that
+makes it. The larger ones are split by further rows of the signature, in as many ways as make hardly any loss, and what is
 large still is compared wherever lines share one of their rarest shingles, as all similar lines do. Candidates are
 verified by the exact Jaccard similarity of their shingle sets, and union-find joins them.
 """
@@ -19,8 +20,9 @@ from pyspark.sql import functions as F
 from .common import Scratch, task_count, text_of
 from .components import connected_components
 
-#: Bands of so many members at most are compared pair by pair.
-FEW_MEMBERS = 32
+#: Bands of so many members at most are compared pair by pair: a member meets half as many sketches, which costs less than
+#: the ten rows that a split makes of it.
+FEW_MEMBERS = 512
 #: Shingles hashed to a row: they are reduced among each other before they are aggregated.
 STRIDE = 16
 #: Hashes of a signature of which the sketch keeps four bits each.
@@ -102,6 +104,11 @@ def differing(a: Column, b: Column) -> Column:
     return F.bit_count(x.bitwiseAND(F.lit(0x1111111111111111)))
 
 
+def able(most_different: int, other: str) -> Column:
+    """Whether the sketches of a row and of its other allow for enough similarity."""
+    return differing(F.col("q0"), F.col(f"q0_{other}")) + differing(F.col("q1"), F.col(f"q1_{other}")) <= most_different
+
+
 def compared(pairs: DataFrame, texts: DataFrame, chars: int, least: float) -> DataFrame:
     """(a, b) of the pairs whose shingle sets have at least this Jaccard similarity, each pair once.
 
@@ -142,12 +149,9 @@ class Links:
         return rows.join(self.label, "key", "left").withColumn("of", F.coalesce("component", "key")).drop("component")
 
     def compare(self, pairs: DataFrame) -> bool:
-        """Keeps the links among (key, other) rows, which may repeat; whether there are any."""
+        """Keeps the links among (key, other) rows, which may repeat; whether there are any. Their sketches have met."""
         own = pairs.select(F.least("key", "other").alias("a"), F.greatest("key", "other").alias("b")).distinct()
-        side = lambda k: self.signed.select(F.col("key").alias(k), F.col("q0").alias(f"q0_{k}"), F.col("q1").alias(f"q1_{k}"))
-        both = own.join(side("a"), "a").join(side("b"), "b")
-        able = both.where(differing(F.col("q0_a"), F.col("q0_b")) + differing(F.col("q1_a"), F.col("q1_b")) <= self.most_different())
-        new = self.scratch.written(compared(able, self.texts, self.chars, self.similarity), "links")
+        new = self.scratch.written(compared(own, self.texts, self.chars, self.similarity), "links")
         if new.isEmpty():
             return False
         self.found.append(new)
@@ -160,34 +164,35 @@ class Links:
             self.label = label.withColumnRenamed("node", "key")
 
     def open_bands(self, rows: DataFrame) -> DataFrame:
-        """(band, lead, lead_of, members) of the bands that hold several components; lead is the line of the largest one, or of
-        all if none is larger, that most documents repeat: others are likely to be copies of it."""
+        """(band, lead, q0_lead, q1_lead, lead_of, members) of the bands that hold several components; lead is the line of the
+        largest one, or of all if none is larger, that most documents repeat: others are likely to be copies of it."""
         weight = F.shiftleft(F.least(F.col("n"), F.lit(1 << 30)), 32).bitwiseOR(F.xxhash64("key").bitwiseAND(F.lit((1 << 32) - 1)))
         parts = self.named(rows).withColumn("weight", weight).groupBy("band", "of").agg(
-            F.count("*").alias("m"), F.max_by("key", "weight").alias("lead"), F.max("weight").alias("weight")
-        )
-        best = F.max(F.struct("m", "weight", "lead", F.col("of").alias("lead_of")))
+            F.count("*").alias("m"), *[F.max_by(c, "weight").alias(name) for c, name in (("key", "lead"), ("q0", "q0_lead"), ("q1", "q1_lead"))], F.max("weight").alias("weight")
+        )
+        best = F.max(F.struct("m", "weight", "lead", F.col("of").alias("lead_of"), "q0_lead", "q1_lead"))
         bands = parts.groupBy("band").agg(best.alias("best"), F.sum("m").alias("members"))
-        return bands.where(F.col("best.m") < F.col("members")).select("band", "best.lead", "best.lead_of", "members")
+        return bands.where(F.col("best.m") < F.col("members")).select("band", "best.lead", "best.q0_lead", "best.q1_lead", "best.lead_of", "members")
 
     def star(self, rows: DataFrame) -> bool:
         """Compares the members of open bands with a leader, unless they are linked already; whether that linked any."""
-        led = self.named(rows).join(self.open_bands(rows), "band").where(F.col("of") != F.col("lead_of"))
+        led = self.named(rows).join(self.open_bands(rows), "band").where((F.col("of") != F.col("lead_of")) & able(self.most_different(), "lead"))
         return self.compare(led.select("key", F.col("lead").alias("other")))
 
     def pairwise(self, rows: DataFrame) -> None:
-        """Compares all members of bands of few members, unless they are linked already: (band, key, of) rows."""
-        other = rows.select("band", F.col("key").alias("other"), F.col("of").alias("of_other"))
-        self.compare(rows.join(other, "band").where((F.col("key") > F.col("other")) & (F.col("of") != F.col("of_other"))))
+        """Compares all members of bands of few members, unless they are linked already: (band, key, of, q0, q1) rows."""
+        other = rows.select("band", F.col("key").alias("other"), *[F.col(c).alias(f"{c}_other") for c in ("of", "q0", "q1")])
+        unlinked = (F.col("key") > F.col("other")) & (F.col("of") != F.col("of_other"))
+        self.compare(rows.join(other, "band").where(unlinked & able(self.most_different(), "other")))
 
     def by_rare_shingles(self, keys: DataFrame) -> None:
-        """Compares lines wherever they share a rare shingle and may share enough, unless they are linked already.
+        """Compares the lines of (key, q0, q1) rows wherever they share a rare shingle and may share enough, unless they are linked already.
 
         Of n shingles in any order a line shares one among its first n - similarity * n + 1 with every larger linked one,
         which has it among its own so many; the smaller line of a pair needs still fewer. In the order by number of lines
         a shingle's rank bounds what is shared from the first shared one on; those of one line only come first.
         """
-        own = keys.join(self.texts, "key").select("key", once(wide(F.col("line")), "wide"))
+        own = keys.select("key").join(self.texts, "key").select("key", once(wide(F.col("line")), "wide"))
         own = own.select("key", "wide", F.explode(F.sequence(F.lit(1), last_start(F.col("wide"), self.chars))).alias("start"))
         each = self.scratch.written(own.select("key", shingle_at(F.col("wide"), F.col("start"), self.chars).alias("shingle")).distinct(), "shingles")
         often = each.groupBy("shingle").agg(F.count("*").alias("often"))
@@ -198,17 +203,18 @@ class Links:
         needed = lambda part: F.col("n") - F.ceil(F.col("n") * part - 1e-9) + 1
         indexed = F.col("rank") <= needed(2 * self.similarity / (1 + self.similarity))
         kept = ranked.where((F.col("rank") <= needed(self.similarity)) & (F.col("often") > 1))
-        left = self.named(self.scratch.written(kept.select("shingle", "key", "n", "rank", indexed.alias("indexed")), "rare"))
-        other = left.where("indexed").select("shingle", *[F.col(c).alias(f"{c}_b") for c in ("key", "n", "rank", "of")])
+        kept = kept.select("shingle", "key", "n", "rank", indexed.alias("indexed")).join(keys, "key")
+        left = self.named(self.scratch.written(kept, "rare"))
+        other = left.where("indexed").select("shingle", *[F.col(c).alias(f"{c}_b") for c in ("key", "n", "rank", "of", "q0", "q1")])
         order = (F.col("n") > F.col("n_b")) | ((F.col("n") == F.col("n_b")) & (F.col("key") > F.col("key_b")))
         most = 1 + F.least(F.col("n") - F.col("rank"), F.col("n_b") - F.col("rank_b"))
         enough = (1 + self.similarity) * most >= self.similarity * (F.col("n") + F.col("n_b")) - 1e-9
-        pairs = left.join(other, "shingle").where(order & enough & (F.col("of") != F.col("of_b")))
+        pairs = left.join(other, "shingle").where(order & enough & (F.col("of") != F.col("of_b")) & able(self.most_different(), "b"))
         self.compare(pairs.select("key", F.col("key_b").alias("other")))
 
 
 def compare_groups(rows: DataFrame, links: Links) -> DataFrame:
-    """Links the members of the groups `band` of (band, key, n, ...) rows; the rows of those too large to be compared in full."""
+    """Links the members of the groups `band` of (band, key, n, q0, q1, ...) rows; the rows of those too large to be compared in full."""
     if links.star(rows):
         links.relabel()
     left = links.named(rows).join(links.open_bands(rows).select("band", "members"), "band")
@@ -218,7 +224,7 @@ def compare_groups(rows: DataFrame, links: Links) -> DataFrame:
 
 
 def find_links(rows: DataFrame, links: Links, n_rows: int) -> DataFrame | None:
-    """(key, component) of all links among the members of a band, None if there are none: (band, number, key, n) rows."""
+    """(key, component) of all links among the members of a band, None if there are none: (band, number, key, n, q0, q1) rows."""
     large = compare_groups(rows, links)
     if not large.isEmpty():
         compare_large(large, links, n_rows)
@@ -227,13 +233,14 @@ def find_links(rows: DataFrame, links: Links, n_rows: int) -> DataFrame | None:
 
 
 def compare_large(large: DataFrame, links: Links, n_rows: int) -> None:
-    """Links the members of (band, number, key, n) rows of large bands, which are split by rows that aren't the band's own."""
+    """Links the members of (band, number, key, n, q0, q1) rows of large bands, which are split by rows that aren't the band's own."""
     low, high = F.col("i") * SPLIT_ROWS, F.col("i") * SPLIT_ROWS + SPLIT_ROWS - 1
     other = (high < F.col("number") * n_rows) | (low >= (F.col("number") + 1) * n_rows)
-    split = large.join(links.signed.select("key", "splits"), "key").select("band", "number", "key", "n", F.posexplode("splits").alias("i", "split")).where(other)
-    split = links.scratch.written(split.select(F.xxhash64("band", "i", "split").alias("band"), "key", "n"), "split")
+    own = ["key", "n", "q0", "q1"]
+    split = large.join(links.signed.select("key", "splits"), "key").select("band", "number", *own, F.posexplode("splits").alias("i", "split")).where(other)
+    split = links.scratch.written(split.select(F.xxhash64("band", "i", "split").alias("band"), *own), "split")
     left = compare_groups(split, links)
-    keys = links.scratch.written(left.select("key").distinct(), "large")
+    keys = links.scratch.written(left.select("key", "q0", "q1").distinct(), "large")
     if not keys.isEmpty():
         links.by_rare_shingles(keys)
 
@@ -269,7 +276,7 @@ def line_components(
         texts = held.where(F.length("line") >= min_chars).select("key", "line")
         signed = sketched(signatures(texts, chars, bands * rows), bands, rows).join(held.select("key", "n"), "key")
         signed = scratch.written(signed, "signed")
-        banded = signed.select("key", "n", F.posexplode("bands").alias("number", "band"))
+        banded = signed.select("key", "n", "q0", "q1", F.posexplode("bands").alias("number", "band"))
         wanted = banded.groupBy("band").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo <> hi").select("band")
         banded = scratch.written(banded.join(wanted, "band", "left_semi"), "banded")
         label = find_links(banded, Links(scratch, texts, signed, chars, similarity, bands * rows), rows)

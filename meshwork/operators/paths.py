@@ -201,7 +201,9 @@ def shortest_paths(starts: DataFrame, edges: DataFrame, most: int = 10) -> DataF
     return seen
 
 
-def lightest_paths(starts: DataFrame, edges: DataFrame, weight: Column, targets: DataFrame | None = None, delta: float | None = None, potential: DataFrame | None = None) -> DataFrame:
+def lightest_paths(
+    starts: DataFrame, edges: DataFrame, weight: Column, targets: DataFrame | None = None, delta: float | None = None, potential: DataFrame | None = None, with_path: bool = True
+) -> DataFrame:
     """(start, end, distance, path, depth): the path of least total weight from each start to every node that it reaches, ties to
     the least path; the start itself is at 0.
 
@@ -216,7 +218,12 @@ def lightest_paths(starts: DataFrame, edges: DataFrame, weight: Column, targets:
     With targets (id) it ends once all that can be reached are settled for all starts, and returns these only. With a
     potential (id, potential), nodes are taken in the order of distance plus potential, as A* does: it must be consistent, so
     no edge is lighter than its ends' potentials differ, nodes without one have 0, and its results are the same.
+
+    Without with_path the result is (start, end, distance), and a potential isn't allowed: offers then are numbers, which are
+    aggregated by hash before they move; those with paths are sorted as a whole.
     """
+    if potential is not None and not with_path:
+        raise ValueError("a potential needs paths")
     spark = edges.sparkSession
     links = edges.select(F.col("from_id").alias("u"), F.col("to_id").alias("v"), weight.cast("double").alias("w")).where("w is not null and u is not null and v is not null and u <> v")
     links = links.groupBy("u", "v").agg(F.min("w").alias("w"))
@@ -236,17 +243,26 @@ def lightest_paths(starts: DataFrame, edges: DataFrame, weight: Column, targets:
             raise ValueError("weights must be zero or more" if seen["lightest"] < 0 else "the potential isn't consistent: an edge is lighter than its ends' potentials differ")
         step = delta or seen["mean"] or 1.0
         light, heavy = links.where(F.col("r") < step), links.where(F.col("r") >= step)
-        best = F.min(F.struct("key", "distance", "path", "fresh")).alias("b")
-        merged = lambda df: df.groupBy("start", "end").agg(best).select("start", "end", "b.key", "b.distance", "b.path", "b.fresh")
+        kept = ["key", "distance", "path"] if with_path else ["key"]
+
+        def merged(df: DataFrame) -> DataFrame:
+            """The best offer of each start and end; of equal ones the least fresh."""
+            by = df.groupBy("start", "end")
+            if with_path:
+                return by.agg(F.min(F.struct(*kept, "fresh")).alias("b")).select("start", "end", *[f"b.{c}" for c in (*kept, "fresh")])
+            both = by.agg(F.min("key").alias("key"), F.min(F.when(F.col("fresh") < 0, F.col("key"))).alias("old"))
+            return both.select("start", "end", "key", F.when(F.col("old") <= F.col("key"), -1).otherwise(0).alias("fresh"))
+
         zero = starts.select(F.col("id").alias("start")).where("start is not null").distinct()
-        open_ = scratch.written(zero.select("start", F.col("start").alias("end"), F.lit(0.0).alias("key"), F.lit(0.0).alias("distance"), F.array("start").alias("path"), F.lit(0).alias("fresh")), "open", keep=True)
+        open_ = zero.select("start", F.col("start").alias("end"), F.lit(0.0).alias("key"), F.lit(0.0).alias("distance"), F.array("start").alias("path"), F.lit(0).alias("fresh"))
+        open_ = scratch.written(open_.select("start", "end", *kept, "fresh"), "open", keep=True)
         need = None if targets is None else zero.count() * targets.select("id").distinct().count()
         settled: list[DataFrame] = []
 
         def relaxed(front: DataFrame, over: DataFrame) -> DataFrame:
             met = front.join(over, F.col("end") == F.col("u"))
-            met = met.select("start", F.col("v").alias("end"), (F.col("key") + F.col("r")).alias("key"), (F.col("distance") + F.col("w")).alias("distance"), F.concat("path", F.array("v")).alias("path"))
-            return met.withColumn("fresh", F.lit(0))
+            grown = {"key": F.col("key") + F.col("r"), "distance": F.col("distance") + F.col("w") if with_path else None, "path": F.concat("path", F.array("v")) if with_path else None}
+            return met.select("start", F.col("v").alias("end"), *[grown[c].alias(c) for c in kept], F.lit(0).alias("fresh"))
 
         def without_settled(df: DataFrame) -> DataFrame:
             return df.join(reduce(DataFrame.unionByName, settled).select("start", "end"), ["start", "end"], "left_anti").select(*open_.columns) if settled else df
@@ -263,17 +279,18 @@ def lightest_paths(starts: DataFrame, edges: DataFrame, weight: Column, targets:
             near = F.col("key") < until
             while not (front := open_.where(near & (F.col("fresh") == 0))).isEmpty():
                 passed = open_.withColumn("fresh", F.when(near, 1).otherwise(F.col("fresh")))
-                offers = without_settled(relaxed(front, light))
-                # an offer as good as what is known isn't news
-                all_ = passed.withColumn("fresh", -F.col("fresh")).unionByName(offers)
-                open_ = scratch.written(merged(all_).withColumn("fresh", -F.col("fresh")), f"open{len(settled)}")
+                # an offer as good as what is known isn't news; offers are few once they are merged, so settled ends go after that
+                all_ = passed.withColumn("fresh", -F.col("fresh")).unionByName(relaxed(front, light))
+                open_ = scratch.written(without_settled(merged(all_)).withColumn("fresh", -F.col("fresh")), f"open{len(settled)}")
             done = scratch.written(open_.where(near), "settled", keep=True)
             settled.append(done)
             offers = relaxed(done, heavy)
-            open_ = scratch.written(merged(without_settled(open_.where(~near).unionByName(offers))), f"open{len(settled)}")
+            open_ = scratch.written(without_settled(merged(open_.where(~near).unionByName(offers))), f"open{len(settled)}")
             if targets is not None and wanted(settled).count() >= need:
                 break
         found = wanted(settled or [open_])
+        if not with_path:
+            return found.select("start", "end", F.col("key").alias("distance"))
         return found.select("start", "end", "distance", "path", (F.size("path") - 1).alias("depth"))
 
 

@@ -52,7 +52,7 @@ def lightest_reach(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes, edges = graph(spark, sf_dir)
     amp = F.col("amplification")
     weight = F.when(F.col("type") == "CONTAINS", 7).when(F.col("type") == "PLACED", F.round(1e6 / amp)).otherwise(F.round(1e6 * (amp - 1)))
-    found = paths.lightest_paths(nodes.where("label = 'Region'"), edges, weight, delta=500_000.0)
+    found = paths.lightest_paths(nodes.where("label = 'Region'"), edges, weight, delta=500_000.0, with_path=False)
     known = found.join(nodes.select(F.col("id").alias("end"), F.col("label").alias("m_label")), "end")
     return known.groupBy("start", "m_label").agg(F.count("*").alias("n"), F.sum("distance").cast("long").alias("distance"))
 

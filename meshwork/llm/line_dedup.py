@@ -4,9 +4,10 @@ A line's shingles are all its stretches of `chars` characters, one at every char
 signature of a key is the least of its shingles' hashes under each of several xors. Keys that agree in a band of the
 signature are candidates. Within a band they are compared with a leader first, which joins the copies of one line without
 comparing them with one another. Bands that hold lines of several components after that are compared pair by pair if they
-are of bounded size: sketches travel with the rows, so a pair that can't be similar enough goes no further than the join that
-makes it. The larger ones are split by further rows of the signature, in as many ways as make hardly any loss, and what is
-large still is compared wherever lines share one of their rarest shingles, as all similar lines do. Candidates are
+are of bounded size: bitmaps of the shingle sets travel with the rows, and the bits in which two differ are a lower bound of
+the shingles they don't share, so hardly a pair that isn't similar goes further than the join that makes it, and no similar
+one is lost. The larger ones are split by further rows of the signature, in as many ways as make hardly any loss, and what
+is large still is compared wherever lines share one of their rarest shingles, as all similar lines do. Candidates are
 verified by the exact Jaccard similarity of their shingle sets, and union-find joins them.
 """
 
@@ -20,9 +21,11 @@ from pyspark.sql import functions as F
 from .common import Scratch, task_count, text_of
 from .components import connected_components
 
-#: Bands of so many members at most are compared pair by pair: a member meets half as many sketches, which costs less than
+#: Bands of so many members at most are compared pair by pair: a member meets half as many bitmaps, which costs less than
 #: the ten rows that a split makes of it.
 FEW_MEMBERS = 512
+#: Words of 64 bits of a line's bitmap.
+BITMAP_WORDS = 32
 #: Shingles hashed to a row: they are reduced among each other before they are aggregated.
 STRIDE = 16
 #: Hashes of a signature of which the sketch keeps four bits each.
@@ -74,26 +77,41 @@ def mask(i: int) -> int:
     return (0x9E3779B97F4A7C15 * (i + 1) * (2 * i + 3)) % (1 << 64) - (1 << 63)
 
 
-def signatures(texts: DataFrame, chars: int, n_hashes: int) -> DataFrame:
-    """(key, s0, s1, ...) of (key, line) rows."""
+def hashed_rows(texts: DataFrame, chars: int, stride: int) -> DataFrame:
+    """(key, last, h0, h1, ...) of (key, line) rows: the shingles of a line, so many in a row, and the last one's position."""
     own = texts.select("key", once(wide(F.col("line")), "wide"))
     own = own.select("key", "wide", once(last_start(F.col("wide"), chars), "last"))
-    each = own.select("key", "wide", "last", F.explode(F.sequence(F.lit(1), F.col("last"), F.lit(STRIDE))).alias("start"))
+    each = own.select("key", "wide", "last", F.explode(F.sequence(F.lit(1), F.col("last"), F.lit(stride))).alias("start"))
     # beyond the end the last shingle is repeated
-    hashed = each.select("key", *[shingle_at(F.col("wide"), F.least(F.col("start") + j, F.col("last")), chars).alias(f"h{j}") for j in range(STRIDE)])
+    return each.select("key", "last", *[shingle_at(F.col("wide"), F.least(F.col("start") + j, F.col("last")), chars).alias(f"h{j}") for j in range(stride)])
+
+
+def signatures(texts: DataFrame, chars: int, n_hashes: int) -> DataFrame:
+    """(key, s0, s1, ...) of (key, line) rows."""
     least = lambda i: F.least(*[F.col(f"h{j}").bitwiseXOR(F.lit(mask(i))) for j in range(STRIDE)])
-    return hashed.groupBy("key").agg(*[F.min(least(i)).alias(f"s{i}") for i in range(n_hashes)])
+    return hashed_rows(texts, chars, STRIDE).groupBy("key").agg(*[F.min(least(i)).alias(f"s{i}") for i in range(n_hashes)])
+
+
+def bitmaps(texts: DataFrame, chars: int) -> DataFrame:
+    """(key, size, b0, b1, ...) of (key, line) rows: a bit for each shingle, and the number of shingles with those repeated."""
+    word, bit = F.shiftrightunsigned("h0", 6).bitwiseAND(F.lit(BITMAP_WORDS - 1)), F.expr("shiftleft(1L, int(h0 & 63L))")
+    each = hashed_rows(texts, chars, 1).select("key", "last", word.alias("word"), bit.alias("bit"))
+    words = each.groupBy("key", "last", "word").agg(F.bit_or("bit").alias("bits"))
+    return words.groupBy("key", F.col("last").alias("size")).agg(*[F.max(F.when(F.col("word") == w, F.col("bits"))).alias(f"b{w}") for w in range(BITMAP_WORDS)])
+
+
+def own_splits(n_hashes: int) -> Column:
+    """The hashes of the rows that large bands are split by."""
+    return F.array(*[F.hash(*[F.col(f"s{j}") for j in range(i, min(i + SPLIT_ROWS, n_hashes))]) for i in range(0, n_hashes, SPLIT_ROWS)])
 
 
 def sketched(signed: DataFrame, bands: int, rows: int) -> DataFrame:
-    """(key, q0, q1, bands, splits): four bits of each of the first 32 hashes, the hash of each band, and those of rows that
-    large bands are split by."""
+    """(key, q0, q1, bands): four bits of each of the first 32 hashes, and the hash of each band."""
     nibble = lambda i: F.shiftleft(F.col(f"s{i}").bitwiseAND(F.lit(15)), 4 * (i % 16))
     q = [reduce(Column.bitwiseOR, [nibble(i) for i in range(lo, min(lo + 16, bands * rows))], F.lit(0).cast("long")) for lo in (0, 16)]
     own = lambda lo, n: [F.col(f"s{i}") for i in range(lo, min(lo + n, bands * rows))]
     each = [F.xxhash64(F.lit(b), *own(b * rows, rows)) for b in range(bands)]
-    splits = [F.hash(*own(i, SPLIT_ROWS)) for i in range(0, bands * rows, SPLIT_ROWS)]
-    return signed.select("key", q[0].alias("q0"), q[1].alias("q1"), F.array(*each).alias("bands"), F.array(*splits).alias("splits"))
+    return signed.select("key", q[0].alias("q0"), q[1].alias("q1"), F.array(*each).alias("bands"))
 
 
 def differing(a: Column, b: Column) -> Column:
@@ -132,15 +150,15 @@ class Links:
 
     def __init__(self, scratch: Scratch, texts: DataFrame, signed: DataFrame, chars: int, similarity: float, n_hashes: int):
         self.scratch, self.texts, self.signed, self.chars, self.similarity = scratch, texts, signed, chars, similarity
-        self.n_sketched = min(SKETCHED, n_hashes)
+        self.n_hashes, self.n_sketched = n_hashes, min(SKETCHED, n_hashes)
         self.found: list[DataFrame] = []
         self.label: DataFrame | None = None
 
-    def most_different(self) -> int:
+    def most_different(self, deviations: int = 3) -> int:
         """Groups of four bits in which sketches may differ: linked lines' agree in similarity + (1 - similarity) / 16 of
-        them, and three deviations below that one of 700 of the least similar is lost."""
+        them, and three deviations below that one of 700 of the least similar is lost, at four one of 30,000."""
         p = self.similarity + (1 - self.similarity) / 16
-        return int(self.n_sketched * (1 - p) + 3 * (self.n_sketched * p * (1 - p)) ** 0.5)
+        return int(self.n_sketched * (1 - p) + deviations * (self.n_sketched * p * (1 - p)) ** 0.5)
 
     def named(self, rows: DataFrame) -> DataFrame:
         """rows with `of`, the component of their key."""
@@ -149,7 +167,7 @@ class Links:
         return rows.join(self.label, "key", "left").withColumn("of", F.coalesce("component", "key")).drop("component")
 
     def compare(self, pairs: DataFrame) -> bool:
-        """Keeps the links among (key, other) rows, which may repeat; whether there are any. Their sketches have met."""
+        """Keeps the links among (key, other) rows, which may repeat; whether there are any. Their sketches or bitmaps have met."""
         own = pairs.select(F.least("key", "other").alias("a"), F.greatest("key", "other").alias("b")).distinct()
         new = self.scratch.written(compared(own, self.texts, self.chars, self.similarity), "links")
         if new.isEmpty():
@@ -180,10 +198,27 @@ class Links:
         return self.compare(led.select("key", F.col("lead").alias("other")))
 
     def pairwise(self, rows: DataFrame) -> None:
-        """Compares all members of bands of few members, unless they are linked already: (band, key, of, q0, q1) rows."""
-        other = rows.select("band", F.col("key").alias("other"), *[F.col(c).alias(f"{c}_other") for c in ("of", "q0", "q1")])
-        unlinked = (F.col("key") > F.col("other")) & (F.col("of") != F.col("of_other"))
-        self.compare(rows.join(other, "band").where(unlinked & able(self.most_different(), "other")))
+        """Compares all members of bands of few members, unless they are linked already: (band, key, of, q0, q1) rows.
+
+        Those whose sketch allows for a link with any other's get a bitmap. Of sets of s shingles in all, those of this
+        similarity differ in s * (1 - similarity) / (1 + similarity) at most, and each bit in which their bitmaps differ
+        stands for one that is in one set only.
+        """
+        met = rows.select(*[F.col(c).alias(f"{c}_other") for c in ("band", "of", "q0", "q1")])
+        allowed = (F.col("band") == F.col("band_other")) & (F.col("of") != F.col("of_other")) & able(self.most_different(4), "other")
+        rows = self.scratch.written(rows.join(met, allowed, "left_semi").select("band", "key", "of"), "near")
+        if rows.isEmpty():
+            return
+        words = [f"b{w}" for w in range(BITMAP_WORDS)]
+        keys = rows.select("key").distinct()
+        mapped = self.scratch.written(bitmaps(self.texts.join(keys, "key", "left_semi"), self.chars), "bitmaps")
+        own = rows.join(mapped, "key").select("band", "key", "of", "size", *[F.coalesce(w, F.lit(0)).alias(w) for w in words])
+        other = own.select("band", *[F.col(c).alias(f"{c}_other") for c in ("key", "of", "size", *words)])
+        differ = reduce(Column.__add__, [F.bit_count(F.col(w).bitwiseXOR(F.col(f"{w}_other"))) for w in words])
+        most = (F.col("size") + F.col("size_other")) * ((1 - self.similarity) / (1 + self.similarity)) + 1e-9
+        unlinked = (F.col("key") > F.col("key_other")) & (F.col("of") != F.col("of_other"))
+        pairs = own.join(other, "band").where(unlinked & (differ <= most))
+        self.compare(pairs.select("key", F.col("key_other").alias("other")))
 
     def by_rare_shingles(self, keys: DataFrame) -> None:
         """Compares the lines of (key, q0, q1) rows wherever they share a rare shingle and may share enough, unless they are linked already.
@@ -237,7 +272,9 @@ def compare_large(large: DataFrame, links: Links, n_rows: int) -> None:
     low, high = F.col("i") * SPLIT_ROWS, F.col("i") * SPLIT_ROWS + SPLIT_ROWS - 1
     other = (high < F.col("number") * n_rows) | (low >= (F.col("number") + 1) * n_rows)
     own = ["key", "n", "q0", "q1"]
-    split = large.join(links.signed.select("key", "splits"), "key").select("band", "number", *own, F.posexplode("splits").alias("i", "split")).where(other)
+    texts = links.texts.join(large.select("key").distinct(), "key", "left_semi")
+    splits = signatures(texts, links.chars, links.n_hashes).select("key", own_splits(links.n_hashes).alias("splits"))
+    split = large.join(splits, "key").select("band", "number", *own, F.posexplode("splits").alias("i", "split")).where(other)
     split = links.scratch.written(split.select(F.xxhash64("band", "i", "split").alias("band"), *own), "split")
     left = compare_groups(split, links)
     keys = links.scratch.written(left.select("key", "q0", "q1").distinct(), "large")
@@ -270,15 +307,17 @@ def line_components(
     n_buckets = min(2 * task_count(spark), 20_000)
     lines = lines_of(docs, max(1, exact_from), id_col, text_col).withColumn("key", F.xxhash64("line"))
     place = F.struct("doc_id", "line_no")
-    with Scratch(spark) as scratch:
+    with Scratch(spark, tidy=True) as scratch:
         held = lines.groupBy("key").agg(F.first("line").alias("line"), F.min(place).alias("first"), F.max(place).alias("last"), F.count("*").alias("n"))
         held = scratch.bucketed(held, "lines", "key", n_buckets)
         texts = held.where(F.length("line") >= min_chars).select("key", "line")
         signed = sketched(signatures(texts, chars, bands * rows), bands, rows).join(held.select("key", "n"), "key")
         signed = scratch.written(signed, "signed")
-        banded = signed.select("key", "n", "q0", "q1", F.posexplode("bands").alias("number", "band"))
-        wanted = banded.groupBy("band").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo <> hi").select("band")
-        banded = scratch.written(banded.join(wanted, "band", "left_semi"), "banded")
+        # keys are distinct and bands of one key differ; rows of shared bands get their columns once they are known
+        each = signed.select("key", F.posexplode("bands").alias("number", "band"))
+        wanted = scratch.written(each.groupBy("band").agg(F.count("*").alias("m")).where("m > 1").select("band"), "wanted")
+        shared = scratch.written(each.join(wanted, "band", "left_semi"), "shared")
+        banded = scratch.written(shared.join(signed.select("key", "n", "q0", "q1"), "key"), "banded")
         label = find_links(banded, Links(scratch, texts, signed, chars, similarity, bands * rows), rows)
 
         # a component's lines are reckoned from one row for each key, whatever number of lines have it

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, DataFrameWriter, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -36,14 +38,20 @@ def clean(spark: SparkSession) -> None:
     remove(spark, f"{shared_dir(spark)}/meshwork")
 
 
+#: Spark's setting by which the shuffles of a query go at its end.
+SHUFFLES_GO = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 class Scratch:
     """The scratch tables of one operator. As a context it removes, at its end, all but those that the result still reads.
 
     Results are lazy, so what they read has to outlive the operator: written(..., keep=True). clean() removes that too.
+    With tidy, what was shuffled for a table goes from the disks once the table is written, and tables are compressed more.
     """
 
-    def __init__(self, spark: SparkSession):
+    def __init__(self, spark: SparkSession, tidy: bool = False):
         self.spark, self.root, self.number = spark, f"{shared_dir(spark)}/meshwork/{uuid.uuid4().hex}", 0
+        self.tidy = tidy
         self.folders: list[str] = []
         self.tables: list[str] = []
 
@@ -61,10 +69,23 @@ class Scratch:
             self.spark.sql(f"DROP TABLE IF EXISTS {name}")
         self.folders, self.tables = [], []
 
+    @contextlib.contextmanager
+    def _writer(self, df: DataFrame) -> Iterator[DataFrameWriter]:
+        if not self.tidy:
+            yield df.write
+            return
+        before = self.spark.conf.get(SHUFFLES_GO, None)
+        self.spark.conf.set(SHUFFLES_GO, "true")
+        try:
+            yield df.write.option("compression", "zstd")
+        finally:
+            self.spark.conf.unset(SHUFFLES_GO) if before is None else self.spark.conf.set(SHUFFLES_GO, before)
+
     def written(self, df: DataFrame, name: str, keep: bool = False) -> DataFrame:
         self.number += 1
         path = f"{self.root}/{self.number}_{name}"
-        df.write.parquet(path)
+        with self._writer(df) as writer:
+            writer.parquet(path)
         if not keep:
             self.folders.append(path)
         return self.spark.read.schema(df.schema).parquet(path)
@@ -73,5 +94,6 @@ class Scratch:
         """df as a table in n buckets by a column, sorted by it: joins and groups by that column don't move its rows."""
         table = f"meshwork_{name}_{uuid.uuid4().hex}"
         self.tables.append(table)
-        df.write.bucketBy(n, by).sortBy(by).saveAsTable(table)
+        with self._writer(df) as writer:
+            writer.bucketBy(n, by).sortBy(by).saveAsTable(table)
         return self.spark.table(table)

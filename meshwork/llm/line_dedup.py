@@ -8,7 +8,7 @@ are of bounded size: bitmaps of the shingle sets travel with the rows, and the b
 the shingles they don't share, so hardly a pair that isn't similar goes further than the join that makes it, and no similar
 one is lost. The larger ones are split by further rows of the signature, in as many ways as make hardly any loss, and what
 is large still is compared wherever lines share one of their rarest shingles, as all similar lines do. Candidates are
-verified by the exact Jaccard similarity of their shingle sets, and union-find joins them.
+verified by the exact Jaccard similarity of their shingle sets, arrays that are intersected, and union-find joins them.
 """
 
 from __future__ import annotations
@@ -24,8 +24,8 @@ from .components import connected_components
 #: Bands of so many members at most are compared pair by pair: a member meets half as many bitmaps, which costs less than
 #: the ten rows that a split makes of it.
 FEW_MEMBERS = 512
-#: Words of 64 bits of a line's bitmap.
-BITMAP_WORDS = 32
+#: Words of 64 bits of a line's bitmap: one in five bits is set for a line of about 1,000 characters, so that hardly a difference hides another.
+BITMAP_WORDS = 64
 #: Shingles hashed to a row: they are reduced among each other before they are aggregated.
 STRIDE = 16
 #: Hashes of a signature of which the sketch keeps four bits each.
@@ -92,12 +92,30 @@ def signatures(texts: DataFrame, chars: int, n_hashes: int) -> DataFrame:
     return hashed_rows(texts, chars, STRIDE).groupBy("key").agg(*[F.min(least(i)).alias(f"s{i}") for i in range(n_hashes)])
 
 
+def shingle_set(line: Column, chars: int) -> Column:
+    """The different shingles of a line, as an array. The wide line is a lambda's variable: a column's bytes would be copied for each shingle."""
+    each = lambda w: F.transform(F.sequence(F.lit(1), last_start(w, chars)), lambda i: shingle_at(w, i, chars))
+    return F.array_distinct(F.get(F.transform(F.array(wide(line)), each), F.lit(0)))
+
+
 def bitmaps(texts: DataFrame, chars: int) -> DataFrame:
-    """(key, size, b0, b1, ...) of (key, line) rows: a bit for each shingle, and the number of shingles with those repeated."""
-    word, bit = F.shiftrightunsigned("h0", 6).bitwiseAND(F.lit(BITMAP_WORDS - 1)), F.expr("shiftleft(1L, int(h0 & 63L))")
-    each = hashed_rows(texts, chars, 1).select("key", "last", word.alias("word"), bit.alias("bit"))
-    words = each.groupBy("key", "last", "word").agg(F.bit_or("bit").alias("bits"))
-    return words.groupBy("key", F.col("last").alias("size")).agg(*[F.max(F.when(F.col("word") == w, F.col("bits"))).alias(f"b{w}") for w in range(BITMAP_WORDS)])
+    """(key, size, b0, b1, ...) of (key, line) rows: the number of different shingles, and a bit for each of them."""
+    own = texts.select("key", once(shingle_set(F.col("line"), chars), "own"))
+    each = own.select("key", F.size("own").alias("size"), F.explode("own").alias("h"))
+    word, bit = F.shiftrightunsigned("h", 6).bitwiseAND(F.lit(BITMAP_WORDS - 1)), F.expr("shiftleft(1L, int(h & 63L))")
+    words = each.groupBy("key", "size", word.alias("word")).agg(F.bit_or(bit).alias("bits"))
+    return words.groupBy("key", "size").agg(*[F.coalesce(F.max(F.when(F.col("word") == w, F.col("bits"))), F.lit(0)).alias(f"b{w}") for w in range(BITMAP_WORDS)])
+
+
+def may_link(similarity: float) -> Column:
+    """Whether the bitmaps of a row and of its other allow for this similarity.
+
+    Of sets of s shingles in all, those of this similarity differ in s * (1 - similarity) / (1 + similarity) at most, and
+    each bit in which their bitmaps differ stands for one that is in one set only.
+    """
+    differ = reduce(Column.__add__, [F.bit_count(F.col(f"b{w}").bitwiseXOR(F.col(f"b{w}_other"))) for w in range(BITMAP_WORDS)])
+    most = (F.col("size") + F.col("size_other")) * ((1 - similarity) / (1 + similarity)) + 1e-9
+    return differ <= most
 
 
 def own_splits(n_hashes: int) -> Column:
@@ -130,19 +148,13 @@ def able(most_different: int, other: str) -> Column:
 def compared(pairs: DataFrame, texts: DataFrame, chars: int, least: float) -> DataFrame:
     """(a, b) of the pairs whose shingle sets have at least this Jaccard similarity, each pair once.
 
-    The shingles of both sides are rows, grouped where the texts have met: no row moves for it.
+    The sets are arrays, made and intersected where the texts have met: no row is made or moved for a shingle.
     """
     side = lambda k: texts.select(F.col("key").alias(k), F.col("line").alias(f"line_{k}"))
     both = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b")
-    n = lambda k: last_start(F.col(f"both.{k}"), chars)
-    both = both.select("a", "b", once(F.struct(wide(F.col("line_a")).alias("a"), wide(F.col("line_b")).alias("b")), "both"))
-    both = both.select("a", "b", F.col("both.a").alias("wide_a"), F.col("both.b").alias("wide_b"), once(n("a"), "n_a"), n("b").alias("n_b"))
-    each = both.select("a", "b", "wide_a", "wide_b", "n_a", F.explode(F.sequence(F.lit(1), F.col("n_a") + F.col("n_b"))).alias("i"))
-    first = F.col("i") <= F.col("n_a")
-    h = F.when(first, shingle_at(F.col("wide_a"), F.col("i"), chars)).otherwise(shingle_at(F.col("wide_b"), F.col("i") - F.col("n_a"), chars))
-    sides = each.select("a", "b", h.alias("h"), F.when(first, 1).otherwise(2).alias("side")).groupBy("b", "a", "h").agg(F.bit_or("side").alias("sides"))
-    met = sides.groupBy("b", "a").agg(F.count_if(F.col("sides") == 3).alias("common"), F.count("*").alias("total"))
-    return met.where(F.col("common") >= least * F.col("total")).select("a", "b")
+    sets = both.select("a", "b", once(F.struct(*[shingle_set(F.col(f"line_{k}"), chars).alias(k) for k in "ab"]), "sets"))
+    met = sets.select("a", "b", (F.size("sets.a") + F.size("sets.b")).alias("sizes"), once(F.size(F.array_intersect("sets.a", "sets.b")), "common"))
+    return met.where(F.col("common") >= least * (F.col("sizes") - F.col("common"))).select("a", "b")
 
 
 class Links:
@@ -200,26 +212,24 @@ class Links:
     def pairwise(self, rows: DataFrame) -> None:
         """Compares all members of bands of few members, unless they are linked already: (band, key, of, q0, q1) rows.
 
-        Those whose sketch allows for a link with any other's get a bitmap. Of sets of s shingles in all, those of this
-        similarity differ in s * (1 - similarity) / (1 + similarity) at most, and each bit in which their bitmaps differ
-        stands for one that is in one set only.
+        Those whose sketch allows for a link with any other's get a bitmap.
         """
         met = rows.select(*[F.col(c).alias(f"{c}_other") for c in ("band", "of", "q0", "q1")])
         allowed = (F.col("band") == F.col("band_other")) & (F.col("of") != F.col("of_other")) & able(self.most_different(4), "other")
         rows = self.scratch.written(rows.join(met, allowed, "left_semi").select("band", "key", "of"), "near")
         if rows.isEmpty():
             return
-        words = [f"b{w}" for w in range(BITMAP_WORDS)]
-        keys = rows.select("key").distinct()
-        mapped = self.scratch.written(bitmaps(self.texts.join(keys, "key", "left_semi"), self.chars), "bitmaps")
-        own = rows.join(mapped, "key").select("band", "key", "of", "size", *[F.coalesce(w, F.lit(0)).alias(w) for w in words])
-        other = own.select("band", *[F.col(c).alias(f"{c}_other") for c in ("key", "of", "size", *words)])
-        differ = reduce(Column.__add__, [F.bit_count(F.col(w).bitwiseXOR(F.col(f"{w}_other"))) for w in words])
-        most = (F.col("size") + F.col("size_other")) * ((1 - self.similarity) / (1 + self.similarity)) + 1e-9
+        mapped = self.mapped(rows.select("key").distinct())
+        own = rows.join(mapped, "key")
+        other = own.select("band", *[F.col(c).alias(f"{c}_other") for c in ("of", *mapped.columns)])
         unlinked = (F.col("key") > F.col("key_other")) & (F.col("of") != F.col("of_other"))
-        pairs = own.join(other, "band").where(unlinked & (differ <= most))
+        pairs = own.join(other, "band").where(unlinked & may_link(self.similarity))
         self.compare(pairs.select("key", F.col("key_other").alias("other")))
 
+    def mapped(self, keys: DataFrame) -> DataFrame:
+        """The bitmaps of keys."""
+        return self.scratch.written(bitmaps(self.texts.join(keys, "key", "left_semi"), self.chars), "bitmaps")
+
     def by_rare_shingles(self, keys: DataFrame) -> None:
         """Compares the lines of (key, q0, q1) rows wherever they share a rare shingle and may share enough, unless they are linked already.
 
@@ -245,7 +255,10 @@ class Links:
         most = 1 + F.least(F.col("n") - F.col("rank"), F.col("n_b") - F.col("rank_b"))
         enough = (1 + self.similarity) * most >= self.similarity * (F.col("n") + F.col("n_b")) - 1e-9
         pairs = left.join(other, "shingle").where(order & enough & (F.col("of") != F.col("of_b")) & able(self.most_different(), "b"))
-        self.compare(pairs.select("key", F.col("key_b").alias("other")))
+        pairs = self.scratch.written(pairs.select("key", F.col("key_b").alias("key_other")).distinct(), "pairs")
+        mapped = self.mapped(pairs.select("key").unionByName(pairs.select(F.col("key_other").alias("key"))).distinct())
+        other = mapped.select(*[F.col(c).alias(f"{c}_other") for c in mapped.columns])
+        self.compare(pairs.join(mapped, "key").join(other, "key_other").where(may_link(self.similarity)).select("key", F.col("key_other").alias("other")))
 
 
 def compare_groups(rows: DataFrame, links: Links) -> DataFrame:
